@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chunk_dedup, golay_simhash, sentencepiece_codec
+from . import attention_quality, chunk_dedup, decontamination, feistel_pii, golay_simhash, language_mixture, sentencepiece_codec, slot_sharding, toxicity, warc
 from .common import table
 
 #: Where the vocabulary files of public tokenizers are; a parameter of the operators.
@@ -12,10 +12,30 @@ TOKENIZERS = "/opt/tokenizers"
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
+#: Key of the pseudonyms in the query; a deployment passes its own.
+PSEUDONYM_KEY = b"query-key-16byte"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held=1, threshold=0.7)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mixture.predict(table(spark, sf_dir, "documents"), folds=4, held=2)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held=0, threshold=0.3)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,13 +47,25 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS te
 """
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"), smallest=0)
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slot_sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel_pii.pseudonymised(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = golay_simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries():
-    return {f.__name__: f for f in (op4_sentencepiece, op6_exact_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality, op4_sentencepiece, op5_decontamination, op6_exact_dedup, op7_warc, op8_sharding, op9_pii, op10_simhash_near_dedup)}
 
 
 def oracle_sql():
