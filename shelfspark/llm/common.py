@@ -10,12 +10,15 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import ship
+
 #: Rows and bytes of one Arrow batch: bounds the memory of a Python worker whatever the length of the texts.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def configure(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get."""
+    """Bound the Arrow batches that Python workers get, and make the package importable in them."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

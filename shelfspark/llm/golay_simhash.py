@@ -174,3 +174,98 @@ def near_duplicates(docs: DataFrame, size: int = 3, heavy: int = HEAVY, id_col:
     smallest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     of_fp = own.join(grouped, "fp", "left").join(smallest, "component", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+# Near copies beyond two bits: a wide fingerprint of the different words, found by the same segments and codewords.
+
+#: Segments of the wide fingerprint, bits of each; a bucket up to LIGHT documents gives all pairs, a larger one a star and a chain.
+WIDE, WIDE_BITS, LIGHT = 12, 21, 6
+SHINGLE, SIMILARITY = 5, 0.8
+
+
+def wide_segments(text: str | None) -> np.ndarray:
+    """WIDE segments of the SimHash of a text's different words, as numbers; zeros without words."""
+    words = set(text.encode().lower().split()) if text else ()
+    if not words:
+        return np.zeros(WIDE, np.int32)
+    data = b"".join(xxhash.xxh3_128_digest(w, 1) + xxhash.xxh3_128_digest(w, 2) for w in words)
+    ones = np.unpackbits(np.frombuffer(data, np.uint8)).reshape(len(words), 256).sum(0, dtype=np.int64)
+    bits = (2 * ones > len(words))[: WIDE * WIDE_BITS].reshape(WIDE, WIDE_BITS)
+    return bits @ (1 << np.arange(WIDE_BITS, dtype=np.int32))
+
+
+def wide_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, key) of a table (i, t): every segment's value with the codewords near the next one."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = np.array([wide_segments(t) for t in batch.column(1).to_pylist()], np.int32).reshape(-1, WIDE)
+            rows, out = [], []
+            for i in range(WIDE):
+                codes = near_codewords(values[:, (i + 1) % WIDE])
+                r, c = np.nonzero(codes >= 0)
+                rows.append(r)
+                out.append(np.int64(i) << 36 | values[r, i].astype(np.int64) << 12 | codes[r, c])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate(rows)]), pa.array(np.concatenate(out))], names=["doc_id", "key"])
+
+    return docs.select("i", "t").mapInArrow(run, "doc_id long, key long")
+
+
+def word_shingles(text: str | None, n: int) -> set[bytes]:
+    words = text.encode().lower().split() if text else []
+    return set(map(b" ".join, zip(*(words[i:] for i in range(n))))) if len(words) >= n else {b" ".join(words)}
+
+
+def verified(pairs: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of n-word shingles have at least this Jaccard similarity. docs: (i, t)."""
+
+    def work(b):
+        keep = []
+        for x, y in zip(b["ta"], b["tb"]):
+            p, q = word_shingles(x, n), word_shingles(y, n)
+            small, large = sorted((len(p), len(q)))
+            shared = len(p & q) if small >= similarity * large else 0
+            keep.append(shared >= similarity * (len(p) + len(q) - shared))
+        return {"a": [x for x, k in zip(b["a"], keep) if k], "b": [x for x, k in zip(b["b"], keep) if k]}
+
+    texts = docs.join(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), "i", "left_semi")
+    both = pairs.join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b")
+    return map_rows(both.select("a", "b", "ta", "tb"), lambda: work, "a long, b long")
+
+
+def similar_links(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Edges (a, b) of documents whose n-word shingles have at least this similarity, found through the wide fingerprint.
+
+    Candidates are pairs that share a segment of the wide fingerprint and a codeword near the next. A large bucket pairs
+    each document with the bucket's smallest and with its predecessor only, so rows stay linear; texts are compared for
+    one pair of each document first, and then for the pairs that those left in different components.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
+    rows = wide_keys(source)
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    met = materialize(rows.join(shared, "key"), "wide-buckets")
+    star = met.where("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
+    light = met.where(F.col("n").between(3, LIGHT)).select("key", "doc_id")
+    close = light.join(light.withColumnRenamed("doc_id", "other"), "key").where("doc_id > other").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
+    pairs = materialize(star.unionByName(close).distinct(), "wide-pairs")
+    nearest = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    found = materialize(verified(nearest, source, n, similarity), "verified")
+    grouped = materialize(components(found, "wide-components"), "wide-groups")
+    own = lambda c: grouped.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    rest = pairs.join(nearest, ["a", "b"], "left_anti").join(own("a"), "a", "left").join(own("b"), "b", "left")
+    rest = materialize(rest.where("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b"), "wide-rest")
+    return found.unionByName(verified(rest, source, n, similarity))
+
+
+def deduplicated(docs: DataFrame, size: int = 3, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents, all columns, with one of each group of near copies: the one with the smallest doc_id.
+
+    Linked are documents whose fingerprints differ in at most two bits, and those whose n-word shingles have at least
+    the given similarity; a group is what links reach. Rows without a doc_id stay; rows with the same doc_id stay or go
+    together.
+    """
+    own = near_duplicates(docs, size)
+    edges = own.where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    grouped = components(edges.unionByName(similar_links(docs, n, similarity)), "near-components")
+    return docs.join(grouped.where("node != component").select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select(docs.columns)

@@ -1,8 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
 Tokens get log-odds between toxic and other training documents with an informative Dirichlet prior, the pooled corpus;
-only tokens with a significant z-score keep theirs, and every other token costs a little, so a segment of neutral text
-loses. A linear scan finds all maximal scoring segments of a document (the disjoint passages none of which can be
+only tokens with a significant z-score and a large effect keep theirs, and every token costs a little, so a segment of
+neutral text loses. A linear scan finds all maximal scoring segments of a document (the disjoint passages none of which can be
 extended with gain). By extreme-value theory the best segment score S among n neutral tokens has tail K n exp(-lambda S):
 lambda solves the moment equation over the tokens of other documents and K comes from those documents' best segments.
 A document's evidence is the sum of its significant segments' lambda S - ln(K n); a logistic curve over it, fitted on
@@ -26,9 +26,9 @@ from .common import crc_remainder, map_rows, materialize
 
 #: Bounded sample of labelled rows to learn from, and most tokens that keep a weight.
 MAX_LABELLED, MAX_WEIGHTS = 200_000, 65_536
-#: Prior weight as a share of all tokens; times that a token counts in one document; least |z|; range of a weight.
-PRIOR, REPEATS, LEAST_Z, WEIGHT_RANGE = 0.02, 3, 3.0, (-1.0, 8.0)
-#: Score of a token without a weight.
+#: Prior weight as a share of all tokens; times that a token counts in one document; least |z| and least |log-odds|; range of a weight.
+PRIOR, REPEATS, LEAST_Z, LEAST_ODDS, WEIGHT_RANGE = 0.02, 3, 3.0, 1.0, (-1.0, 8.0)
+#: What every token costs; the score of one without a weight.
 NEUTRAL = -0.25
 #: Segments count while their expected number by chance is under this.
 SIGNIFICANT = 0.05
@@ -90,9 +90,9 @@ def weighted(counts: DataFrame) -> tuple[dict[str, float], list[tuple[float, int
     odds = lambda y, n: F.log((y + a) / (F.lit(n + prior) - y - a))
     delta = odds(F.col("toxic"), n1) - odds(F.col("other"), n0)
     z = delta / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("other") + a))
-    kept = counts.where("toxic + other >= 3").select("token", "other", delta.alias("weight"), z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "token").limit(MAX_WEIGHTS).collect()
+    kept = counts.where("toxic + other >= 3").select("token", "other", delta.alias("weight"), z.alias("z")).where((F.abs("z") >= LEAST_Z) & (F.abs("weight") >= LEAST_ODDS)).orderBy(F.abs("z").desc(), "token").limit(MAX_WEIGHTS).collect()
     low, high = WEIGHT_RANGE
-    weights = {r.token: min(high, max(low, r.weight)) for r in kept}
+    weights = {r.token: min(high, max(low, r.weight)) + NEUTRAL for r in kept}
     seen = [(weights[r.token], r.other) for r in kept if not r.token.startswith("^")]
     return weights, [*seen, (NEUTRAL, max(1, int(n0) - sum(n for _, n in seen)))]
 
@@ -146,14 +146,19 @@ class Scorer:
         return NEUTRAL
 
     def scores(self, tokens: list[str]) -> list[float]:
+        """A token that gains does so REPEATS times in a text, as it was counted; then it is neutral."""
         known = self.known
         if len(known) > 500_000:
             known.clear()
-        out = []
+        out, times = [], {}
         for t in tokens:
             s = known.get(t)
             if s is None:
                 s = known[t] = self.weight(t)
+            if s > 0:
+                times[t] = n = times.get(t, 0) + 1
+                if n > REPEATS:
+                    s = NEUTRAL
             out.append(s)
         return out
 
