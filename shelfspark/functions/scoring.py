@@ -110,8 +110,9 @@ def lexical_score(query: Column, text_column: Column) -> Column:
 
     q, t = text.normalize_search(query), text.normalize_search(text_column)
     q_tokens, t_tokens = F.array_distinct(text.lexical_tokens(query)), F.array_distinct(text.lexical_tokens(text_column))
-    singular = lambda x: F.when(x.endswith("s"), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x)
-    found = F.filter(q_tokens, lambda x: F.array_contains(t_tokens, x) | F.array_contains(t_tokens, singular(x)) | F.array_contains(t_tokens, F.concat(x, F.lit("s"))))
+    plural = F.transform(t_tokens, lambda x: F.concat(x, F.lit("s")))
+    singular = F.transform(F.filter(t_tokens, lambda x: x.endswith("s")), lambda x: F.substring(x, F.lit(1), F.length(x) - 1))
+    found = F.array_intersect(q_tokens, F.concat(t_tokens, plural, singular))
     tight_q, tight_t = F.replace(q, F.lit(" ")), F.replace(t, F.lit(" "))
     score = F.size(found) / F.size(q_tokens) * 0.65 + F.when(F.contains(t, q), 0.2).otherwise(0.0) + F.when((F.length(tight_q) >= 4) & F.contains(tight_t, tight_q), 0.15).otherwise(0.0)
     return F.when((q == "") | (t == "") | (F.size(q_tokens) == 0), 0.0).otherwise(F.least(score, F.lit(1.0)))

@@ -13,7 +13,7 @@ SURE, POSSIBLE, SILENT = 0.86, 0.78, 0.82
 
 def sign_hash(vector) -> object:
     """A 64-bit hash of a vector: bit k is set if value k is positive (the first 64 values)."""
-    bits = F.transform(F.slice(vector, 1, 64), lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long")))
+    bits = F.transform(F.slice(vector, 1, 64), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
 
 
