@@ -156,7 +156,7 @@ def training_passages(docs: DataFrame, train: DataFrame) -> tuple[np.ndarray, np
 
         return work
 
-    rows = docs.join(F.broadcast(train), "doc_id").select(F.col("doc_id").alias("i"), "label", F.col("text").alias("t"))
+    rows = docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(train), "doc_id").select(F.col("doc_id").alias("i"), "label", "t")
     encoded = map_rows(rows, make, "doc_id long, label long, x binary")
     picked = encoded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCUMENTS).toArrow().sort_by("doc_id").to_pydict()
     bags, labels, total = [], [], 0

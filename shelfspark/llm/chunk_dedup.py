@@ -109,7 +109,7 @@ def exact_duplicates(docs: DataFrame, digest_size: int = 16, id_col: str = "doc_
 
     Texts are equal when identical after deleting every character of [\\x20\\x09-\\x0D]; of equal texts the row with the
     most code points in the original text stays, then the smallest doc_id. Null counts as empty, and empty texts are
-    equal to each other. Extra columns are ignored; an empty table gives no rows.
+    equal to each other. Repeated rows are all kept or all dropped; a null doc_id comes last among equals. Extra columns are ignored; an empty table gives no rows.
     """
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     made = materialize(recipes(source, digest_size), "recipes")
@@ -125,4 +125,4 @@ def exact_duplicates(docs: DataFrame, digest_size: int = 16, id_col: str = "doc_
         keyed = made.join(exact, "doc_id", "left").withColumn("key", F.when(F.col("exact").isNull(), F.concat(F.lit(b"\x00"), "recipe")).otherwise(F.concat(F.lit(b"\x01"), "exact")))
     groups = keyed.groupBy("key").agg(F.count("*").alias("group_size"), F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus"))).alias("best"))
     out = keyed.join(groups, "key").select("doc_id", (-F.col("best.minus")).alias("keep_id"), "group_size", "text_sha256")
-    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

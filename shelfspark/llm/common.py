@@ -86,8 +86,8 @@ def arrow_schema(schema: str) -> pa.Schema:
 
 
 def crc_remainder(column: str, n: int):
-    """crc32 of the identifier as text, modulo n: the fold of a row."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+    """crc32 of the identifier as text, modulo n: the fold of a row. A null identifier counts as empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:

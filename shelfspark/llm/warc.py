@@ -50,7 +50,7 @@ def clean(value: str | None) -> str:
 def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC record, uncompressed: a response, or a revisit of the page refers_to without the payload."""
     http = head("HTTP/1.1 200 OK", [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", len(payload))])
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{RECORD_URI}{page_id}>"), ("WARC-Date", DATE), ("WARC-Target-URI", clean(url)), ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"), ("Content-Type", "application/http; msgtype=response")]
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{RECORD_URI}{'' if page_id is None else page_id}>"), ("WARC-Date", DATE), ("WARC-Target-URI", clean(url)), ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"), ("Content-Type", "application/http; msgtype=response")]
     block = http
     if refers_to is None:
         block += payload
@@ -76,7 +76,7 @@ def write(pages: DataFrame, folder: str, smallest: int = 0, file_bytes: int = FI
     """Writes a record for each row of pages (page_id, url, html) into folder; gives the manifest (path, bytes, records).
 
     Null html or url count as empty. Rows with the same page_id and payload are all written; they are responses or
-    revisits alike. Extra columns are ignored.
+    revisits alike. A null page_id is an empty one, and its page a response. Extra columns are ignored.
     """
     fields = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     linked = fields.join(revisits(fields, smallest), "page_id", "left")
@@ -194,7 +194,8 @@ def parsed(data: bytes) -> dict:
     if not revisit and (stated != len(payload) or fields["warc-payload-digest"] != f"sha1:{digest}"):
         raise ValueError(f"record {fields['warc-record-id']}: the payload isn't the one that was written")
     refers = fields.get("warc-refers-to")
-    page = lambda uri: int(uri.strip("<>").removeprefix(RECORD_URI))
+    number = lambda uri: uri.strip("<>").removeprefix(RECORD_URI)
+    page = lambda uri: int(number(uri)) if number(uri) else None
     return {"page_id": page(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload_bytes": stated, "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": page(refers) if refers else None, "payload": None if revisit else payload}
 
 
