@@ -25,7 +25,7 @@ def scratch(spark: SparkSession, label: str) -> str:
 # Payloads written from the tables and read as sources
 
 
-@query(f"SELECT CAST(p_partkey AS VARCHAR) AS external_id, p_name || ' ' || p_type AS title, {cents_sql('p_retailprice')} AS price_minor, CASE WHEN p_size % 2 = 0 OR p_size % 3 = 0 THEN 'in_stock' ELSE 'out' END AS availability, p_type || ' sale-item' AS details FROM part")
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS external_id, CASE WHEN contains(lower(p_name), lower(p_type)) THEN p_name ELSE p_name || ' ' || p_type END AS title, {cents_sql('p_retailprice')} AS price_minor, CASE WHEN p_size % 2 = 0 OR p_size % 3 = 0 THEN 'in_stock' ELSE 'out' END AS availability, p_type || ' sale-item' AS details FROM part")
 def shopify_scan(spark, sf_dir):
     """Catalogue payloads, one for each brand."""
     p = table(spark, sf_dir, "part")

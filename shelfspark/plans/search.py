@@ -26,8 +26,7 @@ def eligible_candidates(listings: DataFrame, queries: DataFrame) -> DataFrame:
     tokens = listings.select("id", F.explode(F.array_distinct(text.lexical_tokens(F.concat_ws(" ", "title", "details")))).alias("token"))
     met = tokens.join(F.broadcast(forms), "token").select("query_id", "id").distinct()
     rows = met.join(listings, "id").join(F.broadcast(specs), "query_id")
-    q = {c: F.col(c) for c in ("product_type", "brand", "model", "must", "must_not", "compatible", "condition", "min_price", "max_price", "refined")}
-    rows = rows.withColumn("d", spec.role_decision(F.col("title"), F.col("details"), F.col("price_minor"), q)).select("*", "d.role", "d.eligible", "d.confidence", "d.reason").drop("d")
+    rows = spec.classified(rows)
     body = F.concat_ws(" ", "title", "details")
     rows = rows.withColumn("lexical", F.array_max(F.transform("variants", lambda v: scoring.lexical_score(v, body)))).withColumn("semantic", scoring.cosine(F.col("embedding"), F.col("query_embedding")))
     rows = spec.escape_hatch(rows).where("eligible")
