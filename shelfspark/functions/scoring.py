@@ -104,18 +104,31 @@ def weighted_mean(pairs: list[tuple[Column, float]]) -> Column:
     return F.try_divide(value, F.when(total > 0, total))
 
 
+def token_forms(tokens: Column) -> Column:
+    """Different tokens with their plurals and singulars: what a query token may equal."""
+    plural = F.transform(tokens, lambda x: F.concat(x, F.lit("s")))
+    singular = F.transform(F.filter(tokens, lambda x: x.endswith("s")), lambda x: F.substring(x, F.lit(1), F.length(x) - 1))
+    return F.array_distinct(F.concat(tokens, plural, singular))
+
+
+def lexical_match(query: Column, plain: Column, forms: Column) -> Column:
+    """lexical_score where the text's normal form and token forms are columns already."""
+    from . import text
+
+    def score(q: Column) -> Column:
+        tokens = text.let(F.array_distinct(text.lexical_tokens(q)), lambda t: F.when(F.size(t) == 0, F.lit(None)).otherwise(F.size(F.array_intersect(t, forms)) / F.size(t)))
+        tight = F.replace(q, F.lit(" "))
+        whole = F.when(F.contains(plain, q), 0.2).otherwise(0.0) + F.when((F.length(tight) >= 4) & F.contains(F.replace(plain, F.lit(" ")), tight), 0.15).otherwise(0.0)
+        return F.when((q == "") | (plain == ""), 0.0).otherwise(F.coalesce(F.least(tokens * 0.65 + whole, F.lit(1.0)), F.lit(0.0)))
+
+    return text.let(text.normalize_search(query), score)
+
+
 def lexical_score(query: Column, text_column: Column) -> Column:
     """0.65 share of query tokens (plural-tolerant) + 0.2 whole phrase + 0.15 phrase without spaces; at most 1."""
     from . import text
 
-    q, t = text.normalize_search(query), text.normalize_search(text_column)
-    q_tokens, t_tokens = F.array_distinct(text.lexical_tokens(query)), F.array_distinct(text.lexical_tokens(text_column))
-    plural = F.transform(t_tokens, lambda x: F.concat(x, F.lit("s")))
-    singular = F.transform(F.filter(t_tokens, lambda x: x.endswith("s")), lambda x: F.substring(x, F.lit(1), F.length(x) - 1))
-    found = F.array_intersect(q_tokens, F.concat(t_tokens, plural, singular))
-    tight_q, tight_t = F.replace(q, F.lit(" ")), F.replace(t, F.lit(" "))
-    score = F.size(found) / F.size(q_tokens) * 0.65 + F.when(F.contains(t, q), 0.2).otherwise(0.0) + F.when((F.length(tight_q) >= 4) & F.contains(tight_t, tight_q), 0.15).otherwise(0.0)
-    return F.when((q == "") | (t == "") | (F.size(q_tokens) == 0), 0.0).otherwise(F.least(score, F.lit(1.0)))
+    return lexical_match(query, text.normalize_search(text_column), token_forms(text.lexical_tokens(text_column)))
 
 
 def relevance_thresholds(tokens: Column) -> tuple[Column, Column]:

@@ -1,9 +1,11 @@
-"""Joins, latest-state, deduplication, window and set operators over keyed tables. No operator gathers a group in one task."""
+"""Joins, latest-state, deduplication, window and set operators over keyed tables. No operator holds a group in memory."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -81,14 +83,30 @@ def failure_streaks(df: DataFrame, key: str, at: str, tie: str, ok: Column, open
 
 
 def ewma(df: DataFrame, key: str, order: Sequence[str], value: str, keep: float = 0.8) -> DataFrame:
-    """Exponentially weighted mean of each key's values in order, rounded to a whole number at each step.
+    """(key, ewma, attempts): exponentially weighted mean of each key's values in order, rounded to a whole number at each step.
 
-    The steps depend on each other, so each key is one fold. Rows of a key are sorted and folded in pieces: applyInPandas
-    would hold a whole key, so a key's values are first cut into numbered runs, and what moves is a number for each row.
+    The rounding makes the steps depend on each other, so a key's rows are read one after the other from a sorted
+    partition; only the running mean is held, whatever the length of a key's history.
     """
-    entries = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("v")))).alias("s"))
-    step = F.aggregate(F.slice("s", 2, F.size("s")), F.floor(F.element_at("s", 1)["v"] + 0.5).cast("double"), lambda acc, x: F.floor(keep * acc + (1 - keep) * x["v"] + 0.5).cast("double"))
-    return entries.select(key, step.cast("long").alias("ewma"), F.size("s").alias("attempts"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, mean, n = None, 0, 0
+        for batch in batches:
+            out = []
+            for k, v in zip(batch[key], batch["v"]):
+                if n and k == now:
+                    mean, n = math.floor(keep * mean + (1 - keep) * v + 0.5), n + 1
+                    continue
+                if n:
+                    out.append((now, mean, n))
+                now, mean, n = k, math.floor(v + 0.5), 1
+            yield pd.DataFrame(out, columns=[key, "ewma", "attempts"])
+        if n:
+            yield pd.DataFrame([(now, mean, n)], columns=[key, "ewma", "attempts"])
+
+    rows = df.where(F.col(value).isNotNull()).select(key, *order, F.col(value).cast("double").alias("v"))
+    sorted_rows = rows.repartition(key).sortWithinPartitions(key, *order)
+    return sorted_rows.select(key, "v").mapInPandas(fold, f"{key} {dict(df.dtypes)[key]}, ewma long, attempts long")
 
 
 def wishlist_changes(saved: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

@@ -23,12 +23,14 @@ def eligible_candidates(listings: DataFrame, queries: DataFrame) -> DataFrame:
     """
     specs = spec.parse_queries(queries).withColumn("variants", spec.query_variants(F.col("refined"), F.col("must"), F.col("brand"), F.col("model"), F.col("product_type")))
     forms = retrieval.query_terms(specs.select("query_id", F.concat_ws(" ", "variants").alias("query"))).select("query_id", F.col("form").alias("token")).distinct()
-    tokens = listings.select("id", F.explode(F.array_distinct(text.lexical_tokens(F.concat_ws(" ", "title", "details")))).alias("token"))
+    body = F.concat_ws(" ", "title", "details")
+    listings = listings.withColumns({"plain": text.normalize_search(body), "tokens": text.lexical_tokens(body)})
+    listings = listings.withColumn("forms", scoring.token_forms(F.col("tokens")))
+    tokens = listings.select("id", F.explode(F.array_distinct("tokens")).alias("token"))
     met = tokens.join(F.broadcast(forms), "token").select("query_id", "id").distinct()
     rows = met.join(listings, "id").join(F.broadcast(specs), "query_id")
     rows = spec.classified(rows)
-    body = F.concat_ws(" ", "title", "details")
-    rows = rows.withColumn("lexical", F.array_max(F.transform("variants", lambda v: scoring.lexical_score(v, body)))).withColumn("semantic", scoring.cosine(F.col("embedding"), F.col("query_embedding")))
+    rows = rows.withColumn("lexical", F.array_max(F.transform("variants", lambda v: scoring.lexical_match(v, F.col("plain"), F.col("forms"))))).withColumn("semantic", scoring.cosine(F.col("embedding"), F.col("query_embedding")))
     rows = spec.escape_hatch(rows).where("eligible")
     rows = rows.withColumn("quality", scoring.listing_quality(F.col("price_minor"), F.col("has_image"), F.col("availability"), F.col("reviews"), F.col("rating"), F.col("cached")))
     return spec.exact_only(rows)
@@ -36,7 +38,7 @@ def eligible_candidates(listings: DataFrame, queries: DataFrame) -> DataFrame:
 
 def channels(candidates: DataFrame, native: DataFrame | None = None) -> DataFrame:
     """(query_id, id, channel, rank): literal and expanded BM25 over each query's own candidates, the vector channel, and sources' own order."""
-    c = candidates.select("query_id", "id", F.concat_ws(" ", "title", "details").alias("text"), "variants", "semantic")
+    c = candidates.select("query_id", "id", "tokens", "plain", "variants", "semantic")
     literal = bm25_within(c, F.element_at("variants", 1))
     expanded = bm25_within(c.where("size(variants) > 1"), F.concat_ws(" ", F.slice("variants", 2, 3)))
     out = [("lexical:literal", literal, 0.0), ("lexical:expanded", expanded, 0.0), ("semantic", c.where("semantic is not null").select("query_id", "id", F.col("semantic").alias("score")), SEMANTIC_FLOOR)]
@@ -48,8 +50,8 @@ def channels(candidates: DataFrame, native: DataFrame | None = None) -> DataFram
 
 
 def bm25_within(df: DataFrame, query: Column, k1: float = retrieval.K1, b: float = retrieval.B) -> DataFrame:
-    """(query_id, id, score): BM25 where each query's corpus is its own rows (query_id, id, text)."""
-    rows = df.select("query_id", "id", text.lexical_tokens(F.col("text")).alias("tokens"), text.normalize_search(F.col("text")).alias("plain"), F.array_distinct(text.lexical_tokens(query)).alias("terms"), text.normalize_search(query).alias("phrase"))
+    """(query_id, id, score): BM25 where each query's corpus is its own rows (query_id, id, tokens, plain)."""
+    rows = df.select("query_id", "id", "tokens", "plain", F.array_distinct(text.lexical_tokens(query)).alias("terms"), text.normalize_search(query).alias("phrase"))
     single = lambda x: F.when(x.endswith("s"), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x)
     hits = rows.withColumn("term", F.explode("terms")).withColumn("tf", F.size(F.filter("tokens", lambda t: (t == F.col("term")) | (t == single(F.col("term"))) | (single(t) == F.col("term"))))).where("tf > 0")
     stats = rows.groupBy("query_id").agg(F.count("*").alias("n"), F.greatest(F.avg(F.size("tokens")), F.lit(1.0)).alias("mean"))
@@ -65,7 +67,7 @@ def search(listings: DataFrame, queries: DataFrame, rerank: Callable[[DataFrame]
     rerank, if given, adds relevance (0 to 1) to the judged pool (the best 48 of a query, eight for each source at most)
     and is the hook for a cross-encoder; without it the lexical score stands in, as the deterministic default.
     """
-    found = eligible_candidates(listings, queries)
+    found = eligible_candidates(listings, queries).persist()  # five channels and the final join read it
     weights = WEIGHTS | {f"native:{k}": NATIVE_WEIGHT for k in range(sources)}
     fused = retrieval.reciprocal_rank_fusion(channels(found), weights)
     rows = found.join(fused, ["query_id", "id"], "left")
