@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scoring, text
-from ..operators import entity, relational as rel
+from ..operators import entity, gates, relational as rel
 from ..sources import payloads
 from ..streaming import flows
 from ..tables import minor, offers, table
@@ -260,3 +260,101 @@ r AS (SELECT event_id, user_id, CAST(sum(CAST(event_type = 'error' AS INT)) OVER
 def stream_breakers(spark, sf_dir):
     """Circuit breakers with keyed state."""
     return flows.drained(flows.breakers(flows.events(spark, sf_dir)), scratch(spark, "breakers")).select("event_id", "user_id", "run", "open")
+
+
+# Gates around the search
+
+
+@query("""WITH m AS (SELECT max(epoch_us(ts)) // 1000000 AS now FROM events), s AS (SELECT user_id, max(epoch_us(ts)) // 1000000 AS t FROM events GROUP BY 1) SELECT user_id, CASE WHEN now - t <= 600 THEN 'fresh' WHEN now - t <= 3600 THEN 'stale' ELSE 'expired' END AS state FROM s, m""")
+def snapshot_freshness(spark, sf_dir):
+    """Whether each source's last snapshot can be used."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    last = e.groupBy("user_id").agg(F.max("ts").alias("t"))
+    return last.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now")))).select("user_id", gates.freshness(F.col("t"), F.col("now")).alias("state"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'shopify' WHEN s_suppkey % 4 = 1 THEN 'woocommerce' WHEN s_suppkey % 4 = 2 THEN 'blocked' ELSE 'unknown' END AS kind FROM supplier""")
+def store_types(spark, sf_dir):
+    """Kind of shop from captured probe results."""
+    k = F.col("s_suppkey") % 4
+    return table(spark, sf_dir, "supplier").select("s_suppkey", gates.store_type(F.when(k == 0, 200).when(k == 2, 403).otherwise(404), F.when(k == 1, 200).otherwise(404)).alias("kind"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'ok' WHEN regexp_matches(lower(html), 'captcha|access denied|are you a human|unusual traffic|verify you are human|robot check') THEN 'blocked' WHEN page_id % 3 = 1 THEN 'stale' ELSE 'empty' END AS diagnosis FROM pages""")
+def page_diagnosis(spark, sf_dir):
+    """Why pages gave no listings."""
+    k = F.col("page_id") % 3
+    return table(spark, sf_dir, "pages").select("page_id", gates.diagnosis(F.col("html"), F.when(k == 0, 1).otherwise(0), F.when(k == 1, 3)).alias("diagnosis"))
+
+
+@query("""WITH h AS (SELECT p_partkey, CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) AS base, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(p_name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, x: (h * 31 + x) % 4294967296) AS u FROM part), a AS (SELECT p_partkey, base, abs(CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END) AS h FROM h)
+SELECT p_partkey, CAST(h AS BIGINT) AS hash, CAST(floor(base * (80 + h % 41) / 100 + 0.5) AS BIGINT) AS price FROM a""")
+def mock_catalog(spark, sf_dir):
+    """Deterministic prices from names."""
+    n = F.col("p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", gates.string_hash(n).alias("hash"), gates.mock_price(n, minor("p_retailprice")).alias("price"))
+
+
+@query(f"""SELECT p_partkey, 'facet:' || {norm_sql('p_type')} || '|brand:' || {norm_sql('p_brand')} || '|' || CASE WHEN p_retailprice < 25 THEN 'price:entry' WHEN p_retailprice < 100 THEN 'price:value' WHEN p_retailprice < 300 THEN 'price:mid' WHEN p_retailprice < 750 THEN 'price:premium' ELSE 'price:luxury' END AS tags,
+ CASE WHEN p_size % 100 = 0 THEN p_name ELSE p_name || ' under $' || CAST(p_size AS VARCHAR) END AS slot FROM part""")
+def aspect_tags(spark, sf_dir):
+    """Tags of entities and queries of slots."""
+    empty = F.lit("")
+    tags = gates.entity_aspects(F.array("p_type", empty), empty, F.col("p_brand"), scoring.price_band(minor("p_retailprice")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", tags).alias("tags"), gates.slot_query(F.col("p_name"), F.lit(None).cast("long"), F.when(F.col("p_size") % 100 != 0, F.col("p_size") * 100).cast("long")).alias("slot"))
+
+
+@query("""WITH l AS (SELECT doc_id, doc_id % 50 AS query_id, CASE WHEN toxic = 0 THEN quality * 0.9 - doc_id % 3 * 0.2 END AS judged, doc_id % 10 / 10.0 AS score, CASE WHEN doc_id % 2 = 0 THEN 'short' ELSE 'long enough details text' END AS details FROM labels),
+w AS (SELECT *, bool_or(coalesce(judged >= 0.45, false)) OVER (PARTITION BY query_id) AS good, bool_or(judged IS NOT NULL) OVER (PARTITION BY query_id) AS seen FROM l)
+SELECT doc_id, query_id FROM w WHERE CASE WHEN NOT seen THEN score >= 0.35 WHEN good THEN coalesce(judged >= 0.45, false) ELSE length(details) < 20 AND score >= 0.35 END""")
+def judged_results(spark, sf_dir):
+    """Judged results with the two fallbacks."""
+    k = F.col("doc_id")
+    rows = table(spark, sf_dir, "labels").select("doc_id", (k % 50).alias("query_id"), F.when(F.col("toxic") == 0, F.col("quality") * 0.9 - k % 3 * 0.2).alias("judged"), (k % 10 / 10.0).alias("score"), F.when(k % 2 == 0, "short").otherwise("long enough details text").alias("details"))
+    return gates.judged(rows).select("doc_id", "query_id")
+
+
+@query("""WITH c AS (SELECT p_brand, max(p_size / 60.0) AS similarity, bool_or(p_retailprice * 100 BETWEEN 90000 AND 150000) AS inside, bool_or(contains(p_name, 'blue')) AS a, bool_or(contains(p_name, 'bolt')) AS b FROM part GROUP BY 1) SELECT p_brand, round(similarity, 6) AS similarity FROM c WHERE similarity >= 0.25 AND inside AND a AND b""")
+def cluster_relevance(spark, sf_dir):
+    """Clusters whose titles together hold the query."""
+    rows = table(spark, sf_dir, "part").select("p_brand", (F.col("p_size") / 60.0).alias("similarity"), F.col("p_name").alias("title"), minor("p_retailprice").alias("price_minor"))
+    return gates.relevant_clusters(rows, "p_brand", text.lit_array(("blue", "bolts")), 90000, 150000).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""WITH a AS (SELECT source AS query_id, doc_id, doc_id % 10 / 20.0 AS score FROM documents WHERE doc_id % 17 = 0), b AS (SELECT source AS query_id, doc_id, doc_id % 10 / 15.0 AS score FROM documents WHERE doc_id % 13 = 0),
+sa AS (SELECT query_id, count(*) AS n, max(score) AS top FROM a GROUP BY 1), sb AS (SELECT query_id, count(*) AS n, max(score) AS top FROM b GROUP BY 1),
+u AS (SELECT sb.query_id FROM sb LEFT JOIN sa USING (query_id) WHERE (coalesce(sa.n, 0) < 3 OR coalesce(sa.top, 0) < 0.32) AND (sb.n > coalesce(sa.n, 0) OR sb.top > coalesce(sa.top, 0)))
+SELECT query_id, doc_id, 0 AS variant FROM a WHERE query_id NOT IN (SELECT query_id FROM u) UNION ALL SELECT query_id, doc_id, 1 FROM b WHERE query_id IN (SELECT query_id FROM u)""")
+def recall_expansion(spark, sf_dir):
+    """The wider variant where the first finds too little."""
+    k = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), "doc_id")
+    return gates.expanded_recall(d.where("doc_id % 17 = 0").withColumn("score", k % 10 / 20.0), d.where("doc_id % 13 = 0").withColumn("score", k % 10 / 15.0)).select("query_id", "doc_id", "variant")
+
+
+@query("""SELECT user_id, min(epoch_us(ts)) AS first FROM events WHERE event_type = 'view' GROUP BY 1 ORDER BY 2, 1 LIMIT 300""")
+def work_queue(spark, sf_dir):
+    """T4: each key once, the oldest first, up to the queue's size."""
+    e = table(spark, sf_dir, "events").where("event_type = 'view'").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("first"))
+    return gates.queue(e, "user_id", "first")
+
+
+@query("""SELECT p_brand, p_type, arg_max(p_name, (len(string_split(p_name, ' ')), p_partkey)) AS phrase FROM part GROUP BY ALL""")
+def specific_phrase(spark, sf_dir):
+    """The phrase with the most words, the last among equals."""
+    return table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.max_by("p_name", F.struct(F.size(F.split("p_name", " ")), "p_partkey")).alias("phrase"))
+
+
+@query("""SELECT p_partkey, p_brand, p_retailprice AS price, row_number() OVER (PARTITION BY p_brand ORDER BY p_size // 5 DESC, p_retailprice, p_partkey) AS rank FROM part QUALIFY rank <= 8""")
+def banded_sort(spark, sf_dir):
+    """Bands of the score, then price, eight for each brand."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_retailprice").alias("price"), "p_size")
+    out = rel.latest_n(rows, "p_brand", [*gates.banded_order(F.col("p_size"), F.col("price"), 5), F.asc("p_partkey")], 8)
+    return out.select("p_partkey", "p_brand", "price", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""SELECT o_orderkey, array_to_string(list_filter(['exact', o_orderstatus, o_orderpriority], lambda x: x IS NOT NULL)[1:3], '|') AS notes FROM orders""")
+def result_notes(spark, sf_dir):
+    """Up to three different notes of a result."""
+    notes = gates.explanation(F.lit("exact"), F.array("o_orderstatus", "o_orderpriority"), F.array(F.lit("exact")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("|", notes).alias("notes"))

@@ -203,3 +203,17 @@ def test_search_plan(spark):
     listings = spark.createDataFrame([(1, "Sony WH-1000XM5 headphones", None, 30000, "a"), (2, "Bose headphones", None, 20000, "b"), (3, "Cotton shirt with headphones print", None, 1000, "a"), (4, "Office chair", None, 9000, "b")], "id long, title string, details string, price_minor long, source string").selectExpr("*", "true has_image", "'in_stock' availability", "20 reviews", "4.5D rating", "false cached", "cast(null as array<double>) embedding")
     found = search.search(listings, spark.createDataFrame([(1, "headphones"), (2, "chair under $50")], "query_id long, query string").selectExpr("*", "cast(null as array<double>) query_embedding")).collect()
     assert {(r.query_id, r.id) for r in found} == {(1, 1), (1, 2)} and sorted(r.position for r in found) == [1, 2]
+
+
+def test_tools(spark):
+    from shelfspark import api
+
+    assert api.tool_arguments("search_products", {"query": "  desk ", "max_results": "99"}) == {"query": "desk", "max_results": 10}
+    assert api.tool_arguments("drop_table", {"query": "x"}) is None and api.tool_arguments("find_cheaper", {"query": " "}) is None
+    assert [api.routed(m)[0] for m in ("which stores do you know?", "find this cheaper", "furnish my office", "red shoes")] == ["list_sources", "find_cheaper", "run_shopping_mission", "search_products"]
+    assert api.canaries(["Nike Store", "A1"])[:2] == ["nike", "shoes"] and api.bounded_millis("5000", 100, 0, 9000) == 5000 and api.bounded_millis("x", 100, 0, 9000) == 100
+    assert api.keyed_query_hash("A  b", b"k") == api.keyed_query_hash("a b", b"k") != api.keyed_query_hash("a b", b"j")
+    listings = spark.createDataFrame([(1, "Oak standing desk", None, 30000, "a"), (2, "Pine standing desk", None, 20000, "b"), (3, "Office chair", None, 9000, "a"), (4, "Mesh office chair", None, 15000, "b")], "id long, title string, details string, price_minor long, source string").selectExpr("*", "true has_image", "'in_stock' availability", "20 reviews", "4.5D rating", "false cached", "cast(null as array<double>) embedding")
+    assert [r.id for r in api.find_cheaper(listings, "Oak standing desk | Amazon", 30000, "a").collect()] == [2]
+    found = api.run_shopping_mission(listings, ["standing desk", "office chair"], 40000).collect()
+    assert found and all(r.total <= 40000 and len(r.ids) == 2 for r in found)
