@@ -9,6 +9,7 @@ Adam on a bounded sample of labelled documents; every document is then scored wh
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -20,10 +21,11 @@ from .toxicity import sampled
 PASSAGE, SHAPES, HIDDEN, GATE = 40, 64, 32, 16
 #: Bounds of what is learned from: labelled documents, and passages of all of them together.
 MAX_DOCUMENTS, MAX_PASSAGES = 6_000, 150_000
+#: Words that are encoded together, and a longer text alone.
+SLICE_WORDS = 200_000
 EPOCHS, BATCH, RATE, DECAY, SEED = 30, 64, 0.01, 1e-4, 7
 FEATURES = SHAPES + 9
 
-_classes = ((re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "9"))
 _runs = re.compile(r"(.)\1+")
 
 
@@ -32,6 +34,7 @@ def shape(word: str) -> str:
     return _runs.sub(r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64]))
 
 
+@lru_cache(100_000)
 def bucket(text: str) -> int:
     h = 2166136261
     for b in text.encode():
@@ -40,47 +43,64 @@ def bucket(text: str) -> int:
 
 
 class Encoder:
-    """Vectors of passages. Words' rows are cached up to a bound."""
+    """Vectors of passages. A worker numbers the words it sees, up to a bound, and keeps a row of counts for each."""
 
     def __init__(self):
-        self.known: dict[str, tuple] = {}
-
-    def word(self, w: str) -> tuple:
-        """(shape bucket, letters, upper, digits, signs, length, hash)."""
-        found = self.known.get(w)
-        if found is None:
-            if len(self.known) > 400_000:
-                self.known.clear()
-            letters = sum(map(str.isalpha, w))
-            digits = sum(map(str.isdigit, w))
-            found = self.known[w] = (bucket(shape(w)), letters, sum(map(str.isupper, w)), digits, len(w) - letters - digits, len(w), hash(w) & 0x7FFFFFFF)
-        return found
+        self.number: dict[str, int] = {}
+        self.rows: list[tuple] = []
+        self.table = np.zeros((0, 6), np.int64)
+
+    def add(self, w: str) -> int:
+        """Numbers a word: (shape bucket, letters, upper, digits, signs, length)."""
+        letters, digits = sum(map(str.isalpha, w)), sum(map(str.isdigit, w))
+        self.rows.append((bucket(shape(w)), letters, sum(map(str.isupper, w)), digits, len(w) - letters - digits, len(w)))
+        n = self.number[w] = len(self.number)
+        return n
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(passages as rows, number of the text of each). A text without words has one passage of zeros."""
-        rows, owners = [], []
-        for k, text in enumerate(texts):
-            words = text.split() if text else []
-            if not words:
-                rows.append(np.zeros((1, FEATURES), np.float32))
-                owners.append(np.full(1, k))
-                continue
-            table = np.array(list(map(self.word, words)), np.int64)
-            n = len(words)
-            at = np.arange(n) // PASSAGE
-            m = int(at[-1]) + 1
-            size = np.bincount(at, minlength=m).astype(np.float32)
-            out = np.zeros((m, FEATURES), np.float32)
-            out[:, :SHAPES] = np.bincount(at * SHAPES + table[:, 0], minlength=m * SHAPES).reshape(m, SHAPES) / size[:, None]
-            letters, upper, digits, signs, chars = (np.bincount(at, table[:, c], m).astype(np.float32) for c in range(1, 6))
-            pairs = table[:-1, 6] * 1_000_003 + table[1:, 6]
-            _, first = np.unique(pairs, return_index=True)
-            fresh = np.bincount(at[first], minlength=m) if len(first) else np.zeros(m)
-            distinct = np.bincount(np.unique(at * (1 << 31) + table[:, 6]) >> 31, minlength=m)
-            out[:, SHAPES:] = np.stack([letters / chars, upper / np.maximum(letters, 1), digits / chars, signs / chars, chars / size / 10, fresh / size, distinct / size, np.log1p(size) / 4, np.full(m, np.log1p(n) / 10)], 1)
-            rows.append(out)
-            owners.append(np.full(m, k))
-        return np.concatenate(rows), np.concatenate(owners)
+        split = [t.split() if t else [] for t in texts]
+        out, owners, begin, size = [], [], 0, 0
+        for k, words in enumerate([*split, None]):
+            if words is None or size > SLICE_WORDS:
+                x, owner = self.slice(split[begin:k])
+                out.append(x)
+                owners.append(owner + begin)
+                begin, size = k, 0
+            size += len(words or ())
+        return np.concatenate(out), np.concatenate(owners)
+
+    def slice(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.number) > 400_000:
+            self.__init__()
+        get, add = self.number.get, self.add
+        ids = np.fromiter((n if (n := get(w)) is not None else add(w) for words in split for w in words), np.int64)
+        if self.rows:
+            self.table = np.concatenate([self.table, np.array(self.rows, np.int64)])
+            self.rows.clear()
+        lengths = np.array([len(w) for w in split], np.int64)
+        passages = np.maximum(1, -(-lengths // PASSAGE))
+        first = np.cumsum(passages) - passages
+        doc = np.repeat(np.arange(len(split)), lengths)
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        at, m = first[doc] + place // PASSAGE, int(passages.sum())
+        owner = np.repeat(np.arange(len(split)), passages)
+        x = np.zeros((m, FEATURES), np.float32)
+        if not len(ids):
+            return x, owner
+        rows = self.table[ids]
+        count = np.bincount(at, minlength=m).astype(np.float32)
+        size = np.maximum(count, 1)
+        x[:, :SHAPES] = np.bincount(at * SHAPES + rows[:, 0], minlength=m * SHAPES).reshape(m, SHAPES) / size[:, None]
+        letters, upper, digits, signs, chars = (np.bincount(at, rows[:, c], m).astype(np.float32) for c in range(1, 6))
+        inside = np.flatnonzero(doc[1:] == doc[:-1])  # word pairs of a text; the first of each kind is fresh
+        pair = (doc[inside] * 0x9E3779B97F4A7C + ids[inside]) * 0x2545F4914F6CDD + ids[inside + 1]
+        _, seen = np.unique(pair, return_index=True)
+        fresh = np.bincount(at[inside[seen]], minlength=m)
+        distinct = np.bincount(np.unique(at << 32 | ids) >> 32, minlength=m)
+        chars_ = np.maximum(chars, 1)
+        x[:, SHAPES:] = np.stack([letters / chars_, upper / np.maximum(letters, 1), digits / chars_, signs / chars_, chars / size / 10, fresh / size, distinct / size, np.log1p(count) / 4, np.log1p(lengths[owner]) / 10], 1)
+        return x, owner
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
