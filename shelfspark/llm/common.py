@@ -37,8 +37,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new folder under the shared one, remembered for clear()."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this session has written to the shared folder; results that still read it must be saved before."""
+    while _written:
+        delete(spark, _written.pop())
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, heavy: int = HEAVY, id_col:
 # Near copies beyond two bits: a wide fingerprint of the different words, found by the same segments and codewords.
 
 #: Segments of the wide fingerprint, bits of each; a bucket up to LIGHT documents gives all pairs, a larger one a star and a chain.
-WIDE, WIDE_BITS, LIGHT = 12, 21, 6
+WIDE, WIDE_BITS, LIGHT = 24, 21, 6
 SHINGLE, SIMILARITY = 5, 0.8
 
 
@@ -188,8 +188,9 @@ def wide_segments(text: str | None) -> np.ndarray:
     words = set(text.encode().lower().split()) if text else ()
     if not words:
         return np.zeros(WIDE, np.int32)
-    data = b"".join(xxhash.xxh3_128_digest(w, 1) + xxhash.xxh3_128_digest(w, 2) for w in words)
-    ones = np.unpackbits(np.frombuffer(data, np.uint8)).reshape(len(words), 256).sum(0, dtype=np.int64)
+    digest = xxhash.xxh3_128_digest
+    data = b"".join(digest(w, seed) for w in words for seed in range(1, 5))
+    ones = np.unpackbits(np.frombuffer(data, np.uint8)).reshape(len(words), 512).sum(0, dtype=np.int64)
     bits = (2 * ones > len(words))[: WIDE * WIDE_BITS].reshape(WIDE, WIDE_BITS)
     return bits @ (1 << np.arange(WIDE_BITS, dtype=np.int32))
 

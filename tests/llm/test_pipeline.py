@@ -1,5 +1,7 @@
 """The corpus pipeline over the small tables, stage by stage."""
 
+import os
+
 import corpus_pipeline
 from shelfspark.llm import common, decontamination, queries
 from tests_data import SMALL
@@ -31,5 +33,25 @@ def test_empty(spark):
     assert docs.count() == 0
 
 
+def test_oracles(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
+    for name, sql in queries.oracle_sql().items():
+        got, want = queries.queries()[name](spark, SMALL), c.execute(sql).fetchall()
+        names = [d[0] for d in c.description]
+        assert sorted(map(str, map(tuple, got.select(*names).collect()))) == sorted(map(str, want)) and sorted(names) == sorted(got.columns)
+
+
+def test_clear(spark):
+    common.materialize(spark.range(3).toDF("x"), "kept")
+    path = common._written[-1].removeprefix("file://")
+    assert os.path.exists(path)
+    common.clear(spark)
+    assert not os.path.exists(path)
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
