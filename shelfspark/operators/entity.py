@@ -9,6 +9,7 @@ from ..functions import scoring, text
 #: Bit ranges of seven bands: two hashes within six bits agree on at least one.
 BANDS = ((0, 9), (9, 9), (18, 9), (27, 9), (36, 9), (45, 9), (54, 10))
 SURE, POSSIBLE, SILENT = 0.86, 0.78, 0.82
+MOST_CENTRES = 10_000
 
 
 def sign_hash(vector) -> object:
@@ -40,7 +41,13 @@ def centroids(df: DataFrame, key: str, vector: str, digits: int = 12) -> DataFra
 
 
 def nearest_centroid(df: DataFrame, centres: DataFrame, key: str, vector: str, id_col: str) -> DataFrame:
-    """(id, key, score): the most similar centroid, the smallest key among equals. Centroids are a bounded set."""
+    """(id, key, score): the most similar centroid, the smallest key among equals.
+
+    Compares every vector with every centroid, so there may be MOST_CENTRES of them; more belong into cascade(), which
+    compares by shared words.
+    """
+    if centres.count() > MOST_CENTRES:
+        raise ValueError(f"more than {MOST_CENTRES} centroids")
     pairs = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).crossJoin(F.broadcast(centres))
     scored = pairs.select("id", F.col(key), scoring.dot(F.col("v"), F.col("centroid")).alias("score"))
     return scored.groupBy("id").agg(F.max_by(F.struct(key, "score"), F.struct(F.round("score", 9).alias("s"), (-F.col(key)).alias("k"))).alias("best")).select("id", f"best.{key}", "best.score")

@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scoring, text
 
 K1, B, PHRASE_BONUS = 1.2, 0.75, 0.75
+#: Queries that are broadcast together; a larger set takes several passes over the data.
+BLOCK = 1000
+
+
+def in_blocks(queries: DataFrame, one: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
+    """Union of one(part) over parts of a stated query set (column query_id), so that a broadcast part is bounded."""
+    passes = max(1, -(-queries.count() // block))
+    if passes == 1:
+        return one(queries)
+    out = None
+    for k in range(passes):
+        part = one(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == k))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -21,8 +37,13 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     """(query_id, id, score) of all documents with a query term, score over 0.
 
     The corpus is all of docs. Documents are tokenised once and filtered to the queries' forms in the map task; only
-    (document, term) counts move. Queries are a stated set and are broadcast.
+    (document, term) counts move. Queries are a stated set and are broadcast in blocks.
     """
+    return in_blocks(queries, lambda part: bm25_block(docs, part, id_col, text_col, k1, b))
+
+
+def bm25_block(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k1: float, b: float) -> DataFrame:
+    """bm25 of a block of queries."""
     forms = query_terms(queries)
     wanted = F.broadcast(forms.select("form").distinct())
     tokens = docs.select(F.col(id_col).alias("id"), text.lexical_tokens(F.col(text_col)).alias("tokens"), text.normalize_search(F.col(text_col)).alias("plain"))
@@ -49,8 +70,9 @@ def ranked(scores: DataFrame, partition: str = "query_id", id_col: str = "id", f
 
 def vector_scores(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score): cosine of every vector with each of a stated set of query vectors (query_id, query)."""
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).crossJoin(F.broadcast(queries.select("query_id", "query")))
-    return pairs.select("query_id", "id", scoring.cosine(F.col("v"), F.col("query")).alias("score")).where("score is not null")
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    one = lambda part: rows.crossJoin(F.broadcast(part.select("query_id", "query"))).select("query_id", "id", scoring.cosine(F.col("v"), F.col("query")).alias("score"))
+    return in_blocks(queries, one).where("score is not null")
 
 
 def reciprocal_rank_fusion(channels: DataFrame, weights: dict[str, float], k: int = 60) -> DataFrame:
@@ -67,7 +89,7 @@ def reciprocal_rank_fusion(channels: DataFrame, weights: dict[str, float], k: in
     others = extra.select("query_id", "channel").distinct().groupBy("query_id").agg(F.count("*").alias("others"))
     summed = good.groupBy("query_id", "id").agg(F.sum(F.col("w") / (k + F.col("rank"))).alias("s"))
     total = (F.lit(fixed) + F.coalesce("others", F.lit(0))) / (k + 1)
-    return summed.join(F.broadcast(others), "query_id", "left").select("query_id", "id", scoring.clamp(F.col("s") / total).alias("rrf"))
+    return summed.join(others, "query_id", "left").select("query_id", "id", scoring.clamp(F.col("s") / total).alias("rrf"))
 
 
 HYBRID_WEIGHTS = {"rrf": 0.4, "semantic": 0.25, "lexical": 0.12, "relevance": 0.18, "quality": 0.05}

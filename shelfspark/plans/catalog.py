@@ -84,10 +84,13 @@ SELECT query_id, doc_id, round(CASE WHEN qn = '' OR tn = '' OR len(qt) = 0 THEN
 def lexical_score(spark, sf_dir):
     """Lexical evidence of every document for each query."""
     docs, q = table(spark, sf_dir, "documents"), item_queries(spark, sf_dir)
-    return docs.crossJoin(F.broadcast(q)).select("query_id", "doc_id", F.round(scoring.lexical_score(F.col("query"), F.col("text")), 6).alias("score"))
+    plain, forms = text.normalize_search(F.col("text")), scoring.token_forms(text.lexical_tokens(F.col("text")))
+    ready = docs.select("doc_id", plain.alias("plain"), forms.alias("forms"))
+    one = lambda part: ready.crossJoin(F.broadcast(part)).select("query_id", "doc_id", F.round(scoring.lexical_match(F.col("query"), F.col("plain"), F.col("forms")), 6).alias("score"))
+    return retrieval.in_blocks(q, one)
 
 
-@query(f"""WITH d AS (SELECT doc_id, source, len({tokens_sql('text')}) AS n FROM documents), t AS (SELECT unnest({tokens_sql('text')}) AS term, doc_id FROM documents)
+@query(f"""WITH t AS (SELECT unnest({tokens_sql('text')}) AS term, doc_id FROM documents)
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY term HAVING count(DISTINCT doc_id) > 1""")
 def corpus_stats(spark, sf_dir):
     """Document and collection frequency of every token in more than one document."""
@@ -160,7 +163,6 @@ def phrase_gate(spark, sf_dir):
     """Documents that hold the first two words of a benchmark item, met by the first word's token."""
     bench = table(spark, sf_dir, "benchmark").select("item_id", F.concat_ws(" ", F.slice(F.split(text.normalize_spec(F.col("text")), " "), 1, 2)).alias("phrase"))
     docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize_spec(F.col("text")).alias("plain"))
-    pairs = F.transform(F.split("plain", " "), lambda w, i: F.concat_ws(" ", w, F.get(F.split("plain", " "), i + 1)))
     grams = docs.select("doc_id", F.split("plain", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat("w", F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))))).alias("gram"))
     forms = bench.select("item_id", F.explode(F.array_distinct(F.array_compact(F.array("phrase", F.when(F.col("phrase").endswith("s"), F.expr("substring(phrase, 1, length(phrase) - 1)")))))).alias("gram"))
     return grams.join(forms, "gram").select("item_id", "doc_id").distinct()

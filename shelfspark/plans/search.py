@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scoring, text
 from ..operators import ranking, retrieval
 from . import spec
 
 WEIGHTS = {"lexical:literal": 2.2, "lexical:expanded": 0.75, "semantic": 1.0}
-NATIVE_WEIGHT, SEMANTIC_FLOOR, JUDGED, JUDGED_PER_SOURCE, RESULTS = 1.35, 0.15, 48, 8, 30
+NATIVE_WEIGHT, SEMANTIC_FLOOR, JUDGED, PER_SOURCE, RESULTS, BLOCK = 1.35, 0.15, 48, 8, 30, 500
 
 
 def eligible_candidates(listings: DataFrame, queries: DataFrame) -> DataFrame:
@@ -64,20 +64,36 @@ def bm25_within(df: DataFrame, query: Column, k1: float = retrieval.K1, b: float
 def search(listings: DataFrame, queries: DataFrame, rerank: Callable[[DataFrame], DataFrame] | None = None, results: int = RESULTS, sources: int = 0) -> DataFrame:
     """(query_id, id, position, base, final, relaxed): diversified results of every query.
 
-    rerank, if given, adds relevance (0 to 1) to the judged pool (the best 48 of a query, eight for each source at most)
-    and is the hook for a cross-encoder; without it the lexical score stands in, as the deterministic default.
+    rerank, if given, takes the judged pool (the 48 best of a query by lexical score, eight of a source at most) and gives
+    (query_id, id, relevance): the hook for a cross-encoder. Without it the lexical score stands in, as the deterministic
+    default. Queries go in blocks, so that what is broadcast is bounded.
     """
+    return retrieval.in_blocks(queries, lambda part: search_block(listings, part, rerank, results, sources), BLOCK)
+
+
+def judged_pool(rows: DataFrame) -> DataFrame:
+    """The best rows of each query by lexical score: eight of a source at most, 48 altogether."""
+    order = [F.desc("lexical"), F.asc("id")]
+    near = rows.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "source").orderBy(*order))).where(F.col("r") <= PER_SOURCE)
+    return near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("r") <= JUDGED).drop("r")
+
+
+def search_block(listings: DataFrame, queries: DataFrame, rerank: Callable[[DataFrame], DataFrame] | None, results: int, sources: int) -> DataFrame:
+    """search of a block of queries."""
     found = eligible_candidates(listings, queries).persist()  # five channels and the final join read it
     weights = WEIGHTS | {f"native:{k}": NATIVE_WEIGHT for k in range(sources)}
     fused = retrieval.reciprocal_rank_fusion(channels(found), weights)
     rows = found.join(fused, ["query_id", "id"], "left")
-    prior = F.col("lexical")
-    rows = rows.withColumn("relevance", prior) if rerank is None else rerank(rows.withColumn("prior", prior))
+    if rerank is None:
+        rows = rows.withColumn("relevance", F.col("lexical"))
+    else:
+        scores = rerank(judged_pool(found)).select("query_id", "id", F.col("relevance").alias("judged"))
+        rows = rows.join(scores, ["query_id", "id"], "left").withColumn("relevance", scoring.blend(F.col("lexical"), F.col("judged")))
     base = retrieval.hybrid({"rrf": F.coalesce("rrf", F.lit(0.0)), "semantic": scoring.semantic(F.col("semantic")), "lexical": F.col("lexical"), "relevance": F.col("relevance"), "quality": F.col("quality")})
     rows = rows.withColumn("specificity", scoring.query_specificity(F.col("query")))
     rows = rows.withColumn("base", base)
     best = rows.groupBy("query_id").agg(F.max("base").alias("top"))
     good = rows.join(F.broadcast(best), "query_id").where(F.col("base") >= F.col("top") * scoring.relative_gate(F.col("specificity")))
     aspects = F.filter(F.array(F.concat(F.lit("brand:"), "brand"), scoring.price_band(F.col("price_minor"))), lambda a: a.isNotNull())
-    picked = ranking.diversify(good.select("query_id", "id", "base", F.coalesce("embedding", F.array(F.lit(0.0))).alias("embedding"), aspects.alias("aspects"), F.col("source").cast("string").alias("source"), text.title_key(F.col("title")).alias("model")), results=results, per_source=JUDGED_PER_SOURCE)
+    picked = ranking.diversify(good.select("query_id", "id", "base", F.coalesce("embedding", F.array(F.lit(0.0))).alias("embedding"), aspects.alias("aspects"), F.col("source").cast("string").alias("source"), text.title_key(F.col("title")).alias("model")), results=results, per_source=PER_SOURCE)
     return picked.select("query_id", "id", "position", "base", "final", "relaxed")

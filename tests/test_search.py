@@ -203,6 +203,16 @@ def test_search_plan(spark):
     listings = spark.createDataFrame([(1, "Sony WH-1000XM5 headphones", None, 30000, "a"), (2, "Bose headphones", None, 20000, "b"), (3, "Cotton shirt with headphones print", None, 1000, "a"), (4, "Office chair", None, 9000, "b")], "id long, title string, details string, price_minor long, source string").selectExpr("*", "true has_image", "'in_stock' availability", "20 reviews", "4.5D rating", "false cached", "cast(null as array<double>) embedding")
     found = search.search(listings, spark.createDataFrame([(1, "headphones"), (2, "chair under $50")], "query_id long, query string").selectExpr("*", "cast(null as array<double>) query_embedding")).collect()
     assert {(r.query_id, r.id) for r in found} == {(1, 1), (1, 2)} and sorted(r.position for r in found) == [1, 2]
+    asked = spark.createDataFrame([(1, "headphones")], "query_id long, query string").selectExpr("*", "cast(null as array<double>) query_embedding")
+    judge = lambda pool: pool.select("query_id", "id", F.when(F.col("id") == 2, 1.0).otherwise(0.0).alias("relevance"))
+    assert [r.id for r in search.search(listings, asked, judge).orderBy("position").collect()][0] == 2
+
+
+def test_query_blocks(spark):
+    q = spark.createDataFrame([(i, "x") for i in range(25)], "query_id long, query string")
+    seen = []
+    out = retrieval.in_blocks(q, lambda part: (seen.append(1), part.select("query_id"))[1], 10)
+    assert len(seen) == 3 and sorted(r.query_id for r in out.collect()) == list(range(25))
 
 
 def test_tools(spark):
