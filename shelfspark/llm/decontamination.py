@@ -3,7 +3,8 @@
 Every text is read in windows of about an item's length, one from each word on. A window's 64-bit fingerprint is the
 majority over its words' hashes, kept as bit planes of counts, so that windows of twice the size come from adding two
 planes. Window sizes are 1, 2, 3, 4, 6, 8, 12, 16, 24 ...: an item is looked for by its first and its last window of the
-largest such size that it holds. A fingerprint's four 16-bit blocks are indexed with all values at most one bit off;
+largest such size that it holds and, from eight words on, of the next smaller one, so that an edit at one end leaves a
+window as it was. A fingerprint's four 16-bit blocks are indexed with all values at most one bit off;
 fingerprints within seven bits have, by the pigeonhole principle, a block with at most one, so none is missed. What the
 index gives is compared in all bits, and then by the weighted Jaccard similarity of the five-word shingles of the item
 and of the text's words at its place.
@@ -120,10 +121,12 @@ class Index:
         sizes = window_sizes(max((len(w) for _, w in self.items), default=0))
         anchors: dict[int, list[tuple[int, int, int]]] = {}  # by size: fingerprint, item, offset
         for at, (_, words) in enumerate(self.items):
-            size = max(s for s in sizes if s <= len(words))
-            prints = window_prints(hashed(words), {size})[size]
-            for offset in {0, len(words) - size}:
-                anchors.setdefault(size, []).append((int(prints[offset]), at, offset))
+            # below five words a window is no longer peculiar to an item, and such an item's one shingle bears no edit
+            held = [s for s in sizes if s <= len(words)]
+            own = {held[-1], *(s for s in held[-2:] if s >= SHINGLE)}
+            for size, prints in window_prints(hashed(words), own).items():
+                for offset in {0, len(words) - size}:
+                    anchors.setdefault(size, []).append((int(prints[offset]), at, offset))
         self.by_size = {}
         off = [0, *(1 << b for b in range(BLOCK_BITS))]
         for size, rows in anchors.items():

@@ -203,6 +203,21 @@ def test_components(spark):
 # Decontamination
 
 
+def test_edited_items_are_found():
+    r = random.Random(12)
+    items = [(i, noise(r, r.choice((16, 24, 32, 48, r.randrange(13, 60)))).split()) for i in range(60)]
+    index, texts, want = decontamination.Index(items), [], set()
+    for k, (i, words) in enumerate(index.items):
+        for at in (0, 1, len(words) // 2, len(words) - 2, len(words) - 1):
+            for edited in (words[:at] + ["edited"] + words[at + 1 :], words[:at] + words[at + 1 :], words[:at] + ["added"] + words[at:]):
+                text = noise(r, 40).split() + edited + noise(r, 40).split()
+                if max(index.similarity(text[p : p + len(words)], k) for p in range(36, 46)) >= 0.8:
+                    want.add((len(texts), i))
+                    texts.append(" ".join(text))
+    found = {(t, i) for t, i, _, _ in index.search(texts)}
+    assert want <= found and len(want) > 100
+
+
 def test_windows_are_majorities():
     h = decontamination.hashed([str(i) for i in range(150)])
     bits = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).astype(int)
