@@ -20,7 +20,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import components, map_rows, materialize
 
@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, heavy: int = HEAVY, id_col:
 
 # Near copies beyond two bits: a wide fingerprint of the different words, found by the same segments and codewords.
 
-#: Segments of the wide fingerprint, bits of each; a bucket up to LIGHT documents gives all pairs, a larger one a star and a chain.
+#: Segments of the wide fingerprint, bits of each; a bucket up to LIGHT documents gives all pairs, a larger one a star and the exact way.
 WIDE, WIDE_BITS, LIGHT = 24, 21, 6
 SHINGLE, SIMILARITY = 5, 0.8
 
@@ -235,12 +235,51 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, similarity: float) -> Da
     return map_rows(both.select("a", "b", "ta", "tb"), lambda: work, "a long, b long")
 
 
+def shingle_rows(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, size, shingle) of a table (i, t): hashes of a text's different n-word shingles, and how many there are."""
+
+    def run(batches):
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, word_shingles(t, n)), np.uint64))
+                size = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, i, np.int64)), pa.array(np.full(size, size, np.int64)), pa.array(found.view(np.int64))], names=["doc_id", "size", "shingle"])
+
+    return docs.select("i", "t").mapInArrow(run, "doc_id long, size long, shingle long")
+
+
+def crowded_pairs(docs: DataFrame, grouped: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a table (i, t) in different groups (node, component) that may reach the similarity; none is missing.
+
+    Sets of this similarity have one of their rarest shingles in common, of as many as they may differ in and one more.
+    Documents that share one are paired across groups only, and those of a shingle's largest group with the others, so a
+    group of any number of copies gives rows in proportion to it.
+    """
+    rows = shingle_rows(docs, n)
+    common = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shingle")
+    own = Window.partitionBy("doc_id")
+    ranked = common.withColumn("place", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "shingle")))
+    rarest = ranked.where(F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1)
+    rarest = rarest.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "size", "shingle", "place", F.coalesce("component", "doc_id").alias("of"))
+    rarest = materialize(rarest, "rarest")
+    largest = rarest.groupBy("shingle", "of").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.count("*").alias("groups"))
+    mixed = rarest.join(largest.where("groups > 1").select("shingle", "main"), "shingle")
+    others = mixed.where("of != main").select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "size", "place", "of")))
+    met = mixed.join(others, "shingle").where("of != of_b and (of = main or doc_id > doc_id_b)").where(F.least("size", "size_b") >= similarity * F.greatest("size", "size_b"))
+    # after the last shared one of the rarest, no more can be shared than is left of the shorter set
+    left = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
+    pairs = met.groupBy(F.greatest("doc_id", "doc_id_b").alias("a"), F.least("doc_id", "doc_id_b").alias("b"))
+    bound = pairs.agg((F.count("*") + F.min(left)).alias("shared"), F.first(F.col("size") + F.col("size_b")).alias("both"))
+    return bound.where(F.col("shared") * (1 + similarity) >= similarity * F.col("both") - 1e-6).select("a", "b")
+
+
 def similar_links(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Edges (a, b) of documents whose n-word shingles have at least this similarity, found through the wide fingerprint.
 
     Candidates are pairs that share a segment of the wide fingerprint and a codeword near the next. A large bucket pairs
-    each document with the bucket's smallest and with its predecessor only, so rows stay linear; texts are compared for
-    one pair of each document first, and then for the pairs that those left in different components.
+    each document with the bucket's smallest only, so rows stay linear; texts are compared for one pair of each document
+    first, and then for the pairs that those left in different components. What a large bucket's star may have lost is
+    found by the exact way of crowded_pairs over the documents in such buckets.
     """
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
     rows = wide_keys(source)
@@ -255,7 +294,10 @@ def similar_links(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILAR
     grouped = materialize(components(found, "wide-components"), "wide-groups")
     own = lambda c: grouped.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     rest = pairs.join(nearest, ["a", "b"], "left_anti").join(own("a"), "a", "left").join(own("b"), "b", "left")
-    rest = materialize(rest.where("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b"), "wide-rest")
+    rest = rest.where("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b")
+    crowd = source.join(met.where(F.col("n") > LIGHT).select(F.col("doc_id").alias("i")).distinct(), "i", "left_semi")
+    across = crowded_pairs(crowd, grouped, n, similarity).join(nearest, ["a", "b"], "left_anti")
+    rest = materialize(rest.unionByName(across).distinct(), "wide-rest")
     return found.unionByName(verified(rest, source, n, similarity))
 
 

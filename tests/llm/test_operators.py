@@ -193,6 +193,30 @@ def test_near_copies_by_words(spark):
     assert set(range(12)) <= kept and len(kept) <= 14
 
 
+def test_crowded_pairs_against_brute_force(spark):
+    common.configure(spark)
+    r = random.Random(13)
+    base = [[f"w{r.randrange(500)}" for _ in range(90)] for _ in range(4)]
+    texts = {i: None if i == 0 else "" if i == 1 else "two words" if i < 4 else None for i in range(5)}
+    for i in range(5, 90):
+        words = list(base[i % 4])
+        for _ in range(r.randrange(5)):
+            words[r.randrange(90)] = f"w{r.randrange(500)}"
+        texts[i] = " ".join(words[r.randrange(6) :])
+    docs = spark.createDataFrame(list(texts.items()), "i long, t string")
+    sets = {i: golay_simhash.word_shingles(t, 5) for i, t in texts.items()}
+    want = {(a, b) for a in texts for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    alike = {(a, b) for a, b in want if a >= 5}
+    assert 50 < len(alike) < 1500
+    for groups in ({}, {i: 5 + i % 3 for i in range(5, 60)}):
+        grouped = spark.createDataFrame(list(groups.items()), "node long, component long")
+        pairs = golay_simhash.crowded_pairs(docs, grouped, 5, 0.8)
+        got = {(x.a, x.b) for x in golay_simhash.verified(pairs, docs, 5, 0.8).collect()}
+        assert got == {(a, b) for a, b in want if groups.get(a, a) != groups.get(b, b)}
+        assert pairs.count() == pairs.distinct().count()
+    assert golay_simhash.crowded_pairs(docs.limit(0), grouped, 5, 0.8).count() == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (5, 5), (300, 301), (300, 302)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}
