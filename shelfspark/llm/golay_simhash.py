@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import components, map_rows, materialize
+from .common import components, map_rows, materialize, release
 
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -176,41 +176,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, heavy: int = HEAVY, id_col:
     return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-# Near copies beyond two bits: a wide fingerprint of the different words, found by the same segments and codewords.
+# Near copies beyond two bits: an exact join of the texts' shingle sets by their rarest shingles.
 
-#: Segments of the wide fingerprint, bits of each; a bucket up to LIGHT documents gives all pairs, a larger one a star and the exact way.
-WIDE, WIDE_BITS, LIGHT = 24, 21, 6
 SHINGLE, SIMILARITY = 5, 0.8
-
-
-def wide_segments(text: str | None) -> np.ndarray:
-    """WIDE segments of the SimHash of a text's different words, as numbers; zeros without words."""
-    words = set(text.encode().lower().split()) if text else ()
-    if not words:
-        return np.zeros(WIDE, np.int32)
-    digest = xxhash.xxh3_128_digest
-    data = b"".join(digest(w, seed) for w in words for seed in range(1, 5))
-    ones = np.unpackbits(np.frombuffer(data, np.uint8)).reshape(len(words), 512).sum(0, dtype=np.int64)
-    bits = (2 * ones > len(words))[: WIDE * WIDE_BITS].reshape(WIDE, WIDE_BITS)
-    return bits @ (1 << np.arange(WIDE_BITS, dtype=np.int32))
-
-
-def wide_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, key) of a table (i, t): every segment's value with the codewords near the next one."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            values = np.array([wide_segments(t) for t in batch.column(1).to_pylist()], np.int32).reshape(-1, WIDE)
-            rows, out = [], []
-            for i in range(WIDE):
-                codes = near_codewords(values[:, (i + 1) % WIDE])
-                r, c = np.nonzero(codes >= 0)
-                rows.append(r)
-                out.append(np.int64(i) << 36 | values[r, i].astype(np.int64) << 12 | codes[r, c])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate(rows)]), pa.array(np.concatenate(out))], names=["doc_id", "key"])
-
-    return docs.select("i", "t").mapInArrow(run, "doc_id long, key long")
+#: Frequent shingles that come last in every text's order, and the share and number of documents they are counted in. Any order is exact; this one keeps buckets small.
+FREQUENT, SAMPLE, SAMPLE_ROWS = 1 << 17, 16, 5000
+#: Centres that a document is compared with in the first pass.
+CENTRES = 3
 
 
 def word_shingles(text: str | None, n: int) -> set[bytes]:
@@ -235,69 +207,115 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, similarity: float) -> Da
     return map_rows(both.select("a", "b", "ta", "tb"), lambda: work, "a long, b long")
 
 
-def shingle_rows(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, size, shingle) of a table (i, t): hashes of a text's different n-word shingles, and how many there are."""
+def shingle_hashes(text: str | None, n: int) -> np.ndarray:
+    """Sorted hashes of a text's different n-word shingles."""
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, word_shingles(text, n)), np.uint64)).view(np.int64)
+
+
+def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sorted, and their counts) of the most frequent shingles of a sample of a table (i, t)."""
 
     def run(batches):
         for batch in batches:
+            found = [shingle_hashes(t, n) for t in batch.column(0).to_pylist()]
+            if found:
+                values, counts = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["shingle", "n"])
+
+    total = docs.count()
+    parts = max(1, min(SAMPLE, total // SAMPLE_ROWS))
+    counted = docs.where(F.pmod(F.xxhash64("i", F.lit(29)), F.lit(parts)) == 0).select("t").mapInArrow(run, "shingle long, n long")
+    top = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    values, counts = (top.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n"))
+    order = np.argsort(values)
+    return values[order], counts[order]
+
+
+def prefixes(docs: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(doc_id, mark, size, shingle, place, first) of a table (i, t): the rarest shingles of each text that other documents share.
+
+    Sets of this similarity have one of their rarest shingles in common, of as many as they may differ in and one more,
+    by any order that holds for all texts. place counts in that order among all of a text's shingles, size is their
+    number, first the smallest document at the shingle; mark tells different texts of one doc_id apart.
+    """
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
+
+    def run(batches):
+        known, counts = frequent.value
+        for batch in batches:
+            ids, marks, sizes, found, places = [], [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, word_shingles(t, n)), np.uint64))
-                size = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, i, np.int64)), pa.array(np.full(size, size, np.int64)), pa.array(found.view(np.int64))], names=["doc_id", "size", "shingle"])
+                hashes = shingle_hashes(t, n)
+                size = len(hashes)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    hashes = hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")]
+                kept = size - int(np.ceil(similarity * size - 1e-9)) + 1
+                ids.append(np.full(kept, i, np.int64))
+                marks.append(np.full(kept, signed(xxhash.xxh64_intdigest(t or "")), np.int64))
+                sizes.append(np.full(kept, size, np.int32))
+                found.append(hashes[:kept])
+                places.append(np.arange(1, kept + 1, dtype=np.int32))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, marks, sizes, found, places)], names=["doc_id", "mark", "size", "shingle", "place"])
+
+    rows = materialize(docs.select("i", "t").mapInArrow(run, "doc_id long, mark long, size int, shingle long, place int"), "prefixes")
+    shared = rows.groupBy("shingle").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last")
+    out = materialize(rows.join(shared.drop("last"), "shingle"), "rarest")
+    release(rows)
+    return out
+
+
+def renamed(rows: DataFrame) -> DataFrame:
+    return rows.select("shingle", *(F.col(c).alias(f"{c}_b") for c in rows.columns if c != "shingle"))
+
+
+def bounded(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, shared): pairs of documents that meet at a shingle and may reach the similarity, with what they may share."""
+    need = similarity / (1 + similarity) * (F.col("size") + F.col("size_b")) - 1e-6
+    # after a shared one no more can be shared than is left of the shorter set, and before it no more than its place
+    left = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
+    met = met.where(F.least("size", "size_b") >= similarity * F.greatest("size", "size_b")).where(F.least("place", "place_b") + left >= need)
+    x, y = F.struct("doc_id", "mark"), F.struct(F.col("doc_id_b").alias("doc_id"), F.col("mark_b").alias("mark"))
+    pairs = met.groupBy(F.greatest(x, y).alias("x"), F.least(x, y).alias("y")).agg((F.count("*") + F.min(left)).alias("shared"), F.first(need).alias("need"))
+    return pairs.where("shared >= need").groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.max("shared").alias("shared"))
 
-    return docs.select("i", "t").mapInArrow(run, "doc_id long, size long, shingle long")
 
+def across(rarest: DataFrame, grouped: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of prefixes() in different groups (node, component) that may reach the similarity; none is missing.
 
-def crowded_pairs(docs: DataFrame, grouped: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of a table (i, t) in different groups (node, component) that may reach the similarity; none is missing.
-
-    Sets of this similarity have one of their rarest shingles in common, of as many as they may differ in and one more.
-    Documents that share one are paired across groups only, and those of a shingle's largest group with the others, so a
+    Documents that share a shingle are paired across groups only, and those of its largest group with the others, so a
     group of any number of copies gives rows in proportion to it.
     """
-    rows = shingle_rows(docs, n)
-    common = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shingle")
-    own = Window.partitionBy("doc_id")
-    ranked = common.withColumn("place", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "shingle")))
-    rarest = ranked.where(F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1)
-    rarest = rarest.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "size", "shingle", "place", F.coalesce("component", "doc_id").alias("of"))
-    rarest = materialize(rarest, "rarest")
+    rarest = rarest.drop("first").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("of", F.coalesce("component", "doc_id")).drop("component")
     largest = rarest.groupBy("shingle", "of").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.count("*").alias("groups"))
     mixed = rarest.join(largest.where("groups > 1").select("shingle", "main"), "shingle")
-    others = mixed.where("of != main").select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "size", "place", "of")))
-    met = mixed.join(others, "shingle").where("of != of_b and (of = main or doc_id > doc_id_b)").where(F.least("size", "size_b") >= similarity * F.greatest("size", "size_b"))
-    # after the last shared one of the rarest, no more can be shared than is left of the shorter set
-    left = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
-    pairs = met.groupBy(F.greatest("doc_id", "doc_id_b").alias("a"), F.least("doc_id", "doc_id_b").alias("b"))
-    bound = pairs.agg((F.count("*") + F.min(left)).alias("shared"), F.first(F.col("size") + F.col("size_b")).alias("both"))
-    return bound.where(F.col("shared") * (1 + similarity) >= similarity * F.col("both") - 1e-6).select("a", "b")
+    others = renamed(mixed.where("of != main").drop("main"))
+    met = mixed.join(others, "shingle").where("of != of_b and (of = main or doc_id > doc_id_b)")
+    return bounded(met, similarity).select("a", "b")
+
+
+def crowded_pairs(docs: DataFrame, grouped: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a table (i, t) in different groups (node, component) that may reach the similarity; none is missing."""
+    return across(prefixes(docs, n, similarity), grouped, similarity)
 
 
 def similar_links(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Edges (a, b) of documents whose n-word shingles have at least this similarity, found through the wide fingerprint.
+    """Edges (a, b) of documents whose n-word shingles have at least this similarity; every such pair is connected by them.
 
-    Candidates are pairs that share a segment of the wide fingerprint and a codeword near the next. A large bucket pairs
-    each document with the bucket's smallest only, so rows stay linear; texts are compared for one pair of each document
-    first, and then for the pairs that those left in different components. What a large bucket's star may have lost is
-    found by the exact way of crowded_pairs over the documents in such buckets.
+    Candidates share one of their rarest shingles. First each document is compared with the smallest at its shingles, a
+    few that it may share most with, so that large groups form from rows linear in the input; then all candidates in
+    different groups are compared, which misses none.
     """
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
-    rows = wide_keys(source)
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    met = materialize(rows.join(shared, "key"), "wide-buckets")
-    star = met.where("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    light = met.where(F.col("n").between(3, LIGHT)).select("key", "doc_id")
-    close = light.join(light.withColumnRenamed("doc_id", "other"), "key").where("doc_id > other").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
-    pairs = materialize(star.unionByName(close).distinct(), "wide-pairs")
-    nearest = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    rarest = prefixes(source, n, similarity)
+    star = bounded(rarest.where("doc_id != first").join(renamed(rarest.where("doc_id = first").drop("first")), "shingle"), similarity)
+    best = star.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))).where(F.col("k") <= CENTRES)
+    nearest = materialize(best.select("a", "b"), "nearest")
     found = materialize(verified(nearest, source, n, similarity), "verified")
-    grouped = materialize(components(found, "wide-components"), "wide-groups")
-    own = lambda c: grouped.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    rest = pairs.join(nearest, ["a", "b"], "left_anti").join(own("a"), "a", "left").join(own("b"), "b", "left")
-    rest = rest.where("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b")
-    crowd = source.join(met.where(F.col("n") > LIGHT).select(F.col("doc_id").alias("i")).distinct(), "i", "left_semi")
-    across = crowded_pairs(crowd, grouped, n, similarity).join(nearest, ["a", "b"], "left_anti")
-    rest = materialize(rest.unionByName(across).distinct(), "wide-rest")
+    grouped = materialize(components(found, "similar-components"), "similar-groups")
+    rest = materialize(across(rarest, grouped, similarity).join(nearest, ["a", "b"], "left_anti"), "rest")
+    release(rarest)
     return found.unionByName(verified(rest, source, n, similarity))
 
 

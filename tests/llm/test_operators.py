@@ -193,6 +193,25 @@ def test_near_copies_by_words(spark):
     assert set(range(12)) <= kept and len(kept) <= 14
 
 
+def test_block_edits_and_short_texts_are_linked(spark):
+    r = random.Random(5)
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows, pairs = [], 0
+    for _ in range(40):
+        w = some(300)
+        k, ks = some(300), some(r.randint(8, 15))
+        for x, y in ((w, w + some(40)), (k, k[:-30] + some(30)), (ks, ks + some(1))):
+            rows += [(2 * pairs, " ".join(x)), (2 * pairs + 1, " ".join(y))]
+            pairs += 1
+    # two texts of one doc_id, the second a near copy
+    rows += [(10_000, " ".join(some(50))), (10_000, rows[0][1] + " end")]
+    sets = [golay_simhash.word_shingles(t, 5) for _, t in rows]
+    close = {2 * p for p in range(pairs) if len(sets[2 * p] & sets[2 * p + 1]) >= 0.8 * len(sets[2 * p] | sets[2 * p + 1])}
+    assert len(close) > 100
+    kept = {x.doc_id for x in golay_simhash.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert kept == {i for i, _ in rows} - {i + 1 for i in close} - {10_000}
+
+
 def test_crowded_pairs_against_brute_force(spark):
     common.configure(spark)
     r = random.Random(13)
