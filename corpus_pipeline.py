@@ -7,7 +7,7 @@ stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shelfspark.llm import chunk_dedup, decontamination, golay_simhash, sentencepiece_codec, toxicity
 from shelfspark.llm.common import configure, materialize, table
@@ -22,13 +22,19 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
+    """Keeps one document of each group of equal texts. Decided for each row: texts of one doc_id that differ are kept or dropped apart."""
     configure(spark)
     found = materialize(chunk_dedup.exact_duplicates(docs), "exact-decisions")
-    out = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    if not found.where("kept").groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(docs.columns)
+    text, row = F.coalesce("text", F.lit("")), docs.columns
+    marked = docs.withColumn("text_sha256", F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]", ""), 256))
+    out = marked.join(found.where("not kept").select("doc_id", "text_sha256").distinct(), ["doc_id", "text_sha256"], "left_anti")
+    again = materialize(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "exact-repeated")
+    if not again.isEmpty():
+        # rows of one doc_id whose texts are equal are one document, the longest text
+        longest = Window.partitionBy("doc_id", "text_sha256").orderBy(F.desc(F.length(text)), text)
+        one = out.join(again, "doc_id", "left_semi").withColumn("place_of_row", F.row_number().over(longest)).where("place_of_row = 1")
+        out = out.join(again, "doc_id", "left_anti").select(row).unionByName(one.select(row))
+    return out.select(row)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,15 @@ def test_empty(spark):
     assert docs.count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "one"), (None, "two"), (None, "two"), (5, "alpha beta"), (5, "gamma"), (5, "gamma"), (5, "gam ma"), (2, "alpha  beta"), (7, None), (7, ""), (8, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.without_copies(spark, docs, SMALL)
+    left = sorted(map(tuple, got.collect()), key=str)
+    assert [r for r in left if r[0] not in (7, 8)] == sorted([(None, "one"), (None, "two"), (None, "two"), (5, "gam ma"), (2, "alpha  beta")], key=str)
+    assert len([r for r in left if r[0] in (7, 8)]) == 1
+
+
 def test_oracles(spark):
     import duckdb
 
