@@ -2,9 +2,10 @@
 
 Every text is read in windows of about an item's length, one from each word on. A window's 64-bit fingerprint is the
 majority over its words' hashes, kept as bit planes of counts, so that windows of twice the size come from adding two
-planes. Window sizes are 1, 2, 3, 4, 6, 8, 12, 16, 24 ...: an item is looked for by its first and its last window of the
-largest such size that it holds and, from eight words on, of the next smaller one, so that an edit at one end leaves a
-window as it was. A fingerprint's four 16-bit blocks are indexed with all values at most one bit off;
+planes. Window sizes are 1, 2, 3, 4, 6, 8, 12, 16, 24 ...: an item is looked for by its first, middle and last window of
+the largest such size that it holds and, from eight words on, of the next smaller one, and by windows side by side, more
+of them than edits that leave the similarity can touch, so that one of all these stays as it was wherever the edits are.
+An edit before a window moves the item's place; the place is then shifted while the similarity grows. A fingerprint's four 16-bit blocks are indexed with all values at most one bit off;
 fingerprints within seven bits have, by the pigeonhole principle, a block with at most one, so none is missed. What the
 index gives is compared in all bits, and then by the weighted Jaccard similarity of the five-word shingles of the item
 and of the text's words at its place.
@@ -108,25 +109,40 @@ def shingles(words: list[str], n: int = SHINGLE) -> Counter:
     return Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if len(words) >= n else Counter([tuple(words)] if words else [])
 
 
+def anchors_of(length: int, sizes: list[int]) -> set[tuple[int, int]]:
+    """(size, offset) of the windows by which an item of so many words is looked for; sizes: those that windows may have."""
+    held = [s for s in sizes if s <= length]
+    # below five words a window is no longer peculiar to an item, and such an item's one shingle bears no edit
+    own = {held[-1], *(s for s in held[-2:] if s >= SHINGLE)}
+    found = {(s, o) for s in own for o in (0, (length - s) // 2, length - s)}
+    # both ends may be edited, and inside one place in twenty words touches two windows at most
+    side = max((s for s in held if s * (length // 20 + 3) <= length), default=0)
+    if side >= SHINGLE:
+        found.update((side, o) for o in range(0, length - side + 1, side))
+    return found
+
+
 class Index:
-    """Fingerprints of the items' windows in Hamming blocks; items as (item_id, words)."""
+    """Fingerprints of the items' windows in Hamming blocks; items as (item_id, words).
+
+    whole is, where these items are a part of the benchmark, (its items with words, in how many of them each shingle is);
+    a shingle it leaves out is in one item at most.
+    """
 
-    def __init__(self, items: list[tuple[int, list[str]]], threshold: float = SIMILARITY):
+    def __init__(self, items: list[tuple[int, list[str]]], threshold: float = SIMILARITY, whole: tuple[int, dict] | None = None):
         self.items = [(i, w) for i, w in items if w]
         self.threshold = threshold
         self.shingles = [shingles(w) for _, w in self.items]
-        seen = Counter(s for c in self.shingles for s in c)
-        self.weights = {s: 1 + math.log(len(self.items) / n) for s, n in seen.items()}
-        self.rare = 1 + math.log(max(1, len(self.items)))
+        total, seen = whole or (len(self.items), Counter(s for c in self.shingles for s in c))
+        self.weights = {s: 1 + math.log(total / n) for s, n in seen.items() if n > 1}
+        self.rare = 1 + math.log(max(1, total))
         sizes = window_sizes(max((len(w) for _, w in self.items), default=0))
         anchors: dict[int, list[tuple[int, int, int]]] = {}  # by size: fingerprint, item, offset
         for at, (_, words) in enumerate(self.items):
-            # below five words a window is no longer peculiar to an item, and such an item's one shingle bears no edit
-            held = [s for s in sizes if s <= len(words)]
-            own = {held[-1], *(s for s in held[-2:] if s >= SHINGLE)}
-            for size, prints in window_prints(hashed(words), own).items():
-                for offset in {0, len(words) - size}:
-                    anchors.setdefault(size, []).append((int(prints[offset]), at, offset))
+            own = anchors_of(len(words), sizes)
+            prints = window_prints(hashed(words), {size for size, _ in own})
+            for size, offset in sorted(own):
+                anchors.setdefault(size, []).append((int(prints[size][offset]), at, offset))
         self.by_size = {}
         off = [0, *(1 << b for b in range(BLOCK_BITS))]
         for size, rows in anchors.items():
@@ -171,6 +187,23 @@ class Index:
         total = sum(weight(s, self.rare) * n for s, n in mine.items()) + sum(weight(s, self.rare) * n for s, n in theirs.items())
         return shared / (total - shared) if total > shared else 1.0
 
+    def placed(self, words: list[str], place: int, item: int) -> tuple[float, int]:
+        """(similarity, first word) of an item at a place of a text, shifted while that brings it nearer to the threshold."""
+        length = len(self.items[item][1])
+
+        def at(p: int) -> float:
+            return self.similarity(words[max(p, 0) : max(p + length, 0)], item)
+
+        score = at(place)
+        if self.threshold > score >= self.threshold / 2:
+            for step in (-1, 1):
+                p, s = place, score
+                while s < self.threshold and (more := at(p + step)) > s:
+                    p, s = p + step, more
+                if s > score:
+                    place, score = p, s
+        return score, max(place, 0)
+
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, float]]:
         """(number of the text, item_id, first word, similarity): the best place of each item in each text, at the threshold or over."""
         split = [words_of(t) for t in texts]
@@ -181,8 +214,7 @@ class Index:
             # the words of the text that the item would cover; a window over the end of a text is cut there
             middle = min(max(place + length // 2, 0), int(starts[-1]) - 1)
             text = int(np.searchsorted(starts, middle, "right")) - 1
-            first = max(place - int(starts[text]), 0)
-            score = self.similarity(split[text][first : max(place + length - int(starts[text]), 0)], item)
+            score, first = self.placed(split[text], place - int(starts[text]), item)
             if score >= self.threshold and (-score, first) < best.get((text, item), (1.0, 0)):
                 best[text, item] = (-score, first)
         return [(text, self.items[item][0], first, -score) for (text, item), (score, first) in sorted(best.items())]
@@ -192,14 +224,28 @@ class Index:
 _built: dict[str, Index] = {}
 
 
+def repeated_shingles(benchmark: DataFrame) -> tuple[int, dict[tuple[str, ...], int]]:
+    """(items with words, in how many items each shingle is that more than one holds)."""
+
+    def work(b):
+        return {"shingle": [" ".join(s) for t in b["text"] for s in shingles(words_of(t))]}
+
+    found = map_rows(benchmark.select("text"), lambda: work, "shingle string").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    total = map_rows(benchmark.select("text"), lambda: lambda b: {"n": [sum(1 for t in b["text"] if words_of(t))]}, "n long").agg(F.sum("n")).first()[0]
+    return total or 0, {tuple(r.shingle.split(" ")): r.n for r in found.collect()}
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """(doc_id, item_id, first_word, similarity): every item that a document holds, at its most similar place.
 
+    The shingles that several items hold are broadcast with their counts if the benchmark takes several passes.
     An item of fewer than five words has one shingle, all its words; items without words are in no document. Null and
     empty texts hold nothing. Repeated rows of either table count as rows of their own; extra columns are ignored.
     """
     spark = docs.sparkSession
     passes = max(1, -(-benchmark.count() // items_at_once))
+    # weights are those of the whole benchmark, however many passes it takes
+    whole = spark.sparkContext.broadcast(None if passes == 1 else repeated_shingles(benchmark))
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     out = None
     for k in range(passes):
@@ -210,7 +256,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY,
             def work(b):
                 if token not in _built:
                     _built.clear()
-                    _built[token] = Index(items.value, threshold)
+                    _built[token] = Index(items.value, threshold, whole.value)
                 found = _built[token].search(b["t"])
                 return {"doc_id": [b["i"][r[0]] for r in found], "item_id": [r[1] for r in found], "first_word": [r[2] for r in found], "similarity": [round(r[3], 9) for r in found]}
 

@@ -261,6 +261,31 @@ def test_edited_items_are_found():
     assert want <= found and len(want) > 100
 
 
+def test_items_edited_at_both_ends_are_found():
+    r = random.Random(33)
+    some = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    items = [(i, some(n)) for i, n in enumerate([24, 40, 60, 62, 64, 100, 126, 190] * 120)]
+    index, texts, want = decontamination.Index(items), [], set()
+    for k, (i, words) in enumerate(items):
+        m = (len(words) - 4) // 9 // 2
+        text = some(30) + some(m) + words[m:-m] + some(m) + some(30)
+        if index.similarity(text[30 : 30 + len(words)], k) >= 0.8:
+            want.add((len(texts), i))
+            texts.append(" ".join(text))
+    assert len(want) > 700 and want <= {(t, i) for t, i, _, _ in index.search(texts)}
+
+
+def test_weights_hold_for_the_whole_benchmark(spark):
+    common.configure(spark)
+    r = random.Random(22)
+    shared = noise(r, 12)
+    bench = spark.createDataFrame([(i, f"{shared} {noise(r, 12 + i % 5)}") for i in range(40)] + [(50, "")], "item_id long, text string")
+    rows = [(x.item_id, f"{noise(r, 9)} {x.text[: -2 * (x.item_id % 9)] if x.item_id % 9 else x.text} {noise(r, 5)}") for x in bench.collect()]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    one, many = (sorted(map(tuple, decontamination.leaks(docs, bench, items_at_once=n).collect())) for n in (100, 9))
+    assert one == many and any(x[3] < 1 for x in one)
+
+
 def test_windows_are_majorities():
     h = decontamination.hashed([str(i) for i in range(150)])
     bits = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).astype(int)
