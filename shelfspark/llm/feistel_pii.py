@@ -19,13 +19,26 @@ from .common import map_rows
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-# Issuer prefixes of card numbers, with the lengths of their numbers.
-ISSUERS = (("4", (13, 16, 19)), ("34", (15,)), ("37", (15,)), ("51", (16,)), ("52", (16,)), ("53", (16,)), ("54", (16,)), ("55", (16,)), ("6011", (16,)), ("65", (16,)))
+LONG = (16, 17, 18, 19)
+# Issuer prefixes of card numbers, with the lengths of their numbers; none is the beginning of another one,
+# so a pseudonym has the prefix of its value. 60 keeps four digits, as several issuers share it. Maestro's numbers below
+# 16 digits are left out: article numbers look like them.
+ISSUERS = {
+    "1": (15,),
+    "4": (13, 16, 19),
+    **dict.fromkeys(("34", "37"), (15,)),
+    **dict.fromkeys(("36", "38", "39", "3095", *map(str, range(300, 306))), (14, 15, *LONG)),
+    **dict.fromkeys(("35", "50", "56", "57", "58", "61", "62", "63", "64", "65", "66", "67", "68", "69", "81", *(f"60{n:02d}" for n in range(100))), LONG),
+    **dict.fromkeys((*map(str, range(51, 56)), *map(str, range(2221, 2721)), "82", "9792"), (16,)),
+    **dict.fromkeys(map(str, range(2200, 2205)), LONG),
+}
+# Country codes of one and two digits; all others have three.
+COUNTRIES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 
 PATTERN = re.compile(
     r"""(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]))
     |(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
-    |(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d))
+    |(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?(?:\d(?:[ .-]\d\d){4}|\d{2,4}(?:[ .-]?\d{2,4}){1,3})(?!\d))
     |(?P<iso>(?<![\w/-])\d{4}(?P<isosep>[-/])\d{2}(?P=isosep)\d{2}(?![\w/-]))
     |(?P<us>(?<![\w/.-])\d{2}/\d{2}/\d{4}(?![\w/-]))
     |(?P<eu>(?<![\w/.-])\d{2}\.\d{2}\.\d{4}(?![\w/-]|\.\d))
@@ -44,7 +57,7 @@ def luhn(digits: str) -> int:
 
 
 def issuer(digits: str) -> str | None:
-    return next((p for p, sizes in ISSUERS if digits.startswith(p) and len(digits) in sizes), None)
+    return next((digits[:n] for n in range(1, 5) if len(digits) in ISSUERS.get(digits[:n], ())), None)
 
 
 def mod97(iban: str) -> int:
@@ -130,11 +143,12 @@ class Pseudonyms:
         return "".join(c if c == " " else next(it) for c in s)
 
     def phone(self, s: str) -> str | None:
+        s = s.replace("(0)", "(\0)")  # a trunk zero is no part of the number
         digits = re.sub(r"\D", "", s)
         if not 8 <= len(digits) <= 15:
             return None
-        code = len(re.match(r"\+(\d+)", s)[1]) if re.match(r"\+\d{1,3}[ .(-]", s) else 1
-        return spaced(s, digits[:code] + self.f.digits(f"phone|{digits[:code]}", digits[code:], self.back))
+        code = next((n for n in (1, 2) if digits[:n] in COUNTRIES), 3)
+        return spaced(s, digits[:code] + self.f.digits(f"phone|{digits[:code]}", digits[code:], self.back)).replace("\0", "0")
 
     def date(self, year: int, month: int, day: int) -> datetime.date | None:
         try:

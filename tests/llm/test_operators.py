@@ -430,6 +430,20 @@ def test_pseudonyms(spark, edges):
     assert sorted(map(str, ((x.doc_id, x.text) for x in rows))) == sorted(map(str, EDGES)) and all(x.n_found == 0 for x in rows)
 
 
+def test_issuers_and_spacing_of_phone_numbers():
+    names, back = feistel_pii.Pseudonyms(b"k" * 16), feistel_pii.Pseudonyms(b"k" * 16, back=True)
+    for start, size in (("2221", 16), ("2720", 16), ("35", 16), ("300", 14), ("36", 14), ("38", 14), ("644", 16), ("649", 16), ("62", 19), ("6011", 16), ("4", 13), ("51", 16), ("37", 15)):
+        body = start.ljust(size - 1, "7")
+        card = body + str(-feistel_pii.luhn(body + "0") % 10)
+        new, found = names.replaced(f"pay {card} now")
+        assert [k for k, _ in found] == ["card"] and card not in new and len(found[0][1]) == size and found[0][1].startswith(start[:2] if start != "4" else "4")
+        assert feistel_pii.luhn(found[0][1]) == 0 and back.replaced(new)[0] == f"pay {card} now"
+    for forms in (("+49 30 12345678", "+493012345678", "+49-30-1234-5678", "+49 (0)30 12345678"), ("+1 (407) 555-7710", "+14075557710", "+1.407.555.7710"), ("+33 1 23 45 67 89", "+33123456789"), ("+358 40 1234567", "+358401234567")):
+        got = [names.replaced(f"call {f}") for f in forms]
+        assert len({re.sub(r"\D", "", new.replace("(0)", "")) for new, _ in got}) == 1 and all(len(found) == 1 for _, found in got)
+        assert [back.replaced(new)[0] for new, _ in got] == [f"call {f}" for f in forms] and all(new != f"call {f}" for f, (new, _) in zip(forms, got))
+
+
 # Language
 
 
