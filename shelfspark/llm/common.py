@@ -14,6 +14,8 @@ from ..session import ship
 
 #: Rows and bytes of one Arrow batch: bounds the memory of a Python worker whatever the length of the texts.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+#: Rows of a table of keys up to which it is broadcast.
+BROADCAST_ROWS = 1 << 20
 
 
 def configure(spark: SparkSession) -> None:
@@ -29,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local master without one gets a temporary folder."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -74,6 +78,11 @@ def release(df: DataFrame) -> None:
         delete(df.sparkSession, folder)
 
 
+def small_side(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A materialized table of keys, marked for broadcast if it has few enough rows; else it is joined by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= limit else keys
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """mapInArrow over columns as Python lists. make() runs once for each task and returns the function for a batch."""
     names = [f.strip().split(" ")[0] for f in schema.split(",")]

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import components, map_rows, materialize, release
+from .common import components, map_rows, materialize, release, small_side
 
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -179,15 +179,37 @@ def near_duplicates(docs: DataFrame, size: int = 3, heavy: int = HEAVY, id_col:
 # Near copies beyond two bits: an exact join of the texts' shingle sets by their rarest shingles.
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Frequent shingles that come last in every text's order, and the share and number of documents they are counted in. Any order is exact; this one keeps buckets small.
-FREQUENT, SAMPLE, SAMPLE_ROWS = 1 << 17, 16, 5000
+#: Shingles that a sample shows to be frequent come last in every text's order. One document in SAMPLE is counted; a shingle counts from twice on, and at most so many are known. Any order is exact; this one keeps buckets small.
+SAMPLE, FREQUENT = 4, 1 << 20
 #: Centres that a document is compared with in the first pass.
 CENTRES = 3
+#: Words whose hash a task remembers.
+REMEMBERED = 1 << 19
 
 
-def word_shingles(text: str | None, n: int) -> set[bytes]:
+class WordHashes(dict):
+    """Hash of each word, remembered for a bounded number of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_words = WordHashes()
+
+
+def shingle_hashes(text: str | None, n: int) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's different n-word shingles; of its whole word sequence if it has fewer words."""
     words = text.encode().lower().split() if text else []
-    return set(map(b" ".join, zip(*(words[i:] for i in range(n))))) if len(words) >= n else {b" ".join(words)}
+    n = min(n, max(1, len(words)))
+    of_word = np.fromiter(map(_words.__getitem__, words or [b""]), np.uint64, max(1, len(words)))
+    mixed = np.zeros(len(of_word) - n + 1, np.uint64)
+    for k in range(n):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + of_word[k : k + len(mixed)]
+        mixed ^= mixed >> np.uint64(31)
+    return np.unique(mixed.view(np.int64))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -196,22 +218,18 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, similarity: float) -> Da
     def work(b):
         keep = []
         for x, y in zip(b["ta"], b["tb"]):
-            p, q = word_shingles(x, n), word_shingles(y, n)
+            p, q = shingle_hashes(x, n), shingle_hashes(y, n)
             small, large = sorted((len(p), len(q)))
-            shared = len(p & q) if small >= similarity * large else 0
-            keep.append(shared >= similarity * (len(p) + len(q) - shared))
+            shared = len(np.intersect1d(p, q, assume_unique=True)) if small >= similarity * large else 0
+            keep.append(shared >= similarity * (len(p) + len(q) - shared) - 1e-9)
         return {"a": [x for x, k in zip(b["a"], keep) if k], "b": [x for x, k in zip(b["b"], keep) if k]}
 
-    texts = docs.join(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), "i", "left_semi")
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), "pair-ids")
+    texts = docs.join(small_side(needed), "i", "left_semi")
     both = pairs.join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b")
     return map_rows(both.select("a", "b", "ta", "tb"), lambda: work, "a long, b long")
 
 
-def shingle_hashes(text: str | None, n: int) -> np.ndarray:
-    """Sorted hashes of a text's different n-word shingles."""
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, word_shingles(text, n)), np.uint64)).view(np.int64)
-
-
 def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, sorted, and their counts) of the most frequent shingles of a sample of a table (i, t)."""
 
@@ -220,23 +238,28 @@ def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             found = [shingle_hashes(t, n) for t in batch.column(0).to_pylist()]
             if found:
                 values, counts = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["shingle", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int32))], names=["shingle", "n"])
 
-    total = docs.count()
-    parts = max(1, min(SAMPLE, total // SAMPLE_ROWS))
-    counted = docs.where(F.pmod(F.xxhash64("i", F.lit(29)), F.lit(parts)) == 0).select("t").mapInArrow(run, "shingle long, n long")
-    top = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    counted = docs.where(F.pmod(F.xxhash64("i", F.lit(29)), F.lit(SAMPLE)) == 0).select("t").mapInArrow(run, "shingle long, n int")
+    top = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     values, counts = (top.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n"))
     order = np.argsort(values)
     return values[order], counts[order]
 
 
+def least_shared(size, other, similarity: float):
+    """Shingles that sets of two sizes share if they have the similarity."""
+    return similarity / (1 + similarity) * (size + other) - 1e-6
+
+
 def prefixes(docs: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(doc_id, mark, size, shingle, place, first) of a table (i, t): the rarest shingles of each text that other documents share.
+    """(doc_id, mark, size, shingle, place, head) of a table (i, t): the rarest shingles of each text at which it may meet a similar one.
 
     Sets of this similarity have one of their rarest shingles in common, of as many as they may differ in and one more,
     by any order that holds for all texts. place counts in that order among all of a text's shingles, size is their
-    number, first the smallest document at the shingle; mark tells different texts of one doc_id apart.
+    number; mark tells different texts of one doc_id apart; head has these four of the smallest document at the shingle.
+    At the first shingle that two sets share they share it and at most what comes after it in either, so a row whose
+    text has too little left for the smallest set at its shingle is left out.
     """
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
 
@@ -260,39 +283,40 @@ def prefixes(docs: DataFrame, n: int, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, marks, sizes, found, places)], names=["doc_id", "mark", "size", "shingle", "place"])
 
     rows = materialize(docs.select("i", "t").mapInArrow(run, "doc_id long, mark long, size int, shingle long, place int"), "prefixes")
-    shared = rows.groupBy("shingle").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last")
-    out = materialize(rows.join(shared.drop("last"), "shingle"), "rarest")
+    at = rows.groupBy("shingle").agg(F.min(F.struct("doc_id", "mark", "size", "place")).alias("head"), F.max("doc_id").alias("last"), F.min("size").alias("smallest"))
+    size, other = F.col("size"), F.greatest(F.ceil(F.col("size") * similarity - 1e-9), F.col("smallest"))
+    met = rows.join(at.where("head.doc_id != last").drop("last"), "shingle").where(1 + size - F.col("place") >= least_shared(size, other, similarity))
+    out = materialize(met.drop("smallest"), "rarest")
     release(rows)
     return out
 
 
-def renamed(rows: DataFrame) -> DataFrame:
-    return rows.select("shingle", *(F.col(c).alias(f"{c}_b") for c in rows.columns if c != "shingle"))
+def may_be_similar(x: str, y: str, similarity: float):
+    """Whether rows x and y (prefixes of column names) at one shingle, the first that they share, can have the similarity."""
+    sizes, left = [F.col(f"{c}size") for c in (x, y)], [F.col(f"{c}size") - F.col(f"{c}place") for c in (x, y)]
+    return (F.least(*sizes) >= similarity * F.greatest(*sizes)) & (1 + F.least(*left) >= least_shared(*sizes, similarity))
 
 
-def bounded(met: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, shared): pairs of documents that meet at a shingle and may reach the similarity, with what they may share."""
-    need = similarity / (1 + similarity) * (F.col("size") + F.col("size_b")) - 1e-6
-    # after a shared one no more can be shared than is left of the shorter set, and before it no more than its place
-    left = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
-    met = met.where(F.least("size", "size_b") >= similarity * F.greatest("size", "size_b")).where(F.least("place", "place_b") + left >= need)
-    x, y = F.struct("doc_id", "mark"), F.struct(F.col("doc_id_b").alias("doc_id"), F.col("mark_b").alias("mark"))
-    pairs = met.groupBy(F.greatest(x, y).alias("x"), F.least(x, y).alias("y")).agg((F.count("*") + F.min(left)).alias("shared"), F.first(need).alias("need"))
-    return pairs.where("shared >= need").groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.max("shared").alias("shared"))
+def nearest_heads(rarest: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each document of prefixes() with the few of its shingles' heads that it meets most often."""
+    met = rarest.where((F.col("doc_id") != F.col("head.doc_id")) & may_be_similar("", "head.", similarity))
+    pairs = met.groupBy(F.col("doc_id").alias("a"), F.col("head.doc_id").alias("b")).agg(F.count("*").alias("times"))
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))
+    return pairs.withColumn("k", best).where(F.col("k") <= CENTRES).select("a", "b")
 
 
 def across(rarest: DataFrame, grouped: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of prefixes() in different groups (node, component) that may reach the similarity; none is missing.
+    """Pairs (a, b), a > b, of prefixes() in different groups (node, component) that may reach the similarity; none is missing.
 
     Documents that share a shingle are paired across groups only, and those of its largest group with the others, so a
     group of any number of copies gives rows in proportion to it.
     """
-    rarest = rarest.drop("first").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("of", F.coalesce("component", "doc_id")).drop("component")
-    largest = rarest.groupBy("shingle", "of").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.count("*").alias("groups"))
-    mixed = rarest.join(largest.where("groups > 1").select("shingle", "main"), "shingle")
-    others = renamed(mixed.where("of != main").drop("main"))
-    met = mixed.join(others, "shingle").where("of != of_b and (of = main or doc_id > doc_id_b)")
-    return bounded(met, similarity).select("a", "b")
+    rows = rarest.drop("head", "mark").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("of", F.coalesce("component", "doc_id")).drop("component")
+    largest = rows.groupBy("shingle", "of").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.count("*").alias("groups"))
+    mixed = rows.join(largest.where("groups > 1").select("shingle", "main"), "shingle")
+    others = mixed.where("of != main").select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("doc_id", "size", "place", "of")))
+    met = mixed.join(others, "shingle").where("of != other_of and (of = main or doc_id > other_doc_id)").where(may_be_similar("", "other_", similarity))
+    return met.select(F.greatest("doc_id", "other_doc_id").alias("a"), F.least("doc_id", "other_doc_id").alias("b")).distinct()
 
 
 def crowded_pairs(docs: DataFrame, grouped: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -304,14 +328,12 @@ def similar_links(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILAR
     """Edges (a, b) of documents whose n-word shingles have at least this similarity; every such pair is connected by them.
 
     Candidates share one of their rarest shingles. First each document is compared with the smallest at its shingles, a
-    few that it may share most with, so that large groups form from rows linear in the input; then all candidates in
-    different groups are compared, which misses none.
+    few that it meets most often, so that large groups form from rows linear in the input; then all candidates in
+    different groups are compared, which misses none. Rows without a doc_id have no edges; null and empty texts are alike.
     """
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
     rarest = prefixes(source, n, similarity)
-    star = bounded(rarest.where("doc_id != first").join(renamed(rarest.where("doc_id = first").drop("first")), "shingle"), similarity)
-    best = star.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))).where(F.col("k") <= CENTRES)
-    nearest = materialize(best.select("a", "b"), "nearest")
+    nearest = materialize(nearest_heads(rarest, similarity), "nearest")
     found = materialize(verified(nearest, source, n, similarity), "verified")
     grouped = materialize(components(found, "similar-components"), "similar-groups")
     rest = materialize(across(rarest, grouped, similarity).join(nearest, ["a", "b"], "left_anti"), "rest")
@@ -329,4 +351,5 @@ def deduplicated(docs: DataFrame, size: int = 3, n: int = SHINGLE, similarity: f
     own = near_duplicates(docs, size)
     edges = own.where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     grouped = components(edges.unionByName(similar_links(docs, n, similarity)), "near-components")
-    return docs.join(grouped.where("node != component").select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    gone = materialize(grouped.where("node != component").select(F.col("node").alias("doc_id")), "near-copies")
+    return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
