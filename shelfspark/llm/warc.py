@@ -20,12 +20,14 @@ from collections.abc import Iterator
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import map_rows, materialize, shared_path
+from .common import arrow_schema, materialize, shared_path
 
 MAGIC = b"\x1f\x8b\x08"
 #: A record is a page's; the identifier is in the record's URI.
 RECORD_URI = "urn:x-page:"
 DATE = "2024-01-01T00:00:00Z"
+#: Tasks of a read at most, each with several ranges; records that a task gives to Spark together.
+READ_TASKS, RECORDS_AT_ONCE = 20_000, 64
 FILE_BYTES, SPLIT_BYTES, READ_BYTES, HEADER_BYTES = 64 << 20, 4 << 20, 256 << 10, 64 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -64,22 +66,34 @@ def member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def revisits(pages: DataFrame, smallest: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload, of at least `smallest` bytes, another with a larger page_id has."""
+PAYLOAD = ["payload_sha", "payload_xx", "payload_n"]
+
+
+def digested(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) with two digests and the length of the payload."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    narrow = materialize(pages.select("page_id", F.sha1(html).alias("sha"), F.xxhash64(html).alias("xx"), F.octet_length(html).alias("n")), "digests")
-    groups = narrow.where(F.col("n") >= smallest).groupBy("sha", "xx", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    return narrow.join(groups, ["sha", "xx", "n"]).where("page_id != refers_to").select("page_id", "refers_to").distinct()
+    return pages.withColumns(dict(zip(PAYLOAD, (F.sha1(html), F.xxhash64(html), F.octet_length(html)))))
+
+
+def revisits(pages: DataFrame, smallest: int = 0) -> DataFrame:
+    """(page_id, digests and length of the payload, refers_to) where another page with a larger page_id has that payload.
+
+    pages: digested(). Only payloads of at least `smallest` bytes count. Pages of one page_id are told apart by payload.
+    """
+    narrow = materialize(pages.select("page_id", *PAYLOAD), "digests")
+    groups = narrow.where(F.col("payload_n") >= smallest).groupBy(*PAYLOAD).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    return narrow.join(groups, PAYLOAD).where("page_id != refers_to").select("page_id", *PAYLOAD, "refers_to").distinct()
 
 
 def write(pages: DataFrame, folder: str, smallest: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html) into folder; gives the manifest (path, bytes, records).
 
     Null html or url count as empty. Rows with the same page_id and payload are all written; they are responses or
-    revisits alike. A null page_id is an empty one, and its page a response. Extra columns are ignored.
+    revisits alike. Rows with the same page_id and different payloads are records of their own, each with its payload or
+    a revisit of an equal one. A null page_id is an empty one, and its page a response. Extra columns are ignored.
     """
-    fields = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    linked = fields.join(revisits(fields, smallest), "page_id", "left")
+    fields = digested(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))
+    linked = fields.join(revisits(fields, smallest), ["page_id", *PAYLOAD], "left")
 
     def run(batches):
         import pyarrow as pa
@@ -203,13 +217,24 @@ def read(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT_BYTE
     """The records of the files of a manifest (path, bytes), split into byte ranges; payload (binary) if asked for."""
     ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, "bytes").alias("stop"))
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
+    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
+
+    def run(batches):
+        import pyarrow as pa
 
-    def work(b):
-        rows = [parsed(x) for r in zip(b["path"], b["start"], b["stop"]) for x in records_in(*r)]
-        return {n: [r[n] for r in rows] for n in names}
+        target, rows = arrow_schema(schema), []
+        for batch in batches:
+            for place in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for data in records_in(*place):
+                    record = parsed(data)
+                    rows.append({n: record[n] for n in target.names})
+                    if len(rows) == RECORDS_AT_ONCE:
+                        yield pa.RecordBatch.from_pylist(rows, target)
+                        rows.clear()
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, target)
 
-    return map_rows(ranges.repartition(max(1, ranges.count())), lambda: work, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
+    return ranges.repartition(min(READ_TASKS, max(1, ranges.count()))).mapInArrow(run, schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, smallest: int = 0, folder: str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
