@@ -3,12 +3,13 @@
 Each language has a distribution over hashed character trigrams, counted over all training documents. A document is a
 mixture: expectation-maximisation estimates the proportions of the languages behind its trigrams. Which languages are
 in it at all is chosen by penalised likelihood: starting from the single best language, the next candidate by
-proportion joins if the likelihood it adds exceeds its penalty. Everything is done for many documents at once with
+proportion joins if the likelihood it adds exceeds its penalty, until none does. Everything is done for many documents at once with
 sparse (document, trigram) counts.
 """
 
 from __future__ import annotations
 
+import sys
 from functools import cache
 
 import numpy as np
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import crc_remainder, map_rows
 
 BUCKETS = 1 << 15
-#: Smoothing of the trigram distributions; EM rounds; most languages of a document; penalty per language in units of ln(trigrams).
-SMOOTHING, ROUNDS, MOST, PENALTY = 0.5, 12, 4, 3.0
+#: Smoothing of the trigram distributions; EM rounds; penalty per language in units of ln(trigrams).
+SMOOTHING, ROUNDS, PENALTY = 0.5, 12, 3.0
 #: Characters of text whose counts are worked on together.
 GROUP_CHARS = 1 << 17
 UNKNOWN = "und"
@@ -27,8 +28,8 @@ UNKNOWN = "und"
 
 @cache
 def letters() -> np.ndarray:
-    """Whether each code point of the basic plane is a letter; code points over it count as letters if any text has them."""
-    return np.array([chr(c).isalpha() for c in range(1 << 16)])
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -37,8 +38,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(t) for t in lowered], np.int64)
     points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     of = np.repeat(np.arange(len(texts)), lengths)
-    known = letters()
-    letter = known[np.minimum(points, 0xFFFF)] | (points > 0xFFFF)
+    letter = letters()[points]
     keep = letter.copy()
     keep[1:] |= letter[:-1] & (of[1:] == of[:-1])
     points, of, letter = points[keep], of[keep], letter[keep]
@@ -141,7 +141,7 @@ class Mixture:
             share, score = chosen.astype(np.float32), single.max(1)
             penalty = PENALTY * np.log(np.add.reduceat(n, starts) + 1)
             going = np.ones(len(docs), bool)
-            for _ in range(min(MOST, len(self.names)) - 1):
+            for _ in range(len(self.names) - 1):
                 wider = chosen.copy()
                 wider[np.arange(len(docs)), np.where(chosen, -1, everything).argmax(1)] = True
                 new, likelihood = self.fitted(p, n, at, starts, wider / wider.sum(1, keepdims=True))
