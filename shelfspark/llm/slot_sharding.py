@@ -3,7 +3,7 @@
 Every record hashes, by its text, into one of thousands of slots that never change. Bytes and rows are aggregated per
 slot; the map gives each slot to a shard so that shards' bytes are nearly equal, and rebalancing edits the map only.
 Equal texts share a slot and so a shard, unless a slot alone outweighs a share of a shard (a text that a third of all
-rows have): such a slot is split into parts by identifier, and its parts go to shards one by one.
+rows have): such a slot is split into parts by identifier and row, and its parts go to shards one by one.
 
 The map has a row for each slot, plus parts of heavy slots and one more for each million rows of a slot, so its size is
 bounded by the parameters and a millionth of the rows; it alone is collected and broadcast.
@@ -36,15 +36,19 @@ class Part:
     offset: int = 0
 
 
-def records(docs: DataFrame, n_slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot). Size: UTF-8 bytes of the text (null: none) plus one."""
+def records(docs: DataFrame, n_slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(doc_id, size, text_crc32, virtual_slot, row), written and read again so that row, a number of each row, holds.
+
+    Size: UTF-8 bytes of the text (null: none) plus one. With `whole`, the document's columns too, as a struct.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(n_slots)).cast("int").alias("virtual_slot"))
+    made = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(n_slots)).cast("int").alias("virtual_slot"), F.monotonically_increasing_id().alias("row"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")] * whole))
+    return materialize(made, "slot-records")
 
 
 def with_parts(rows: DataFrame, per_slot: DataFrame) -> DataFrame:
     """Adds part, 0 where the slot isn't split. per_slot (virtual_slot, parts) is bounded by the number of slots."""
-    return rows.join(F.broadcast(per_slot), "virtual_slot").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    return rows.join(F.broadcast(per_slot), "virtual_slot").withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.col("parts")).cast("int"))
 
 
 def placed(parts: list[Part], n_shards: int, limit: float) -> list[Part]:
@@ -124,7 +128,7 @@ def assigned(rows: DataFrame, parts: list[Part]) -> DataFrame:
     frame = map_frame(rows.sparkSession, parts).withColumnRenamed("slot", "virtual_slot")
     of_slot = frame.select("virtual_slot", "parts").distinct()
     keyed = with_parts(rows, of_slot).drop("parts").join(F.broadcast(frame.select("virtual_slot", "part", "shard", "offset")), ["virtual_slot", "part"])
-    place = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32"))
+    place = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "row"))
     return keyed.withColumn("slot", F.col("offset") + place - 1)
 
 
@@ -135,15 +139,23 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = SLOTS, id
     slots move depends on their sizes. Null and empty texts are equal and have size one; repeated rows are rows of their
     own; an empty table gives no rows; a shard may be empty if there are fewer slots in use than shards.
     """
-    rows = materialize(records(docs, n_slots, id_col, text_col), "slot-records")
+    rows = records(docs, n_slots, id_col, text_col)
     out = assigned(rows, build_map(rows, n_shards, n_slots))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes docs under path, a folder for each shard, and the map beside them; gives the assignment."""
-    placed_rows = materialize(shard_documents(docs, n_shards, SLOTS, id_col, text_col), "placed")
-    docs.join(placed_rows.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col).write.partitionBy("shard").parquet(f"{path}/data")
-    rows = records(docs, SLOTS, id_col, text_col)
-    write_map(docs.sparkSession, build_map(rows, n_shards), f"{path}/map")
-    return placed_rows
+    """Writes docs under path/data, a folder for each shard, and the map under path/map; gives the assignment.
+
+    Every row is written once, with all its columns, whether its identifier is null or repeated or not. The folders'
+    column is `shard`, with underscores before it while docs have a column of that name.
+    """
+    rows = records(docs, SLOTS, id_col, text_col, whole=True)
+    parts = build_map(rows, n_shards)
+    placed_rows = assigned(rows, parts)
+    folder = "shard"
+    while folder.lower() in (c.lower() for c in docs.columns):
+        folder = f"_{folder}"
+    placed_rows.select("document.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(f"{path}/data")
+    write_map(docs.sparkSession, parts, f"{path}/map")
+    return placed_rows.select("doc_id", "size", "text_crc32", "shard", "slot", "virtual_slot")
