@@ -16,12 +16,14 @@ from functools import cache
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import map_rows, materialize
+from .common import map_rows, materialize, small_side
 
 #: What normalisation deletes: [\x20\x09-\x0D].
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 #: Mean chunk of 2^10 bytes behind a smallest one; a hash sees the 32 bytes before it.
 MASK_BITS, SMALLEST, LARGEST, WINDOW = 10, 256, 8192, 32
+#: Bytes of the recipes of texts with copies up to which they are broadcast.
+KEY_BYTES = 64 << 20
 
 
 @cache
@@ -91,17 +93,18 @@ def chunk_store(docs: DataFrame, digest_size: int = 16) -> DataFrame:
 
 
 def verified_recipes(docs: DataFrame, store: DataFrame, clashing: DataFrame, digest_size: int) -> DataFrame:
-    """(doc_id, exact) for the documents that have an identifier of several chunks: the recipe of verified identifiers."""
+    """(text_sha256, exact) for the texts that have an identifier of several chunks: the recipe of verified identifiers."""
 
     def work(b):
-        rows = [(i, k, identifier(c, digest_size), c) for i, t in zip(b["i"], b["t"]) for k, c in enumerate(chunks(normalised(t)))]
-        return {"doc_id": [r[0] for r in rows], "at": [r[1] for r in rows], "id": [r[2] for r in rows], "chunk": [r[3] for r in rows]}
+        texts = [normalised(t) for t in b["t"]]
+        rows = [(hashlib.sha256(x).hexdigest(), k, identifier(c, digest_size), c) for x in dict.fromkeys(texts) for k, c in enumerate(chunks(x))]
+        return {"text_sha256": [r[0] for r in rows], "at": [r[1] for r in rows], "id": [r[2] for r in rows], "chunk": [r[3] for r in rows]}
 
-    places = map_rows(docs, lambda: work, "doc_id long, at long, id binary, chunk binary")
-    places = places.join(places.join(clashing, "id", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
+    places = map_rows(docs, lambda: work, "text_sha256 string, at long, id binary, chunk binary").distinct()
+    places = places.join(places.join(clashing, "id", "left_semi").select("text_sha256").distinct(), "text_sha256", "left_semi")
     numbered = store.distinct().join(clashing, "id", "left_semi").withColumn("number", F.dense_rank().over(Window.partitionBy("id").orderBy("chunk")))
-    placed = places.join(numbered, ["id", "chunk"], "left").select("doc_id", F.struct("at", F.hex("id").alias("id"), F.coalesce("number", F.lit(1)).alias("number")).alias("place"))
-    return placed.groupBy("doc_id").agg(F.array_sort(F.collect_list("place")).alias("places")).select("doc_id", F.encode(F.to_json("places"), "UTF-8").alias("exact"))
+    placed = places.join(numbered, ["id", "chunk"], "left").select("text_sha256", F.struct("at", F.hex("id").alias("id"), F.coalesce("number", F.lit(1)).alias("number")).alias("place"))
+    return placed.groupBy("text_sha256").agg(F.array_sort(F.collect_list("place")).alias("places")).select("text_sha256", F.encode(F.to_json("places"), "UTF-8").alias("exact"))
 
 
 def exact_duplicates(docs: DataFrame, digest_size: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,20 +112,25 @@ def exact_duplicates(docs: DataFrame, digest_size: int = 16, id_col: str = "doc_
 
     Texts are equal when identical after deleting every character of [\\x20\\x09-\\x0D]; of equal texts the row with the
     most code points in the original text stays, then the smallest doc_id. Null counts as empty, and empty texts are
-    equal to each other. Repeated rows are all kept or all dropped; a null doc_id comes last among equals. Extra columns are ignored; an empty table gives no rows.
+    equal to each other. Repeated rows are all kept or all dropped; a null doc_id comes last among equals, and rows with
+    one doc_id and different texts are judged apart. Extra columns are ignored; an empty table gives no rows.
     """
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     made = materialize(recipes(source, digest_size), "recipes")
     shared = made.groupBy("recipe").agg(F.count("*").alias("n")).where("n > 1")
     twins = materialize(made.join(shared, "recipe", "left_semi").select(F.col("doc_id").alias("i")), "twins")
-    again = source.join(twins, "i", "left_semi")
+    again = source.join(twins, source["i"].eqNullSafe(twins["i"]), "left_semi")
     store = materialize(chunk_store(again, digest_size), "chunk-store")
     clashing = store.groupBy("id").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low != high").select("id")
     clashing = materialize(clashing, "clashing")
     keyed = made.withColumn("key", F.col("recipe"))
     if not clashing.isEmpty():
         exact = verified_recipes(again, store, clashing, digest_size)
-        keyed = made.join(exact, "doc_id", "left").withColumn("key", F.when(F.col("exact").isNull(), F.concat(F.lit(b"\x00"), "recipe")).otherwise(F.concat(F.lit(b"\x01"), "exact")))
-    groups = keyed.groupBy("key").agg(F.count("*").alias("group_size"), F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus"))).alias("best"))
-    out = keyed.join(groups, "key").select("doc_id", (-F.col("best.minus")).alias("keep_id"), "group_size", "text_sha256")
+        keyed = made.join(exact, "text_sha256", "left").withColumn("key", F.when(F.col("exact").isNull(), F.concat(F.lit(b"\x00"), "recipe")).otherwise(F.concat(F.lit(b"\x01"), "exact")))
+    # what all rows of a text have in common is worked out from partial aggregates; only keys of several rows are joined
+    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus")))
+    groups = materialize(keyed.groupBy("key").agg(F.count("*").alias("rows"), best.alias("best")).where("rows > 1"), "groups")
+    narrow = groups.agg(F.sum(F.length("key"))).first()[0] or 0
+    joined = keyed.join(small_side(groups) if narrow <= KEY_BYTES else groups, "key", "left")
+    out = joined.select("doc_id", F.when(F.col("rows").isNull(), F.col("doc_id")).otherwise(-F.col("best.minus")).alias("keep_id"), F.coalesce("rows", F.lit(1).cast("long")).alias("group_size"), "text_sha256")
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
