@@ -5,8 +5,8 @@ only tokens with a significant z-score and a large effect keep theirs, and every
 neutral text loses. A linear scan finds all maximal scoring segments of a document (the disjoint passages none of which can be
 extended with gain). By extreme-value theory the best segment score S among n neutral tokens has tail K n exp(-lambda S):
 lambda solves the moment equation over the tokens of other documents and K comes from those documents' best segments.
-A document's evidence is the sum of its significant segments' lambda S - ln(K n); a logistic curve over it, fitted on
-the training documents' histogram, gives the score.
+A document's evidence is the sum of its significant segments' lambda S - ln(K n); a logistic curve over its logarithm,
+fitted on the training documents' histogram, gives the score.
 
 Tokens of five letters or more also stand for the family of words that begin alike (four and five letters): a word that
 is too rare to judge takes the log-odds of its family.
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,14 @@ from .common import crc_remainder, map_rows, materialize
 MAX_LABELLED, MAX_WEIGHTS = 200_000, 65_536
 #: Prior weight as a share of all tokens; times that a token counts in one document; least |z| and least |log-odds|; range of a weight.
 PRIOR, REPEATS, LEAST_Z, LEAST_ODDS, WEIGHT_RANGE = 0.02, 3, 3.0, 1.0, (-1.0, 8.0)
+#: Tokens within which one token gains REPEATS times at most.
+NEARBY = 100
 #: What every token costs; the score of one without a weight.
 NEUTRAL = -0.25
 #: Segments count while their expected number by chance is under this.
 SIGNIFICANT = 0.05
-BINS, BIN = 200, 0.5
+#: Bins of the histogram for each unit of ln(1 + evidence).
+BINS = 8
 FLUSH = 200_000
 
 _token = re.compile(r"[^\W_]+")
@@ -90,7 +93,7 @@ def weighted(counts: DataFrame) -> tuple[dict[str, float], list[tuple[float, int
     odds = lambda y, n: F.log((y + a) / (F.lit(n + prior) - y - a))
     delta = odds(F.col("toxic"), n1) - odds(F.col("other"), n0)
     z = delta / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("other") + a))
-    kept = counts.where("toxic + other >= 3").select("token", "other", delta.alias("weight"), z.alias("z")).where((F.abs("z") >= LEAST_Z) & (F.abs("weight") >= LEAST_ODDS)).orderBy(F.abs("z").desc(), "token").limit(MAX_WEIGHTS).collect()
+    kept = counts.select("token", "other", delta.alias("weight"), z.alias("z")).where((F.abs("z") >= LEAST_Z) & (F.abs("weight") >= LEAST_ODDS)).orderBy(F.abs("z").desc(), "token").limit(MAX_WEIGHTS).collect()
     low, high = WEIGHT_RANGE
     weights = {r.token: min(high, max(low, r.weight)) + NEUTRAL for r in kept}
     seen = [(weights[r.token], r.other) for r in kept if not r.token.startswith("^")]
@@ -146,19 +149,21 @@ class Scorer:
         return NEUTRAL
 
     def scores(self, tokens: list[str]) -> list[float]:
-        """A token that gains does so REPEATS times in a text, as it was counted; then it is neutral."""
+        """A token that gains does so REPEATS times within NEARBY tokens; more uses are neutral there, and not further on."""
         known = self.known
         if len(known) > 500_000:
             known.clear()
-        out, times = [], {}
-        for t in tokens:
+        out, gains = [], {}
+        for at, t in enumerate(tokens):
             s = known.get(t)
             if s is None:
                 s = known[t] = self.weight(t)
             if s > 0:
-                times[t] = n = times.get(t, 0) + 1
-                if n > REPEATS:
+                places = gains.setdefault(t, deque(maxlen=REPEATS))
+                if len(places) == REPEATS and at - places[0] < NEARBY:
                     s = NEUTRAL
+                else:
+                    places.append(at)
             out.append(s)
         return out
 
@@ -230,10 +235,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, held: in
     noise = F.log(F.lit(k) * F.greatest("n", F.lit(1)))
     worth = F.filter(F.transform("gains", lambda g: g * lam - noise), lambda e: e > -math.log(SIGNIFICANT))
     scored = found.select("doc_id", "starts", "ends", "gains", F.size(worth).alias("passages"), F.aggregate(worth, F.lit(0.0), lambda s, e: s + e).alias("evidence"))
-    middle = F.least(F.floor(F.col("evidence") / BIN), F.lit(BINS)).cast("int")
-    histogram = scored.select("doc_id", middle.alias("bin")).join(F.broadcast(train), "doc_id").groupBy("bin", "label").count().collect()  # at most 2 (BINS + 1) rows
-    a, b = logistic([(r.bin * BIN, r.label, r["count"]) for r in histogram])
-    score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.least(F.floor(F.col("evidence") / BIN) * BIN, F.lit(BINS * BIN)))))
+    x = F.log(1 + F.col("evidence"))
+    histogram = scored.select("doc_id", F.ceil(x * BINS).alias("bin")).join(F.broadcast(train), "doc_id").groupBy("bin", "label").count().collect()  # logarithmic in the evidence: some hundred rows at most
+    a, b = logistic([(r.bin / BINS, r.label, r["count"]) for r in histogram])
+    score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * x)))
     best = F.array_position("gains", F.array_max("gains")).cast("int")
     place = lambda c: F.when(F.col("passages") > 0, F.try_element_at(c, best))
     return scored.select("doc_id", (fold == held).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), F.col("passages").cast("int").alias("passages"), place(F.col("starts")).alias("first_token"), place(F.col("ends")).alias("last_token"), "evidence")
