@@ -30,8 +30,8 @@ _runs = re.compile(r"(.)\1+")
 
 
 def shape(word: str) -> str:
-    """Classes of a word's characters, runs as one: X upper, x lower, 9 digit, other signs themselves."""
-    return _runs.sub(r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64]))
+    """Classes of all of a word's characters, runs as one: X upper, x lower, 9 digit, other signs themselves."""
+    return _runs.sub(r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word))
 
 
 @lru_cache(100_000)
