@@ -3,7 +3,8 @@
 Validated numbers and dates are permuted with a key inside their own format: a card number becomes another card number
 with the same issuer prefix and a right check digit, a date another date. The same value always becomes the same
 pseudonym, however it is spaced, so records stay linked across documents, and the key's holder can invert it. Numbers
-that fail their check (Luhn, mod 97, octets up to 255, the calendar) are left as they are.
+that fail their check (Luhn, mod 97, octets up to 255, the calendar) are left as they are. A phone number has one
+pseudonym with and without its country's code.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import socket
 from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
@@ -34,20 +36,29 @@ ISSUERS = {
 }
 # Country codes of one and two digits; all others have three.
 COUNTRIES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+# Most digits of a number with its country code, where that is fewer than 15.
+LONGEST = {"1": 11, "7": 11, "33": 11, "34": 11, "44": 12}
 
 PATTERN = re.compile(
     r"""(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]))
     |(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
     |(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?(?:\d(?:[ .-]\d\d){4}|\d{2,4}(?:[ .-]?\d{2,4}){1,3})(?!\d))
-    |(?P<iso>(?<![\w/-])\d{4}(?P<isosep>[-/])\d{2}(?P=isosep)\d{2}(?![\w/-]))
+    |(?P<national>(?<![\w.+-])(?:\([2-9]\d\d\)[ ]?[2-9]\d\d[ .-]\d{4}|[2-9]\d\d(?P<nansep>[ .-])[2-9]\d\d(?P=nansep)\d{4}|0[1-9](?P<frsep>[ .-])\d\d(?:(?P=frsep)\d\d){3})(?![\w-]|\.\d))
+    |(?P<iso>(?<![\w/-])\d{4}(?P<isosep>[-/])\d{2}(?P=isosep)\d{2}(?=T\d\d:\d\d|(?![\w/-])))
     |(?P<us>(?<![\w/.-])\d{2}/\d{2}/\d{4}(?![\w/-]))
     |(?P<eu>(?<![\w/.-])\d{2}\.\d{2}\.\d{4}(?![\w/-]|\.\d))
     |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))
+    |(?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
     |(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))""",
     re.X | re.A,
 )
 _hint = re.compile(r"[0-9@]")
+#: Groups inside a kind's pattern, and the names of kinds that have several patterns.
+INSIDE = {"isosep": "iso", "nansep": "national", "frsep": "national"}
+SPACED = ("phone", "card", "iban")
+_gap = re.compile(r"[ .-]+")
+NAMES = {"iso": "date", "us": "date", "eu": "date", "national": "phone", "ip6": "ip"}
 
 
 def luhn(digits: str) -> int:
@@ -145,10 +156,22 @@ class Pseudonyms:
     def phone(self, s: str) -> str | None:
         s = s.replace("(0)", "(\0)")  # a trunk zero is no part of the number
         digits = re.sub(r"\D", "", s)
-        if not 8 <= len(digits) <= 15:
+        if not 8 <= len(digits) <= next((n for code, n in LONGEST.items() if digits.startswith(code)), 15):
             return None
         code = next((n for n in (1, 2) if digits[:n] in COUNTRIES), 3)
-        return spaced(s, digits[:code] + self.f.digits(f"phone|{digits[:code]}", digits[code:], self.back)).replace("\0", "0")
+        return spaced(s, digits[:code] + self.subscriber(digits[:code], digits[code:])).replace("\0", "0")
+
+    def subscriber(self, country: str, digits: str) -> str:
+        """A number inside its country. Whether its parts begin as the country's numbers do stays, so national forms stay such."""
+        n = len(digits)
+        starts = (lambda d: (d[0] > "1", d[3:4] > "1")) if country == "1" else (lambda d: d[0] > "0")
+        alike = lambda x: starts(str(x).zfill(n)) == starts(digits)
+        return str(self.f.below(f"phone|{country}", int(digits), 10**n, self.back, alike)).zfill(n)
+
+    def national(self, s: str) -> str:
+        """A number written without its country: ten digits of North America, or a zero and nine digits of France."""
+        digits = re.sub(r"\D", "", s)
+        return spaced(s, "0" + self.subscriber("33", digits[1:]) if digits[0] == "0" else self.subscriber("1", digits))
 
     def date(self, year: int, month: int, day: int) -> datetime.date | None:
         try:
@@ -178,6 +201,18 @@ class Pseudonyms:
         value = self.f.below("ip", int.from_bytes(bytes(map(int, octets)), "big"), 1 << 32, self.back)
         return ".".join(map(str, value.to_bytes(4, "big")))
 
+    def ip6(self, s: str) -> str | None:
+        """An address of at least four groups with a digit, permuted below its first group; written in the shortest form."""
+        if sum(map(bool, s.split(":"))) < 4 or not re.search(r"\d", s):
+            return None
+        try:
+            value = int.from_bytes(socket.inet_pton(socket.AF_INET6, s), "big")
+        except OSError:
+            return None
+        top, low = divmod(value, 1 << 112)
+        new = top << 112 | self.f.below(f"ip6|{top}", low, 1 << 112, self.back)
+        return socket.inet_ntop(socket.AF_INET6, new.to_bytes(16, "big"))
+
     def ssn(self, s: str) -> str | None:
         valid = lambda n: n // 10**6 not in (0, 666) and n // 10**6 < 900 and n // 10**4 % 100 and n % 10**4
         n = int(s.replace("-", ""))
@@ -196,16 +231,20 @@ class Pseudonyms:
         if not text or not _hint.search(text):
             return text, []
         found: list[tuple[str, str]] = []
-
-        def one(m: re.Match) -> str:
-            kind = m.lastgroup if m.lastgroup != "isosep" else "iso"
-            new = getattr(self, kind)(m[0])
-            if new is None:
-                return m[0]
-            found.append(("date" if kind in ("iso", "us", "eu") else kind, new))
-            return new
-
-        return PATTERN.sub(one, text), found
+        out, done, at = [], 0, 0
+        while m := PATTERN.search(text, at):
+            kind, start = INSIDE.get(m.lastgroup, m.lastgroup), m.start()
+            # a pattern of spaced groups may have run into a number behind the value: the longest valid beginning counts
+            ends = [m.end(), *(g.start() + start for g in reversed(list(_gap.finditer(m[0]))))] if kind in SPACED else [m.end()]
+            made = next(((end, new) for end in ends if (new := getattr(self, kind)(text[start:end])) is not None), None)
+            if made is None:
+                at = _gap.search(text, start + 1, m.end()).end() if len(ends) > 1 else m.end()
+                continue
+            at, new = made
+            found.append((NAMES.get(kind, kind), new))
+            out += [text[done:start], new]
+            done = at
+        return "".join([*out, text[done:]]), found
 
 
 def pseudonymised(docs: DataFrame, key: bytes, back: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
