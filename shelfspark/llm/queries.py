@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import attention_quality, chunk_dedup, decontamination, feistel_pii, golay_simhash, language_mixture, sentencepiece_codec, slot_sharding, toxicity, warc
 from .common import table
 
-#: Where the vocabulary files of public tokenizers are; a parameter of the operators.
-TOKENIZERS = "/opt/tokenizers"
-PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+#: The vocabulary file of the public tokenizer; a parameter of the operators.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 #: Key of the pseudonyms in the query; a deployment passes its own.
