@@ -179,6 +179,11 @@ def test_links_at_every_distance(spark):
             assert {frozenset((e.a, e.b)) for e in edges} == want
 
 
+def word_shingles(text, n):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)}
+
+
 def test_near_copies_by_words(spark):
     common.configure(spark)
     r = random.Random(8)
@@ -205,7 +210,7 @@ def test_block_edits_and_short_texts_are_linked(spark):
             pairs += 1
     # two texts of one doc_id, the second a near copy
     rows += [(10_000, " ".join(some(50))), (10_000, rows[0][1] + " end")]
-    sets = [golay_simhash.word_shingles(t, 5) for _, t in rows]
+    sets = [word_shingles(t, 5) for _, t in rows]
     close = {2 * p for p in range(pairs) if len(sets[2 * p] & sets[2 * p + 1]) >= 0.8 * len(sets[2 * p] | sets[2 * p + 1])}
     assert len(close) > 100
     kept = {x.doc_id for x in golay_simhash.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
@@ -223,7 +228,7 @@ def test_crowded_pairs_against_brute_force(spark):
             words[r.randrange(90)] = f"w{r.randrange(500)}"
         texts[i] = " ".join(words[r.randrange(6) :])
     docs = spark.createDataFrame(list(texts.items()), "i long, t string")
-    sets = {i: golay_simhash.word_shingles(t, 5) for i, t in texts.items()}
+    sets = {i: word_shingles(t, 5) for i, t in texts.items()}
     want = {(a, b) for a in texts for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     alike = {(a, b) for a, b in want if a >= 5}
     assert 50 < len(alike) < 1500
@@ -236,6 +241,38 @@ def test_crowded_pairs_against_brute_force(spark):
     assert golay_simhash.crowded_pairs(docs.limit(0), grouped, 5, 0.8).count() == 0
 
 
+def test_many_small_groups_behind_one_shingle(spark):
+    """Texts around one base with more edits than a link allows share its shingles but few links; their candidates stay few."""
+    common.configure(spark)
+    r = random.Random(21)
+    base = [f"w{r.randrange(4000)}" for _ in range(150)]
+    rows = []
+    for i in range(600):
+        words = list(base)
+        for _ in range(r.choice((1, 4, 5, 6, 7))):
+            words[r.randrange(150)] = f"w{r.randrange(4000)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "i long, t string")
+    sets = [word_shingles(t, 5) for _, t in rows]
+    parent = list(range(600))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    linked = [(a, b) for a, b in itertools.combinations(range(600), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for a, b in linked:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    groups = {i: root(i) for i in range(600)}
+    assert 100 < len(set(groups.values())) < 500
+    found = golay_simhash.components(golay_simhash.similar_links(docs, id_col="i", text_col="t")).collect()
+    assert {i: dict((x.node, x.component) for x in found).get(i, i) for i in range(600)} == groups
+    grouped = spark.createDataFrame([(i, g) for i, g in groups.items() if list(groups.values()).count(g) > 1], "node long, component long")
+    crossing = len(list(itertools.combinations(range(600), 2)))
+    assert golay_simhash.crowded_pairs(docs, grouped, 5, 0.8).count() < crossing / 20
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (5, 5), (300, 301), (300, 302)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -352,6 +389,18 @@ def test_warc_round_trip(spark, split_bytes):
     assert [x.page_id for x in warc.round_trip(spark, pages.limit(1).withColumn("page_id", F.lit(None).cast("long"))).collect()] == [None]
 
 
+def test_one_page_with_different_payloads(spark):
+    common.configure(spark)
+    rows = [(1, None, "<p>A</p>"), (5, None, "<p>A</p>"), (1, None, "<p>UNIQUE</p>"), (None, None, "<p>A</p>"), (5, None, "<p>A</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write(pages, common.shared_path(spark, "warc-test"))
+    got = warc.read(spark, manifest, payloads=True).collect()
+    want = [(1, 8, "revisit", 5, None), (5, 8, "response", None, b"<p>A</p>"), (5, 8, "response", None, b"<p>A</p>"), (1, 13, "response", None, b"<p>UNIQUE</p>"), (None, 8, "response", None, b"<p>A</p>")]
+    assert sorted(map(str, ((x.page_id, x.payload_bytes, x.record_type, x.refers_to, x.payload and bytes(x.payload)) for x in got))) == sorted(map(str, want))
+    digests = {x.payload_digest for x in got if x.record_type == "response"}
+    assert all(x.payload_digest in digests for x in got) and warc.base32_sha1(b"<p>UNIQUE</p>") in digests
+
+
 def test_warc_members_are_gzip(spark, tmp_path):
     import gzip
 
@@ -380,11 +429,47 @@ def test_sharding(spark, edges):
     assert len(got) == 2000 and set(size) == set(range(8)) and max(size.values()) < 1.01 * min(size.values())
     assert all(sorted(v) == list(range(len(v))) for v in places.values())
     same = collections.defaultdict(set)
-    for x in slot_sharding.shard_documents(edges, 2).collect():
+    for x in slot_sharding.shard_documents(docs.unionByName(spark.createDataFrame([(i, rows[i % 50][1]) for i in range(5000, 5200)] + [(None, rows[3][1])], SCHEMA)), 8).collect():
         same[x.text_crc32].add(x.shard)
+    assert len(same) > 1000 and all(len(v) == 1 for v in same.values())
     assert len(slot_sharding.shard_documents(edges, 2).collect()) == len(EDGES)
 
 
+def test_shards_by_the_plain_recipe(spark):
+    """Sizes, slots, map and places against a rebuild in plain Python from the slots' bytes."""
+    r = random.Random(19)
+    rows = [(i, noise(r, r.randrange(60))) for i in range(700)] + [(None, "x"), (None, "y"), (3, "again"), (3, "again")]
+    got = slot_sharding.shard_documents(spark.createDataFrame(rows, SCHEMA), 5, n_slots=64).collect()
+    assert sorted((str(x.doc_id), x.size, x.text_crc32) for x in got) == sorted((str(i), len(t.encode()) + 1, binascii.crc32(t.encode())) for i, t in rows)
+    slots = collections.defaultdict(int)
+    for x in got:
+        slots[x.virtual_slot] += x.size
+    assert max(slots.values()) <= sum(slots.values()) / 5 / slot_sharding.SPLIT_SHARE  # no slot is split
+    load, home = [0] * 5, {}
+    for slot in sorted(slots, key=lambda s: (-slots[s], s)):
+        home[slot] = min(range(5), key=lambda s: (load[s], s))
+        load[home[slot]] += slots[slot]
+    assert all(x.shard == home[x.virtual_slot] for x in got)
+    for shard in range(5):
+        mine = sorted((x for x in got if x.shard == shard), key=lambda x: x.slot)
+        assert [x.slot for x in mine] == list(range(len(mine)))
+        assert [x.virtual_slot for x in mine] == sorted(x.virtual_slot for x in mine)
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    """Null and repeated identifiers, repeated rows and a column called shard: each row is written once."""
+    rows = [(None, "a"), (None, "a"), (7, "b"), (7, "c"), (9, None)] + [(i, "hot") for i in [None] * 40 + [5] * 40]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("shard", F.lit("mine")).withColumn("slot", F.lit(4))
+    common.configure(spark)
+    placed = slot_sharding.write_shards(docs, f"file://{tmp_path}/out", 3)
+    back = spark.read.parquet(f"file://{tmp_path}/out/data")
+    assert sorted(map(str, ((x.doc_id, x.text, x.shard, x.slot) for x in back.collect()))) == sorted(str((i, t, "mine", 4)) for i, t in rows)
+    assert set(back.columns) == {*docs.columns, "_shard"} and placed.count() == len(rows)
+    assert {r._shard: r["count"] for r in back.groupBy("_shard").count().collect()} == {r.shard: r["count"] for r in placed.groupBy("shard").count().collect()}
+    assert len({x.shard for x in placed.where("text_crc32 = crc32('hot')").collect()}) > 1
+    assert len(slot_sharding.read_map(spark, f"file://{tmp_path}/out/map")) > 0
+
+
 def test_hot_text_is_split_and_maps_are_versioned(spark, tmp_path):
     common.configure(spark)
     docs = spark.createDataFrame([(i, "hot text" if i % 3 else f"text {i}") for i in range(3000)], SCHEMA)
@@ -444,6 +529,61 @@ def test_issuers_and_spacing_of_phone_numbers():
         assert [back.replaced(new)[0] for new, _ in got] == [f"call {f}" for f in forms] and all(new != f"call {f}" for f, (new, _) in zip(forms, got))
 
 
+def brute_found(text):
+    """(kind, digits) of the values in a text of words, by splitting and checking instead of patterns."""
+
+    def luhn_ok(d):
+        return sum(int(c) if k % 2 == 0 else sum(map(int, str(2 * int(c)))) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    out = []
+    for word in text.split():
+        digits = "".join(c for c in word if c in "0123456789")
+        octets = word.split(".")
+        if len(octets) == 4 and all(o.isdigit() and str(int(o)) == o and int(o) < 256 for o in octets):
+            out.append("ip")
+        elif len(word) == 10 and word[4] == word[7] == "-" and len(digits) == 8:
+            y, m, d = map(int, word.split("-"))
+            if 1900 <= y < 2100 and 1 <= m <= 12 and 1 <= d <= [31, 29 if y % 4 == 0 and (y % 100 or y % 400 == 0) else 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][m - 1]:
+                out.append("date")
+        elif len(word) == 11 and word[3] == word[6] == "-" and len(digits) == 9:
+            if digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000":
+                out.append("ssn")
+        elif word == digits and len(word) == 16 and word[0] == "4" and luhn_ok(word):
+            out.append("card")
+        elif word.startswith("+") and word[1:] == digits and 8 <= len(digits) <= 15:
+            out.append("phone")
+    return out
+
+
+def test_pseudonyms_against_a_plain_scanner(spark):
+    r = random.Random(31)
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    make = [lambda: "4" + d(15), lambda: ".".join(str(r.randrange(300)) for _ in range(4)), lambda: f"{r.randrange(1880, 2120)}-{r.randrange(14):02d}-{r.randrange(33):02d}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"+{r.choice('14')}{d(10)}", lambda: f"w{d(3)}", lambda: "word", lambda: d(r.randrange(1, 7))]
+    rows = [(i, " ; ".join(r.choice(make)() for _ in range(r.randrange(40)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {x.doc_id: x for x in feistel_pii.pseudonymised(docs, b"k" * 16).collect()}
+    for i, text in rows:
+        want = brute_found(text)
+        assert [p.split(":")[0] for p in got[i].pseudonyms] == want and got[i].n_found == len(want), text
+        assert brute_found(got[i].text) == want and len(got[i].text) == len(text) or "." in text
+    back = feistel_pii.pseudonymised(spark.createDataFrame([(x.doc_id, x.text) for x in got.values()], SCHEMA), b"k" * 16, back=True).collect()
+    assert {x.doc_id: x.text for x in back} == dict(rows)
+
+
+def test_further_formats_of_personal_data():
+    names, back = feistel_pii.Pseudonyms(b"k" * 16), feistel_pii.Pseudonyms(b"k" * 16, back=True)
+    for text in ("at 1999-12-31T10:00:00Z sharp", "tel. 01 42 68 53 00 ou", "call (407) 555-7710 or", "call 407-555-7710.", "from 2001:db8:0:12::9:1 on", "from fe80:1:2:3:4:5:6:7"):
+        new, found = names.replaced(text)
+        assert len(found) == 1 and new != text and back.replaced(new)[0] == text, text
+    for untouched in ("12:30:45", "std::vector a::b", "ratio 1:2:3:4:5", "10 20 30 40 50", "2001:db8:::1", "100-200-3000", "::"):
+        assert names.replaced(untouched) == (untouched, [])
+    for text, kinds in (("+12309516443 232.103.170.227", ["phone", "ip"]), ("531428 4111111111111111 232 5", ["card"]), ("GB82 WEST 1234 5698 7654 32 MORE TEXT", ["iban"])):
+        new, found = names.replaced(text)
+        assert [k for k, _ in found] == kinds and back.replaced(new)[0] == text
+    tail = lambda s: re.sub(r"\D", "", names.replaced(s)[0])[-9:]
+    assert tail("+33 1 42 68 53 00") == tail("01 42 68 53 00") and tail("+1 407 555 7710") == tail("(407) 555-7710")
+
+
 # Language
 
 
@@ -452,17 +592,56 @@ def test_language(spark, edges, none):
     stems = {"aa": "banana lemon rosa", "bb": "zwxqv krtsch pfnz", "cc": "ìlo eù uàe"}
     make = lambda k, n: " ".join(r.choice(stems[k].split()) + r.choice(stems[k].split()) for _ in range(n))
     rows = [(i, make(k, r.randrange(5, 80)), k) for i, k in enumerate(r.choice(["aa", "bb", "cc"]) for _ in range(300))]
-    rows += [(900, make("aa", 60) + " " + make("bb", 40), None), (901, None, "aa"), (902, "", "aa"), (903, "12 34", "bb"), (904, "q", None)]
+    rows += [(900, make("aa", 60) + " " + make("bb", 40), None), (901, None, "aa"), (902, "", "aa"), (903, "12 34", "bb"), (904, "q", None), (905, "😀😀😀 🎉🎉", None), (906, "∑ 12 — !!!", None), (907, "😀 banana lemon rosabanana 😀", None), (908, "\U0001d4d0\U0001d4d1\U0001d4d2\U00020000", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {x.doc_id: x for x in language_mixture.predict(docs).collect()}
     assert sum(got[i].lang_pred == k for i, _, k in rows[:300]) >= 298
     assert set(got[900].languages) == {"aa", "bb"} and 0.45 < got[900].proportions[0] < 0.75 and got[900].lang_pred == "aa"
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (901, 902, 903)) and got[904].lang_pred in stems
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (901, 902, 903, 905, 906)) and all(got[i].lang_pred in stems for i in (904, 907, 908))
     assert all(got[i].held_out == (binascii.crc32(str(i).encode()) % 4 == 2) for i in got)
     assert {x.lang_pred for x in language_mixture.predict(edges.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language_mixture.predict(none).count() == 0
 
 
+def test_mixture_is_em_over_all_trigrams():
+    """Proportions, likelihoods and the chosen set of languages against the plain recipe on small counts."""
+    r = np.random.default_rng(6)
+    names = ["aa", "bb", "cc", "dd", "ee", "ff"]
+    counts = r.integers(0, 40, (6, language_mixture.BUCKETS)) * (r.random((6, language_mixture.BUCKETS)) < 0.2)
+    mixture = language_mixture.Mixture(names, counts)
+    p = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
+    words = ["".join(r.choice(list("abcdefghij"), 5)) for _ in range(300)]
+    texts = [" ".join(r.choice(words, n)) for n in (3, 40, 200)] + [None, "12"]
+    got = mixture.infer(texts)
+    assert got[3:] == [{}, {}]
+
+    def em(grams, shares):
+        for _ in range(language_mixture.ROUNDS):
+            gained = np.zeros(6)
+            for g in grams:
+                parts = shares * p[:, g]
+                gained += parts / parts.sum()
+            shares = gained / len(grams)
+        return shares, sum(np.log((shares * p[:, g]).sum()) for g in grams)
+
+    for text, found in zip(texts[:3], got):
+        grams = language_mixture.trigrams([text])[1].tolist()
+        single = [sum(np.log(p[k, g]) for g in grams) for k in range(6)]
+        order = np.argsort(-em(grams, np.full(6, 1 / 6))[0])
+        chosen, score = [int(np.argmax(single))], max(single)
+        shares = np.eye(6)[chosen[0]]
+        while len(chosen) < 6:
+            wider = [*chosen, next(int(k) for k in order if k not in chosen)]
+            start = np.zeros(6)
+            start[wider] = 1 / len(wider)
+            new, likelihood = em(grams, start)
+            if likelihood - score <= language_mixture.PENALTY * np.log(len(grams) + 1):
+                break
+            chosen, score, shares = wider, likelihood, new
+        assert set(found) == {names[k] for k in chosen}
+        assert all(abs(found[names[k]] - shares[k]) < 1e-3 for k in chosen)
+
+
 # Toxicity
 
 
@@ -511,9 +690,78 @@ def test_toxicity(spark, edges, labels, none):
     assert toxicity.score_documents(none, labels).count() == 0 and toxicity.score_documents(edges, labels.limit(0)).count() == len(EDGES)
 
 
+def test_late_passages_are_found():
+    """A dense passage late in a text of 20,000 words counts although its words stood alone before."""
+    scorer = toxicity.Scorer({"bad": 3.0, "worse": 4.0})
+    words = ["calm"] * 20_000
+    for at in (100, 3000, 6000, 9000):
+        words[at] = "bad"
+        words[at + 500] = "worse"
+    words[19_000:19_004] = ["bad", "worse", "bad", "worse"]
+    n, found = scorer.passages(" ".join(words))
+    assert n == 20_000 and (19_000, 19_004) in {(a, b) for a, b, _ in found} and max(g for *_, g in found) == 14.0
+    assert scorer.scores(["bad"] * 5) == [3.0, 3.0, 3.0, toxicity.NEUTRAL, toxicity.NEUTRAL]
+
+
+def test_scores_of_whole_documents(spark):
+    """Evidence, passages and score from the weights by the plain recipe."""
+    common.configure(spark)
+    r = random.Random(17)
+    rows = [(i, " ".join(r.choice(["calm", "plain", "dull", "grey"] + ["slur", "vile"] * (i % 4 == 0)) for _ in range(r.randrange(1, 60)))) for i in range(240)] + [(900, None), (901, "")]
+    marks = [(i, int(i % 4 == 0)) for i in range(0, 240, 2)] + [(1, 0), (3, 0), (5, 0)]
+    docs, truth = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(marks, "doc_id long, toxic int")
+    train = {i: y for i, y in marks if binascii.crc32(str(i).encode()) % 3 != 1}
+    counts = {0: collections.Counter(), 1: collections.Counter()}
+    for i, text in rows:
+        if i in train:
+            own = collections.Counter(toxicity.tokens_of(text))
+            for t, n in list(own.items()):
+                for f in toxicity.families(t):
+                    own[f] += n
+            for t, n in own.items():
+                counts[train[i]][t] += min(n, 3)
+    n1, n0 = (sum(n for t, n in counts[y].items() if not t.startswith("^")) for y in (1, 0))
+    prior, weights = 0.02 * (n1 + n0), {}
+    for t in set(counts[0]) | set(counts[1]):
+        y1, y0 = counts[1][t], counts[0][t]
+        a = 0.02 * (y1 + y0)
+        odds = lambda y, n: np.log((y + a) / (n + prior - y - a))
+        delta = odds(y1, n1) - odds(y0, n0)
+        if abs(delta) >= 1 and abs(delta / np.sqrt(1 / (y1 + a) + 1 / (y0 + a))) >= 3:
+            weights[t] = min(8.0, max(-1.0, delta)) + toxicity.NEUTRAL
+    got_weights, spread = toxicity.weighted(toxicity.counted(docs.join(spark.createDataFrame(list(train.items()), "doc_id long, label int"), "doc_id").select("label", F.col("text").alias("t"))))
+    assert got_weights.keys() == weights.keys() and all(abs(got_weights[t] - w) < 1e-9 for t, w in weights.items()) and {"slur", "vile"} <= set(weights)
+    lam, scorer = toxicity.decay(spread), toxicity.Scorer(got_weights)
+    tops = [(len(toxicity.tokens_of(t)), max([0.0, *(sum(scorer.scores(toxicity.tokens_of(t))[a:b]) for a, b in brute_segments(scorer.scores(toxicity.tokens_of(t))))])) for i, t in rows if train.get(i) == 0 and t]
+    k = (len(tops) + 1) / (sum(n * np.exp(-lam * s) for n, s in tops) + 1)
+    got = {x.doc_id: x for x in toxicity.score_documents(docs, truth).collect()}
+    for i, text in rows:
+        tokens = toxicity.tokens_of(text)
+        scores = scorer.scores(tokens)
+        gains = [lam * sum(scores[a:b]) - np.log(k * max(1, len(tokens))) for a, b in brute_segments(scores)]
+        gains = [g for g in gains if g > -np.log(toxicity.SIGNIFICANT)]
+        assert got[i].passages == len(gains) and abs(got[i].evidence - sum(gains)) < 1e-6
+    by = sorted(got.values(), key=lambda x: x.evidence)
+    assert all(x.score <= y.score for x, y in zip(by, by[1:])) and by[0].score < 0.5 < by[-1].score
+
+
 # Quality
 
 
+def test_forward_pass_in_plain_loops():
+    r = np.random.default_rng(2)
+    net = attention_quality.Network(5)
+    x, starts = r.standard_normal((7, 5)).astype(np.float32), np.array([0, 1, 4])
+    w, p = net.w, net.forward(x, starts)[-1]
+    for bag, rows in enumerate((x[0:1], x[1:4], x[4:7])):
+        hidden = [[max(0.0, sum(row[i] * w["W"][i, j] for i in range(5)) + w["b"][j]) for j in range(attention_quality.HIDDEN)] for row in rows]
+        gate = lambda h, m, k: sum(h[j] * m[j, k] for j in range(attention_quality.HIDDEN))
+        e = [sum(np.tanh(gate(h, w["V"], k)) / (1 + np.exp(-gate(h, w["U"], k))) * w["a"][k] for k in range(attention_quality.GATE)) for h in hidden]
+        share = np.exp(e) / np.exp(e).sum()
+        z = sum(s * sum(h[j] * w["c"][j] for j in range(attention_quality.HIDDEN)) for s, h in zip(share, hidden)) + w["d"][0]
+        assert abs(1 / (1 + np.exp(-z)) - p[bag]) < 1e-5
+
+
 def test_quality(spark, edges, labels, none):
     common.configure(spark)
     r = random.Random(12)

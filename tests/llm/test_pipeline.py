@@ -2,6 +2,8 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from shelfspark.llm import common, decontamination, queries
 from tests_data import SMALL
@@ -42,6 +44,28 @@ def test_null_and_repeated_ids(spark):
     assert len([r for r in left if r[0] in (7, 8)]) == 1
 
 
+def test_edges_of_every_stage(spark):
+    """Null ids and texts, one id with two texts, repeated rows, a very long text, clashing columns: defined for each stage."""
+    long = "word " * 40_000 + "end"
+    rows = [(None, "nobody one"), (None, "nobody two"), (None, None), (3, "alpha beta gamma"), (3, "delta epsilon"), (4, long), (4, long), (5, None), (6, ""), (7, "one two three four five six seven eight"), (8, "One two three four five six seven eight")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clashing = ("i", "t", "fp", "node", "component", "text_sha256", "place_of_row", "keep_id", "kept", "predicted", "score", "item_id", "n", "a", "b", "lang")
+    for c in clashing:
+        docs = docs.withColumn(c, F.lit("x"))
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        if name != "sentencepiece":
+            assert out.columns == docs.columns
+        left[name] = sorted(((r.doc_id, r.text) for r in out.collect()) if name != "sentencepiece" else ((r.doc_id, r.n_tokens) for r in out.collect()), key=str)
+    every = sorted(rows, key=str)
+    assert left["toxicity"] == every and left["decontamination"] == every
+    without = lambda *gone: sorted((r for r in dict.fromkeys(rows) if r not in gone), key=str)
+    assert left["exact_dedup"] == without((6, ""))
+    assert left["near_dedup"] == sorted((r for r in rows if r not in ((6, ""), (8, rows[-1][1]))), key=str)
+    assert len(left["sentencepiece"]) == len(rows) and (5, 2) in left["sentencepiece"]
+
+
 def test_oracles(spark):
     import duckdb
 
