@@ -22,13 +22,32 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in [0, 1]; null if a vector is missing, empty or zero, or the lengths differ."""
-    ok = a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)) & (F.size(a) > 0)
-    return F.when(ok & (norm(a) > 0) & (norm(b) > 0), clamp(F.try_divide(dot(a, b), norm(a) * norm(b))))
+    from . import text
+
+    # one pass over the pairs of values gives the product and both squares
+    zero = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
+    sums = F.aggregate(pairs, zero, lambda s, z: F.struct((s["p"] + z["x"] * z["y"]).alias("p"), (s["x"] + z["x"] * z["x"]).alias("x"), (s["y"] + z["y"] * z["y"]).alias("y")))
+    ratio = text.let(sums, lambda s: F.when((s["x"] > 0) & (s["y"] > 0), F.least(F.greatest(s["p"] / F.sqrt(s["x"] * s["y"]), F.lit(0.0)), F.lit(1.0))))
+    return F.when(a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)) & (F.size(a) > 0), ratio)
+
+
+def entity_similarity(model: Column, vector: Column, words: Column, aspects: Column, other_model: Column, other_vector: Column, other_words: Column, other_aspects: Column) -> Column:
+    """Similarity of two entities: 1 for one model, else 0.65 cosine + 0.25 title + 0.1 aspect overlap, or 0.75 and 0.25 of the overlaps without vectors."""
+    from . import text
+
+    none = F.expr("cast(array() as array<string>)")
+    overlap = lambda x, y: jaccard(F.coalesce(x, none), F.coalesce(y, none))
+    titles, tags = overlap(words, other_words), overlap(aspects, other_aspects)
+    mixed = text.let(cosine(vector, other_vector), lambda c: F.when(c.isNull(), 0.75 * titles + 0.25 * tags).otherwise(0.65 * c + 0.25 * titles + 0.1 * tags))
+    return F.when(F.coalesce(model == other_model, F.lit(False)), 1.0).otherwise(clamp(mixed))
 
 
 def unit(a: Column) -> Column:
     """The vector over its norm; a zero vector stays."""
-    return F.transform(a, lambda x: x / F.when(norm(a) == 0, 1.0).otherwise(norm(a)))
+    from . import text
+
+    return text.let(norm(a), lambda n: F.transform(a, lambda x: x / F.when(n == 0, 1.0).otherwise(n)))
 
 
 def semantic(score: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Diversification and entity grouping of ranked candidates."""
+"""Entities of ranked candidates, the relevance gates, and diversification."""
 
 from __future__ import annotations
 
@@ -7,22 +7,109 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Most candidates of one query that are diversified; the rest follow in base order. Bounds the work and memory of a task.
+from ..functions import scoring, text
+from ..session import written
+from . import retrieval
+
+#: Rows of one query that one task diversifies; a query with more is diversified by a distributed choice for each place.
 POOL = 500
+#: Identities of a product, the strongest first.
+NUMBERS = ("canonical", "gtin", "upc", "ean", "asin")
+SIGNALS = ("semantic", "lexical", "relevance", "quality")
+
+
+def bare(c: Column) -> Column:
+    """An identifier in normal form without spaces; null if nothing is left."""
+    return F.nullif(F.replace(text.normalize_search(c), F.lit(" ")), F.lit(""))
+
+
+def model_key(brand: Column, model: Column, mpn: Column | None = None) -> Column:
+    """brand:model, the family that exposure caps count; null without a model or part number."""
+    name = F.nullif(text.normalize_search(model), F.lit(""))
+    name = name if mpn is None else F.coalesce(name, bare(mpn))
+    maker = F.coalesce(F.nullif(text.normalize_search(brand), F.lit("")), F.lit("unknown"))
+    return F.when(name.isNotNull(), F.concat(maker, F.lit(":"), name))
+
+
+def canonical_key(title: Column, brand: Column, model: Column, numbers: dict[str, Column] | None = None, mpn: Column | None = None) -> Column:
+    """The strongest identity of a listing: a product number, then brand and model, then the title's fingerprint."""
+    numbers = numbers or {}
+    known = [F.concat(F.lit(f"{n}:"), bare(numbers[n])) for n in NUMBERS if n in numbers]
+    return F.coalesce(*known, F.concat(F.lit("model:"), model_key(brand, model, mpn)), F.concat(F.lit("title:"), text.title_fingerprint(title)))
+
+
+def base_score(rrf: Column) -> Column:
+    """The hybrid base score of a row with the columns of SIGNALS, null where a signal is missing; to nine places, so that the order of a sum decides no tie."""
+    signals = {s: F.when(F.col(s).isNotNull(), (scoring.semantic if s == "semantic" else scoring.clamp)(F.col(s))) for s in SIGNALS}
+    return F.round(scoring.clamp(retrieval.hybrid({"rrf": rrf, **signals})), 9)
+
+
+def entities(candidates: DataFrame, channels: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(query_id, key, id, base, offers, sources, source, model, title, words, aspects, embedding), one row for each entity of a query.
+
+    candidates: query_id, id, key, source, model, title, price_minor, words, aspects, embedding and SIGNALS; channels: query_id, id,
+    channel, rank. The offer with the best base score of its own stands for its entity, the smallest id among equals; the
+    entity's own base has the best rank in each channel and the best of each signal over its offers.
+    """
+    rrf = retrieval.reciprocal_rank_fusion(channels, weights)
+    scored = candidates.join(rrf, ["query_id", "id"], "left").withColumn("own", base_score(F.coalesce("rrf", F.lit(0.0)))).drop("rrf")
+    order = F.struct((-F.col("own")).alias("minus"), F.col("id"))
+    kept = ("id", "source", "model", "title", "words", "aspects")
+    grouped = scored.groupBy("query_id", "key").agg(
+        F.min_by(F.struct(*kept), order).alias("best"),
+        F.min_by("embedding", F.when(F.size("embedding") > 0, order)).alias("embedding"),
+        F.count("*").alias("offers"),
+        F.countDistinct("source").alias("sources"),
+        *(F.max(s).alias(s) for s in SIGNALS),
+    )
+    ranks = channels.where("rank > 0").join(candidates.select("query_id", "id", "key"), ["query_id", "id"]).groupBy("query_id", F.col("key").alias("id"), "channel").agg(F.min("rank").alias("rank"))
+    fused = retrieval.reciprocal_rank_fusion(ranks, weights).withColumnRenamed("id", "key")
+    out = grouped.join(fused, ["query_id", "key"], "left").withColumn("base", base_score(F.coalesce("rrf", F.lit(0.0))))
+    return out.select("query_id", "key", *(F.col(f"best.{c}").alias(c) for c in kept), "base", "offers", "sources", "embedding")
+
+
+def gated(rows: DataFrame, gate: Column, least: float) -> DataFrame:
+    """rows of at least the base score `least`, with eligible: whether they are within the share `gate` of their query's best.
+
+    The best is a grouped maximum: partial in each task, and a row for each query of the block is joined back.
+    """
+    kept = rows.where(F.col("base") >= least)
+    top = kept.groupBy("query_id").agg(F.max("base").alias("top"))
+    return kept.join(F.broadcast(top), "query_id").withColumn("eligible", F.col("base") >= F.col("top") * gate).drop("top")
 
 
-def mmr_order(pdf: pd.DataFrame, lam: float, results: int, per_source: int, per_model: int) -> pd.DataFrame:
-    """Greedy maximal marginal relevance with aspect coverage and exposure caps, for one query's candidates."""
-    pdf = pdf.sort_values(["base", "id"], ascending=[False, True]).reset_index(drop=True)
-    vectors = np.array([np.asarray(v, float) for v in pdf["embedding"]])
-    size = np.linalg.norm(vectors, axis=1, keepdims=True)
-    similar = np.clip(vectors @ vectors.T / np.maximum(size @ size.T, 1e-12), 0, 1)
+def similarities(vectors: np.ndarray, known: np.ndarray, words: list[set], aspects: list[set], models: list, i: int) -> np.ndarray:
+    """Entity similarity of all rows with row i."""
+
+    def overlap(sets: list[set]) -> np.ndarray:
+        own = sets[i]
+        return np.array([len(own & s) / len(own | s) if own and s else 0.0 for s in sets])
+
+    titles, tags = overlap(words), overlap(aspects)
+    cosine = np.clip(vectors @ vectors[i], 0, 1)
+    both = known & known[i]
+    out = np.where(both, 0.65 * cosine + 0.25 * titles + 0.1 * tags, 0.75 * titles + 0.25 * tags)
+    same = np.array([m is not None and m == models[i] for m in models])
+    return np.where(same, 1.0, np.clip(out, 0, 1))
+
+
+def mmr_order(pdf: pd.DataFrame, results: int, per_source: int, per_model: int) -> pd.DataFrame:
+    """Greedy maximal marginal relevance with aspect coverage and exposure caps, for one query's rows."""
+    pdf = pdf.sort_values(["base", "key"], ascending=[False, True]).reset_index(drop=True)
+    n, lam = len(pdf), float(pdf["lam"].iloc[0])
+    lists = [np.asarray(v, float) if v is not None else np.empty(0) for v in pdf["embedding"]]
+    width = max((len(v) for v in lists), default=0)
+    vectors = np.array([v if len(v) == width else np.zeros(width) for v in lists]).reshape(n, width)
+    size = np.linalg.norm(vectors, axis=1)
+    vectors = vectors / np.where(size > 0, size, 1)[:, None]
     base = pdf["base"].to_numpy(float)
     aspects = [list(a) if a is not None else [] for a in pdf["aspects"]]
-    sources, models = pdf["source"].tolist(), pdf["model"].tolist()
-    left, nearest = list(range(len(pdf))), np.zeros(len(pdf))
+    words = [set(w) if w is not None else set() for w in pdf["words"]]
+    tags = list(map(set, aspects))
+    sources, models = pdf["source"].tolist(), [m if isinstance(m, str) else None for m in pdf["model"]]
+    left, nearest = list(range(n)), np.zeros(n)
     seen, of_source, of_model = Counter(), Counter(), Counter()
     picks = []
     while left and len(picks) < results:
@@ -39,27 +126,94 @@ def mmr_order(pdf: pd.DataFrame, lam: float, results: int, per_source: int, per_
         of_source[sources[i]] += 1
         if models[i] is not None:
             of_model[models[i]] += 1
-        nearest = np.maximum(nearest, similar[i])
-    out = pdf.iloc[[p[0] for p in picks]][["query_id", "id", "base"]].copy()
+        nearest = np.maximum(nearest, similarities(vectors, size > 0, words, tags, models, i))
+    out = pdf.iloc[[p[0] for p in picks]][["query_id", "key", "id", "base"]].copy()
     out["final"], out["relaxed"] = [float(p[1]) for p in picks], [bool(p[2]) for p in picks]
     out["position"] = np.arange(1, len(out) + 1)
     return out
 
 
-def diversify(df: DataFrame, lam: float = 0.7, results: int = 24, per_source: int | None = None, per_model: int = 1, pool: int = POOL) -> DataFrame:
-    """(query_id, id, base, final, relaxed, position) over candidates (query_id, id, base, embedding, aspects, source, model).
+PICKED = ("query_id", "key", "id", "base", "final", "relaxed", "position")
+
+
+def one_place(rows: DataFrame, picks: DataFrame, per_source: int, per_model: int) -> DataFrame:
+    """The best row of each query beside its picks so far: one partial maximum over all rows. picks: a few rows a query."""
+    so_far = picks.groupBy("query_id").agg(F.collect_list(F.struct("key", "source", "model", "words", "aspects", "embedding")).alias("picks"))
+    left = rows.join(F.broadcast(so_far), "query_id", "left").withColumn("picks", F.coalesce("picks", F.expr("filter(array(struct(key, source, model, words, aspects, embedding)), x -> false)")))
+    left = left.where(~F.exists("picks", lambda p: p["key"] == F.col("key")))
+    similar = lambda p: scoring.entity_similarity(F.col("model"), F.col("embedding"), F.col("words"), F.col("aspects"), p["model"], p["embedding"], p["words"], p["aspects"])
+    nearest = F.aggregate("picks", F.lit(0.0), lambda s, p: F.greatest(s, similar(p)))
+    covered = F.flatten(F.transform("picks", lambda p: F.coalesce(p["aspects"], F.expr("cast(array() as array<string>)"))))
+    gains = F.transform("aspects", lambda a: 1 / (1 + F.size(F.filter(covered, lambda x: x == a))))
+    gain = F.when(F.size("aspects") > 0, F.aggregate(gains, F.lit(0.0), lambda s, x: s + x) / F.size("aspects")).otherwise(0.0)
+    final = scoring.clamp(F.col("lam") * F.col("base") + (1 - F.col("lam")) * (0.6 * (1 - nearest) + 0.4 * gain))
+    count = lambda c: F.size(F.filter("picks", lambda p: p[c] == F.col(c)))
+    free = (count("source") < per_source) & (F.col("model").isNull() | (count("model") < per_model))
+    scored = left.select(*rows.columns, final.alias("final"), (~F.coalesce(free, F.lit(True))).alias("relaxed"))
+    best = F.min_by(F.struct(*rows.columns, "final", "relaxed"), F.struct(F.col("relaxed"), (-F.col("final")).alias("f"), (-F.col("base")).alias("b"), F.col("key")))
+    return scored.groupBy(F.col("query_id").alias("q")).agg(best.alias("best")).select("best.*")
+
+
+def by_places(rows: DataFrame, results: int, per_source: int, per_model: int) -> DataFrame:
+    """mmr_order for queries with any number of rows: place after place, each by one distributed maximum."""
+    spark = rows.sparkSession
+    schema = rows.withColumns({"final": F.lit(0.0), "relaxed": F.lit(False), "position": F.lit(0).cast("long")}).schema
+    picks = []
+    for place in range(1, results + 1):
+        found = one_place(rows, spark.createDataFrame(picks, schema), per_source, per_model).withColumn("position", F.lit(place).cast("long")).collect()  # a row for each query of the block
+        if not found:
+            break
+        picks += found
+    return spark.createDataFrame(picks, schema).select(*PICKED)
+
+
+def diversify(df: DataFrame, lam: float | None = None, results: int = 24, per_source: int | None = None, per_model: int = 1, pool: int = POOL) -> DataFrame:
+    """(query_id, key, id, base, final, relaxed, position) over rows (query_id, key, id, base, words, aspects, embedding, source, model).
 
     Each pick maximises relevance, novelty against the picks before it and aspects not yet covered; sources and models
-    have caps that give way only when nothing else is left. One query's best `pool` candidates are one group.
+    have caps that give way only when nothing else is left. lam is the share of relevance, or else the column `lam`. All
+    rows compete: those of a query with up to `pool` rows in one task, those of larger ones by a distributed maximum for
+    each place. Missing vectors, words and aspects are allowed.
     """
     cap = per_source if per_source is not None else max(2, math.ceil(results * 0.4))
-    near = df.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("base"), "id"))).where(F.col("r") <= pool).drop("r")
-    kinds = dict(df.dtypes)
-    schema = f"query_id {kinds['query_id']}, id {kinds['id']}, base double, final double, relaxed boolean, position long"
-    return near.groupBy("query_id").applyInPandas(lambda pdf: mmr_order(pdf, lam, results, cap, per_model), schema)
+    lam_column = F.col("lam") if lam is None else F.lit(lam)
+    rows = written(df.select("query_id", "key", "id", "base", "words", "aspects", "embedding", "source", "model", lam_column.cast("double").alias("lam")), "diversify")
+    sizes = rows.groupBy("query_id").agg(F.count("*").alias("n"))
+    large = [r.query_id for r in sizes.where(F.col("n") > pool).select("query_id").collect()]  # some of a block's queries
+    kinds = dict(rows.dtypes)
+    schema = f"query_id {kinds['query_id']}, key string, id {kinds['id']}, base double, final double, relaxed boolean, position long"
+    near = rows if not large else rows.where(~F.col("query_id").isin(large))
+    out = near.groupBy("query_id").applyInPandas(lambda pdf: mmr_order(pdf, results, cap, per_model), schema)
+    return out if not large else out.unionByName(by_places(rows.where(F.col("query_id").isin(large)), results, cap, per_model))
+
+
+def ranked(rows: DataFrame, results: int, per_source: int | None = None, per_model: int = 1, pool: int = POOL) -> DataFrame:
+    """diversify() over the eligible rows of gated(), and after them the others by base score, up to `results` a query."""
+    rows = written(rows, "ranked")
+    picked = diversify(rows.where("eligible"), None, results, per_source, per_model, pool)
+    picked = written(picked, "picked")
+    taken = picked.groupBy("query_id").agg(F.count("*").alias("taken"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("base"), "key"))
+    tail = rows.where("not eligible").withColumn("place", place).where(F.col("place") <= results).join(F.broadcast(taken), "query_id", "left")
+    tail = tail.withColumn("position", (F.coalesce("taken", F.lit(0)) + F.col("place")).cast("long")).where(F.col("position") <= results)
+    return picked.unionByName(tail.select("query_id", "key", "id", "base", F.col("base").alias("final"), F.lit(False).alias("relaxed"), "position"))
+
+
+def covered_scores(asked: DataFrame, scores: DataFrame, least: float = 0.8) -> DataFrame:
+    """(query_id, id, relevance) of a judge's answer: bounded to [0, 1], 0 for rows it left out; nothing for a query it answered too sparsely.
+
+    asked: query_id, id; scores: query_id, id, score. A score counts if it is a finite number of a row that was asked;
+    a query's answer counts if at least the share `least` of its rows, rounded up, have one.
+    """
+    finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf"))
+    good = scores.where(finite).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    rows = asked.select("query_id", "id").distinct().join(good, ["query_id", "id"], "left")
+    covered = rows.groupBy("query_id").agg(F.count("*").alias("n"), F.count("score").alias("answered")).where(F.col("answered") >= F.ceil(F.col("n") * F.lit(least)))
+    return rows.join(covered.select("query_id"), "query_id").select("query_id", "id", F.coalesce(scoring.clamp(F.col("score")), F.lit(0.0)).alias("relevance"))
 
 
 def entity_groups(df: DataFrame, key: str, score: str = "base", id_col: str = "id") -> DataFrame:
     """One row for each entity: its best offer, offers and sources, best score and rank."""
     best = F.max_by(F.struct(id_col, score), F.struct(F.col(score), (-F.col(id_col)).alias("minus")))
-    return df.groupBy(key).agg(best.alias("best"), F.count("*").alias("offers"), F.countDistinct("source").alias("sources"), F.max("semantic").alias("semantic"), F.min("rank").alias("rank")).select(key, F.col(f"best.{id_col}").alias("representative"), F.col(f"best.{score}").alias(score), "offers", "sources", "semantic", "rank")
+    grouped = df.groupBy(key).agg(best.alias("best"), F.count("*").alias("offers"), F.countDistinct("source").alias("sources"), F.max("semantic").alias("semantic"), F.min("rank").alias("rank"))
+    return grouped.select(key, F.col(f"best.{id_col}").alias("representative"), F.col(f"best.{score}").alias(score), "offers", "sources", "semantic", "rank")

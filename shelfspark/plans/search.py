@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scoring, text
-from ..operators import ranking, retrieval
+from ..operators import gates, ranking, relational, retrieval
+from ..session import written
 from . import spec
 
 WEIGHTS = {"lexical:literal": 2.2, "lexical:expanded": 0.75, "semantic": 1.0}
-NATIVE_WEIGHT, SEMANTIC_FLOOR, JUDGED, PER_SOURCE, RESULTS, BLOCK = 1.35, 0.15, 48, 8, 30, 500
+NATIVE_WEIGHT, SEMANTIC_FLOOR, JUDGED, PER_SOURCE, RESULTS, BLOCK, FLOOR = 1.35, 0.15, 48, 8, 30, 500, 0.2
 
 
 def eligible_candidates(listings: DataFrame, queries: DataFrame) -> DataFrame:
@@ -61,14 +62,16 @@ def bm25_within(df: DataFrame, query: Column, k1: float = retrieval.K1, b: float
     return hits.join(F.broadcast(df_), ["query_id", "term"]).join(F.broadcast(stats), "query_id").groupBy("query_id", "id").agg((F.sum(part) + bonus).alias("score"))
 
 
-def search(listings: DataFrame, queries: DataFrame, rerank: Callable[[DataFrame], DataFrame] | None = None, results: int = RESULTS, sources: int = 0) -> DataFrame:
-    """(query_id, id, position, base, final, relaxed): diversified results of every query.
+def search(listings: DataFrame, queries: DataFrame, rerank: Callable[[DataFrame], DataFrame] | None = None, results: int = RESULTS, sources: int = 0, native: DataFrame | None = None, cached: DataFrame | None = None) -> DataFrame:
+    """(query_id, key, id, position, base, final, relaxed): diversified results of every query, one offer of each entity.
 
     rerank, if given, takes the judged pool (the 48 best of a query by lexical score, eight of a source at most) and gives
     (query_id, id, relevance): the hook for a cross-encoder. Without it the lexical score stands in, as the deterministic
-    default. Queries go in blocks, so that what is broadcast is bounded.
+    default. native has the sources' own order (query_id, id, source, rank), without query_id if it is the same for all; cached has listings like `listings` that count
+    where no live one has their id. Queries go in blocks, so that what is broadcast is bounded.
     """
-    return retrieval.in_blocks(queries, lambda part: search_block(listings, part, rerank, results, sources), BLOCK)
+    every = listings if cached is None else relational.live_and_cached(listings.drop("cached"), cached.drop("cached"), "id").withColumn("cached", F.col("origin") == "cache").drop("origin")
+    return retrieval.in_blocks(queries, lambda part: ranking.ranked(search_block(every, part, rerank, sources, native), results, PER_SOURCE), BLOCK)
 
 
 def judged_pool(rows: DataFrame) -> DataFrame:
@@ -78,22 +81,37 @@ def judged_pool(rows: DataFrame) -> DataFrame:
     return near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("r") <= JUDGED).drop("r")
 
 
-def search_block(listings: DataFrame, queries: DataFrame, rerank: Callable[[DataFrame], DataFrame] | None, results: int, sources: int) -> DataFrame:
-    """search of a block of queries."""
-    found = eligible_candidates(listings, queries).persist()  # five channels and the final join read it
+def search_block(listings: DataFrame, queries: DataFrame, rerank: Callable[[DataFrame], DataFrame] | None, sources: int, native: DataFrame | None) -> DataFrame:
+    """Entities of a block of queries at the floor or over, with eligible and lam: all that search() ranks."""
+    found = written(eligible_candidates(listings, queries), "candidates")  # the channels, the judge and the entities read it
     weights = WEIGHTS | {f"native:{k}": NATIVE_WEIGHT for k in range(sources)}
-    fused = retrieval.reciprocal_rank_fusion(channels(found), weights)
-    rows = found.join(fused, ["query_id", "id"], "left")
+    own = None if native is None else found.select("query_id", "id").join(native, [c for c in ("query_id", "id") if c in native.columns]).select("query_id", "id", F.concat(F.lit("native:"), F.col("source").cast("string")).alias("channel"), "rank")
     if rerank is None:
-        rows = rows.withColumn("relevance", F.col("lexical"))
+        rows = found.withColumn("relevance", F.col("lexical"))
     else:
         scores = rerank(judged_pool(found)).select("query_id", "id", F.col("relevance").alias("judged"))
-        rows = rows.join(scores, ["query_id", "id"], "left").withColumn("relevance", scoring.blend(F.col("lexical"), F.col("judged")))
-    base = retrieval.hybrid({"rrf": F.coalesce("rrf", F.lit(0.0)), "semantic": scoring.semantic(F.col("semantic")), "lexical": F.col("lexical"), "relevance": F.col("relevance"), "quality": F.col("quality")})
-    rows = rows.withColumn("specificity", scoring.query_specificity(F.col("query")))
-    rows = rows.withColumn("base", base)
-    best = rows.groupBy("query_id").agg(F.max("base").alias("top"))
-    good = rows.join(F.broadcast(best), "query_id").where(F.col("base") >= F.col("top") * scoring.relative_gate(F.col("specificity")))
-    aspects = F.filter(F.array(F.concat(F.lit("brand:"), "brand"), scoring.price_band(F.col("price_minor"))), lambda a: a.isNotNull())
-    picked = ranking.diversify(good.select("query_id", "id", "base", F.coalesce("embedding", F.array(F.lit(0.0))).alias("embedding"), aspects.alias("aspects"), F.col("source").cast("string").alias("source"), text.title_key(F.col("title")).alias("model")), results=results, per_source=PER_SOURCE)
-    return picked.select("query_id", "id", "position", "base", "final", "relaxed")
+        rows = found.join(scores, ["query_id", "id"], "left").withColumn("relevance", scoring.blend(F.col("lexical"), F.col("judged")))
+    title = F.col("title")
+    rows = rows.withColumn("own_brand", text.brand(title)).withColumn("own_model", text.model(title, F.col("own_brand")))
+    numbers = {n: F.col(n) for n in ranking.NUMBERS if n in rows.columns}
+    tags = gates.entity_aspects(F.expr("cast(array() as array<string>)"), F.lit(""), F.coalesce("own_brand", F.lit("")), scoring.price_band(F.col("price_minor")))
+    rows = rows.select(
+        "query_id", "id", "title", "price_minor", "embedding", *ranking.SIGNALS,
+        ranking.canonical_key(title, F.col("own_brand"), F.col("own_model"), numbers).alias("key"),
+        ranking.model_key(F.col("own_brand"), F.col("own_model")).alias("model"),
+        text.normalize_search(F.col("source").cast("string")).alias("source"),
+        F.array_distinct(text.title_tokens(title)).alias("words"),
+        tags.alias("aspects"),
+    )
+    made = ranking.entities(rows, channels(found, own), weights)
+    specific = queries.select("query_id", scoring.query_specificity(F.substring(F.trim("query"), 1, 500)).alias("specificity"))
+    made = made.join(F.broadcast(specific), "query_id").withColumn("lam", scoring.dynamic_lambda(F.col("specificity")))
+    return ranking.gated(made, scoring.relative_gate(F.col("specificity")), FLOOR)
+
+
+def diagnostics(listings: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, eligible, entities, duplicates, dropped): candidates of each query, their entities, offers that share one, and entities under the floor."""
+    found = eligible_candidates(listings, queries).groupBy("query_id").agg(F.count("*").alias("eligible"))
+    kept = search_block(listings, queries, None, 0, None).groupBy("query_id").agg(F.count("*").alias("kept"), F.sum("offers").alias("offers"))
+    joined = found.join(kept, "query_id", "left").withColumns({"kept": F.coalesce("kept", F.lit(0)), "offers": F.coalesce("offers", F.lit(0))})
+    return joined.select("query_id", "eligible", F.col("kept").alias("entities"), (F.col("offers") - F.col("kept")).alias("duplicates"), (F.col("eligible") - F.col("offers")).alias("dropped"))
