@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scoring, text
+from ..session import written
 
 K1, B, PHRASE_BONUS = 1.2, 0.75, 0.75
 #: Queries that are broadcast together; a larger set takes several passes over the data.
@@ -36,31 +37,45 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score) of all documents with a query term, score over 0.
 
-    The corpus is all of docs. Documents are tokenised once and filtered to the queries' forms in the map task; only
-    (document, term) counts move. Queries are a stated set and are broadcast in blocks.
+    The corpus is all of docs. Documents are tokenised once for a block of queries: what is written and read again is
+    each one's length, the tokens that match a query and the queries whose phrase it holds. Queries are a stated set.
     """
     return in_blocks(queries, lambda part: bm25_block(docs, part, id_col, text_col, k1, b))
 
 
 def bm25_block(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k1: float, b: float) -> DataFrame:
-    """bm25 of a block of queries."""
+    """bm25 of a block of queries, which are at most BLOCK rows on the driver."""
     forms = query_terms(queries)
-    wanted = F.broadcast(forms.select("form").distinct())
+    wanted = [r.form for r in forms.select("form").distinct().collect()]
+    phrases = [(r.query_id, r.phrase) for r in queries.select("query_id", text.normalize_search(F.col("query")).alias("phrase")).where("phrase != ''").distinct().collect()]
     tokens = docs.select(F.col(id_col).alias("id"), text.lexical_tokens(F.col(text_col)).alias("tokens"), text.normalize_search(F.col(text_col)).alias("plain"))
-    stats = tokens.agg(F.count("*").alias("n"), F.greatest(F.avg(F.size("tokens")), F.lit(1.0)).alias("mean_length"))
-    hits = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("form")).join(wanted, "form")
-    counted = hits.groupBy("id", "form").agg(F.count("*").alias("times"), F.first("length").alias("length"))
+    kind = dict(queries.dtypes)["query_id"]
+    holds = F.array_compact(F.array(*(F.when(F.contains("plain", F.lit(p)), F.lit(q).cast(kind)) for q, p in phrases))) if phrases else F.expr(f"cast(array() as array<{kind}>)")
+    lean = written(tokens.select("id", F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(wanted)).alias("hits"), holds.alias("phrases")), "bm25")
+    stats = lean.agg(F.count("*").alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("mean_length"))
+    counted = lean.select("id", "length", F.explode("hits").alias("form")).groupBy("id", "form").agg(F.count("*").alias("times"), F.first("length").alias("length"))
     tf = counted.join(F.broadcast(forms), "form").groupBy("query_id", "id", "term").agg(F.sum("times").alias("tf"), F.first("length").alias("length"))
     df = tf.groupBy("query_id", "term").agg(F.count("*").alias("df"))
     n, mean = F.col("n"), F.col("mean_length")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
     base = tf.join(F.broadcast(df), ["query_id", "term"]).crossJoin(F.broadcast(stats)).groupBy("query_id", "id").agg(F.sum(part).alias("base"))
-    phrases = F.broadcast(queries.select("query_id", text.normalize_search(F.col("query")).alias("phrase")).where("phrase != ''"))
-    whole = tokens.join(phrases, F.contains("plain", "phrase")).select("query_id", "id", F.lit(PHRASE_BONUS).alias("bonus"))
+    whole = lean.select("id", F.explode("phrases").alias("query_id")).withColumn("bonus", F.lit(PHRASE_BONUS))
     return base.join(whole, ["query_id", "id"], "left").select("query_id", "id", (F.col("base") + F.coalesce("bonus", F.lit(0.0))).alias("score")).where("score > 0")
 
 
+def corpus_statistics(docs: DataFrame, text_col: str) -> DataFrame:
+    """(term, df, tf): documents with each token, and its uses in all of them.
+
+    A document counts its own distinct tokens where it lies, so one aggregate, partial in each task, gives both.
+    """
+    tokens = docs.select(text.lexical_tokens(F.col(text_col)).alias("tokens"))
+    use = lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("tf"))
+    once = lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("tf"))
+    rows = tokens.select(F.explode(F.concat(F.transform("tokens", use), F.transform(F.array_distinct("tokens"), once))).alias("x")).select("x.*")
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+
+
 def ranked(scores: DataFrame, partition: str = "query_id", id_col: str = "id", floor: float = 0.0, limit: int | None = None) -> DataFrame:
     """Rank 1, 2, ... of the scores over a floor, best first and by id among equals."""
     rank = F.row_number().over(Window.partitionBy(partition).orderBy(F.desc("score"), F.asc(id_col)))
@@ -70,9 +85,16 @@ def ranked(scores: DataFrame, partition: str = "query_id", id_col: str = "id", f
 
 def vector_scores(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score): cosine of every vector with each of a stated set of query vectors (query_id, query)."""
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    one = lambda part: rows.crossJoin(F.broadcast(part.select("query_id", "query"))).select("query_id", "id", scoring.cosine(F.col("v"), F.col("query")).alias("score"))
-    return in_blocks(queries, one).where("score is not null")
+    # each vector is brought to unit length once; a pair costs one dot product
+    one_length = lambda c: F.when(scoring.norm(c) > 0, scoring.unit(c.cast("array<double>")))
+    rows = vectors.select(F.col(id_col).alias("id"), one_length(F.col(vector_col)).alias("v")).where("v is not null")
+
+    def one(part: DataFrame) -> DataFrame:
+        asked = part.select("query_id", one_length(F.col("query")).alias("q")).where("q is not null")
+        pairs = rows.crossJoin(F.broadcast(asked)).where(F.size("v") == F.size("q"))
+        return pairs.select("query_id", "id", F.least(F.greatest(scoring.dot(F.col("v"), F.col("q")), F.lit(0.0)), F.lit(1.0)).alias("score"))
+
+    return in_blocks(queries, one)
 
 
 def reciprocal_rank_fusion(channels: DataFrame, weights: dict[str, float], k: int = 60) -> DataFrame:
@@ -102,6 +124,10 @@ def hybrid(signals: dict[str, Column], weights: dict[str, float] | None = None)
 
 
 def gated(df: DataFrame, base: Column, gate: float, least: float = 0.0, query: str = "query_id") -> DataFrame:
-    """Rows whose base score reaches the floor, with eligible: whether it is within a share of the query's best."""
+    """Rows whose base score reaches the floor, with eligible: whether it is within a share of the query's best.
+
+    The best is a grouped maximum, partial in each task, and joined back: no query's rows meet in one task.
+    """
     kept = df.withColumn("base", base).where(F.col("base") >= least)
-    return kept.withColumn("eligible", F.col("base") >= F.max("base").over(Window.partitionBy(query)) * gate)
+    top = kept.groupBy(query).agg(F.max("base").alias("top"))
+    return kept.join(top, query).withColumn("eligible", F.col("base") >= F.col("top") * gate).drop("top")
