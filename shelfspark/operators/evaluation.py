@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import scoring
@@ -69,18 +73,27 @@ def missing_and_unknown(expected: DataFrame, found: DataFrame, key: str) -> Data
     return missing.unionByName(found.select(key).join(expected.select(key), key, "left_anti").select(key, F.lit("unknown").alias("problem"))).distinct()
 
 
-def relevance_label(title, rules: list[dict]) -> object:
-    """Label of the first rule that a title meets: any of its phrases, all of its terms, none of the forbidden; else irrelevant."""
-    from ..functions import text
+def relevance_label(title, rules: list[dict], explicit=None) -> object:
+    """Label of the first rule that a title with its evidence meets, else irrelevant; an explicit label wins.
+
+    A rule asks for any of its phrases, all of its terms and none of its forbidden phrases, and has phrases or terms; a
+    term of one word may be in the plural.
+    """
+    hay = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", " ")), F.lit(" "))
+    plain = lambda value: " ".join(re.findall("[a-z0-9]+", value.lower()))
+    has = lambda value: F.contains(hay, F.lit(f" {plain(value)} ")) if plain(value) else F.lit(False)
+
+    def term(value: str):
+        own = plain(value)
+        if not own or " " in own:
+            return has(own)
+        return reduce(or_, map(has, (own, f"{own}s", f"{own}es", *([f"{own[:-1]}ies"] if own.endswith("y") else []))))
 
-    out = None
+    met = []
     for rule in rules:
-        met = F.lit(True)
-        if rule.get("any_phrases"):
-            met = met & text.includes_any(title, rule["any_phrases"])
-        for term in rule.get("all_terms", ()):
-            met = met & text.includes_phrase(title, term)
-        if rule.get("none_phrases"):
-            met = met & ~text.includes_any(title, rule["none_phrases"])
-        out = F.when(met, rule["label"]) if out is None else out.when(met, rule["label"])
-    return F.lit("irrelevant") if out is None else out.otherwise("irrelevant")
+        phrases, terms = rule.get("any_phrases") or [], rule.get("all_terms") or []
+        parts = [reduce(or_, map(has, phrases))] if phrases else []
+        parts += [*map(term, terms), *(~has(p) for p in rule.get("none_phrases") or [])]
+        if phrases or terms:
+            met.append(F.when(reduce(and_, parts), F.lit(rule["label"])))
+    return F.coalesce(*([] if explicit is None else [explicit]), *met, F.lit("irrelevant"))

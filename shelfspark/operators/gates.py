@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import text
+from ..functions import lexicon as lx, text
 
 # Words that a listing's aspects are read from, and source types that are no shops.
 ASPECTS = ("wireless", "bluetooth", "waterproof", "leather", "ergonomic", "mechanical", "portable", "compact", "gaming", "office", "running", "hiking", "standing", "foldable", "rechargeable", "quiet", "adjustable", "lightweight", "vegan")
@@ -99,3 +99,35 @@ def banded_order(score: Column, price: Column, band: float = 0.05) -> list[Colum
 def queue(df: DataFrame, key: str, order: str, most: int = 300) -> DataFrame:
     """Work to do: each key once, the oldest first, up to the queue's size."""
     return df.groupBy(key).agg(F.min(order).alias(order)).orderBy(order, key).limit(most)
+
+
+def has_materials(title: Column, materials: list[str]) -> Column:
+    """Whether a title literally holds every demanded material after imitations, negations and alternatives are blanked."""
+    met = F.lit(True)
+    for m in materials:
+        low = F.lower(title)
+        for pattern in (part.replace("MATERIAL", m) for part in lx.NOT_THE_MATERIAL):
+            low = F.regexp_replace(low, pattern, " ")
+        met = met & F.contains(low, F.lit(m))
+    return met
+
+
+def active_sources(sources: DataFrame, asked: str | None, key: str) -> DataFrame:
+    """Sources whose key is in a request's comma list; all of them without a list. Unknown names are ignored."""
+    names = [x.strip() for x in (asked or "").split(",") if x.strip()]
+    return sources.where(F.col(key).cast("string").isin(names)) if names else sources
+
+
+def source_report(listings: DataFrame, source: str, key: str, order: list[str], samples: int = 3) -> DataFrame:
+    """(source, listings, samples): different listings of each source and the first few of them, of sanitised rows."""
+    first = listings.groupBy(source, key).agg(F.min(F.struct(*order)).alias("at"))
+    place = F.row_number().over(Window.partitionBy(source).orderBy("at", key))
+    counted = first.groupBy(source).agg(F.count("*").alias("listings"))
+    shown = first.withColumn("place", place).where(F.col("place") <= samples).groupBy(source).agg(F.array_sort(F.collect_list(F.struct("place", key))).alias("rows"))
+    return counted.join(shown, source).select(source, "listings", F.transform("rows", lambda r: r[key]).alias("samples"))
+
+
+def details_with_ocr(details: Column, ocr: Column) -> Column:
+    """The parts that aren't empty, a line each; null if none is left."""
+    parts = F.array_compact(F.array(F.nullif(F.trim(details), F.lit("")), F.nullif(F.trim(ocr), F.lit(""))))
+    return F.nullif(F.array_join(parts, "\n"), F.lit(""))

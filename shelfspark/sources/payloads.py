@@ -9,13 +9,15 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
+from operator import or_
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import text
+from ..functions import lexicon as lx, text
 
 LISTING = "external_id string, title string, url string, image_url string, price_minor long, currency string, availability string, details string, rating double, reviews long"
 VARIANT = "struct<id: long, price: string, available: boolean>"
@@ -26,6 +28,8 @@ BESTBUY = "products array<struct<sku: long, name: string, url: string, salePrice
 REDDIT = "data struct<children: array<struct<data: struct<id: string, title: string, selftext: string, url: string, permalink: string, score: long, num_comments: long, is_self: boolean>>>>"
 CONFIG = "baseUrl string, searchUrl string, card string, title string, price string, link string, image string, currency string"
 MOST_CARDS, MOST_POSTS = 12, 15
+#: Characters of a page's last card.
+LAST_BLOCK = 12_000
 
 
 def cents(c: Column) -> Column:
@@ -80,6 +84,56 @@ def rss(payloads: DataFrame, xml_col: str = "xml") -> DataFrame:
     return p.select(F.coalesce(part("guid"), part("link"), F.col("pos").cast("string")).alias("external_id"), text.strip_tags(title).alias("title"), part("link").alias("url"), F.coalesce(F.nullif(text.dollar_price(title), F.lit(0)), text.dollar_price(text.strip_tags(body))).alias("price_minor"), image.alias("image_url"))
 
 
+def _first(block: Column, patterns) -> Column:
+    """The first group of the first pattern that gives text without markup; null if none does."""
+    return F.coalesce(*(F.nullif(text.strip_tags(F.regexp_extract(block, p, 1)), F.lit("")) for p in patterns))
+
+
+def _cut(pages: DataFrame, html_col: str, start: str) -> DataFrame:
+    """(page_id, pos, block): a page's markup cut before every place where a card starts; the last block ends with LAST_BLOCK characters."""
+    parts = F.filter(F.split(F.col(html_col), f"(?={start})"), lambda x: x.rlike(f"^{start}"))
+    p = pages.select("page_id", F.size(parts).alias("n"), F.posexplode(parts).alias("pos", "block"))
+    return p.select("page_id", "pos", F.when(F.col("pos") == F.col("n") - 1, F.substring("block", 1, LAST_BLOCK)).otherwise(F.col("block")).alias("block"))
+
+
+def _dollars(block: Column, pattern: str) -> Column:
+    return F.coalesce(F.round(F.replace(F.regexp_extract(block, pattern, 1), F.lit(",")).try_cast("double") * 100), F.lit(0)).cast("long")
+
+
+def market_state(html: Column) -> Column:
+    """challenge where a page asks whether its reader is human, which is an error; else ok."""
+    return F.when(reduce(or_, (F.contains(html, F.lit(x)) for x in lx.CHALLENGES)), "challenge").otherwise("ok")
+
+
+def market_cards(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(page_id, external_id, title, price_minor, image_url, rating, reviews) of a market's result pages (page_id, html), the first twelve of each.
+
+    A card is a product number with the mark of a result. Pages that are a challenge have none: market_state() tells.
+    """
+    cards = _cut(pages.where(market_state(F.col(html_col)) == "ok"), html_col, 'data-asin="B0[A-Z0-9]{8}"[^>]*data-component-type="s-search-result"')
+    b = F.col("block")
+    none = lambda pattern: F.nullif(F.regexp_extract(b, pattern, 1), F.lit(""))
+    found = cards.select("page_id", "pos", none('data-asin="([^"]+)"').alias("external_id"), _first(b, lx.CARD_TITLES).alias("title"), _dollars(b, r'<span class="a-offscreen">\$([\d,]+(?:\.\d+)?)</span>').alias("price_minor"), none(r'<img[^>]+class="s-image"[^>]+src="([^"]+)"').alias("image_url"), none(r"([\d.]+) out of 5 stars").try_cast("double").alias("rating"), F.replace(none(r'aria-label="([\d,]+) ratings?"'), F.lit(",")).try_cast("long").alias("reviews"))
+    return found.where("title is not null").withColumn("r", F.row_number().over(_by_page())).where(F.col("r") <= MOST_CARDS).drop("r", "pos")
+
+
+def auction_cards(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(page_id, external_id, title, price_minor, image_url, availability) of an auction site's result pages, the first twelve of each.
+
+    A card's number has to be that of its link, or it is a placeholder; of a number that comes twice the first card counts.
+    """
+    cards = _cut(pages, html_col, r'<li class="s-card[^"]*"[^>]*\bdata-listingid="?[0-9]+')
+    b = F.col("block")
+    number, link = F.regexp_extract(b, r'data-listingid="?([0-9]+)', 1), F.regexp_extract(b, r"href=https?://(?:www\.)?[a-z]+\.com/itm/([0-9]+)", 1)
+    shown = F.coalesce(*(F.nullif(F.regexp_extract(b, p, 1), F.lit("")) for p in (r"<img[^>]*class=s-card__image[^>]*\bsrc=([^\s>]+)", r"<img[^>]*\bsrc=([^\s>]+)[^>]*class=s-card__image")))
+    later = F.nullif(F.regexp_extract(b, r"<img[^>]*class=s-card__image[^>]*\bdata-defer-load=([^\s>]+)", 1), F.lit(""))
+    image = F.when(F.contains(shown, F.lit(lx.AUCTION_PLACEHOLDER)) & later.isNotNull(), later).otherwise(shown)
+    state = _first(b, (r"<div class=s-card__subtitle[^>]*>\s*<span[^>]*>([^<]+)</span>",))
+    first = cards.groupBy("page_id", number.alias("external_id")).agg(F.min_by(F.struct("pos", "block"), "pos").alias("c")).select("page_id", "external_id", "c.*")
+    found = first.where(link == F.col("external_id")).select("page_id", "pos", "external_id", _first(b, lx.AUCTION_TITLES).alias("title"), _dollars(b, r'<span class="su-styled-text[^"]*s-card__price[^"]*">\s*\$([\d,]+(?:\.\d+)?)').alias("price_minor"), F.regexp_replace(image, '^"|"$', "").alias("image_url"), F.when(F.contains(F.lower(state), F.lit("new")), "in_stock").alias("availability"))
+    return found.where("title is not null").withColumn("r", F.row_number().over(_by_page())).where(F.col("r") <= MOST_CARDS).drop("r", "pos")
+
+
 def html_cards(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Cards of marketplace result pages (S4, S5): number in the card's id and its link have to agree, twelve a page."""
     cards = F.regexp_extract_all(F.col(html_col), F.lit(r"(?s)<li[^>]+data-id=\"\w+\".*?</li>"), F.lit(0))
