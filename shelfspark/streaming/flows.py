@@ -60,26 +60,37 @@ def breakers(stream: DataFrame, opens_at: int = 3, minutes: int = 5, keep: float
     return rows.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, run long, open boolean, ewma long", "run long, mean long", "append", GroupStateTimeout.NoTimeout)
 
 
+def part(batch: DataFrame, path: str, number: int) -> None:
+    """Writes a micro-batch as its own part of a table; a batch that runs again replaces its part."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
 def upsert_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str], at: str):
-    """Writes each micro-batch's last version of a key as a new part of a table; readers take the last of all parts."""
+    """Writes each micro-batch's last version of a key as a part of a table; latest() merges the parts."""
 
     def write(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), at).alias("row")).select("row.*")
-        last.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        part(batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), at).alias("row")).select("row.*"), path, number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """All that a stream gives for the files there are: run to its end into a table under folder, and read back."""
-    spark = stream.sparkSession
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", f"{folder}/data").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    else:
+def latest(spark: SparkSession, path: str, keys: list[str], *order: str) -> DataFrame:
+    """The last version of each key over all parts, by the columns of `order` and then by batch."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    kept = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*kept), F.struct(*order, "batch")).alias("row")).select("row.*")
+
 
-        def write(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{folder}/data")
+def drained(stream: DataFrame, folder: str, keys: list[str] | None = None) -> DataFrame:
+    """All that a stream gives for the files there are: run to its end into a table under folder, and read back.
 
-        q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/data")
+    With keys, the stream's rows are updates of keyed aggregates: each key's last one counts, and the state of what the
+    watermark has passed is freed.
+    """
+    spark, path = stream.sparkSession, f"{folder}/data"
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if keys is None:
+        writer.format("parquet").option("path", path).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(path)
+    writer.outputMode("update").foreachBatch(lambda batch, number: part(batch, path, number)).start().awaitTermination()
+    return latest(spark, path, keys)
