@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import lexicon as lx, scoring, text
-from ..operators import bundles, entity, evaluation, ranking, relational as rel, retrieval
+from ..operators import bundles, entity, evaluation, gates, ranking, relational as rel, retrieval
 from ..tables import OFFERS_SQL, minor, offers, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,9 +94,7 @@ def lexical_score(spark, sf_dir):
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY term HAVING count(DISTINCT doc_id) > 1""")
 def corpus_stats(spark, sf_dir):
     """Document and collection frequency of every token in more than one document."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.lexical_tokens(F.col("text"))).alias("term"))
-    per = t.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf")).where("df > 1")
+    return retrieval.corpus_statistics(table(spark, sf_dir, "documents"), "text").where("df > 1")
 
 
 # Text functions over titles that the tables give
@@ -118,10 +116,10 @@ def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""WITH t AS (SELECT p_partkey, title, p_partkey % 6 AS k, trim(regexp_replace(regexp_replace(p_name, '\b(?:{'|'.join(lx.URGENCY)})\b', ' ', 'g'), '\s+', ' ', 'g')) AS p_name, p_type, p_brand, CAST(p_size AS VARCHAR) AS s, CAST(1000 + p_size AS VARCHAR) AS m, CAST(p_size % 9 AS VARCHAR) AS x FROM {TITLE_SQL})
-SELECT p_partkey, CASE WHEN length(clean) < 4 THEN trim(title) ELSE clean END AS clean FROM (SELECT p_partkey, title, CASE k WHEN 1 THEN p_name || ' ' || p_type WHEN 2 THEN p_name WHEN 3 THEN '[tools] ' || p_name || ' size ' || s WHEN 4 THEN 'sale' ELSE p_name || ' model WH-' || m || 'XM' || x || ' 64gb' END AS clean FROM t WHERE k <> 0)""")
+SELECT p_partkey, CASE WHEN length(clean) < 4 THEN trim(title) ELSE clean END AS clean FROM (SELECT p_partkey, title, CASE k WHEN 0 THEN p_name || ' ' || p_brand WHEN 1 THEN p_name || ' ' || p_type WHEN 2 THEN p_name WHEN 3 THEN '[tools] ' || p_name || ' size ' || s WHEN 4 THEN 'sale' ELSE p_name || ' model WH-' || m || 'XM' || x || ' 64gb' END AS clean FROM t)""")
 def normalize_title(spark, sf_dir):
     """titles without deal copy (the oracle states the expected title of each pattern)."""
-    return titled(spark, sf_dir).where("p_partkey % 6 != 0").select("p_partkey", text.normalize_title(F.col("title")).alias("clean"))
+    return titled(spark, sf_dir).select("p_partkey", text.normalize_title(F.col("title")).alias("clean"))
 
 
 @query(f"""SELECT p_partkey, substring(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), 1, 80) AS title_key,
@@ -161,11 +159,12 @@ def token_coverage(spark, sf_dir):
 SELECT item_id, doc_id FROM documents, p WHERE contains(' ' || {spec_sql('text')} || ' ', ' ' || phrase || ' ') OR (phrase LIKE '%s' AND contains(' ' || {spec_sql('text')} || ' ', ' ' || phrase[:-2] || ' '))""")
 def phrase_gate(spark, sf_dir):
     """Documents that hold the first two words of a benchmark item, met by the first word's token."""
-    bench = table(spark, sf_dir, "benchmark").select("item_id", F.concat_ws(" ", F.slice(F.split(text.normalize_spec(F.col("text")), " "), 1, 2)).alias("phrase"))
+    bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.slice(F.split(text.normalize_spec(F.col("text")), " "), 1, 2)).alias("phrase"))
     docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize_spec(F.col("text")).alias("plain"))
     grams = docs.select("doc_id", F.split("plain", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat("w", F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))))).alias("gram"))
-    forms = bench.select("item_id", F.explode(F.array_distinct(F.array_compact(F.array("phrase", F.when(F.col("phrase").endswith("s"), F.expr("substring(phrase, 1, length(phrase) - 1)")))))).alias("gram"))
-    return grams.join(forms, "gram").select("item_id", "doc_id").distinct()
+    forms = bench.select("query_id", F.explode(F.array_distinct(F.array_compact(F.array("phrase", F.when(F.col("phrase").endswith("s"), F.expr("substring(phrase, 1, length(phrase) - 1)")))))).alias("gram"))
+    found = retrieval.in_blocks(forms, lambda part: grams.join(F.broadcast(part), "gram"))
+    return found.select(F.col("query_id").alias("item_id"), "doc_id").distinct()
 
 
 MATERIAL_SQL = """(SELECT p_partkey, p_name || CASE p_partkey % 7 WHEN 0 THEN ' leather' WHEN 1 THEN ' faux leather' WHEN 2 THEN ' leather-free' WHEN 3 THEN ' non leather' WHEN 4 THEN ' alternative to leather' WHEN 5 THEN ' wool leather' ELSE '' END AS title FROM part)"""
@@ -177,10 +176,7 @@ def material_gate(spark, sf_dir):
     k = F.col("p_partkey") % 7
     suffix = F.when(k == 0, " leather").when(k == 1, " faux leather").when(k == 2, " leather-free").when(k == 3, " non leather").when(k == 4, " alternative to leather").when(k == 5, " wool leather").otherwise("")
     rows = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", suffix).alias("title"))
-    low = F.lower("title")
-    for pattern in (rf"(?:{'|'.join(lx.FALSE_MATERIAL)})[- ]leather", "leather[- ](?:free|alternative|like|substitute)", r"(?:alternative|substitute)s?\s+(?:to|for)\s+leather", r"(?:no|not|without|non[- ])\s*leather"):
-        low = F.regexp_replace(low, pattern, " ")
-    return rows.select("p_partkey", "title", F.contains(low, F.lit("leather")).alias("leather"))
+    return rows.select("p_partkey", "title", gates.has_materials(F.col("title"), ["leather"]).alias("leather"))
 
 
 @query(f"""SELECT p_partkey, p <= 0 OR ((lo IS NULL OR p >= lo) AND (hi IS NULL OR p <= hi)) AS in_window, (lo IS NULL AND hi IS NULL) OR (p > 0 AND (lo IS NULL OR p >= lo) AND (hi IS NULL OR p <= hi)) AS passes
@@ -241,11 +237,10 @@ def query_keys(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", text.query_hash(t).alias("query_hash"), key.alias("search_key"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 6 = 5 THEN array_to_string(list_distinct_sorted, ' ') ELSE '' END AS ids FROM (SELECT p_partkey, list_sort(list_distinct(['wh' || CAST(1000 + p_size AS VARCHAR) || 'xm' || CAST(p_size % 9 AS VARCHAR), CAST(1000 + p_size AS VARCHAR) || 'xm' || CAST(p_size % 9 AS VARCHAR)])) AS list_distinct_sorted FROM part WHERE p_partkey % 6 IN (2, 4, 5))""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 6 = 5 THEN array_to_string(list_distinct_sorted, ' ') WHEN p_partkey % 6 = 0 THEN regexp_extract(p_brand, '[0-9]{2,6}') WHEN p_partkey % 6 = 3 AND p_size > 9 THEN CAST(p_size AS VARCHAR) ELSE '' END AS ids FROM (SELECT p_partkey, p_brand, p_size,  list_sort(list_distinct(['wh' || CAST(1000 + p_size AS VARCHAR) || 'xm' || CAST(p_size % 9 AS VARCHAR), CAST(1000 + p_size AS VARCHAR) || 'xm' || CAST(p_size % 9 AS VARCHAR)])) AS list_distinct_sorted FROM part)""")
 def identity_tokens(spark, sf_dir):
     """model-like tokens of titles; measures such as 64gb are none."""
-    rows = titled(spark, sf_dir).where("p_partkey % 6 in (2, 4, 5)")
-    return rows.select("p_partkey", F.concat_ws(" ", F.array_sort(text.identity_tokens(F.col("title")))).alias("ids"))
+    return titled(spark, sf_dir).select("p_partkey", F.concat_ws(" ", F.array_sort(text.identity_tokens(F.col("title")))).alias("ids"))
 
 
 @query("""SELECT p_partkey, round(least(1, greatest(0, 0.55 + CASE WHEN c > 0 THEN 0.12 ELSE 0 END + CASE WHEN p_size % 2 = 0 THEN 0.08 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 0.1 WHEN p_size % 3 = 1 THEN -0.35 ELSE 0 END + CASE WHEN p_size >= 10 THEN 0.05 ELSE 0 END + CASE WHEN p_size % 5 >= 4 THEN 0.05 ELSE 0 END)), 6) AS quality,
@@ -364,8 +359,8 @@ def duplicate_groups(spark, sf_dir):
 @query("""SELECT DISTINCT l_suppkey, l_partkey, min(l_orderkey) OVER (PARTITION BY l_partkey, l_suppkey) AS keeper, count(*) OVER (PARTITION BY l_partkey, l_suppkey) AS offers FROM lineitem""")
 def recluster_keepers(spark, sf_dir):
     """The offer that stays for each product and source."""
-    rows = table(spark, sf_dir, "lineitem")
-    return rows.groupBy("l_suppkey", "l_partkey").agg(F.min("l_orderkey").alias("keeper"), F.count("*").alias("offers"))
+    kept = entity.keepers(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
+    return kept.groupBy("l_suppkey", "l_partkey").agg(F.min(F.when(F.col("keep"), F.col("l_orderkey"))).alias("keeper"), F.count("*").alias("offers"))
 
 
 @query(f"""SELECT product_id, count(DISTINCT source_id) AS sources, count(*) AS listings FROM {OFFERS_SQL} o JOIN part ON p_partkey = product_id WHERE p_name NOT LIKE 'sponsored%' GROUP BY product_id HAVING count(DISTINCT source_id) >= 2 ORDER BY sources DESC, listings DESC, product_id LIMIT 10""")
@@ -584,14 +579,14 @@ def centroid_assign(spark, sf_dir):
     return entity.nearest_centroid(v, entity.centroids(v, "label", "embedding"), "label", "embedding", "vec_id").select("id", "label", F.round("score", 6).alias("score"))
 
 
-@query("""WITH h AS (SELECT s_suppkey AS id, xor(CAST('0x' || substr(md5(CAST(s_nationkey AS VARCHAR)), 1, 15) AS BIGINT), CAST(1 AS BIGINT) << CAST(s_suppkey % 59 AS INT)) AS hash FROM supplier), u AS (SELECT * FROM h WHERE bit_count(hash) BETWEEN 4 AND 60)
+@query("""WITH h AS (SELECT s_suppkey AS id, xor(CAST('0x' || substr(md5(CAST(s_suppkey // 5 AS VARCHAR)), 1, 15) AS BIGINT), CAST(1 AS BIGINT) << CAST(s_suppkey % 59 AS INT)) AS hash FROM supplier), u AS (SELECT * FROM h WHERE bit_count(hash) BETWEEN 4 AND 60)
 SELECT l.id AS left_id, r.id AS right_id, CAST(bit_count(xor(l.hash, r.hash)) AS BIGINT) AS distance FROM u l, u r WHERE l.id < r.id AND bit_count(xor(l.hash, r.hash)) <= 6""")
 def hamming_join(spark, sf_dir):
-    """Pairs of 64-bit hashes within six bits, by seven bands. The hash is the nation's with one bit flipped."""
-    nation = F.conv(F.substring(F.md5(F.col("s_nationkey").cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+    """Pairs of 64-bit hashes within six bits, by seven bands. Five suppliers in a row share a hash but for one bit."""
+    common = F.conv(F.substring(F.md5(F.floor(F.col("s_suppkey") / 5).cast("long").cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
     flip = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s_suppkey") % 59).cast("int"))
-    h = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), nation.bitwiseXOR(flip).alias("hash"))
-    return entity.hamming_pairs(h, h).where("left_id < right_id")
+    h = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), common.bitwiseXOR(flip).alias("hash"))
+    return entity.hamming_pairs(h, h, within=True)
 
 
 @query("""WITH v AS (SELECT vec_id, embedding FROM embeddings), s AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN i ELSE 0 END)) AS places, list_sum(list_transform(embedding, lambda x: CAST(x > 0 AS INT))) AS bits FROM v) SELECT vec_id, CAST(bits AS BIGINT) AS bits, bits BETWEEN 4 AND 60 AS useful FROM s""")
@@ -605,8 +600,53 @@ def image_hash(spark, sf_dir):
 def mmr_diversify(spark, sf_dir):
     """Diversified order of each label's vectors."""
     v = table(spark, sf_dir, "embeddings")
-    rows = v.select(F.col("label").alias("query_id"), F.col("vec_id").alias("id"), (1.0 - (F.col("vec_id") * 37 % 101) / 150.0).alias("base"), "embedding", F.array(F.concat(F.lit("a"), (F.col("vec_id") % 7).cast("string"))).alias("aspects"), F.concat(F.lit("s"), (F.col("vec_id") % 5).cast("string")).alias("source"), F.concat(F.lit("m"), (F.col("vec_id") % 50).cast("string")).alias("model"))
-    return ranking.diversify(rows)
+    tag = lambda letter, n: F.concat(F.lit(letter), (F.col("vec_id") % n).cast("string"))
+    rows = v.select(F.col("label").alias("query_id"), F.col("vec_id").alias("id"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("key"), (1.0 - (F.col("vec_id") * 37 % 101) / 150.0).alias("base"), "embedding", F.array(tag("a", 7)).alias("aspects"), F.array(tag("w", 11), tag("v", 3)).alias("words"), tag("s", 5).alias("source"), tag("m", 50).alias("model"))
+    return ranking.diversify(rows, 0.7).select("query_id", "id", "base", "final", "relaxed", "position")
+
+
+ENTITY_SQL = f"""c AS (SELECT p_brand AS query_id, p_partkey AS id, 's' || CAST(p_partkey % 7 AS VARCHAR) AS source, CASE WHEN p_partkey % 3 = 0 THEN 'gtin:' || replace({norm_sql('p_type')}, ' ', '') || CAST(p_size AS VARCHAR) WHEN p_partkey % 3 = 1 THEN 'model:' || {norm_sql('p_brand')} || ':' || {norm_sql('p_type')} ELSE 'canonical:' || replace({norm_sql('p_name')}, ' ', '') END AS key,
+ CASE WHEN p_partkey % 4 > 0 THEN p_size / 50.0 - 0.3 END AS semantic, p_partkey % 11 / 10.0 AS lexical, p_partkey % 10 / 9.0 AS relevance, CASE WHEN p_partkey % 5 > 0 THEN 0.5 END AS quality FROM part),
+ch AS (SELECT p_brand AS query_id, p_partkey AS id, 'lexical:literal' AS channel, 2.2 AS w, 1 + p_partkey * 7919 % 97 AS rank FROM part UNION ALL SELECT p_brand, p_partkey, 'semantic', 1.0, 1 + p_partkey * 104729 % 89 FROM part WHERE p_partkey % 4 > 0 UNION ALL SELECT p_brand, p_partkey, 'native:0', 1.35, 1 + p_partkey % 31 FROM part WHERE p_partkey % 2 = 0),
+f AS (SELECT query_id, id, sum(w / (60 + rank)) / (5.3 / 61) AS rrf FROM ch GROUP BY ALL)"""
+
+
+def base_sql(rrf: str) -> str:
+    sem, bound = "CASE WHEN semantic < 0 THEN (semantic + 1) / 2 ELSE semantic END", "least(1.0, greatest(0.0, {}))"
+    weight = {"0.25": ("semantic", bound.format(sem)), "0.12": ("lexical", bound.format("lexical")), "0.18": ("relevance", bound.format("relevance")), "0.05": ("quality", bound.format("quality"))}
+    total = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE {w} END" for w, (c, _) in weight.items())
+    return f"round((0.4 * {bound.format(rrf)} + {' + '.join(f'coalesce({w} * {v}, 0)' for w, (_, v) in weight.items())}) / (0.4 + {total}), 9)"
+
+
+@query(f"""WITH {ENTITY_SQL}, o AS (SELECT c.*, {base_sql('rrf')} AS own FROM c JOIN f USING (query_id, id)), p AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY own DESC, id) AS r FROM o),
+g AS (SELECT query_id, key, max(CASE WHEN r = 1 THEN id END) AS id, count(*) AS offers, count(DISTINCT source) AS sources, max(semantic) AS semantic, max(lexical) AS lexical, max(relevance) AS relevance, max(quality) AS quality FROM p GROUP BY ALL),
+m AS (SELECT query_id, key, channel, any_value(w) AS w, min(rank) AS rank FROM ch JOIN c USING (query_id, id) GROUP BY query_id, key, channel), e AS (SELECT query_id, key, sum(w / (60 + rank)) / (5.3 / 61) AS rrf FROM m GROUP BY ALL),
+b AS (SELECT g.*, {base_sql('rrf')} AS base FROM g JOIN e USING (query_id, key)), k AS (SELECT *, max(base) OVER (PARTITION BY query_id) AS top FROM b WHERE base >= 0.2) SELECT query_id, key, id, offers, sources, round(base, 6) AS base, base >= top * 0.8 AS eligible FROM k""")
+def search_entities(spark, sf_dir):
+    """Offers with numbers, models or neither as entities, with their own base score, the floor and the gate."""
+    k = F.col("p_partkey")
+    none = F.lit(None).cast("string")
+    key = ranking.canonical_key(F.col("p_name"), F.col("p_brand"), F.when(k % 3 == 1, F.col("p_type")), {"canonical": F.when(k % 3 == 2, F.col("p_name")).otherwise(none), "gtin": F.when(k % 3 == 0, F.concat("p_type", F.col("p_size").cast("string"))).otherwise(none)})
+    model = ranking.model_key(F.col("p_brand"), F.when(k % 3 == 1, F.col("p_type")))
+    part = table(spark, sf_dir, "part").withColumn("query_id", F.col("p_brand")).withColumn("id", k)
+    rows = part.select("query_id", "id", key.alias("key"), F.concat(F.lit("s"), (k % 7).cast("string")).alias("source"), model.alias("model"), F.col("p_name").alias("title"), F.array_distinct(text.title_tokens(F.col("p_name"))).alias("words"), F.array("p_type").alias("aspects"), F.lit(None).cast("array<double>").alias("embedding"), F.when(k % 4 > 0, F.col("p_size") / 50.0 - 0.3).alias("semantic"), (k % 11 / 10.0).alias("lexical"), (k % 10 / 9.0).alias("relevance"), F.when(k % 5 > 0, 0.5).alias("quality"))
+    at = lambda df, name, rank: df.select("query_id", "id", F.lit(name).alias("channel"), rank.cast("long").alias("rank"))
+    channels = at(part, "lexical:literal", 1 + k * 7919 % 97).unionByName(at(part.where(k % 4 > 0), "semantic", 1 + k * 104729 % 89)).unionByName(at(part.where(k % 2 == 0), "native:0", 1 + k % 31))
+    found = ranking.entities(rows, channels, {"lexical:literal": 2.2, "lexical:expanded": 0.75, "semantic": 1.0, "native:0": 1.35})
+    return ranking.gated(found, F.lit(0.8), 0.2).select("query_id", "key", "id", "offers", "sources", F.round("base", 6).alias("base"), "eligible")
+
+
+@query("""WITH v AS (SELECT vec_id, label, embedding, 'm' || CAST(vec_id % 40 AS VARCHAR) AS model, [CAST(vec_id % 5 AS VARCHAR), CAST(vec_id % 3 AS VARCHAR)] AS words, CASE WHEN vec_id % 6 = 0 THEN [] ELSE ['a' || CAST(vec_id % 2 AS VARCHAR)] END AS aspects FROM embeddings), f AS (SELECT label, min(vec_id) AS first FROM v GROUP BY 1),
+p AS (SELECT a.vec_id, a.model = b.model AS same, a.vec_id % 9 = 0 AS blind, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / sqrt(list_sum(list_transform(a.embedding, lambda z: CAST(z AS DOUBLE) * z)) * list_sum(list_transform(b.embedding, lambda z: CAST(z AS DOUBLE) * z))) AS c,
+ len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) AS t, CASE WHEN len(a.aspects) = 0 OR len(b.aspects) = 0 THEN 0.0 WHEN a.aspects[1] = b.aspects[1] THEN 1.0 ELSE 0.0 END AS s FROM v a JOIN f USING (label) JOIN v b ON b.vec_id = f.first)
+SELECT vec_id, round(CASE WHEN same THEN 1.0 WHEN blind THEN 0.75 * t + 0.25 * s ELSE 0.65 * least(1, greatest(0, c)) + 0.25 * t + 0.1 * s END, 6) AS similarity FROM p""")
+def entity_similarity(spark, sf_dir):
+    """Similarity of each vector's entity with its label's first, where some have no vector."""
+    k = F.col("vec_id")
+    v = table(spark, sf_dir, "embeddings").select(k, "label", "embedding", F.concat(F.lit("m"), (k % 40).cast("string")).alias("model"), F.array((k % 5).cast("string"), (k % 3).cast("string")).alias("words"), F.when(k % 6 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.concat(F.lit("a"), (k % 2).cast("string")))).alias("aspects"))
+    first = v.groupBy("label").agg(F.min_by(F.struct("model", "embedding", "words", "aspects"), "vec_id").alias("f"))
+    own = F.when(k % 9 != 0, F.col("embedding"))
+    return v.join(F.broadcast(first), "label").select("vec_id", F.round(scoring.entity_similarity(F.col("model"), own, F.col("words"), F.col("aspects"), F.col("f.model"), F.col("f.embedding"), F.col("f.words"), F.col("f.aspects")), 6).alias("similarity"))
 
 
 CHANNEL_SQL = """ch AS (SELECT lang AS query_id, doc_id AS id, 'literal' AS channel, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents

@@ -2,36 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import scoring, text
-from ..operators import entity, gates, relational as rel
+from ..functions import lexicon as lx, scoring, text
+from ..operators import entity, gates, ranking, relational as rel
+from ..session import shared_folder
 from ..sources import payloads
 from ..streaming import flows
 from ..tables import minor, offers, table
 from . import search, spec
-from .catalog import EVENT_PRICE_SQL, cents_sql, norm_sql, query
+from .catalog import EVENT_PRICE_SQL, cents_sql, norm_sql, query, quoted, tokens_sql
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder for a stream's table and state: in spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='streams-')}"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder for a stream's table and state, in the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 # Payloads written from the tables and read as sources
 
+#: Products of a page of a shop's catalogue.
+PAGE = 250
+
 
 @query(f"SELECT CAST(p_partkey AS VARCHAR) AS external_id, CASE WHEN contains(lower(p_name), lower(p_type)) THEN p_name ELSE p_name || ' ' || p_type END AS title, {cents_sql('p_retailprice')} AS price_minor, CASE WHEN p_size % 2 = 0 OR p_size % 3 = 0 THEN 'in_stock' ELSE 'out' END AS availability, p_type || ' sale-item' AS details FROM part")
 def shopify_scan(spark, sf_dir):
-    """Catalogue payloads, one for each brand."""
+    """Catalogue payloads of up to PAGE products, as shops give them."""
     p = table(spark, sf_dir, "part")
     variant = lambda price, ok: F.struct(F.lit(1).alias("id"), price.alias("price"), ok.alias("available"))
     product = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.concat(F.lit("h"), F.col("p_partkey").cast("string")).alias("handle"), F.col("p_type").alias("product_type"), F.array(F.lit("sale-item"), F.lit("sys:hidden")).alias("tags"), F.lit("<p></p>").alias("body_html"), F.array(variant((F.col("p_retailprice") + 5).cast("string"), F.col("p_size") % 2 == 0), variant(F.col("p_retailprice").cast("string"), F.col("p_size") % 3 == 0), variant(F.lit("0"), F.lit(False))).alias("variants"))
-    raw = p.groupBy("p_brand", (F.col("p_partkey") % 50).alias("page")).agg(F.collect_list(product).alias("products")).select(F.to_json(F.struct("products")).alias("json"))
+    raw = p.groupBy(F.floor(F.col("p_partkey") / PAGE).alias("page")).agg(F.collect_list(product).alias("products")).select(F.to_json(F.struct("products")).alias("json"))
     return payloads.shopify(raw).select("external_id", "title", "price_minor", "availability", "details")
 
 
@@ -91,11 +93,11 @@ def selector_cards(spark, sf_dir):
     return found.groupBy("page_id").agg(F.count("*").alias("cards"))
 
 
-@query("SELECT page_id, 'P' || CAST(page_id AS VARCHAR) AS title, page_id * 100 + 99 AS price_minor, CASE WHEN page_id % 2 = 0 THEN 'in_stock' ELSE 'out' END AS availability FROM pages WHERE page_id > 0")
+@query("SELECT page_id, 'P' || CAST(page_id AS VARCHAR) AS title, page_id * 100 + 99 AS price_minor, CASE WHEN page_id % 2 = 0 THEN 'in_stock' ELSE 'out' END AS availability FROM pages")
 def jsonld_scan(spark, sf_dir):
     """Products of JSON-LD that is put into every page."""
     block = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"ItemList","itemListElement":[{"@type":"ListItem","item":{"@type":"Product","name":"P'), F.col("page_id").cast("string"), F.lit('","url":"/x","offers":[{"price":"0"},{"price":"$'), F.col("page_id").cast("string"), F.lit('.99","availability":"https://schema.org/'), F.when(F.col("page_id") % 2 == 0, "InStock").otherwise("OutOfStock"), F.lit('"}]}}]}]}</script>'))
-    rows = table(spark, sf_dir, "pages").where("page_id > 0").select("page_id", "url", F.concat(block, "html").alias("html"))
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(block, "html").alias("html"))
     return payloads.jsonld_listings(rows).select("page_id", "title", "price_minor", "availability")
 
 
@@ -162,30 +164,47 @@ def product_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(k.alias("query_id"), q.alias("query"))
 
 
+def with_vectors(spark: SparkSession, sf_dir: str, rows: DataFrame, key, name: str) -> DataFrame:
+    """rows with the vector whose number is key; none where there is no such vector."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_vector"), F.col("embedding").cast("array<double>").alias(name))
+    return rows.withColumn("_vector", key).join(v, "_vector", "left").drop("_vector")
+
+
+def searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as listings and the stated queries, with vectors where the embeddings have one of their number."""
+    return with_vectors(spark, sf_dir, products(spark, sf_dir), F.col("id"), "embedding"), with_vectors(spark, sf_dir, product_queries(spark, sf_dir), F.col("query_id"), "query_embedding")
+
+
 @query()
 def role_decisions(spark, sf_dir):
     """Role of every part for each of the stated queries that it shares a word with."""
-    rows = search.eligible_candidates(products(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<double>")), product_queries(spark, sf_dir).withColumn("query_embedding", F.lit(None).cast("array<double>")))
+    rows = search.eligible_candidates(*searched(spark, sf_dir))
     return rows.select("query_id", "id", "role", "confidence", F.round("lexical", 6).alias("lexical"), F.round("quality", 6).alias("quality"))
 
 
 @query()
 def search_products(spark, sf_dir):
-    """The whole search plan for each of the stated queries."""
-    listings = products(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<double>"))
-    found = search.search(listings, product_queries(spark, sf_dir).withColumn("query_embedding", F.lit(None).cast("array<double>")), sources=6)
+    """The whole search plan for each of the stated queries, with vectors and each source's own order."""
+    listings, asked = searched(spark, sf_dir)
+    # a source's own order: its parts by number, the same for every query; a part's place in it is a sixth of its number
+    order = listings.where("not cached").select("id", "source", (F.floor(F.col("id") / 6) + 1).alias("rank"))
+    found = search.search(listings, asked, sources=6, native=order)
     return found.select("query_id", "id", "position", F.round("base", 6).alias("base"), F.round("final", 6).alias("final"), "relaxed")
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'gtin:' || lower(p_brand_key) WHEN p_partkey % 3 = 1 THEN 'model:' || p_brand_key || ':' || lower(p_type) ELSE 'title:' || replace(p_name, ' ', '-') END AS key FROM (SELECT *, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS p_brand_key FROM part WHERE p_partkey % 3 = 1
-UNION ALL SELECT *, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g')) AS p_brand_key FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT *, '' FROM part WHERE p_partkey % 3 = 2 AND NOT regexp_matches(p_name, '\\b(black|white|blue|red|green|silver|gold|new)\\b'))""")
+FINGERPRINT_SQL = f"coalesce(nullif(array_to_string(list_filter({tokens_sql('p_name', lx.TITLE_NOISE)}, lambda t: t NOT IN ({quoted(lx.FINGERPRINT_NOISE)}))[1:12], '-'), ''), {norm_sql('p_name')})"
+
+
+@query(f"""SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'canonical:c' || p_size WHEN 1 THEN 'gtin:0' || p_size WHEN 2 THEN 'upc:' || p_size || '9' WHEN 3 THEN 'ean:e' || p_size WHEN 4 THEN 'asin:b0' || p_size
+ WHEN 5 THEN 'model:' || {norm_sql('p_brand')} || ':' || {norm_sql('p_type')} WHEN 6 THEN 'model:unknown:m' || p_size ELSE 'title:' || {FINGERPRINT_SQL} END AS key FROM part""")
 def canonical_keys(spark, sf_dir):
-    """the strongest identity of each listing: number, then brand and model, then title."""
-    k, n = F.col("p_partkey"), text.normalize_search
-    number = F.when(k % 3 == 0, F.concat(F.lit("gtin:"), F.replace(n(F.col("p_brand")), F.lit(" "))))
-    model = F.when(k % 3 == 1, F.concat(F.lit("model:"), n(F.col("p_brand")), F.lit(":"), n(F.col("p_type"))))
-    rows = table(spark, sf_dir, "part").where(~((k % 3 == 2) & F.col("p_name").rlike(r"\b(black|white|blue|red|green|silver|gold|new)\b")))
-    return rows.select(k.alias("id"), F.coalesce(number, model, F.concat(F.lit("title:"), text.title_fingerprint(F.col("p_name")))).alias("key"))
+    """the strongest identity of each listing: five kinds of numbers, brand and model, part number, title."""
+    k, size = F.col("p_partkey") % 8, F.col("p_size").cast("string")
+    # a stronger number comes with weaker ones
+    at = lambda most, value: F.when((k <= most) & (k >= 0), value)
+    numbers = {"canonical": at(0, F.concat(F.lit("C-"), size)), "gtin": at(1, F.concat(F.lit("0 "), size)), "upc": at(2, F.concat(size, F.lit("-9"))), "ean": at(3, F.concat(F.lit("E"), size)), "asin": at(4, F.concat(F.lit("B0"), size))}
+    key = ranking.canonical_key(F.col("p_name"), F.when(k != 6, F.col("p_brand")), F.when(k == 5, F.col("p_type")), numbers, F.when(k == 6, F.concat(F.lit("M "), size)))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), key.alias("key"))
 
 
 @query("""WITH t AS (SELECT p_partkey, p_brand, list_distinct(string_split(p_name, ' ')) AS w FROM part), m AS (SELECT p_brand, arg_min(w, p_partkey) AS b FROM t GROUP BY 1)
@@ -245,7 +264,7 @@ def entity_cascade(spark, sf_dir):
 @query(f"SELECT date_trunc('hour', ts) AS hour, min(price) AS low FROM {EVENT_PRICE_SQL} WHERE price > 0 GROUP BY 1")
 def stream_hourly_min(spark, sf_dir):
     """Hourly minima over a file stream run to its end."""
-    found = flows.drained(flows.hourly_min(flows.events(spark, sf_dir)), scratch(spark, "hourly"), "complete")
+    found = flows.drained(flows.hourly_min(flows.events(spark, sf_dir)), scratch(spark, "hourly"), ["hour"])
     return found.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "low")
 
 
@@ -321,15 +340,15 @@ def cluster_relevance(spark, sf_dir):
     return gates.relevant_clusters(rows, "p_brand", text.lit_array(("blue", "bolts")), 90000, 150000).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("""WITH a AS (SELECT source AS query_id, doc_id, doc_id % 10 / 20.0 AS score FROM documents WHERE doc_id % 17 = 0), b AS (SELECT source AS query_id, doc_id, doc_id % 10 / 15.0 AS score FROM documents WHERE doc_id % 13 = 0),
+@query("""WITH a AS (SELECT n_chars AS query_id, doc_id, doc_id % 10 / 20.0 AS score FROM documents), b AS (SELECT n_chars AS query_id, doc_id, doc_id % 10 / 15.0 AS score FROM documents),
 sa AS (SELECT query_id, count(*) AS n, max(score) AS top FROM a GROUP BY 1), sb AS (SELECT query_id, count(*) AS n, max(score) AS top FROM b GROUP BY 1),
 u AS (SELECT sb.query_id FROM sb LEFT JOIN sa USING (query_id) WHERE (coalesce(sa.n, 0) < 3 OR coalesce(sa.top, 0) < 0.32) AND (sb.n > coalesce(sa.n, 0) OR sb.top > coalesce(sa.top, 0)))
 SELECT query_id, doc_id, 0 AS variant FROM a WHERE query_id NOT IN (SELECT query_id FROM u) UNION ALL SELECT query_id, doc_id, 1 FROM b WHERE query_id IN (SELECT query_id FROM u)""")
 def recall_expansion(spark, sf_dir):
-    """The wider variant where the first finds too little."""
+    """The wider variant where the first finds too little; texts of one length are a query's results in both."""
     k = F.col("doc_id")
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), "doc_id")
-    return gates.expanded_recall(d.where("doc_id % 17 = 0").withColumn("score", k % 10 / 20.0), d.where("doc_id % 13 = 0").withColumn("score", k % 10 / 15.0)).select("query_id", "doc_id", "variant")
+    d = table(spark, sf_dir, "documents").select(F.col("n_chars").alias("query_id"), "doc_id")
+    return gates.expanded_recall(d.withColumn("score", k % 10 / 20.0), d.withColumn("score", k % 10 / 15.0)).select("query_id", "doc_id", "variant")
 
 
 @query("""SELECT user_id, min(epoch_us(ts)) AS first FROM events WHERE event_type = 'view' GROUP BY 1 ORDER BY 2, 1 LIMIT 300""")

@@ -118,15 +118,70 @@ def test_fusion(spark):
 def test_mmr_keeps_caps_and_permutes():
     r = np.random.default_rng(0)
     n = 40
-    pdf = pd.DataFrame({"query_id": 1, "id": range(n), "base": r.random(n), "embedding": list(r.standard_normal((n, 4))), "aspects": [[f"a{i % 3}"] for i in range(n)], "source": [f"s{i % 4}" for i in range(n)], "model": [f"m{i % 20}" for i in range(n)]})
-    out = ranking.mmr_order(pdf, 0.7, 12, 3, 1)
+    pdf = pd.DataFrame({"query_id": 1, "id": range(n), "base": r.random(n), "embedding": list(r.standard_normal((n, 4))), "aspects": [[f"a{i % 3}"] for i in range(n)], "source": [f"s{i % 4}" for i in range(n)], "model": [f"m{i % 20}" for i in range(n)], "key": [f"{i:03}" for i in range(n)], "words": [[f"w{i % 9}"] for i in range(n)], "lam": 0.7})
+    out = ranking.mmr_order(pdf, 12, 3, 1)
     assert len(out) == 12 == out["id"].nunique() and list(out["position"]) == list(range(1, 13))
     free = out[~out["relaxed"]]
     picked = pdf.set_index("id").loc[free["id"]]
     assert picked["source"].value_counts().max() <= 3 and picked["model"].value_counts().max() == 1
     assert out.iloc[0]["id"] == pdf.sort_values("base").iloc[-1]["id"]
-    alike = pdf.assign(embedding=[[1.0, 0.0]] * n, aspects=[[]] * n, source=[str(i) for i in range(n)], model=None)
-    assert list(ranking.mmr_order(alike, 0.9, 10, 3, 1)["id"]) == list(pdf.sort_values("base", ascending=False)["id"][:10])
+    alike = pdf.assign(embedding=[[1.0, 0.0]] * n, aspects=[[]] * n, words=[["w"]] * n, source=[str(i) for i in range(n)], model=None)
+    assert list(ranking.mmr_order(alike.assign(lam=0.9), 10, 3, 1)["id"]) == list(pdf.sort_values("base", ascending=False)["id"][:10])
+
+
+def brute_mmr(rows, lam, results, per_source, per_model):
+    """The definition, place after place, with all pairs compared anew."""
+
+    def share(x, y):
+        return len(set(x) & set(y)) / len(set(x) | set(y)) if x and y else 0.0
+
+    def alike(x, y):
+        if x["model"] is not None and x["model"] == y["model"]:
+            return 1.0
+        titles, tags = share(x["words"], y["words"]), share(x["aspects"], y["aspects"])
+        u, v = x["embedding"], y["embedding"]
+        if not u or not v:
+            return 0.75 * titles + 0.25 * tags
+        cosine = sum(a * b for a, b in zip(u, v)) / (sum(a * a for a in u) * sum(b * b for b in v)) ** 0.5
+        return 0.65 * min(1, max(0, cosine)) + 0.25 * titles + 0.1 * tags
+
+    picks = []
+    while len(picks) < min(results, len(rows)):
+        scored = []
+        for x in (x for x in rows if x not in picks):
+            seen = [a for p in picks for a in p["aspects"]]
+            gain = sum(1 / (1 + seen.count(a)) for a in x["aspects"]) / len(x["aspects"]) if x["aspects"] else 0.0
+            final = lam * x["base"] + (1 - lam) * (0.6 * (1 - max([0, *(alike(x, p) for p in picks)])) + 0.4 * gain)
+            full = sum(p["source"] == x["source"] for p in picks) >= per_source or x["model"] is not None and sum(p["model"] == x["model"] for p in picks) >= per_model
+            scored.append((full, -round(final, 12), -x["base"], x["key"], x))
+        picks.append(min(scored, key=lambda s: s[:4])[4])
+    return [p["id"] for p in picks]
+
+
+def test_diversified_order_against_brute_force(spark):
+    r = np.random.default_rng(4)
+    rows = [{"query_id": q, "id": 100 * q + i, "key": f"k{i:03}", "base": float(r.integers(40, 100)) / 100, "words": [f"w{w}" for w in set(r.integers(0, 8, 3))], "aspects": [f"a{a}" for a in set(r.integers(0, 5, r.integers(0, 3)))], "embedding": None if i % 7 == 0 else r.standard_normal(5).tolist(), "source": f"s{r.integers(3)}", "model": None if i % 3 == 0 else f"m{r.integers(9)}", "lam": 0.6 + q / 10} for q in (1, 2) for i in range(30 + 10 * q)]
+    df = spark.createDataFrame(rows, "query_id long, id long, key string, base double, words array<string>, aspects array<string>, embedding array<double>, source string, model string, lam double")
+    want = {q: brute_mmr([x for x in rows if x["query_id"] == q], 0.6 + q / 10, 9, 3, 1) for q in (1, 2)}
+    for pool in (500, 45, 10):  # all in tasks; one query of each kind; all by distributed places
+        got = ranking.diversify(df, None, 9, 3, 1, pool).orderBy("position").collect()
+        assert {q: [x.id for x in got if x.query_id == q] for q in (1, 2)} == want
+    gated = ranking.gated(df, F.lit(0.8), 0.5)
+    found = ranking.ranked(gated, 60, 3, 1).orderBy("position").collect()
+    for q in (1, 2):
+        mine, own = [x for x in found if x.query_id == q], [x for x in rows if x["query_id"] == q and x["base"] >= 0.5]
+        top = max(x["base"] for x in own)
+        near = [x for x in own if x["base"] >= top * 0.8]
+        tail = [x["id"] for x in sorted((x for x in own if x not in near), key=lambda x: (-x["base"], x["key"]))]
+        assert [x.id for x in mine] == [*brute_mmr(near, 0.6 + q / 10, 60, 3, 1), *tail] and [x.position for x in mine] == list(range(1, len(own) + 1))
+
+
+def test_keys(spark):
+    t, b = F.col("t"), F.lit("Sony")
+    assert one(spark, ranking.canonical_key(t, b, F.lit(None).cast("string"), {"upc": F.lit("00-12 "), "gtin": F.lit("")}), t="New Black Kettle") == "upc:0012"
+    assert one(spark, ranking.canonical_key(t, b, F.lit("WH 1"), {"asin": F.lit(None).cast("string")}), t="x") == "model:sony:wh 1"
+    assert one(spark, ranking.canonical_key(t, F.lit(None).cast("string"), F.lit(None).cast("string"), mpn=F.lit("A 7")), t="x") == "model:unknown:a7"
+    assert one(spark, ranking.canonical_key(t, b, F.lit(" ")), t="New Black Kettle") == "title:" + one(spark, text.title_fingerprint(t), t="New Black Kettle")
 
 
 def test_entities(spark):
@@ -195,7 +250,13 @@ def test_files(spark, tmp_path):
 def test_upsert_stream(spark, tmp_path):
     q = flows.upsert_sink(flows.events(spark, SMALL), f"{tmp_path}/out", f"{tmp_path}/state", ["user_id"], "ts")
     q.awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out")
+    got = flows.latest(spark, f"{tmp_path}/out", ["user_id"], "ts")
+    last = spark.read.parquet(f"{SMALL}/events.parquet").groupBy("user_id").agg(F.max_by("event_id", "ts").alias("event_id"))
+    assert {(r.user_id, r.event_id) for r in got.collect()} == {(r.user_id, r.event_id) for r in last.collect()}
+    # a batch that runs again replaces its part
+    flows.part(got.limit(3), f"{tmp_path}/again", 0)
+    flows.part(got.limit(3), f"{tmp_path}/again", 0)
+    assert spark.read.parquet(f"{tmp_path}/again").count() == 3
     assert got.count() == got.select("user_id").distinct().count() == spark.read.parquet(f"{SMALL}/events.parquet").select("user_id").distinct().count()
 
 
