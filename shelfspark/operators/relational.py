@@ -122,3 +122,113 @@ def orphans(parents: DataFrame, children: DataFrame, key: str, child_key: str) -
 def with_children(parents: DataFrame, children: DataFrame, key: str, child_key: str) -> DataFrame:
     """Parents with at least one child."""
     return parents.join(children.select(F.col(child_key).alias(key)), key, "left_semi")
+
+
+#: Largest alert of a saved product, in minor units.
+MOST_ALERT = 100_000_000
+#: Source types that a user may remove.
+REMOVABLE = ("shopify", "woocommerce", "generic-html")
+
+
+def wishlist(saved: DataFrame, actions: DataFrame, products: DataFrame) -> DataFrame:
+    """(product_id, alert) after actions (product_id, at, action, alert): save, unsave and alert, in the order of `at`.
+
+    Saving counts for known products and what isn't saved yet; an alert is a whole number in range or null, of a saved
+    product. What an action leaves depends on those before it only through the last save or unsave, so two aggregates
+    decide: whether the last of these was a save, and the last alert since the product has been saved.
+    """
+    good = (F.col("action") != "alert") | F.col("alert").isNull() | F.col("alert").between(0, MOST_ALERT)
+    known = actions.join(products.select("product_id").distinct(), "product_id", "left_semi").where(good)
+    first = saved.select("product_id", F.lit(None).cast("long").alias("at"), F.lit("saved").alias("action"), "alert")
+    rows = first.unionByName(known.select("product_id", F.col("at").cast("long").alias("at"), "action", F.col("alert").cast(dict(saved.dtypes)["alert"]).alias("alert")))
+    order = Window.partitionBy("product_id").orderBy(F.asc_nulls_first("at"))
+    switched = F.last(F.when(F.col("action").isin("save", "saved", "unsave"), F.col("action") != "unsave"), ignorenulls=True).over(order)
+    before = F.coalesce(F.lag("on").over(order), F.lit(False))
+    marked = rows.withColumn("on", F.coalesce(switched, F.lit(False))).withColumn("begins", (F.col("action").isin("save", "saved") & ~before).cast("int"))
+    spell = marked.withColumn("spell", F.sum("begins").over(order))
+    last = spell.groupBy("product_id").agg(F.max_by("on", F.struct(F.coalesce("at", F.lit(-1)))).alias("on"), F.max("spell").alias("spell")).where("on")
+    alerts = spell.where(F.col("action").isin("alert", "saved") & F.col("on")).groupBy("product_id", "spell").agg(F.max_by(F.struct("alert"), F.coalesce("at", F.lit(-1))).alias("a"))
+    return last.join(alerts, ["product_id", "spell"], "left").select("product_id", F.col("a.alert").alias("alert"))
+
+
+def source_status(attempts: DataFrame, source: str, at: str, tie: str) -> DataFrame:
+    """(source, last_fetched_at, last_error): the newest attempt of each source; its error, cut at 500 characters, or null if it worked."""
+    last = F.max_by(F.struct(at, "ok", "error"), F.struct(at, tie))
+    return attempts.groupBy(source).agg(last.alias("r")).select(source, F.col(f"r.{at}").alias("last_fetched_at"), F.when(~F.col("r.ok"), F.substring("r.error", 1, 500)).alias("last_error"))
+
+
+def removed(sources: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Sources after removals were asked for: only those of removable types go."""
+    gone = sources.where(F.col("type").isin(*REMOVABLE)).join(asked.select(key), key, "left_semi").select(key)
+    return sources.join(gone, key, "left_anti")
+
+
+def registry(sources: DataFrame) -> DataFrame:
+    """Sources that are enabled and whose row is valid, by type and label."""
+    valid = F.col("enabled") & (F.trim("label") != "") & F.col("type").isNotNull()
+    return sources.where(F.coalesce(valid, F.lit(False))).orderBy("type", "label")
+
+
+def recent(rows: DataFrame, now, seconds: int, at: str, tie: str, most: int) -> DataFrame:
+    """The newest rows seen within some seconds, as many as `most`."""
+    return rows.where(F.unix_seconds(F.col(at)) >= F.unix_seconds(now) - seconds).orderBy(F.desc(at), tie).limit(most)
+
+
+def health_dots(attempts: DataFrame, source: str, at: str, tie: str, newest: int = 1000, each: int = 14) -> DataFrame:
+    """(source, place, ok): of the newest attempts overall, each source's last ones, the oldest of them first."""
+    top = attempts.orderBy(F.desc(at), F.desc(tie)).limit(newest)
+    shown = latest_n(top, source, [F.desc(at), F.desc(tie)], each)
+    return shown.withColumn("place", F.row_number().over(Window.partitionBy(source).orderBy(F.desc("rank")))).select(source, F.col("place").cast("long").alias("place"), "ok")
+
+
+def price_ranges(offers: DataFrame, product: str) -> DataFrame:
+    """(product, currency, low, high) of the priced offers."""
+    return offers.where("price_minor > 0").groupBy(product, "currency").agg(F.min("price_minor").alias("low"), F.max("price_minor").alias("high"))
+
+
+def nested_products(products: DataFrame, listings: DataFrame, prices: DataFrame, newest: int = 200, each: int = 30) -> DataFrame:
+    """(product_id, offers): the products seen last, each with its offers by price and their last prices, newest first.
+
+    products: product_id, seen; listings: listing_id, product_id, price_minor; prices: listing_id, at, price. Only what
+    belongs to the products shown is joined; a listing holds `each` prices at most.
+    """
+    shown = products.orderBy(F.desc("seen"), "product_id").limit(newest).select("product_id")
+    own = listings.join(F.broadcast(shown), "product_id")
+    last = latest_n(prices.join(own.select("listing_id"), "listing_id", "left_semi"), "listing_id", [F.desc("at"), F.desc("price")], each)
+    history = last.groupBy("listing_id").agg(F.array_sort(F.collect_list(F.struct("rank", "price"))).alias("h")).select("listing_id", F.transform("h", lambda x: x["price"]).alias("prices"))
+    rows = own.join(history, "listing_id", "left").withColumn("prices", F.coalesce("prices", F.expr("filter(array(price_minor), x -> false)")))
+    return rows.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("price_minor", "listing_id", "prices"))).alias("offers"))
+
+
+def compared(products: DataFrame, listings: DataFrame, query_tokens, newest: int = 30, most: int = 8, stores: int = 5) -> DataFrame:
+    """(product_id, sources, stores): of the newest products those with two sources or more whose titles hold a query's word, with a few stores.
+
+    products: product_id, seen, title; listings: product_id, source, title, price_minor.
+    """
+    from ..functions import text
+
+    top = products.orderBy(F.desc("seen"), "product_id").limit(newest)
+    own = listings.join(F.broadcast(top.select("product_id", F.col("title").alias("product_title"), "seen")), "product_id")
+    words = F.concat_ws(" ", F.lower("title"), F.lower("product_title"))
+    hit = F.exists(query_tokens, lambda t: text.token_in_title(t, words))
+    per = own.groupBy("product_id", "seen", "source").agg(F.min("price_minor").alias("price"), F.max(hit).alias("hit"))
+    rows = per.groupBy("product_id", "seen").agg(F.count("*").alias("sources"), F.max("hit").alias("hit"), F.array_sort(F.collect_list(F.struct("price", "source"))).alias("s"))
+    found = rows.where("sources >= 2 and hit").orderBy(F.desc("seen"), "product_id").limit(most)
+    return found.select("product_id", "sources", F.slice(F.transform("s", lambda x: x["source"]), 1, stores).alias("stores"))
+
+
+def bounded_json(value: Column, most: int = 20_000) -> Column:
+    """A JSON text cut at a length, as telemetry keeps it."""
+    return F.substring(value, 1, most)
+
+
+def known_run(feedback: DataFrame, runs: DataFrame, key: str) -> DataFrame:
+    """Feedback with the run it names, null where there is no such run."""
+    there = runs.select(F.col(key).alias("_run")).distinct()
+    return feedback.join(there, F.col(key) == F.col("_run"), "left").withColumn(key, F.col("_run")).drop("_run")
+
+
+def safe_spec(spec: DataFrame) -> DataFrame:
+    """What a parsed query (parse_queries) may leave in telemetry: kinds, whether something is set and how many, no values."""
+    given = lambda c: F.col(c).isNotNull()
+    return spec.select("query_id", "kind", "product_type", given("brand").alias("has_brand"), given("model").alias("has_model"), F.size("must").alias("must_count"), F.size("must_not").alias("exclusion_count"), F.size("compatible").alias("compatibility_count"), "condition", given("min_price").alias("has_min_price"), given("max_price").alias("has_max_price"), F.col("spec_confidence").alias("confidence"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import text
-from ..operators import entity, evaluation, gates, ranking
+from ..operators import entity, evaluation, gates, ranking, relational as rel
 from ..sources import payloads
 from ..tables import OFFERS_SQL, offers, table
 from . import missions, spec
@@ -168,3 +168,119 @@ def demanded_attributes(spark, sf_dir):
     suffix = F.when(k == 0, " faux leather").when(k == 1, " leather").when(k == 2, " pu leather").when(k == 3, " type c").when(k == 4, " sit stand").otherwise("")
     has = lambda a: spec.attribute_present(text.padded(F.concat("p_name", suffix)), F.lit(a), F.array(F.lit(a)))
     return table(spark, sf_dir, "part").select("p_partkey", has("leather").alias("leather"), has("vegan leather").alias("vegan"), has("usb-c").alias("usb"), has("standing").alias("standing"))
+
+
+# Sources, saved products and telemetry
+
+
+@query("""WITH s AS (SELECT c_custkey AS k, CAST(c_custkey AS BIGINT) * 10 AS alert FROM customer WHERE c_custkey % 5 = 0), a AS (SELECT o_custkey AS k, o_orderkey AS moment, CASE o_orderkey % 4 WHEN 0 THEN 'save' WHEN 1 THEN 'unsave' ELSE 'alert' END AS action, CASE o_orderkey % 12 WHEN 2 THEN NULL WHEN 3 THEN -5 WHEN 6 THEN 200000000 ELSE o_orderkey END AS alert FROM orders WHERE o_custkey % 7 <> 0),
+g AS (SELECT * FROM a WHERE action <> 'alert' OR alert IS NULL OR alert BETWEEN 0 AND 100000000), u AS (SELECT k, max(moment) AS u FROM g WHERE action = 'unsave' GROUP BY 1), n AS (SELECT DISTINCT k FROM (SELECT k FROM s UNION ALL SELECT k FROM g)),
+b AS (SELECT n.k, u.u, CASE WHEN u.u IS NULL AND s.k IS NOT NULL THEN -1 ELSE (SELECT min(moment) FROM g WHERE g.k = n.k AND action = 'save' AND moment > coalesce(u.u, -1)) END AS since, CASE WHEN u.u IS NULL THEN s.alert END AS old FROM n LEFT JOIN u USING (k) LEFT JOIN s USING (k)),
+l AS (SELECT b.k, first(g.alert ORDER BY g.moment DESC) AS alert, count(*) AS c FROM b JOIN g ON g.k = b.k AND g.action = 'alert' AND g.moment > b.since GROUP BY 1) SELECT b.k AS product_id, CASE WHEN l.c > 0 THEN l.alert ELSE b.old END AS alert FROM b LEFT JOIN l USING (k) WHERE since IS NOT NULL""")
+def wishlist_actions(spark, sf_dir):
+    """K8: saves, removals and alerts in their order; alerts out of range and unknown products don't count."""
+    c, k = table(spark, sf_dir, "customer"), F.col("o_orderkey")
+    saved = c.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("product_id"), (F.col("c_custkey") * 10).cast("long").alias("alert"))
+    action = F.when(k % 4 == 0, "save").when(k % 4 == 1, "unsave").otherwise("alert")
+    alert = F.when(k % 12 == 2, None).when(k % 12 == 3, -5).when(k % 12 == 6, 200_000_000).otherwise(k).cast("long")
+    actions = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("product_id"), k.alias("at"), action.alias("action"), alert.alias("alert"))
+    return rel.wishlist(saved, actions, c.where("c_custkey % 7 != 0").select(F.col("c_custkey").alias("product_id")))
+
+
+@query("""SELECT user_id, max(epoch_us(ts)) AS at, CASE WHEN arg_max(event_type, (ts, event_id)) = 'error' THEN substring(repeat(arg_max(props, (ts, event_id)), 90), 1, 500) END AS last_error FROM events GROUP BY 1""")
+def source_status(spark, sf_dir):
+    """K5: time of each source's newest attempt, and its error in at most 500 characters."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("ok"), F.repeat("props", F.lit(90)).alias("error"))
+    return rel.source_status(e, "user_id", "ts", "event_id").select("user_id", F.unix_micros(F.col("last_fetched_at").cast("timestamp")).alias("at"), "last_error")
+
+
+SOURCE_SQL = "(SELECT s_suppkey AS id, CASE s_nationkey % 5 WHEN 0 THEN 'shopify' WHEN 1 THEN 'woocommerce' WHEN 2 THEN 'generic-html' WHEN 3 THEN 'rss' ELSE NULL END AS type, CASE WHEN s_suppkey % 9 = 0 THEN ' ' ELSE s_name END AS label, s_acctbal > 0 AS enabled FROM supplier)"
+
+
+def sources_of(spark, sf_dir):
+    n = F.col("s_nationkey") % 5
+    kind = F.when(n == 0, "shopify").when(n == 1, "woocommerce").when(n == 2, "generic-html").when(n == 3, "rss")
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), kind.alias("type"), F.when(F.col("s_suppkey") % 9 == 0, " ").otherwise(F.col("s_name")).alias("label"), (F.col("s_acctbal") > 0).alias("enabled"))
+
+
+@query(f"SELECT id, type FROM {SOURCE_SQL} WHERE NOT (id % 2 = 0 AND coalesce(type IN ('shopify', 'woocommerce', 'generic-html'), false))")
+def source_removal(spark, sf_dir):
+    """Removals take only sources of three types."""
+    s = sources_of(spark, sf_dir)
+    return rel.removed(s, s.where("id % 2 = 0"), "id").select("id", "type")
+
+
+@query(f"SELECT id, type, label, row_number() OVER (ORDER BY type, label) AS place FROM {SOURCE_SQL} WHERE enabled AND trim(label) <> '' AND type IS NOT NULL")
+def source_registry(spark, sf_dir):
+    """Enabled sources with a valid row, in the order of type and label."""
+    ordered = rel.registry(sources_of(spark, sf_dir)).select("id", "type", "label")
+    # the place is a key's: labels are numbered inside a type, after the types before it
+    sizes = ordered.groupBy("type").agg(F.count("*").alias("n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.type") < F.col("a.type"), "left").groupBy("a.type").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("type").orderBy("label"))
+    return ordered.withColumn("r", place).join(F.broadcast(before), "type").select("id", "type", "label", (F.col("before") + F.col("r")).cast("long").alias("place"))
+
+
+@query("""WITH t AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM t) SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) AS place, event_type <> 'error' AS ok FROM r WHERE r <= 14""")
+def health_dots(spark, sf_dir):
+    """The last fourteen of each source's attempts among the newest thousand, the oldest first."""
+    e = table(spark, sf_dir, "events").withColumn("ok", F.col("event_type") != "error")
+    return rel.health_dots(e, "user_id", "ts", "event_id")
+
+
+@query("""WITH m AS (SELECT max(ts) AS now FROM events) SELECT event_id, user_id FROM events, m WHERE epoch(date_trunc('second', ts)) >= epoch(date_trunc('second', now)) - 86400 ORDER BY ts DESC, event_id LIMIT 80""")
+def recent_listings(spark, sf_dir):
+    """The newest eighty rows of the last day."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    dated = e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))
+    return rel.recent(dated, F.col("now"), 86_400, "ts", "event_id", 80).select("event_id", "user_id")
+
+
+@query("""SELECT l_partkey AS product_id, CASE l_returnflag WHEN 'A' THEN 'EUR' WHEN 'N' THEN 'USD' ELSE 'GBP' END AS currency, min(CAST(floor(l_extendedprice / l_quantity * 100 + 0.5) AS BIGINT)) AS low, max(CAST(floor(l_extendedprice / l_quantity * 100 + 0.5) AS BIGINT)) AS high FROM lineitem WHERE CAST(floor(l_extendedprice / l_quantity * 100 + 0.5) AS BIGINT) > 0 GROUP BY ALL""")
+def price_ranges(spark, sf_dir):
+    """A10: price range of each product in each currency."""
+    flag = F.col("l_returnflag")
+    rows = offers(spark, sf_dir).withColumn("currency", F.when(flag == "A", "EUR").when(flag == "N", "USD").otherwise("GBP"))
+    return rel.price_ranges(rows, "product_id")
+
+
+@query("""WITH l AS (SELECT user_id AS listing_id, user_id % 300 AS product_id, CAST(floor(min(value)) AS BIGINT) AS price_minor, max(ts) AS seen FROM events GROUP BY 1), t AS (SELECT product_id FROM l GROUP BY 1 ORDER BY max(seen) DESC, product_id LIMIT 200),
+h AS (SELECT user_id AS listing_id, CAST(floor(value) AS BIGINT) AS price, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, floor(value) DESC) AS r FROM events), p AS (SELECT listing_id, array_to_string(list(price ORDER BY r), ',') AS prices FROM h WHERE r <= 30 GROUP BY 1)
+SELECT product_id, array_to_string(list(listing_id || ':' || price_minor || ':' || prices ORDER BY price_minor, listing_id), ';') AS offers FROM l JOIN t USING (product_id) JOIN p USING (listing_id) GROUP BY 1""")
+def nested_products(spark, sf_dir):
+    """The 200 products seen last with their offers by price and the last thirty prices of each."""
+    e, whole = table(spark, sf_dir, "events"), F.floor("value").cast("long")
+    listings = e.groupBy(F.col("user_id").alias("listing_id")).agg(F.floor(F.min("value")).cast("long").alias("price_minor"), F.max("ts").alias("seen")).withColumn("product_id", F.col("listing_id") % 300)
+    products = listings.groupBy("product_id").agg(F.max("seen").alias("seen"))
+    found = rel.nested_products(products, listings.select("listing_id", "product_id", "price_minor"), e.select(F.col("user_id").alias("listing_id"), F.col("ts").alias("at"), whole.alias("price")))
+    one = lambda o: F.concat_ws(":", o["listing_id"].cast("string"), o["price_minor"].cast("string"), F.concat_ws(",", F.transform(o["prices"], lambda p: p.cast("string"))))
+    return found.select("product_id", F.concat_ws(";", F.transform("offers", one)).alias("offers"))
+
+
+@query(f"""WITH o AS (SELECT product_id, source_id, min(price_minor) AS price, max(l_shipdate) AS moment FROM {OFFERS_SQL} GROUP BY ALL), p AS (SELECT product_id, max(moment) AS seen FROM o GROUP BY 1), n AS (SELECT product_id, seen FROM p JOIN part ON p_partkey = product_id ORDER BY seen DESC, product_id LIMIT 30),
+c AS (SELECT product_id, seen, count(*) AS sources, list(source_id ORDER BY price, source_id)[1:5] AS stores FROM o JOIN n USING (product_id) JOIN part ON p_partkey = product_id WHERE contains(p_name, 'widget') OR contains(p_name, 'bolt') GROUP BY ALL HAVING count(*) >= 2) SELECT product_id, sources, array_to_string(stores, '|') AS stores FROM c ORDER BY seen DESC, product_id LIMIT 8""")
+def compared_offers(spark, sf_dir):
+    """Of the thirty newest products those with a word of the query and two sources, eight at most, with five stores."""
+    rows = offers(spark, sf_dir)
+    named = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title"))
+    products = rows.groupBy("product_id").agg(F.max("l_shipdate").alias("seen")).join(named, "product_id")
+    listings = rows.select("product_id", F.col("source_id").alias("source"), F.lit("").alias("title"), "price_minor")
+    found = rel.compared(products, listings, text.lit_array(("widget", "bolts")))
+    return found.select("product_id", "sources", F.concat_ws("|", F.transform("stores", lambda s: s.cast("string"))).alias("stores"))
+
+
+@query("""WITH r AS (SELECT DISTINCT event_id AS run FROM events WHERE event_type = 'view') SELECT e.event_id, r.run AS run_id, length(substring(repeat(e.props, 2000), 1, 20000)) AS kept FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type IN ('click', 'purchase')) e LEFT JOIN r ON r.run = e.k""")
+def feedback_rows(spark, sf_dir):
+    """K6, K7: feedback of accepted kinds with its run, if there is such a run, and JSON cut at 20,000 characters."""
+    e = table(spark, sf_dir, "events")
+    feedback = e.where(F.col("event_type").isin("click", "purchase")).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("run_id"), F.length(rel.bounded_json(F.repeat("props", F.lit(2000)))).cast("long").alias("kept"))
+    return rel.known_run(feedback, e.where("event_type = 'view'").select(F.col("event_id").alias("run_id")), "run_id")
+
+
+@query("""SELECT p_partkey AS query_id, 'product' AS kind, 'chair' AS product_type, p_partkey % 2 = 0 AS has_brand, 1 AS must_count, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS exclusion_count, CASE WHEN p_partkey % 5 = 0 THEN 'used' ELSE 'any' END AS condition, true AS has_max_price, 0.95 AS confidence FROM part""")
+def safe_specs(spark, sf_dir):
+    """what parsed queries leave in telemetry: kinds, flags and counts."""
+    k = F.col("p_partkey")
+    q = F.concat_ws(" ", F.when(k % 5 == 0, "used"), F.when(k % 2 == 0, "sony"), F.lit("leather chair"), F.when(k % 3 == 0, "not mesh"), F.concat(F.lit("under $"), (F.col("p_size") + 1).cast("string")))
+    found = rel.safe_spec(spec.parse_queries(table(spark, sf_dir, "part").select(k.alias("query_id"), q.alias("query"))))
+    return found.select("query_id", "kind", "product_type", "has_brand", "must_count", "exclusion_count", "condition", "has_max_price", "confidence")
