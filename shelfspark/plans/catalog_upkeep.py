@@ -284,3 +284,41 @@ def safe_specs(spark, sf_dir):
     q = F.concat_ws(" ", F.when(k % 5 == 0, "used"), F.when(k % 2 == 0, "sony"), F.lit("leather chair"), F.when(k % 3 == 0, "not mesh"), F.concat(F.lit("under $"), (F.col("p_size") + 1).cast("string")))
     found = rel.safe_spec(spec.parse_queries(table(spark, sf_dir, "part").select(k.alias("query_id"), q.alias("query"))))
     return found.select("query_id", "kind", "product_type", "has_brand", "must_count", "exclusion_count", "condition", "has_max_price", "confidence")
+
+
+# Roles, a case for each rule of the decision list: query, title, details, price, role, eligible, confidence
+
+ROLE_CASES = (
+    ("boots under $100", "Hiking boots", "", 0, "irrelevant", False, 1.0),
+    ("boots over $100", "Hiking boots", "", 5000, "irrelevant", False, 1.0),
+    ("boots under $100", "Hiking boots", "", 15000, "irrelevant", False, 1.0),
+    ("office chair not mesh", "Mesh office chair", "", 20000, "irrelevant", False, 1.0),
+    ("leather boots", "Faux leather boots", "", 5000, "irrelevant", False, 0.98),
+    ("brand new laptop", "Used Dell laptop", "", 30000, "irrelevant", False, 1.0),
+    ("used laptop", "Dell laptop", "", 30000, "irrelevant", False, 0.98),
+    ("controller for ps5", "Wireless controller for Xbox Series X", "", 5900, "irrelevant", False, 0.98),
+    ("controller for ps5", "Wireless controller", "", 5900, "irrelevant", False, 0.95),
+    ("zorbing sphere", "Big zorbing sphere", "", 5000, "exact", True, 0.75),
+    ("zorbing sphere", "Cube", "", 5000, "irrelevant", False, 0.65),
+    ("ps5 console", "Racing game (PS5)", "", 5000, "complement", False, 0.97),
+    ("ps5 console", "PS5 travel bag", "", 5000, "complement", False, 0.96),
+    ("monitor", "Monitor arm clamp", "", 5000, "complement", False, 0.98),
+    ("headphones", "Cotton shirt", "", 5000, "irrelevant", False, 0.95),
+    ("lamp", "Glowing thing", "", 5000, "irrelevant", False, 0.7),
+    ("sony wh-1000xm5 headphones", "WH-1000XM5 over-ear headphones", "", 30000, "exact", True, 0.98),
+    ("nike running shoes", "Adidas running shoes", "", 9000, "substitute", False, 0.96),
+    ("boots", "Walking shoes", "", 9000, "substitute", True, 0.88),
+    ("airpods pro", "Silicone case for AirPods Pro", "", 1900, "complement", False, 0.98),
+    ("lamp", "Warm glow", "floor lamp with a dimmer", 5000, "exact", True, 0.98),
+    ("ps5 console", "Sony PlayStation 5 Console Disc Edition", "", 49900, "exact", True, 0.98),
+)
+ROLE_SQL = ", ".join(f"({i}, '{role}', {str(ok).lower()}, {sure})" for i, (*_, role, ok, sure) in enumerate(ROLE_CASES))
+
+
+@query(f"WITH c(k, role, eligible, confidence) AS (VALUES {ROLE_SQL}) SELECT p_partkey, role, eligible, CAST(confidence AS DOUBLE) AS confidence FROM part JOIN c ON p_partkey % {len(ROLE_CASES)} = k")
+def role_rules(spark, sf_dir):
+    """The decision of each rule, over titles that end with every part's name."""
+    cases = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("query", "title", "details", "price_minor"), case))) for case in ROLE_CASES))
+    case = F.element_at(cases, (F.col("p_partkey") % len(ROLE_CASES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", case.alias("c")).select("p_partkey", "c.query", F.concat_ws(" ", "c.title", "p_name").alias("title"), "c.details", F.col("c.price_minor").cast("long").alias("price_minor"))
+    return spec.classified(spec.parse_queries(rows)).select("p_partkey", "role", "eligible", "confidence")
