@@ -50,7 +50,10 @@ def tool_arguments(tool: str, arguments: dict) -> dict | None:
 def routed(message: str) -> tuple[str, dict] | None:
     """The tool that a message asks for by fixed rules: sources, cheaper offers, missions, else a product search."""
     m = message.strip()
-    tool = "list_sources" if re.search(r"(?i)\b(?:which|what|list).*\b(?:sources|stores|shops)\b", m) else "find_cheaper" if re.search(r"(?i)\b(?:cheaper|better price|lower price)\b", m) else "run_shopping_mission" if re.search(r"(?i)\b(?:furnish|equip|outfit|setup|starter kit|everything (?:i|we) need)\b", m) else "search_products"
+    tool = "list_sources" if re.search(r"(?i)\b(?:which|what|list).*\b(?:sources|stores|shops)\b", m) else "find_cheaper" if re.search(r"(?i)\b(?:cheaper|better price|lower price)\b", m) else "run_shopping_mission" if re.search(
+        r"(?i)\b(?:furnish|equip|outfit|setup|starter kit|everything (?:i|we) need)\b",
+        m,
+    ) else "search_products"
     arguments = tool_arguments(tool, {"query": m})
     return (tool, arguments) if arguments else None
 
@@ -88,7 +91,16 @@ def run_shopping_mission(listings: DataFrame, slots: list[str], budget_minor: in
     spark = listings.sparkSession
     priced = listings.where("price_minor > 0")
     found = plan.search(priced, queries_frame(spark, slots), results=12)
-    rows = found.join(priced.select("id", "title", "price_minor"), "id").select(F.lit("mission").alias("mission_id"), F.col("query_id").cast("int").alias("slot"), "id", text.title_key(F.col("title")).alias("title_key"), "price_minor", F.lit("USD").alias("currency"), F.col("final").alias("score"), F.col("position").cast("int").alias("rank"))
+    rows = found.join(priced.select("id", "title", "price_minor"), "id").select(
+        F.lit("mission").alias("mission_id"),
+        F.col("query_id").cast("int").alias("slot"),
+        "id",
+        text.title_key(F.col("title")).alias("title_key"),
+        "price_minor",
+        F.lit("USD").alias("currency"),
+        F.col("final").alias("score"),
+        F.col("position").cast("int").alias("rank"),
+    )
     return bundles.choices(bundles.combinations(rows, len(slots), budget_max=budget_minor), budget_minor)
 
 

@@ -104,7 +104,10 @@ def query_specificity(query: Column) -> Column:
     tokens = F.filter(F.split(text.normalize_search(query), " "), lambda t: t != "")
     n = F.size(tokens)
     w = lambda cond, v: F.when(cond, F.lit(v)).otherwise(0.0)
-    score = F.lit(0.15) + w(n >= 2, 0.1) + w(n >= 4, 0.15) + w(query.rlike('["“”]'), 0.25) + w(F.exists(tokens, lambda t: t.rlike(r"[a-z]+\d|\d+[a-z]+")), 0.4) + w(F.exists(tokens, lambda t: t.rlike(r"^\d{4,}$")), 0.25) - w((n == 1) & F.try_element_at(tokens, F.lit(1)).isin(*lx.GENERIC_QUERY_WORDS), 0.12) + w(query.rlike(r"(?i)\b(?:exact|model|sku|mpn|part number)\b"), 0.25)
+    score = F.lit(0.15) + w(n >= 2, 0.1) + w(n >= 4, 0.15) + w(query.rlike('["“”]'), 0.25) + w(F.exists(tokens, lambda t: t.rlike(r"[a-z]+\d|\d+[a-z]+")), 0.4) + w(F.exists(tokens, lambda t: t.rlike(r"^\d{4,}$")), 0.25) - w(
+        (n == 1) & F.try_element_at(tokens, F.lit(1)).isin(*lx.GENERIC_QUERY_WORDS),
+        0.12,
+    ) + w(query.rlike(r"(?i)\b(?:exact|model|sku|mpn|part number)\b"), 0.25)
     return F.when(n == 0, 0.5).otherwise(clamp(score))
 
 

@@ -21,7 +21,15 @@ def combinations(candidates: DataFrame, slots: int, budget_max: int | None = Non
         out = out.where(F.col("total") <= budget_max)
     for k in range(1, slots):
         out = out.join(of(k), ["mission_id", "currency"]).where(~F.array_contains("ids", F.col("i")) & ~F.array_contains("titles", F.col("t")))
-        out = out.select("mission_id", "currency", F.concat("ids", F.array("i")).alias("ids"), F.concat("titles", F.array("t")).alias("titles"), (F.col("total") + F.col("p")).alias("total"), (F.col("score") + F.col("s")).alias("score"), F.concat("ranks", F.array("r")).alias("ranks"))
+        out = out.select(
+            "mission_id",
+            "currency",
+            F.concat("ids", F.array("i")).alias("ids"),
+            F.concat("titles", F.array("t")).alias("titles"),
+            (F.col("total") + F.col("p")).alias("total"),
+            (F.col("score") + F.col("s")).alias("score"),
+            F.concat("ranks", F.array("r")).alias("ranks"),
+        )
         if budget_max is not None:
             out = out.where(F.col("total") <= budget_max)
     if budget_min is not None:

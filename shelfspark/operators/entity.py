@@ -103,11 +103,21 @@ def cascade(listings: DataFrame, products: DataFrame) -> DataFrame:
     fits = ~F.array_contains("sources", F.col("source"))
     by_number = listings.where("asin is not null").join(p.where("p_asin is not null"), F.col("asin") == F.col("p_asin")).where(fits).select("listing_id", "source", "product_id", F.lit(1).alias("step"), F.lit(1.0).alias("score"))
     near = hamming_pairs(listings.select(F.col("listing_id").alias("id"), "hash").where("hash is not null"), products.select(F.col("product_id").alias("id"), "hash").where("hash is not null"))
-    by_hash = near.select(F.col("left_id").alias("listing_id"), F.col("right_id").alias("product_id"), (1 - F.col("distance") / 64).alias("score")).join(listings, "listing_id").join(p.select("product_id", "median", "sources"), "product_id").where(fits & scoring.price_fit(F.col("price_minor"), F.col("median"))).select("listing_id", "source", "product_id", F.lit(2).alias("step"), "score")
+    by_hash = near.select(
+        F.col("left_id").alias("listing_id"),
+        F.col("right_id").alias("product_id"),
+        (1 - F.col("distance") / 64).alias("score"),
+    ).join(listings, "listing_id").join(p.select("product_id", "median", "sources"), "product_id").where(fits & scoring.price_fit(F.col("price_minor"), F.col("median"))).select("listing_id", "source", "product_id", F.lit(2).alias("step"), "score")
     blocked = title_candidates(listings.select(F.col("listing_id").alias("id"), "title"), products.select(F.col("product_id").alias("id"), "title"))
     full = blocked.withColumnsRenamed({"left_id": "listing_id", "right_id": "product_id"}).join(listings, "listing_id").join(p, "product_id")
     same = text.identity_compatible(text.identity_tokens(F.col("title")), text.identity_words(F.col("title")), text.identity_tokens(F.col("p_title")), text.identity_words(F.col("p_title")))
-    by_centroid = full.where(fits & same & scoring.price_fit(F.col("price_minor"), F.col("median"))).select("listing_id", "source", "product_id", F.lit(3).alias("step"), scoring.dot(F.col("embedding"), F.col("centroid")).alias("score")).where(F.col("score") >= SILENT)
+    by_centroid = full.where(fits & same & scoring.price_fit(F.col("price_minor"), F.col("median"))).select(
+        "listing_id",
+        "source",
+        "product_id",
+        F.lit(3).alias("step"),
+        scoring.dot(F.col("embedding"), F.col("centroid")).alias("score"),
+    ).where(F.col("score") >= SILENT)
     found = by_number.unionByName(by_hash).unionByName(by_centroid)
     order = [F.asc("step"), F.desc("score"), F.asc("product_id")]
     mine = found.withColumn("r", F.row_number().over(Window.partitionBy("listing_id").orderBy(*order))).where("r = 1").drop("r")
@@ -162,7 +172,12 @@ def refreshed(listings: DataFrame, moves: DataFrame) -> DataFrame:
     touched = before.select(F.explode(F.array_compact(F.array("product_id", "_to"))).alias("product_id")).distinct()
     now = product_aggregates(moved(listings, moves).where("product_id is not null"), "product_id", "source")
     joined = touched.join(now, "product_id", "left")
-    return joined.select("product_id", F.when(F.col("listing_count").isNull(), "delete").otherwise("refresh").alias("action"), F.coalesce("listing_count", F.lit(0).cast("long")).alias("listing_count"), F.coalesce("source_count", F.lit(0).cast("long")).alias("source_count"))
+    return joined.select(
+        "product_id",
+        F.when(F.col("listing_count").isNull(), "delete").otherwise("refresh").alias("action"),
+        F.coalesce("listing_count", F.lit(0).cast("long")).alias("listing_count"),
+        F.coalesce("source_count", F.lit(0).cast("long")).alias("source_count"),
+    )
 
 
 def late_merges(listings: DataFrame) -> DataFrame:

@@ -29,7 +29,13 @@ def precision_and_leakage(results: DataFrame, at: int = 5, depth: int = DEPTH) -
     top = results.where(F.col("position") <= depth)
     hit = F.sum(F.when((F.col("position") <= at) & F.col("relevant"), 1).otherwise(0)) / at
     n = F.count("*")
-    return top.groupBy("case_id").agg(hit.alias("precision"), (F.sum(F.col("leaked").cast("int")) / n).alias("leakage"), (1 - F.countDistinct("entity") / n).alias("duplicates"), F.countDistinct("entity").alias("entities"), F.countDistinct("source").alias("sources"))
+    return top.groupBy("case_id").agg(
+        hit.alias("precision"),
+        (F.sum(F.col("leaked").cast("int")) / n).alias("leakage"),
+        (1 - F.countDistinct("entity") / n).alias("duplicates"),
+        F.countDistinct("entity").alias("entities"),
+        F.countDistinct("source").alias("sources"),
+    )
 
 
 def source_entropy(results: DataFrame, depth: int = DEPTH) -> DataFrame:

@@ -231,4 +231,17 @@ def known_run(feedback: DataFrame, runs: DataFrame, key: str) -> DataFrame:
 def safe_spec(spec: DataFrame) -> DataFrame:
     """What a parsed query (parse_queries) may leave in telemetry: kinds, whether something is set and how many, no values."""
     given = lambda c: F.col(c).isNotNull()
-    return spec.select("query_id", "kind", "product_type", given("brand").alias("has_brand"), given("model").alias("has_model"), F.size("must").alias("must_count"), F.size("must_not").alias("exclusion_count"), F.size("compatible").alias("compatibility_count"), "condition", given("min_price").alias("has_min_price"), given("max_price").alias("has_max_price"), F.col("spec_confidence").alias("confidence"))
+    return spec.select(
+        "query_id",
+        "kind",
+        "product_type",
+        given("brand").alias("has_brand"),
+        given("model").alias("has_model"),
+        F.size("must").alias("must_count"),
+        F.size("must_not").alias("exclusion_count"),
+        F.size("compatible").alias("compatibility_count"),
+        "condition",
+        given("min_price").alias("has_min_price"),
+        given("max_price").alias("has_max_price"),
+        F.col("spec_confidence").alias("confidence"),
+    )

@@ -83,6 +83,19 @@ def ranked(scores: DataFrame, partition: str = "query_id", id_col: str = "id", f
     return out if limit is None else out.where(F.col("rank") <= limit)
 
 
+def ranked_in_buckets(rows: DataFrame, key: str, bucket: Column, *order: Column) -> DataFrame:
+    """rows with rank, their place among all of a key's rows: by bucket, a number that never falls along the order, and then by it.
+
+    Rows meet in one task only with those of their bucket; of a key all that meets is a count for each bucket.
+    """
+    cut = rows.withColumn("_bucket", bucket)
+    sizes = cut.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order))
+    return cut.withColumn("_place", place).join(starts, [key, "_bucket"]).withColumn("rank", F.col("_before") + F.col("_place")).drop("_bucket", "_place", "_before")
+
+
 def vector_scores(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score): cosine of every vector with each of a stated set of query vectors (query_id, query)."""
     # each vector is brought to unit length once; a pair costs one dot product

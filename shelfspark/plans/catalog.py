@@ -112,7 +112,12 @@ def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with a noisy title made of their own columns."""
     n, size, kind = F.col("p_name"), F.col("p_size").cast("string"), F.col("p_partkey") % 6
     c = F.concat
-    return table(spark, sf_dir, "part").withColumn("title", F.when(kind == 0, c(F.lit("[Deal] "), n, F.lit(" "), "p_brand", F.lit(" - $"), size, F.lit(" (Starts at 7PM) + Free Shipping w/ Prime"))).when(kind == 1, c(F.lit("HOT: "), n, F.lit(" "), "p_type", F.lit(" 25% off at Walmart.com"))).when(kind == 2, c(n, F.lit(" (Refurbished) after coupon | from Best Buy"))).when(kind == 3, c(F.lit("[Amazon] [tools] "), n, F.lit("  size "), size, F.lit(" -- clearance *"))).when(kind == 4, "sale").otherwise(c(n, F.lit(" model WH-"), (F.col("p_size") + 1000).cast("string"), F.lit("XM"), (F.col("p_size") % 9).cast("string"), F.lit(" 64gb new"))))
+    return table(spark, sf_dir, "part").withColumn(
+        "title",
+        F.when(kind == 0, c(F.lit("[Deal] "), n, F.lit(" "), "p_brand", F.lit(" - $"), size, F.lit(" (Starts at 7PM) + Free Shipping w/ Prime"))).when(kind == 1, c(F.lit("HOT: "), n, F.lit(" "), "p_type", F.lit(" 25% off at Walmart.com"))).when(kind == 2, c(n, F.lit(" (Refurbished) after coupon | from Best Buy"))).when(kind == 3, c(F.lit("[Amazon] [tools] "), n, F.lit("  size "), size, F.lit(" -- clearance *"))).when(kind == 4, "sale").otherwise(
+            c(n, F.lit(" model WH-"), (F.col("p_size") + 1000).cast("string"), F.lit("XM"), (F.col("p_size") % 9).cast("string"), F.lit(" 64gb new"))
+        ),
+    )
 
 
 @query(rf"""WITH t AS (SELECT p_partkey, title, p_partkey % 6 AS k, trim(regexp_replace(regexp_replace(p_name, '\b(?:{'|'.join(lx.URGENCY)})\b', ' ', 'g'), '\s+', ' ', 'g')) AS p_name, p_type, p_brand, CAST(p_size AS VARCHAR) AS s, CAST(1000 + p_size AS VARCHAR) AS m, CAST(p_size % 9 AS VARCHAR) AS x FROM {TITLE_SQL})
@@ -161,7 +166,10 @@ def phrase_gate(spark, sf_dir):
     """Documents that hold the first two words of a benchmark item, met by the first word's token."""
     bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.slice(F.split(text.normalize_spec(F.col("text")), " "), 1, 2)).alias("phrase"))
     docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize_spec(F.col("text")).alias("plain"))
-    grams = docs.select("doc_id", F.split("plain", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat("w", F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))))).alias("gram"))
+    grams = docs.select("doc_id", F.split("plain", " ").alias("w")).select(
+        "doc_id",
+        F.explode(F.array_distinct(F.concat("w", F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))))).alias("gram"),
+    )
     forms = bench.select("query_id", F.explode(F.array_distinct(F.array_compact(F.array("phrase", F.when(F.col("phrase").endswith("s"), F.expr("substring(phrase, 1, length(phrase) - 1)")))))).alias("gram"))
     found = retrieval.in_blocks(forms, lambda part: grams.join(F.broadcast(part), "gram"))
     return found.select(F.col("query_id").alias("item_id"), "doc_id").distinct()
@@ -193,7 +201,10 @@ FROM (SELECT p_partkey, p_partkey % 6 AS k, CAST(p_size AS BIGINT) * 100 AS a, C
 def price_bounds(spark, sf_dir):
     """Bounds of queries written from part sizes; a model name with max is no bound, and commas are thousands."""
     a, b, k = F.col("p_size").cast("string"), (F.col("p_size") * 7 % 50 + 1).cast("string"), F.col("p_partkey") % 6
-    q = F.when(k == 0, F.concat(F.col("p_name"), F.lit(" between $"), a, F.lit(" and "), b, F.lit(" dollars"))).when(k == 1, F.concat(F.col("p_name"), F.lit(" under $"), a)).when(k == 2, F.concat(F.col("p_name"), F.lit(" at least "), a, F.lit(" bucks"))).when(k == 3, F.concat(F.col("p_name"), F.lit(" max $"), a)).when(k == 4, F.concat(F.col("p_name"), F.lit(" pro max 256gb"))).otherwise(F.concat(F.col("p_name"), F.lit(" over $1,200")))
+    q = F.when(
+        k == 0,
+        F.concat(F.col("p_name"), F.lit(" between $"), a, F.lit(" and "), b, F.lit(" dollars")),
+    ).when(k == 1, F.concat(F.col("p_name"), F.lit(" under $"), a)).when(k == 2, F.concat(F.col("p_name"), F.lit(" at least "), a, F.lit(" bucks"))).when(k == 3, F.concat(F.col("p_name"), F.lit(" max $"), a)).when(k == 4, F.concat(F.col("p_name"), F.lit(" pro max 256gb"))).otherwise(F.concat(F.col("p_name"), F.lit(" over $1,200")))
     return table(spark, sf_dir, "part").select("p_partkey", text.price_bound(q, "min").alias("min_price"), text.price_bound(q, "max").alias("max_price"))
 
 
@@ -203,7 +214,13 @@ def price_texts(spark, sf_dir):
     p = F.col("p_retailprice")
     us = F.format_number(p, 2)
     eu = F.translate(us, ",.", ".,")
-    return table(spark, sf_dir, "part").select("p_partkey", text.storefront_price(F.concat(F.lit("USD "), us)).alias("us"), text.storefront_price(F.concat(eu, F.lit(" €"))).alias("eu"), text.storefront_price(F.concat(F.lit("€"), F.col("p_size").cast("string"))).alias("whole"), text.dollar_price(F.concat(F.lit("now "), text.format_price(minor(p)), F.lit(" only"))).alias("dollars"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        text.storefront_price(F.concat(F.lit("USD "), us)).alias("us"),
+        text.storefront_price(F.concat(eu, F.lit(" €"))).alias("eu"),
+        text.storefront_price(F.concat(F.lit("€"), F.col("p_size").cast("string"))).alias("whole"),
+        text.dollar_price(F.concat(F.lit("now "), text.format_price(minor(p)), F.lit(" only"))).alias("dollars"),
+    )
 
 
 HOST_SQL = "regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '')"
@@ -223,13 +240,17 @@ def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.strip_tags(F.col("html")).alias("plain"), text.blocked_page(F.col("html")).alias("blocked"))
 
 
-@query(r"""SELECT page_id, substring(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<svg.*?</svg>', '', 'g'), '(?i)\s(?:style|srcset|sizes|on\w+|data-[\w-]+)=(?:"[^"]*"|''[^'']*'')', '', 'g'), '\s+', ' ', 'g')), 1, 20000) AS slim FROM pages""")
+@query(
+    r"""SELECT page_id, substring(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<svg.*?</svg>', '', 'g'), '(?i)\s(?:style|srcset|sizes|on\w+|data-[\w-]+)=(?:"[^"]*"|''[^'']*'')', '', 'g'), '\s+', ' ', 'g')), 1, 20000) AS slim FROM pages"""
+)
 def slim_pages(spark, sf_dir):
     """markup without bulk."""
     return table(spark, sf_dir, "pages").select("page_id", text.slim_markup(F.col("html")).alias("slim"))
 
 
-@query(r"""SELECT item_id, sha256(trim(regexp_replace(lower(trim(text)), '\s+', ' ', 'g'))) AS query_hash, 's' || CAST(item_id % 3 AS VARCHAR) || '|' || trim(regexp_replace(lower(trim(text)), '\s+', ' ', 'g')) AS search_key FROM benchmark""")
+@query(
+    r"""SELECT item_id, sha256(trim(regexp_replace(lower(trim(text)), '\s+', ' ', 'g'))) AS query_hash, 's' || CAST(item_id % 3 AS VARCHAR) || '|' || trim(regexp_replace(lower(trim(text)), '\s+', ' ', 'g')) AS search_key FROM benchmark"""
+)
 def query_keys(spark, sf_dir):
     """hash and source-scoped key of queries."""
     t = F.col("text")
@@ -237,7 +258,9 @@ def query_keys(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", text.query_hash(t).alias("query_hash"), key.alias("search_key"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 6 = 5 THEN array_to_string(list_distinct_sorted, ' ') WHEN p_partkey % 6 = 0 THEN regexp_extract(p_brand, '[0-9]{2,6}') WHEN p_partkey % 6 = 3 AND p_size > 9 THEN CAST(p_size AS VARCHAR) ELSE '' END AS ids FROM (SELECT p_partkey, p_brand, p_size,  list_sort(list_distinct(['wh' || CAST(1000 + p_size AS VARCHAR) || 'xm' || CAST(p_size % 9 AS VARCHAR), CAST(1000 + p_size AS VARCHAR) || 'xm' || CAST(p_size % 9 AS VARCHAR)])) AS list_distinct_sorted FROM part)""")
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 6 = 5 THEN array_to_string(list_distinct_sorted, ' ') WHEN p_partkey % 6 = 0 THEN regexp_extract(p_brand, '[0-9]{2,6}') WHEN p_partkey % 6 = 3 AND p_size > 9 THEN CAST(p_size AS VARCHAR) ELSE '' END AS ids FROM (SELECT p_partkey, p_brand, p_size,  list_sort(list_distinct(['wh' || CAST(1000 + p_size AS VARCHAR) || 'xm' || CAST(p_size % 9 AS VARCHAR), CAST(1000 + p_size AS VARCHAR) || 'xm' || CAST(p_size % 9 AS VARCHAR)])) AS list_distinct_sorted FROM part)"""
+)
 def identity_tokens(spark, sf_dir):
     """model-like tokens of titles; measures such as 64gb are none."""
     return titled(spark, sf_dir).select("p_partkey", F.concat_ws(" ", F.array_sort(text.identity_tokens(F.col("title")))).alias("ids"))
@@ -298,7 +321,9 @@ def hourly_min_trend(spark, sf_dir):
     return rel.hourly_min(event_prices(spark, sf_dir), "ts", "price").select(F.col("hour").cast("timestamp_ntz").alias("hour"), "low")
 
 
-@query(f"""SELECT user_id, min(price) AS low, max(price) AS high, CASE WHEN count(*) < 2 THEN 'flat' WHEN arg_max(price, (ts, event_id)) > arg_min(price, (ts, event_id)) THEN 'up' WHEN arg_max(price, (ts, event_id)) < arg_min(price, (ts, event_id)) THEN 'down' ELSE 'flat' END AS direction FROM {EVENT_PRICE_SQL} WHERE price > 0 GROUP BY user_id""")
+@query(
+    f"""SELECT user_id, min(price) AS low, max(price) AS high, CASE WHEN count(*) < 2 THEN 'flat' WHEN arg_max(price, (ts, event_id)) > arg_min(price, (ts, event_id)) THEN 'up' WHEN arg_max(price, (ts, event_id)) < arg_min(price, (ts, event_id)) THEN 'down' ELSE 'flat' END AS direction FROM {EVENT_PRICE_SQL} WHERE price > 0 GROUP BY user_id"""
+)
 def price_trend(spark, sf_dir):
     """Direction and range of each listing's prices."""
     at = F.struct("ts", "event_id")
@@ -331,13 +356,17 @@ def ewma_latency(spark, sf_dir):
 # Offers, products and sources
 
 
-@query(f"""SELECT product_id, source_id, price_minor FROM (SELECT product_id, source_id, price_minor, row_number() OVER (PARTITION BY product_id, source_id ORDER BY CASE WHEN price_minor > 0 THEN price_minor ELSE 9223372036854775807 END, external_id) AS r FROM {OFFERS_SQL}) WHERE r = 1""")
+@query(
+    f"""SELECT product_id, source_id, price_minor FROM (SELECT product_id, source_id, price_minor, row_number() OVER (PARTITION BY product_id, source_id ORDER BY CASE WHEN price_minor > 0 THEN price_minor ELSE 9223372036854775807 END, external_id) AS r FROM {OFFERS_SQL}) WHERE r = 1"""
+)
 def cheapest_per_source(spark, sf_dir):
     """The cheapest offer of each source of a product."""
     return rel.cheapest_per_source(offers(spark, sf_dir).select("product_id", "source_id", "price_minor", "external_id"), ["product_id", "source_id"], "price_minor", "external_id").select("product_id", "source_id", "price_minor")
 
 
-@query(f"""SELECT product_id, min(price_minor) AS low, max(price_minor) AS high, CAST(floor((max(price_minor) - min(price_minor)) * 100.0 / max(price_minor) + 0.5) AS BIGINT) AS spread FROM {OFFERS_SQL} WHERE price_minor > 0 GROUP BY product_id""")
+@query(
+    f"""SELECT product_id, min(price_minor) AS low, max(price_minor) AS high, CAST(floor((max(price_minor) - min(price_minor)) * 100.0 / max(price_minor) + 0.5) AS BIGINT) AS spread FROM {OFFERS_SQL} WHERE price_minor > 0 GROUP BY product_id"""
+)
 def price_spread(spark, sf_dir):
     """Price range of each product and its spread in percent."""
     low, high = F.min("price_minor"), F.max("price_minor")
@@ -363,7 +392,9 @@ def recluster_keepers(spark, sf_dir):
     return kept.groupBy("l_suppkey", "l_partkey").agg(F.min(F.when(F.col("keep"), F.col("l_orderkey"))).alias("keeper"), F.count("*").alias("offers"))
 
 
-@query(f"""SELECT product_id, count(DISTINCT source_id) AS sources, count(*) AS listings FROM {OFFERS_SQL} o JOIN part ON p_partkey = product_id WHERE p_name NOT LIKE 'sponsored%' GROUP BY product_id HAVING count(DISTINCT source_id) >= 2 ORDER BY sources DESC, listings DESC, product_id LIMIT 10""")
+@query(
+    f"""SELECT product_id, count(DISTINCT source_id) AS sources, count(*) AS listings FROM {OFFERS_SQL} o JOIN part ON p_partkey = product_id WHERE p_name NOT LIKE 'sponsored%' GROUP BY product_id HAVING count(DISTINCT source_id) >= 2 ORDER BY sources DESC, listings DESC, product_id LIMIT 10"""
+)
 def featured_clusters(spark, sf_dir):
     """The ten products with the most sources, then offers."""
     named = offers(spark, sf_dir).join(table(spark, sf_dir, "part").where(~F.col("p_name").rlike("(?i)^sponsored")).select(F.col("p_partkey").alias("product_id")), "product_id")
@@ -393,7 +424,9 @@ def anti_orphans(spark, sf_dir):
     return rel.orphans(table(spark, sf_dir, "part"), large, "p_partkey", "l_partkey").select("p_partkey", "p_name")
 
 
-@query("""SELECT c_custkey, o.first_order, o.first_order IS NOT NULL AS saved FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first_order FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) o ON o_custkey = c_custkey""")
+@query(
+    """SELECT c_custkey, o.first_order, o.first_order IS NOT NULL AS saved FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first_order FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) o ON o_custkey = c_custkey"""
+)
 def left_saved(spark, sf_dir):
     """Every customer with its first urgent order, if there is one."""
     first = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("first_order"))
@@ -410,11 +443,20 @@ def live_union_cached(spark, sf_dir):
     return rel.live_and_cached(live.select(*keep), cached.select(*keep), "o_orderkey")
 
 
-@query("""SELECT l_orderkey, l_linenumber, p_name, s_name, n_name, r_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE l_quantity >= 49""")
+@query(
+    """SELECT l_orderkey, l_linenumber, p_name, s_name, n_name, r_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE l_quantity >= 49"""
+)
 def listing_dimensions(spark, sf_dir):
     """Listings with product, source and place."""
     t = lambda n: table(spark, sf_dir, n)
-    return t("lineitem").where("l_quantity >= 49").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey")).select("l_orderkey", "l_linenumber", "p_name", "s_name", "n_name", "r_name")
+    return t("lineitem").where("l_quantity >= 49").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey")).select(
+        "l_orderkey",
+        "l_linenumber",
+        "p_name",
+        "s_name",
+        "n_name",
+        "r_name",
+    )
 
 
 @query("""WITH e AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v FROM events)
@@ -448,7 +490,9 @@ def round_robin_picks(spark, sf_dir):
     return rel.round_robin(rows, "slot", "pos", "p_name", 24)
 
 
-@query(f"""SELECT product_id, source_id, total FROM (SELECT product_id, source_id, CASE WHEN price_minor > 0 THEN price_minor + greatest(shipping_minor, 0) ELSE 9223372036854775807 END AS total, row_number() OVER (PARTITION BY product_id ORDER BY CASE WHEN price_minor > 0 THEN price_minor + greatest(shipping_minor, 0) ELSE 9223372036854775807 END, source_id, external_id) AS r FROM {OFFERS_SQL}) WHERE r <= 3""")
+@query(
+    f"""SELECT product_id, source_id, total FROM (SELECT product_id, source_id, CASE WHEN price_minor > 0 THEN price_minor + greatest(shipping_minor, 0) ELSE 9223372036854775807 END AS total, row_number() OVER (PARTITION BY product_id ORDER BY CASE WHEN price_minor > 0 THEN price_minor + greatest(shipping_minor, 0) ELSE 9223372036854775807 END, source_id, external_id) AS r FROM {OFFERS_SQL}) WHERE r <= 3"""
+)
 def landed_price_sort(spark, sf_dir):
     """O3: the three offers of each product that are cheapest with shipping."""
     rows = offers(spark, sf_dir).withColumn("total", rel.landed(F.col("price_minor"), F.col("shipping_minor")))
@@ -461,7 +505,12 @@ def verified_deal(spark, sf_dir):
     """What the cheapest source saves against the next one."""
     per = offers(spark, sf_dir).where("price_minor > 0").groupBy("product_id", "source_id").agg(F.min(F.col("price_minor") + F.col("shipping_minor")).alias("total"))
     w = Window.partitionBy("product_id").orderBy("total")
-    return per.select("product_id", F.col("total").alias("best"), F.lead("total").over(w).alias("next"), F.row_number().over(w).alias("r")).where("r = 1 and next is not null").select("product_id", "best", "next", (F.col("next") - F.col("best")).alias("saves"))
+    return per.select(
+        "product_id",
+        F.col("total").alias("best"),
+        F.lead("total").over(w).alias("next"),
+        F.row_number().over(w).alias("r"),
+    ).where("r = 1 and next is not null").select("product_id", "best", "next", (F.col("next") - F.col("best")).alias("saves"))
 
 
 @query(f"""WITH o AS (SELECT product_id, source_id, price_minor, external_id, CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) AS reference FROM {OFFERS_SQL} JOIN part ON p_partkey = product_id WHERE price_minor > 0),
@@ -527,11 +576,18 @@ def seed_upsert(spark, sf_dir):
     return old.join(new, "k", "full").select("k", F.coalesce("new_label", "old_label").alias("label"), F.coalesce("old_enabled", "new_enabled").alias("enabled"))
 
 
-@query("""SELECT event_id, CASE WHEN length(props) <= 50000 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_type IN ('click', 'purchase') AS accepted, sha256(event_type || '|' || CAST(user_id AS VARCHAR)) AS query_hash FROM events""")
+@query(
+    """SELECT event_id, CASE WHEN length(props) <= 50000 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_type IN ('click', 'purchase') AS accepted, sha256(event_type || '|' || CAST(user_id AS VARCHAR)) AS query_hash FROM events"""
+)
 def telemetry_rows(spark, sf_dir):
     """Telemetry with bounded JSON and a hash for what was asked."""
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.when(F.length("props") <= 50000, F.get_json_object("props", "$.k").cast("long")).alias("k"), F.col("event_type").isin("click", "purchase").alias("accepted"), F.sha2(F.concat_ws("|", "event_type", F.col("user_id").cast("string")), 256).alias("query_hash"))
+    return e.select(
+        "event_id",
+        F.when(F.length("props") <= 50000, F.get_json_object("props", "$.k").cast("long")).alias("k"),
+        F.col("event_type").isin("click", "purchase").alias("accepted"),
+        F.sha2(F.concat_ws("|", "event_type", F.col("user_id").cast("string")), 256).alias("query_hash"),
+    )
 
 
 @query("""SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role <> 'system') WHERE r <= 10""")
@@ -562,7 +618,9 @@ def time_ago(spark, sf_dir):
 VECTOR_QUERY_SQL = "SELECT q.vec_id AS query_id, v.vec_id AS id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) / sqrt(list_sum(list_transform(q.embedding, lambda z: CAST(z AS DOUBLE) * z)) * list_sum(list_transform(v.embedding, lambda z: CAST(z AS DOUBLE) * z))) AS c FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0"
 
 
-@query(f"""WITH s AS ({VECTOR_QUERY_SQL}), r AS (SELECT query_id, id, round(least(1, greatest(0, c)), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(least(1, greatest(0, c)), 6) DESC, id) AS rank FROM s WHERE round(least(1, greatest(0, c)), 6) > 0.15) SELECT * FROM r WHERE rank <= 20""")
+@query(
+    f"""WITH s AS ({VECTOR_QUERY_SQL}), r AS (SELECT query_id, id, round(least(1, greatest(0, c)), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(least(1, greatest(0, c)), 6) DESC, id) AS rank FROM s WHERE round(least(1, greatest(0, c)), 6) > 0.15) SELECT * FROM r WHERE rank <= 20"""
+)
 def cosine_topk(spark, sf_dir):
     """Vector channel of every vector whose id is divisible by 100."""
     v = table(spark, sf_dir, "embeddings")
@@ -589,7 +647,9 @@ def hamming_join(spark, sf_dir):
     return entity.hamming_pairs(h, h, within=True)
 
 
-@query("""WITH v AS (SELECT vec_id, embedding FROM embeddings), s AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN i ELSE 0 END)) AS places, list_sum(list_transform(embedding, lambda x: CAST(x > 0 AS INT))) AS bits FROM v) SELECT vec_id, CAST(bits AS BIGINT) AS bits, bits BETWEEN 4 AND 60 AS useful FROM s""")
+@query(
+    """WITH v AS (SELECT vec_id, embedding FROM embeddings), s AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN i ELSE 0 END)) AS places, list_sum(list_transform(embedding, lambda x: CAST(x > 0 AS INT))) AS bits FROM v) SELECT vec_id, CAST(bits AS BIGINT) AS bits, bits BETWEEN 4 AND 60 AS useful FROM s"""
+)
 def image_hash(spark, sf_dir):
     """Sign hash of every vector and whether it tells anything."""
     h = entity.sign_hash(F.col("embedding"))
@@ -601,7 +661,17 @@ def mmr_diversify(spark, sf_dir):
     """Diversified order of each label's vectors."""
     v = table(spark, sf_dir, "embeddings")
     tag = lambda letter, n: F.concat(F.lit(letter), (F.col("vec_id") % n).cast("string"))
-    rows = v.select(F.col("label").alias("query_id"), F.col("vec_id").alias("id"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("key"), (1.0 - (F.col("vec_id") * 37 % 101) / 150.0).alias("base"), "embedding", F.array(tag("a", 7)).alias("aspects"), F.array(tag("w", 11), tag("v", 3)).alias("words"), tag("s", 5).alias("source"), tag("m", 50).alias("model"))
+    rows = v.select(
+        F.col("label").alias("query_id"),
+        F.col("vec_id").alias("id"),
+        F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("key"),
+        (1.0 - (F.col("vec_id") * 37 % 101) / 150.0).alias("base"),
+        "embedding",
+        F.array(tag("a", 7)).alias("aspects"),
+        F.array(tag("w", 11), tag("v", 3)).alias("words"),
+        tag("s", 5).alias("source"),
+        tag("m", 50).alias("model"),
+    )
     return ranking.diversify(rows, 0.7).select("query_id", "id", "base", "final", "relaxed", "position")
 
 
@@ -626,10 +696,29 @@ def search_entities(spark, sf_dir):
     """Offers with numbers, models or neither as entities, with their own base score, the floor and the gate."""
     k = F.col("p_partkey")
     none = F.lit(None).cast("string")
-    key = ranking.canonical_key(F.col("p_name"), F.col("p_brand"), F.when(k % 3 == 1, F.col("p_type")), {"canonical": F.when(k % 3 == 2, F.col("p_name")).otherwise(none), "gtin": F.when(k % 3 == 0, F.concat("p_type", F.col("p_size").cast("string"))).otherwise(none)})
+    key = ranking.canonical_key(
+        F.col("p_name"),
+        F.col("p_brand"),
+        F.when(k % 3 == 1, F.col("p_type")),
+        {"canonical": F.when(k % 3 == 2, F.col("p_name")).otherwise(none), "gtin": F.when(k % 3 == 0, F.concat("p_type", F.col("p_size").cast("string"))).otherwise(none)},
+    )
     model = ranking.model_key(F.col("p_brand"), F.when(k % 3 == 1, F.col("p_type")))
     part = table(spark, sf_dir, "part").withColumn("query_id", F.col("p_brand")).withColumn("id", k)
-    rows = part.select("query_id", "id", key.alias("key"), F.concat(F.lit("s"), (k % 7).cast("string")).alias("source"), model.alias("model"), F.col("p_name").alias("title"), F.array_distinct(text.title_tokens(F.col("p_name"))).alias("words"), F.array("p_type").alias("aspects"), F.lit(None).cast("array<double>").alias("embedding"), F.when(k % 4 > 0, F.col("p_size") / 50.0 - 0.3).alias("semantic"), (k % 11 / 10.0).alias("lexical"), (k % 10 / 9.0).alias("relevance"), F.when(k % 5 > 0, 0.5).alias("quality"))
+    rows = part.select(
+        "query_id",
+        "id",
+        key.alias("key"),
+        F.concat(F.lit("s"), (k % 7).cast("string")).alias("source"),
+        model.alias("model"),
+        F.col("p_name").alias("title"),
+        F.array_distinct(text.title_tokens(F.col("p_name"))).alias("words"),
+        F.array("p_type").alias("aspects"),
+        F.lit(None).cast("array<double>").alias("embedding"),
+        F.when(k % 4 > 0, F.col("p_size") / 50.0 - 0.3).alias("semantic"),
+        (k % 11 / 10.0).alias("lexical"),
+        (k % 10 / 9.0).alias("relevance"),
+        F.when(k % 5 > 0, 0.5).alias("quality"),
+    )
     at = lambda df, name, rank: df.select("query_id", "id", F.lit(name).alias("channel"), rank.cast("long").alias("rank"))
     channels = at(part, "lexical:literal", 1 + k * 7919 % 97).unionByName(at(part.where(k % 4 > 0), "semantic", 1 + k * 104729 % 89)).unionByName(at(part.where(k % 2 == 0), "native:0", 1 + k % 31))
     found = ranking.entities(rows, channels, {"lexical:literal": 2.2, "lexical:expanded": 0.75, "semantic": 1.0, "native:0": 1.35})
@@ -643,10 +732,20 @@ SELECT vec_id, round(CASE WHEN same THEN 1.0 WHEN blind THEN 0.75 * t + 0.25 * s
 def entity_similarity(spark, sf_dir):
     """Similarity of each vector's entity with its label's first, where some have no vector."""
     k = F.col("vec_id")
-    v = table(spark, sf_dir, "embeddings").select(k, "label", "embedding", F.concat(F.lit("m"), (k % 40).cast("string")).alias("model"), F.array((k % 5).cast("string"), (k % 3).cast("string")).alias("words"), F.when(k % 6 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.concat(F.lit("a"), (k % 2).cast("string")))).alias("aspects"))
+    v = table(spark, sf_dir, "embeddings").select(
+        k,
+        "label",
+        "embedding",
+        F.concat(F.lit("m"), (k % 40).cast("string")).alias("model"),
+        F.array((k % 5).cast("string"), (k % 3).cast("string")).alias("words"),
+        F.when(k % 6 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.concat(F.lit("a"), (k % 2).cast("string")))).alias("aspects"),
+    )
     first = v.groupBy("label").agg(F.min_by(F.struct("model", "embedding", "words", "aspects"), "vec_id").alias("f"))
     own = F.when(k % 9 != 0, F.col("embedding"))
-    return v.join(F.broadcast(first), "label").select("vec_id", F.round(scoring.entity_similarity(F.col("model"), own, F.col("words"), F.col("aspects"), F.col("f.model"), F.col("f.embedding"), F.col("f.words"), F.col("f.aspects")), 6).alias("similarity"))
+    return v.join(F.broadcast(first), "label").select(
+        "vec_id",
+        F.round(scoring.entity_similarity(F.col("model"), own, F.col("words"), F.col("aspects"), F.col("f.model"), F.col("f.embedding"), F.col("f.words"), F.col("f.aspects")), 6).alias("similarity"),
+    )
 
 
 CHANNEL_SQL = """ch AS (SELECT lang AS query_id, doc_id AS id, 'literal' AS channel, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents
@@ -657,8 +756,10 @@ rrf AS (SELECT query_id, id, least(1, greatest(0, sum(CASE channel WHEN 'literal
 
 def fused(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("id"), "n_chars")
-    rank = lambda df, name, *order: df.select("query_id", "id", F.lit(name).alias("channel"), F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("rank"))
-    rows = rank(d, "literal", F.desc("n_chars"), "id").unionByName(rank(d.where("id % 2 = 0"), "native", F.col("id") * 7919 % 1009, "id")).unionByName(rank(d.where("id % 3 = 0"), "other", "id"))
+    rank = lambda df, name, bucket, *order: retrieval.ranked_in_buckets(df, "query_id", bucket, *order).select("query_id", "id", F.lit(name).alias("channel"), "rank")
+    own = F.col("id") * 7919 % 1009
+    literal = rank(d, "literal", -F.floor(F.col("n_chars") / 100), F.desc("n_chars"), F.asc("id"))
+    rows = literal.unionByName(rank(d.where("id % 2 = 0"), "native", own, own, F.asc("id"))).unionByName(rank(d.where("id % 3 = 0"), "other", F.floor(F.col("id") / 1000), F.asc("id")))
     return retrieval.reciprocal_rank_fusion(rows, {"literal": 2.2, "native": 1.35, "expanded": 0.75})
 
 
@@ -684,7 +785,14 @@ SELECT 'model:' || key AS key, arg_max(id, (base, -id)) AS representative, max(b
 def entity_group(spark, sf_dir):
     """Offers of one model as one entity, with the best of each signal."""
     key = F.concat_ws(":", F.lit("model"), F.lower("p_brand"), F.lower("p_type"))
-    rows = table(spark, sf_dir, "part").select(key.alias("key"), F.col("p_partkey").alias("id"), (F.col("p_size") / 50.0).alias("base"), F.concat(F.lit("s"), (F.col("p_partkey") % 7).cast("string")).alias("source"), (F.col("p_size") / 60.0).alias("semantic"), (F.col("p_partkey") % 13 + 1).alias("rank"))
+    rows = table(spark, sf_dir, "part").select(
+        key.alias("key"),
+        F.col("p_partkey").alias("id"),
+        (F.col("p_size") / 50.0).alias("base"),
+        F.concat(F.lit("s"), (F.col("p_partkey") % 7).cast("string")).alias("source"),
+        (F.col("p_size") / 60.0).alias("semantic"),
+        (F.col("p_partkey") % 13 + 1).alias("rank"),
+    )
     return ranking.entity_groups(rows, "key").withColumn("semantic", F.round("semantic", 6))
 
 
@@ -696,13 +804,24 @@ UNION ALL SELECT mission_id, ids, total, rel, 1, 'value', row_number() OVER (PAR
 UNION ALL SELECT mission_id, ids, total, rel, 2, 'premium', row_number() OVER (PARTITION BY mission_id ORDER BY total DESC, round(rel, 9) DESC, ranks) FROM b)"""
 
 
-@query(f"""WITH {BUNDLE_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY mission_id, ids ORDER BY k) AS m FROM x WHERE n = 1) SELECT mission_id, choice, array_to_string(ids, '|') AS ids, total, round(rel, 6) AS relevance FROM f WHERE m = 1""")
+@query(
+    f"""WITH {BUNDLE_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY mission_id, ids ORDER BY k) AS m FROM x WHERE n = 1) SELECT mission_id, choice, array_to_string(ids, '|') AS ids, total, round(rel, 6) AS relevance FROM f WHERE m = 1"""
+)
 def bundle_select(spark, sf_dir):
     """Balanced, value and premium bundles of three slots within a budget, a mission for each brand."""
     p = table(spark, sf_dir, "part").where("p_type in ('ECONOMY', 'SMALL', 'PROMO')")
     slot = F.when(F.col("p_type") == "ECONOMY", 0).when(F.col("p_type") == "SMALL", 1).otherwise(2)
     rank = F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy(F.desc("p_size"), "p_partkey"))
-    rows = p.select(F.col("p_brand").alias("mission_id"), slot.alias("slot"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title_key"), minor("p_retailprice").alias("price_minor"), F.lit("USD").alias("currency"), (F.col("p_size") / 50.0).alias("score"), rank.alias("rank"))
+    rows = p.select(
+        F.col("p_brand").alias("mission_id"),
+        slot.alias("slot"),
+        F.col("p_partkey").alias("id"),
+        F.col("p_name").alias("title_key"),
+        minor("p_retailprice").alias("price_minor"),
+        F.lit("USD").alias("currency"),
+        (F.col("p_size") / 50.0).alias("score"),
+        rank.alias("rank"),
+    )
     found = bundles.choices(bundles.combinations(rows, 3, budget_max=300_000), 300_000)
     return found.select("mission_id", "choice", F.concat_ws("|", F.transform("ids", lambda x: x.cast("string"))).alias("ids"), "total", F.round("relevance", 6).alias("relevance"))
 
@@ -728,7 +847,9 @@ def ndcg_at_10(spark, sf_dir):
     return evaluation.ndcg(g, g.select("case_id", "grade")).withColumn("ndcg", F.round("ndcg", 6))
 
 
-@query(f"""WITH {GRADED_SQL} SELECT case_id, round(count(*) FILTER (position <= 5 AND grade >= 3) / 5.0, 6) AS precision, round(sum(leaked) / count(*), 6) AS leakage, round(1 - count(DISTINCT doc_id % 4) / count(*), 6) AS duplicates, count(DISTINCT doc_id % 4) AS entities, count(DISTINCT lang) AS sources FROM g WHERE position <= 10 GROUP BY case_id""")
+@query(
+    f"""WITH {GRADED_SQL} SELECT case_id, round(count(*) FILTER (position <= 5 AND grade >= 3) / 5.0, 6) AS precision, round(sum(leaked) / count(*), 6) AS leakage, round(1 - count(DISTINCT doc_id % 4) / count(*), 6) AS duplicates, count(DISTINCT doc_id % 4) AS entities, count(DISTINCT lang) AS sources FROM g WHERE position <= 10 GROUP BY case_id"""
+)
 def precision_leakage(spark, sf_dir):
     """V2: precision at five, leakage, duplicates, distinct entities and sources."""
     rows = graded(spark, sf_dir).select("case_id", "position", (F.col("grade") >= 3).alias("relevant"), "leaked", (F.col("doc_id") % 4).alias("entity"), F.col("lang").alias("source"))
@@ -754,14 +875,18 @@ def repeatability(spark, sf_dir):
     return evaluation.repeatability(runs).withColumn("repeatability", F.round("repeatability", 6))
 
 
-@query("""WITH s AS (SELECT unnest([lang, source, CASE WHEN n_chars > 1000 THEN 'long' ELSE 'short' END]) AS slice, quality FROM documents JOIN labels USING (doc_id)) SELECT slice, count(*) AS cases, round(coalesce(avg(quality), 0), 6) AS mean FROM s GROUP BY 1""")
+@query(
+    """WITH s AS (SELECT unnest([lang, source, CASE WHEN n_chars > 1000 THEN 'long' ELSE 'short' END]) AS slice, quality FROM documents JOIN labels USING (doc_id)) SELECT slice, count(*) AS cases, round(coalesce(avg(quality), 0), 6) AS mean FROM s GROUP BY 1"""
+)
 def slice_summary(spark, sf_dir):
     """Mean quality of each slice; a case is in several."""
     rows = table(spark, sf_dir, "documents").drop("text").join(table(spark, sf_dir, "labels"), "doc_id").select(F.array("lang", "source", F.when(F.col("n_chars") > 1000, "long").otherwise("short")).alias("slices"), "quality")
     return evaluation.slice_summary(rows, "quality").withColumn("mean", F.round("mean", 6))
 
 
-@query("""WITH need AS (SELECT DISTINCT lang AS case_id, source AS slot_id FROM documents), hit AS (SELECT DISTINCT lang AS case_id, source AS slot_id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) SELECT n.case_id, round(avg(CASE WHEN h.slot_id IS NULL THEN 0 ELSE 1 END), 6) AS coverage FROM need n LEFT JOIN hit h USING (case_id, slot_id) GROUP BY 1""")
+@query(
+    """WITH need AS (SELECT DISTINCT lang AS case_id, source AS slot_id FROM documents), hit AS (SELECT DISTINCT lang AS case_id, source AS slot_id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) SELECT n.case_id, round(avg(CASE WHEN h.slot_id IS NULL THEN 0 ELSE 1 END), 6) AS coverage FROM need n LEFT JOIN hit h USING (case_id, slot_id) GROUP BY 1"""
+)
 def slot_coverage(spark, sf_dir):
     """V3: share of required slots that results fill."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("case_id"), F.col("source").alias("slot_id"))
@@ -769,7 +894,9 @@ def slot_coverage(spark, sf_dir):
     return evaluation.slot_coverage(hit, d.select("case_id", "slot_id").distinct()).withColumn("coverage", F.round("coverage", 6))
 
 
-@query("""SELECT doc_id, 'missing' AS problem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION SELECT doc_id, 'unknown' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 1000) AND doc_id NOT IN (SELECT doc_id FROM documents)""")
+@query(
+    """SELECT doc_id, 'missing' AS problem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION SELECT doc_id, 'unknown' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 1000) AND doc_id NOT IN (SELECT doc_id FROM documents)"""
+)
 def missing_unknown(spark, sf_dir):
     """V5, U4: cases without a prediction and predictions without a case."""
     return evaluation.missing_and_unknown(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")

@@ -27,12 +27,22 @@ def scratch(spark: SparkSession, label: str) -> str:
 PAGE = 250
 
 
-@query(f"SELECT CAST(p_partkey AS VARCHAR) AS external_id, CASE WHEN contains(lower(p_name), lower(p_type)) THEN p_name ELSE p_name || ' ' || p_type END AS title, {cents_sql('p_retailprice')} AS price_minor, CASE WHEN p_size % 2 = 0 OR p_size % 3 = 0 THEN 'in_stock' ELSE 'out' END AS availability, p_type || ' sale-item' AS details FROM part")
+@query(
+    f"SELECT CAST(p_partkey AS VARCHAR) AS external_id, CASE WHEN contains(lower(p_name), lower(p_type)) THEN p_name ELSE p_name || ' ' || p_type END AS title, {cents_sql('p_retailprice')} AS price_minor, CASE WHEN p_size % 2 = 0 OR p_size % 3 = 0 THEN 'in_stock' ELSE 'out' END AS availability, p_type || ' sale-item' AS details FROM part"
+)
 def shopify_scan(spark, sf_dir):
     """Catalogue payloads of up to PAGE products, as shops give them."""
     p = table(spark, sf_dir, "part")
     variant = lambda price, ok: F.struct(F.lit(1).alias("id"), price.alias("price"), ok.alias("available"))
-    product = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.concat(F.lit("h"), F.col("p_partkey").cast("string")).alias("handle"), F.col("p_type").alias("product_type"), F.array(F.lit("sale-item"), F.lit("sys:hidden")).alias("tags"), F.lit("<p></p>").alias("body_html"), F.array(variant((F.col("p_retailprice") + 5).cast("string"), F.col("p_size") % 2 == 0), variant(F.col("p_retailprice").cast("string"), F.col("p_size") % 3 == 0), variant(F.lit("0"), F.lit(False))).alias("variants"))
+    product = F.struct(
+        F.col("p_partkey").alias("id"),
+        F.col("p_name").alias("title"),
+        F.concat(F.lit("h"), F.col("p_partkey").cast("string")).alias("handle"),
+        F.col("p_type").alias("product_type"),
+        F.array(F.lit("sale-item"), F.lit("sys:hidden")).alias("tags"),
+        F.lit("<p></p>").alias("body_html"),
+        F.array(variant((F.col("p_retailprice") + 5).cast("string"), F.col("p_size") % 2 == 0), variant(F.col("p_retailprice").cast("string"), F.col("p_size") % 3 == 0), variant(F.lit("0"), F.lit(False))).alias("variants"),
+    )
     raw = p.groupBy(F.floor(F.col("p_partkey") / PAGE).alias("page")).agg(F.collect_list(product).alias("products")).select(F.to_json(F.struct("products")).alias("json"))
     return payloads.shopify(raw).select("external_id", "title", "price_minor", "availability", "details")
 
@@ -40,8 +50,16 @@ def shopify_scan(spark, sf_dir):
 @query(f"SELECT CAST(p_partkey AS VARCHAR) AS external_id, p_name AS title, {cents_sql('p_retailprice')} AS price_minor, 'EUR' AS currency, CAST(p_size AS BIGINT) AS reviews FROM part")
 def woocommerce_scan(spark, sf_dir):
     """S3: store payloads whose minor unit is three digits."""
-    price = F.struct(F.lit(None).cast("string").alias("price"), F.floor(F.col("p_retailprice") * 1000 + 0.5).cast("long").cast("string").alias("sale_price"), F.lit("99999999").alias("regular_price"), F.lit("EUR").alias("currency_code"), F.lit(3).alias("currency_minor_unit"))
-    raw = table(spark, sf_dir, "part").select(F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("https://a.example.com/x").alias("permalink"), price.alias("prices"), F.col("p_size").alias("review_count"))).alias("json"))
+    price = F.struct(
+        F.lit(None).cast("string").alias("price"),
+        F.floor(F.col("p_retailprice") * 1000 + 0.5).cast("long").cast("string").alias("sale_price"),
+        F.lit("99999999").alias("regular_price"),
+        F.lit("EUR").alias("currency_code"),
+        F.lit(3).alias("currency_minor_unit"),
+    )
+    raw = table(spark, sf_dir, "part").select(
+        F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("https://a.example.com/x").alias("permalink"), price.alias("prices"), F.col("p_size").alias("review_count"))).alias("json")
+    )
     return payloads.woocommerce(raw).select("external_id", "title", "price_minor", "currency", "reviews")
 
 
@@ -65,7 +83,14 @@ def bestbuy_scan(spark, sf_dir):
 def reddit_scan(spark, sf_dir):
     """Forum payloads with the price in the title or in the body."""
     even, price = F.col("p_partkey") % 2 == 0, F.concat(F.lit("only $"), F.col("p_size").cast("string"))
-    data = F.struct(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.when(even, F.concat_ws(" ", "p_name", price)).otherwise(F.col("p_name")).alias("title"), F.when(~even, price).alias("selftext"), F.lit("https://shop.example.com/i").alias("url"), F.lit("/r/x").alias("permalink"), (~even).alias("is_self"))
+    data = F.struct(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"),
+        F.when(even, F.concat_ws(" ", "p_name", price)).otherwise(F.col("p_name")).alias("title"),
+        F.when(~even, price).alias("selftext"),
+        F.lit("https://shop.example.com/i").alias("url"),
+        F.lit("/r/x").alias("permalink"),
+        (~even).alias("is_self"),
+    )
     raw = table(spark, sf_dir, "part").select(F.to_json(F.struct(F.struct(F.array(F.struct(data.alias("data"))).alias("children")).alias("data"))).alias("json"))
     return payloads.reddit(raw).select("external_id", "price_minor", "url")
 
@@ -74,7 +99,16 @@ def reddit_scan(spark, sf_dir):
 def rss_scan(spark, sf_dir):
     """Feed payloads."""
     even, size = F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")
-    xml = F.concat(F.lit("<rss><channel><item><title><![CDATA["), "p_name", F.when(even, F.concat(F.lit(" $"), size)).otherwise(""), F.lit("]]></title><guid>g"), F.col("p_partkey").cast("string"), F.lit("</guid><link>https://d.example.com</link><description>now &lt;b&gt;$"), size, F.lit("&lt;/b&gt;</description></item></channel></rss>"))
+    xml = F.concat(
+        F.lit("<rss><channel><item><title><![CDATA["),
+        "p_name",
+        F.when(even, F.concat(F.lit(" $"), size)).otherwise(""),
+        F.lit("]]></title><guid>g"),
+        F.col("p_partkey").cast("string"),
+        F.lit("</guid><link>https://d.example.com</link><description>now &lt;b&gt;$"),
+        size,
+        F.lit("&lt;/b&gt;</description></item></channel></rss>"),
+    )
     return payloads.rss(table(spark, sf_dir, "part").select(xml.alias("xml"))).select("external_id", "title", "price_minor")
 
 
@@ -96,17 +130,34 @@ def selector_cards(spark, sf_dir):
 @query("SELECT page_id, 'P' || CAST(page_id AS VARCHAR) AS title, page_id * 100 + 99 AS price_minor, CASE WHEN page_id % 2 = 0 THEN 'in_stock' ELSE 'out' END AS availability FROM pages")
 def jsonld_scan(spark, sf_dir):
     """Products of JSON-LD that is put into every page."""
-    block = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"ItemList","itemListElement":[{"@type":"ListItem","item":{"@type":"Product","name":"P'), F.col("page_id").cast("string"), F.lit('","url":"/x","offers":[{"price":"0"},{"price":"$'), F.col("page_id").cast("string"), F.lit('.99","availability":"https://schema.org/'), F.when(F.col("page_id") % 2 == 0, "InStock").otherwise("OutOfStock"), F.lit('"}]}}]}]}</script>'))
+    block = F.concat(
+        F.lit('<script type="application/ld+json">{"@graph":[{"@type":"ItemList","itemListElement":[{"@type":"ListItem","item":{"@type":"Product","name":"P'),
+        F.col("page_id").cast("string"),
+        F.lit('","url":"/x","offers":[{"price":"0"},{"price":"$'),
+        F.col("page_id").cast("string"),
+        F.lit('.99","availability":"https://schema.org/'),
+        F.when(F.col("page_id") % 2 == 0, "InStock").otherwise("OutOfStock"),
+        F.lit('"}]}}]}]}</script>'),
+    )
     rows = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(block, "html").alias("html"))
     return payloads.jsonld_listings(rows).select("page_id", "title", "price_minor", "availability")
 
 
-@query(f"SELECT CAST(p_partkey AS VARCHAR) AS external_id, {cents_sql('p_retailprice')} AS price_minor, CASE WHEN p_partkey % 3 = 0 THEN 'EUR' ELSE 'USD' END AS currency, CASE WHEN p_size <= 5 THEN CAST(p_size AS DOUBLE) END AS rating FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0")
+@query(
+    f"SELECT CAST(p_partkey AS VARCHAR) AS external_id, {cents_sql('p_retailprice')} AS price_minor, CASE WHEN p_partkey % 3 = 0 THEN 'EUR' ELSE 'USD' END AS currency, CASE WHEN p_size <= 5 THEN CAST(p_size AS DOUBLE) END AS rating FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0"
+)
 def sanitize_listings(spark, sf_dir):
     """Listings without a safe URL or a title drop out, odd currencies and ratings are repaired."""
     k = F.col("p_partkey")
     url = F.when(k % 5 == 0, "http://192.168.0.1/x").otherwise("https://shop.example.com/x")
-    rows = table(spark, sf_dir, "part").select(k.cast("string").alias("external_id"), F.when(k % 7 == 0, "  ").otherwise(F.col("p_name")).alias("title"), url.alias("url"), minor("p_retailprice").alias("price_minor"), F.when(k % 3 == 0, "eur").otherwise("dollars").alias("currency"), F.col("p_size").cast("double").alias("rating"))
+    rows = table(spark, sf_dir, "part").select(
+        k.cast("string").alias("external_id"),
+        F.when(k % 7 == 0, "  ").otherwise(F.col("p_name")).alias("title"),
+        url.alias("url"),
+        minor("p_retailprice").alias("price_minor"),
+        F.when(k % 3 == 0, "eur").otherwise("dollars").alias("currency"),
+        F.col("p_size").cast("double").alias("rating"),
+    )
     return payloads.sanitized(rows).select("external_id", "price_minor", "currency", "rating")
 
 
@@ -114,7 +165,16 @@ def sanitize_listings(spark, sf_dir):
 def config_validation(spark, sf_dir):
     """Extractor configurations with and without a place for the query and on another site."""
     k = F.col("s_suppkey")
-    config = F.to_json(F.struct(F.lit("https://www.a.example.com").alias("baseUrl"), F.concat(F.when(k % 3 == 0, "https://b.example.org").otherwise("https://a.example.com"), F.when(k % 2 == 0, "/s?q={query}").otherwise("/s")).alias("searchUrl"), F.lit("div.card").alias("card"), F.lit("h2").alias("title"), F.lit("a").alias("link"), F.lit("USD").alias("currency")))
+    config = F.to_json(
+        F.struct(
+            F.lit("https://www.a.example.com").alias("baseUrl"),
+            F.concat(F.when(k % 3 == 0, "https://b.example.org").otherwise("https://a.example.com"), F.when(k % 2 == 0, "/s?q={query}").otherwise("/s")).alias("searchUrl"),
+            F.lit("div.card").alias("card"),
+            F.lit("h2").alias("title"),
+            F.lit("a").alias("link"),
+            F.lit("USD").alias("currency"),
+        )
+    )
     return table(spark, sf_dir, "supplier").select("s_suppkey", payloads.valid_config(config).alias("valid"))
 
 
@@ -131,10 +191,23 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     noun = F.element_at(text.lit_array(PRODUCTS), (k % len(PRODUCTS) + 1).cast("int"))
     extra = F.when(k % 5 == 0, " case").when(k % 5 == 1, " refurbished").when(k % 5 == 2, " leather black").otherwise("")
     brand = F.element_at(text.lit_array(("Sony", "Nike", "Dell", "Bose", "Apple", "LG", "HP")), (k % 7 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select(k.alias("id"), F.concat_ws(" ", brand, "p_name", F.concat(noun, extra)).alias("title"), F.col("p_type").alias("details"), minor("p_retailprice").alias("price_minor"), (k % 6).alias("source"), (F.col("p_size") % 2 == 0).alias("has_image"), F.when(F.col("p_size") % 3 == 0, "out").otherwise("in_stock").alias("availability"), F.col("p_size").alias("reviews"), (F.col("p_size") % 5).cast("double").alias("rating"), (k % 4 == 0).alias("cached"))
-
-
-@query(f"SELECT p_partkey AS id, CASE p_partkey % 12 {' '.join(f'WHEN {i} THEN {chr(39)}{t}{chr(39)}' for i, t in enumerate(TYPES))} END AS product_type, CASE p_partkey % 7 {' '.join(f'WHEN {i} THEN {chr(39)}{b}{chr(39)}' for i, b in enumerate(('Sony', 'Nike', 'Dell', 'Bose', 'Apple', 'Lg', 'Hp')))} END AS brand, CASE WHEN p_partkey % 5 = 1 THEN 'refurbished' END AS condition FROM part")
+    return table(spark, sf_dir, "part").select(
+        k.alias("id"),
+        F.concat_ws(" ", brand, "p_name", F.concat(noun, extra)).alias("title"),
+        F.col("p_type").alias("details"),
+        minor("p_retailprice").alias("price_minor"),
+        (k % 6).alias("source"),
+        (F.col("p_size") % 2 == 0).alias("has_image"),
+        F.when(F.col("p_size") % 3 == 0, "out").otherwise("in_stock").alias("availability"),
+        F.col("p_size").alias("reviews"),
+        (F.col("p_size") % 5).cast("double").alias("rating"),
+        (k % 4 == 0).alias("cached"),
+    )
+
+
+@query(
+    f"SELECT p_partkey AS id, CASE p_partkey % 12 {' '.join(f'WHEN {i} THEN {chr(39)}{t}{chr(39)}' for i, t in enumerate(TYPES))} END AS product_type, CASE p_partkey % 7 {' '.join(f'WHEN {i} THEN {chr(39)}{b}{chr(39)}' for i, b in enumerate(('Sony', 'Nike', 'Dell', 'Bose', 'Apple', 'Lg', 'Hp')))} END AS brand, CASE WHEN p_partkey % 5 = 1 THEN 'refurbished' END AS condition FROM part"
+)
 def listing_types(spark, sf_dir):
     """type, brand and condition read from titles."""
     t = F.col("title")
@@ -216,26 +289,37 @@ def title_similarity(spark, sf_dir):
     return t.join(first, "p_brand").select("p_partkey", F.round(scoring.jaccard(F.col("w"), F.col("b")), 6).alias("similarity"))
 
 
-@query("""WITH s AS (SELECT doc_id, quality AS prior, CASE WHEN toxic = 1 THEN NULL ELSE doc_id % 10 / 8.0 END AS judged FROM labels) SELECT doc_id, round(CASE WHEN judged IS NULL THEN prior ELSE 0.65 * prior + 0.35 * least(1, greatest(0, judged)) END, 6) AS relevance, round(1 / (1 + exp(-(doc_id % 21 - 10.0))), 6) AS probability FROM s""")
+@query(
+    """WITH s AS (SELECT doc_id, quality AS prior, CASE WHEN toxic = 1 THEN NULL ELSE doc_id % 10 / 8.0 END AS judged FROM labels) SELECT doc_id, round(CASE WHEN judged IS NULL THEN prior ELSE 0.65 * prior + 0.35 * least(1, greatest(0, judged)) END, 6) AS relevance, round(1 / (1 + exp(-(doc_id % 21 - 10.0))), 6) AS probability FROM s"""
+)
 def rerank_blend(spark, sf_dir):
     """Prior relevance with a judged score, and the logistic of a raw score."""
     judged = F.when(F.col("toxic") != 1, F.col("doc_id") % 10 / 8.0)
     return table(spark, sf_dir, "labels").select("doc_id", F.round(scoring.blend(F.col("quality").cast("double"), judged), 6).alias("relevance"), F.round(scoring.sigmoid(F.col("doc_id") % 21 - 10.0), 6).alias("probability"))
 
 
-@query("""WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) SELECT p_partkey, CASE WHEN len(list_filter(w, lambda x: length(x) > 0)) >= 2 AND length(array_to_string(w, ' ')) >= 8 THEN array_to_string(w, ' ') END AS words FROM p""")
+@query(
+    """WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) SELECT p_partkey, CASE WHEN len(list_filter(w, lambda x: length(x) > 0)) >= 2 AND length(array_to_string(w, ' ')) >= 8 THEN array_to_string(w, ' ') END AS words FROM p"""
+)
 def ocr_words(spark, sf_dir):
     """recognised words that are sure and long enough."""
     w = F.split("p_name", " ")
     return table(spark, sf_dir, "part").select("p_partkey", text.ocr_text(F.concat(w, F.array(F.lit("blur"))), F.concat(F.transform(w, lambda x: F.lit(90)), F.array(F.lit(20)))).alias("words"))
 
 
-@query("""WITH q AS (SELECT c_custkey, least(c_acctbal, 1000) AS query_max, CASE WHEN c_custkey % 2 = 0 THEN 'alternatives' ELSE 'bundle' END AS composition FROM customer) SELECT c_custkey, CASE WHEN composition = 'alternatives' THEN least(query_max, 500) ELSE query_max END AS slot_max, CASE WHEN composition = 'bundle' THEN 500.0 END AS total_max FROM q""")
+@query(
+    """WITH q AS (SELECT c_custkey, least(c_acctbal, 1000) AS query_max, CASE WHEN c_custkey % 2 = 0 THEN 'alternatives' ELSE 'bundle' END AS composition FROM customer) SELECT c_custkey, CASE WHEN composition = 'alternatives' THEN least(query_max, 500) ELSE query_max END AS slot_max, CASE WHEN composition = 'bundle' THEN 500.0 END AS total_max FROM q"""
+)
 def mission_bounds(spark, sf_dir):
     """A budget over alternatives bounds each of them, over a bundle its total."""
     from ..operators import bundles
 
-    plan = table(spark, sf_dir, "customer").select("c_custkey", F.least("c_acctbal", F.lit(1000.0)).alias("query_max"), F.lit(500.0).alias("budget_max"), F.when(F.col("c_custkey") % 2 == 0, "alternatives").otherwise("bundle").alias("composition"))
+    plan = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.least("c_acctbal", F.lit(1000.0)).alias("query_max"),
+        F.lit(500.0).alias("budget_max"),
+        F.when(F.col("c_custkey") % 2 == 0, "alternatives").otherwise("bundle").alias("composition"),
+    )
     return bundles.enforce_bounds(plan).select("c_custkey", "slot_max", "total_max")
 
 
@@ -253,8 +337,24 @@ def entity_cascade(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     name = F.concat(F.lit("alpha widget wh-"), (F.col("label") * 7 + 1000).cast("string"), F.lit("xm gadget"))
     known = v.where("vec_id % 6 != 0")
-    products_ = entity.centroids(known, "label", "embedding").join(known.groupBy("label").agg(F.min("vec_id").alias("first")), "label").select(F.col("label").cast("long").alias("product_id"), F.when(F.col("label") == 0, "B000000000").alias("asin"), F.lit(None).cast("long").alias("hash"), "centroid", name.alias("title"), F.lit(1000.0).alias("median"), F.array(F.lit(99).cast("long")).alias("sources"))
-    listings = v.where("vec_id % 6 = 0").select(F.col("vec_id").alias("listing_id"), (F.col("vec_id") % 40).alias("source"), F.when(F.col("vec_id") % 50 == 0, "B000000000").alias("asin"), F.lit(None).cast("long").alias("hash"), "embedding", name.alias("title"), F.lit(1200).cast("long").alias("price_minor"))
+    products_ = entity.centroids(known, "label", "embedding").join(known.groupBy("label").agg(F.min("vec_id").alias("first")), "label").select(
+        F.col("label").cast("long").alias("product_id"),
+        F.when(F.col("label") == 0, "B000000000").alias("asin"),
+        F.lit(None).cast("long").alias("hash"),
+        "centroid",
+        name.alias("title"),
+        F.lit(1000.0).alias("median"),
+        F.array(F.lit(99).cast("long")).alias("sources"),
+    )
+    listings = v.where("vec_id % 6 = 0").select(
+        F.col("vec_id").alias("listing_id"),
+        (F.col("vec_id") % 40).alias("source"),
+        F.when(F.col("vec_id") % 50 == 0, "B000000000").alias("asin"),
+        F.lit(None).cast("long").alias("hash"),
+        "embedding",
+        name.alias("title"),
+        F.lit(1200).cast("long").alias("price_minor"),
+    )
     return entity.cascade(listings, products_).select("listing_id", "product_id", "reason", F.round("score", 6).alias("score"))
 
 
@@ -284,7 +384,9 @@ def stream_breakers(spark, sf_dir):
 # Gates around the search
 
 
-@query("""WITH m AS (SELECT max(epoch_us(ts)) // 1000000 AS now FROM events), s AS (SELECT user_id, max(epoch_us(ts)) // 1000000 AS t FROM events GROUP BY 1) SELECT user_id, CASE WHEN now - t <= 600 THEN 'fresh' WHEN now - t <= 3600 THEN 'stale' ELSE 'expired' END AS state FROM s, m""")
+@query(
+    """WITH m AS (SELECT max(epoch_us(ts)) // 1000000 AS now FROM events), s AS (SELECT user_id, max(epoch_us(ts)) // 1000000 AS t FROM events GROUP BY 1) SELECT user_id, CASE WHEN now - t <= 600 THEN 'fresh' WHEN now - t <= 3600 THEN 'stale' ELSE 'expired' END AS state FROM s, m"""
+)
 def snapshot_freshness(spark, sf_dir):
     """Whether each source's last snapshot can be used."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -299,7 +401,9 @@ def store_types(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", gates.store_type(F.when(k == 0, 200).when(k == 2, 403).otherwise(404), F.when(k == 1, 200).otherwise(404)).alias("kind"))
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'ok' WHEN regexp_matches(lower(html), 'captcha|access denied|are you a human|unusual traffic|verify you are human|robot check') THEN 'blocked' WHEN page_id % 3 = 1 THEN 'stale' ELSE 'empty' END AS diagnosis FROM pages""")
+@query(
+    """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'ok' WHEN regexp_matches(lower(html), 'captcha|access denied|are you a human|unusual traffic|verify you are human|robot check') THEN 'blocked' WHEN page_id % 3 = 1 THEN 'stale' ELSE 'empty' END AS diagnosis FROM pages"""
+)
 def page_diagnosis(spark, sf_dir):
     """Why pages gave no listings."""
     k = F.col("page_id") % 3
@@ -320,7 +424,11 @@ def aspect_tags(spark, sf_dir):
     """Tags of entities and queries of slots."""
     empty = F.lit("")
     tags = gates.entity_aspects(F.array("p_type", empty), empty, F.col("p_brand"), scoring.price_band(minor("p_retailprice")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", tags).alias("tags"), gates.slot_query(F.col("p_name"), F.lit(None).cast("long"), F.when(F.col("p_size") % 100 != 0, F.col("p_size") * 100).cast("long")).alias("slot"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.concat_ws("|", tags).alias("tags"),
+        gates.slot_query(F.col("p_name"), F.lit(None).cast("long"), F.when(F.col("p_size") % 100 != 0, F.col("p_size") * 100).cast("long")).alias("slot"),
+    )
 
 
 @query("""WITH l AS (SELECT doc_id, doc_id % 50 AS query_id, CASE WHEN toxic = 0 THEN quality * 0.9 - doc_id % 3 * 0.2 END AS judged, doc_id % 10 / 10.0 AS score, CASE WHEN doc_id % 2 = 0 THEN 'short' ELSE 'long enough details text' END AS details FROM labels),
@@ -329,11 +437,19 @@ SELECT doc_id, query_id FROM w WHERE CASE WHEN NOT seen THEN score >= 0.35 WHEN
 def judged_results(spark, sf_dir):
     """Judged results with the two fallbacks."""
     k = F.col("doc_id")
-    rows = table(spark, sf_dir, "labels").select("doc_id", (k % 50).alias("query_id"), F.when(F.col("toxic") == 0, F.col("quality") * 0.9 - k % 3 * 0.2).alias("judged"), (k % 10 / 10.0).alias("score"), F.when(k % 2 == 0, "short").otherwise("long enough details text").alias("details"))
+    rows = table(spark, sf_dir, "labels").select(
+        "doc_id",
+        (k % 50).alias("query_id"),
+        F.when(F.col("toxic") == 0, F.col("quality") * 0.9 - k % 3 * 0.2).alias("judged"),
+        (k % 10 / 10.0).alias("score"),
+        F.when(k % 2 == 0, "short").otherwise("long enough details text").alias("details"),
+    )
     return gates.judged(rows).select("doc_id", "query_id")
 
 
-@query("""WITH c AS (SELECT p_brand, max(p_size / 60.0) AS similarity, bool_or(p_retailprice * 100 BETWEEN 90000 AND 150000) AS inside, bool_or(contains(p_name, 'blue')) AS a, bool_or(contains(p_name, 'bolt')) AS b FROM part GROUP BY 1) SELECT p_brand, round(similarity, 6) AS similarity FROM c WHERE similarity >= 0.25 AND inside AND a AND b""")
+@query(
+    """WITH c AS (SELECT p_brand, max(p_size / 60.0) AS similarity, bool_or(p_retailprice * 100 BETWEEN 90000 AND 150000) AS inside, bool_or(contains(p_name, 'blue')) AS a, bool_or(contains(p_name, 'bolt')) AS b FROM part GROUP BY 1) SELECT p_brand, round(similarity, 6) AS similarity FROM c WHERE similarity >= 0.25 AND inside AND a AND b"""
+)
 def cluster_relevance(spark, sf_dir):
     """Clusters whose titles together hold the query."""
     rows = table(spark, sf_dir, "part").select("p_brand", (F.col("p_size") / 60.0).alias("similarity"), F.col("p_name").alias("title"), minor("p_retailprice").alias("price_minor"))

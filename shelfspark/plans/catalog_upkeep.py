@@ -14,36 +14,80 @@ from .catalog import cents_sql, query
 # Result pages
 
 
-@query(f"""SELECT p_partkey AS page_id, 'B0' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS external_id, p_name || ' & co' AS title, {cents_sql('p_retailprice')} AS price_minor, CASE WHEN p_size % 2 = 0 THEN p_size / 10.0 END AS rating, CASE WHEN p_size % 3 = 0 THEN 1000 + p_size END AS reviews FROM part WHERE p_partkey % 10 <> 9""")
+@query(
+    f"""SELECT p_partkey AS page_id, 'B0' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS external_id, p_name || ' & co' AS title, {cents_sql('p_retailprice')} AS price_minor, CASE WHEN p_size % 2 = 0 THEN p_size / 10.0 END AS rating, CASE WHEN p_size % 3 = 0 THEN 1000 + p_size END AS reviews FROM part WHERE p_partkey % 10 <> 9"""
+)
 def market_scan(spark, sf_dir):
     """Cards of a market's result pages with the title in one of four places; challenge pages give none."""
     k, size, price = F.col("p_partkey"), F.col("p_size"), F.format_number("p_retailprice", 2)
     name = F.concat("p_name", F.lit(" &amp; co"))
     number = F.concat(F.lit("B0"), F.lpad(k.cast("string"), 8, "0"))
     wrap = lambda a, b: F.concat(F.lit(a), name, F.lit(b))
-    title = F.when(k % 4 == 0, wrap('<h2 class="x" aria-label="', '"></h2>')).when(k % 4 == 1, wrap("<h2><a>\n<span>", "</span></a></h2>")).when(k % 4 == 2, wrap('<span class="a-size-base-plus a-text">', "</span>")).otherwise(wrap('<h2 aria-label=""><b></b></h2><span class="a-size-medium">', "</span>"))
+    title = F.when(k % 4 == 0, wrap('<h2 class="x" aria-label="', '"></h2>')).when(k % 4 == 1, wrap("<h2><a>\n<span>", "</span></a></h2>")).when(k % 4 == 2, wrap('<span class="a-size-base-plus a-text">', "</span>")).otherwise(
+        wrap('<h2 aria-label=""><b></b></h2><span class="a-size-medium">', "</span>")
+    )
     stars = F.when(size % 2 == 0, F.concat((size / 10.0).cast("string"), F.lit(" out of 5 stars"))).otherwise("")
     ratings = F.when(size % 3 == 0, F.concat(F.lit('<a aria-label="1,0'), F.lpad(size.cast("string"), 2, "0"), F.lit(' ratings">'))).otherwise("")
     start = lambda n: F.concat(F.lit('<div data-asin="'), n, F.lit('" data-x="1" data-component-type="s-search-result">'))
-    page = F.concat(F.lit("<html>"), start(number), title, F.lit('<span class="a-offscreen">$'), price, F.lit('</span><span class="a-offscreen">$9.99</span>'), stars, ratings, F.lit("</div>"), start(F.lit("B0NOTITLE1")), F.lit('<span class="a-offscreen">$1.00</span></div>'), F.when(k % 10 == 9, "Sorry, we just need to make sure you are no robot").otherwise(""))
+    page = F.concat(
+        F.lit("<html>"),
+        start(number),
+        title,
+        F.lit('<span class="a-offscreen">$'),
+        price,
+        F.lit('</span><span class="a-offscreen">$9.99</span>'),
+        stars,
+        ratings,
+        F.lit("</div>"),
+        start(F.lit("B0NOTITLE1")),
+        F.lit('<span class="a-offscreen">$1.00</span></div>'),
+        F.when(k % 10 == 9, "Sorry, we just need to make sure you are no robot").otherwise(""),
+    )
     return payloads.market_cards(table(spark, sf_dir, "part").select(k.alias("page_id"), page.alias("html"))).select("page_id", "external_id", "title", "price_minor", "rating", "reviews")
 
 
-@query(f"""SELECT p_partkey AS page_id, CAST(1000 + p_partkey AS VARCHAR) AS external_id, p_name AS title, {cents_sql('p_retailprice')} AS price_minor, CASE WHEN p_size % 2 = 0 THEN 'in_stock' END AS availability, CASE WHEN p_size % 3 = 0 THEN '/later.jpg' ELSE '/shown.jpg' END AS image_url FROM part""")
+@query(
+    f"""SELECT p_partkey AS page_id, CAST(1000 + p_partkey AS VARCHAR) AS external_id, p_name AS title, {cents_sql('p_retailprice')} AS price_minor, CASE WHEN p_size % 2 = 0 THEN 'in_stock' END AS availability, CASE WHEN p_size % 3 = 0 THEN '/later.jpg' ELSE '/shown.jpg' END AS image_url FROM part"""
+)
 def auction_scan(spark, sf_dir):
     """Cards of an auction site's result pages; placeholders and repeated cards drop out."""
     k, size = F.col("p_partkey"), F.col("p_size")
     number = (k + 1000).cast("string")
-    card = lambda n, link, title: F.concat(F.lit('<li class="s-card s-card--x" id=a data-listingid='), n, F.lit("><a href=https://www.shop.com/itm/"), link, F.lit("?q=1>x</a><div role=heading class=s-card__title><span>"), title, F.lit("</span></div>"))
+    card = lambda n, link, title: F.concat(
+        F.lit('<li class="s-card s-card--x" id=a data-listingid='),
+        n,
+        F.lit("><a href=https://www.shop.com/itm/"),
+        link,
+        F.lit("?q=1>x</a><div role=heading class=s-card__title><span>"),
+        title,
+        F.lit("</span></div>"),
+    )
     image = F.concat(F.lit("<img class=s-card__image src="), F.when(size % 3 == 0, "/fxxj3ttftm5ltcqnto1o4baovyl.png data-defer-load=/later.jpg").otherwise("/shown.jpg"), F.lit(" >"))
-    real = F.concat(card(number, number, F.col("p_name")), image, F.lit('<div class=s-card__subtitle><span>'), F.when(size % 2 == 0, "Brand New").otherwise("Pre-owned"), F.lit('</span></div><span class="su-styled-text s-card__price">$'), F.format_number("p_retailprice", 2), F.lit(" to $9,999.00</span></li>"))
+    real = F.concat(
+        card(number, number, F.col("p_name")),
+        image,
+        F.lit('<div class=s-card__subtitle><span>'),
+        F.when(size % 2 == 0, "Brand New").otherwise("Pre-owned"),
+        F.lit('</span></div><span class="su-styled-text s-card__price">$'),
+        F.format_number("p_retailprice", 2),
+        F.lit(" to $9,999.00</span></li>"),
+    )
     page = F.concat(F.lit("<ul>"), card(F.lit("77"), F.lit("123456"), F.lit("Shop here")), F.lit("</li>"), real, card(number, number, F.lit("again")), F.lit("</li></ul>"))
     return payloads.auction_cards(table(spark, sf_dir, "part").select(k.alias("page_id"), page.alias("html"))).select("page_id", "external_id", "title", "price_minor", "availability", "image_url")
 
 
 # Missions
 
-GOALS = (("furnish a home office under $500", "bundle", "office desk|ergonomic office chair|task lamp"), ("gifts for a coffee lover", "alternatives", "coffee grinder|pour over coffee maker|coffee mug set"), ("equip a coffee station", "bundle", "coffee maker|coffee grinder|electric gooseneck kettle"), ("wedding outfit", "bundle", "linen shirt|dress pants|dress shoes"), ("outfit for fall", "bundle", "outfit top|outfit pants|outfit shoes"), ("monitor chair backpack", "bundle", "monitor|ergonomic office chair|laptop backpack"), ("ps5 or xbox, which one", "alternatives", "PlayStation 5 console|Xbox Series X console"), ("laptop backpack", "alternatives", "laptop backpack|practical laptop backpack|premium laptop backpack"))
+GOALS = (
+    ("furnish a home office under $500", "bundle", "office desk|ergonomic office chair|task lamp"),
+    ("gifts for a coffee lover", "alternatives", "coffee grinder|pour over coffee maker|coffee mug set"),
+    ("equip a coffee station", "bundle", "coffee maker|coffee grinder|electric gooseneck kettle"),
+    ("wedding outfit", "bundle", "linen shirt|dress pants|dress shoes"),
+    ("outfit for fall", "bundle", "outfit top|outfit pants|outfit shoes"),
+    ("monitor chair backpack", "bundle", "monitor|ergonomic office chair|laptop backpack"),
+    ("ps5 or xbox, which one", "alternatives", "PlayStation 5 console|Xbox Series X console"),
+    ("laptop backpack", "alternatives", "laptop backpack|practical laptop backpack|premium laptop backpack"),
+)
 GOAL_LIST_SQL = ", ".join(f"({i}, '{g}', '{c}', '{s}')" for i, (g, c, s) in enumerate(GOALS))
 
 
@@ -87,10 +131,16 @@ def esci_labels(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", evaluation.relevance_label(evidence, RULES, explicit).alias("label"))
 
 
-@query("""WITH i AS (SELECT o_custkey, o_orderkey, list_sort(list_distinct(list(l_linenumber % 4))) AS slots FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) SELECT o_custkey AS case_id, round(avg(CASE WHEN list_contains(slots, 1) AND list_contains(slots, 2) THEN 1.0 ELSE 0.0 END), 6) AS rate FROM i GROUP BY 1""")
+@query(
+    """WITH i AS (SELECT o_custkey, o_orderkey, list_sort(list_distinct(list(l_linenumber % 4))) AS slots FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) SELECT o_custkey AS case_id, round(avg(CASE WHEN list_contains(slots, 1) AND list_contains(slots, 2) THEN 1.0 ELSE 0.0 END), 6) AS rate FROM i GROUP BY 1"""
+)
 def bundle_rate(spark, sf_dir):
     """V3: share of each customer's orders that fill both required slots."""
-    items = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("bundle_id"), (F.col("l_linenumber") % 4).alias("slot_id"))
+    items = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("case_id"),
+        F.col("o_orderkey").alias("bundle_id"),
+        (F.col("l_linenumber") % 4).alias("slot_id"),
+    )
     slots = items.select("case_id").distinct().select("case_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("slot_id"))
     return evaluation.complete_bundles(items, slots).select("case_id", F.round("rate", 6).alias("rate"))
 
@@ -118,8 +168,17 @@ def recluster_detach(spark, sf_dir):
     """Offers that stay with their product, and those to be resolved again."""
     k, model = F.col("l_orderkey") % 4, F.concat((F.col("l_partkey") % 500 + 1000).cast("string"), F.lit("x"))
     own = F.concat(F.lit("epsilon wh"), model, F.lit(" pro"))
-    title = F.when(k == 0, F.concat(F.lit("alpha beta gamma delta wh-"), model)).when(k == 1, F.concat(F.lit("other thing zz-"), (F.col("l_orderkey") % 50 + 2000).cast("string"), F.lit("q"))).when(k == 2, own).otherwise(F.concat(F.lit("wh"), model))
-    rows = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("listing_id"), F.col("l_partkey").alias("product_id"), (F.col("l_suppkey") % 5).alias("source"), title.alias("title"), F.struct("l_orderkey", "l_linenumber").alias("captured")).distinct()
+    title = F.when(k == 0, F.concat(F.lit("alpha beta gamma delta wh-"), model)).when(
+        k == 1,
+        F.concat(F.lit("other thing zz-"), (F.col("l_orderkey") % 50 + 2000).cast("string"), F.lit("q")),
+    ).when(k == 2, own).otherwise(F.concat(F.lit("wh"), model))
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("listing_id"),
+        F.col("l_partkey").alias("product_id"),
+        (F.col("l_suppkey") % 5).alias("source"),
+        title.alias("title"),
+        F.struct("l_orderkey", "l_linenumber").alias("captured"),
+    ).distinct()
     products = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.concat(F.lit("epsilon wh"), (F.col("p_partkey") % 500 + 1000).cast("string"), F.lit("x pro")).alias("title"))
     return entity.detached(rows, products).select("listing_id", "keep")
 
@@ -161,7 +220,9 @@ def details_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", gates.details_with_ocr(F.when(size % 3 != 0, F.col("p_name")), F.when(size % 2 == 0, " ").otherwise(F.col("p_type"))).alias("details"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name || CASE p_partkey % 6 WHEN 0 THEN ' faux leather' WHEN 1 THEN ' leather' WHEN 2 THEN ' pu leather' WHEN 3 THEN ' type c' WHEN 4 THEN ' sit stand' ELSE '' END AS title FROM part) SELECT p_partkey, p_partkey % 6 = 1 OR p_partkey % 6 = 2 AS leather, p_partkey % 6 IN (0, 2) AS vegan, p_partkey % 6 = 3 AS usb, p_partkey % 6 = 4 AS standing FROM p""")
+@query(
+    """WITH p AS (SELECT p_partkey, p_name || CASE p_partkey % 6 WHEN 0 THEN ' faux leather' WHEN 1 THEN ' leather' WHEN 2 THEN ' pu leather' WHEN 3 THEN ' type c' WHEN 4 THEN ' sit stand' ELSE '' END AS title FROM part) SELECT p_partkey, p_partkey % 6 = 1 OR p_partkey % 6 = 2 AS leather, p_partkey % 6 IN (0, 2) AS vegan, p_partkey % 6 = 3 AS usb, p_partkey % 6 = 4 AS standing FROM p"""
+)
 def demanded_attributes(spark, sf_dir):
     """Demanded attributes in titles by alias, material and subtype."""
     k = F.col("p_partkey") % 6
@@ -221,7 +282,9 @@ def source_registry(spark, sf_dir):
     return ordered.withColumn("r", place).join(F.broadcast(before), "type").select("id", "type", "label", (F.col("before") + F.col("r")).cast("long").alias("place"))
 
 
-@query("""WITH t AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM t) SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) AS place, event_type <> 'error' AS ok FROM r WHERE r <= 14""")
+@query(
+    """WITH t AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM t) SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) AS place, event_type <> 'error' AS ok FROM r WHERE r <= 14"""
+)
 def health_dots(spark, sf_dir):
     """The last fourteen of each source's attempts among the newest thousand, the oldest first."""
     e = table(spark, sf_dir, "events").withColumn("ok", F.col("event_type") != "error")
@@ -236,7 +299,9 @@ def recent_listings(spark, sf_dir):
     return rel.recent(dated, F.col("now"), 86_400, "ts", "event_id", 80).select("event_id", "user_id")
 
 
-@query("""SELECT l_partkey AS product_id, CASE l_returnflag WHEN 'A' THEN 'EUR' WHEN 'N' THEN 'USD' ELSE 'GBP' END AS currency, min(CAST(floor(l_extendedprice / l_quantity * 100 + 0.5) AS BIGINT)) AS low, max(CAST(floor(l_extendedprice / l_quantity * 100 + 0.5) AS BIGINT)) AS high FROM lineitem WHERE CAST(floor(l_extendedprice / l_quantity * 100 + 0.5) AS BIGINT) > 0 GROUP BY ALL""")
+@query(
+    """SELECT l_partkey AS product_id, CASE l_returnflag WHEN 'A' THEN 'EUR' WHEN 'N' THEN 'USD' ELSE 'GBP' END AS currency, min(CAST(floor(l_extendedprice / l_quantity * 100 + 0.5) AS BIGINT)) AS low, max(CAST(floor(l_extendedprice / l_quantity * 100 + 0.5) AS BIGINT)) AS high FROM lineitem WHERE CAST(floor(l_extendedprice / l_quantity * 100 + 0.5) AS BIGINT) > 0 GROUP BY ALL"""
+)
 def price_ranges(spark, sf_dir):
     """A10: price range of each product in each currency."""
     flag = F.col("l_returnflag")
@@ -269,7 +334,9 @@ def compared_offers(spark, sf_dir):
     return found.select("product_id", "sources", F.concat_ws("|", F.transform("stores", lambda s: s.cast("string"))).alias("stores"))
 
 
-@query("""WITH r AS (SELECT DISTINCT event_id AS run FROM events WHERE event_type = 'view') SELECT e.event_id, r.run AS run_id, length(substring(repeat(e.props, 2000), 1, 20000)) AS kept FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type IN ('click', 'purchase')) e LEFT JOIN r ON r.run = e.k""")
+@query(
+    """WITH r AS (SELECT DISTINCT event_id AS run FROM events WHERE event_type = 'view') SELECT e.event_id, r.run AS run_id, length(substring(repeat(e.props, 2000), 1, 20000)) AS kept FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type IN ('click', 'purchase')) e LEFT JOIN r ON r.run = e.k"""
+)
 def feedback_rows(spark, sf_dir):
     """K6, K7: feedback of accepted kinds with its run, if there is such a run, and JSON cut at 20,000 characters."""
     e = table(spark, sf_dir, "events")
@@ -277,7 +344,9 @@ def feedback_rows(spark, sf_dir):
     return rel.known_run(feedback, e.where("event_type = 'view'").select(F.col("event_id").alias("run_id")), "run_id")
 
 
-@query("""SELECT p_partkey AS query_id, 'product' AS kind, 'chair' AS product_type, p_partkey % 2 = 0 AS has_brand, 1 AS must_count, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS exclusion_count, CASE WHEN p_partkey % 5 = 0 THEN 'used' ELSE 'any' END AS condition, true AS has_max_price, 0.95 AS confidence FROM part""")
+@query(
+    """SELECT p_partkey AS query_id, 'product' AS kind, 'chair' AS product_type, p_partkey % 2 = 0 AS has_brand, 1 AS must_count, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS exclusion_count, CASE WHEN p_partkey % 5 = 0 THEN 'used' ELSE 'any' END AS condition, true AS has_max_price, 0.95 AS confidence FROM part"""
+)
 def safe_specs(spark, sf_dir):
     """what parsed queries leave in telemetry: kinds, flags and counts."""
     k = F.col("p_partkey")
@@ -320,5 +389,11 @@ def role_rules(spark, sf_dir):
     """The decision of each rule, over titles that end with every part's name."""
     cases = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("query", "title", "details", "price_minor"), case))) for case in ROLE_CASES))
     case = F.element_at(cases, (F.col("p_partkey") % len(ROLE_CASES) + 1).cast("int"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", case.alias("c")).select("p_partkey", "c.query", F.concat_ws(" ", "c.title", "p_name").alias("title"), "c.details", F.col("c.price_minor").cast("long").alias("price_minor"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", case.alias("c")).select(
+        "p_partkey",
+        "c.query",
+        F.concat_ws(" ", "c.title", "p_name").alias("title"),
+        "c.details",
+        F.col("c.price_minor").cast("long").alias("price_minor"),
+    )
     return spec.classified(spec.parse_queries(rows)).select("p_partkey", "role", "eligible", "confidence")

@@ -85,7 +85,12 @@ def search_block(listings: DataFrame, queries: DataFrame, rerank: Callable[[Data
     """Entities of a block of queries at the floor or over, with eligible and lam: all that search() ranks."""
     found = written(eligible_candidates(listings, queries), "candidates")  # the channels, the judge and the entities read it
     weights = WEIGHTS | {f"native:{k}": NATIVE_WEIGHT for k in range(sources)}
-    own = None if native is None else found.select("query_id", "id").join(native, [c for c in ("query_id", "id") if c in native.columns]).select("query_id", "id", F.concat(F.lit("native:"), F.col("source").cast("string")).alias("channel"), "rank")
+    own = None if native is None else found.select("query_id", "id").join(native, [c for c in ("query_id", "id") if c in native.columns]).select(
+        "query_id",
+        "id",
+        F.concat(F.lit("native:"), F.col("source").cast("string")).alias("channel"),
+        "rank",
+    )
     if rerank is None:
         rows = found.withColumn("relevance", F.col("lexical"))
     else:

@@ -41,7 +41,16 @@ def shopify(payloads: DataFrame, json_col: str = "json", site: str = "https://sh
     p = payloads.select(F.explode(F.from_json(json_col, SHOPIFY)["products"]).alias("p"))
     prices = F.filter(F.transform("p.variants", lambda v: cents(v["price"])), lambda x: x > 0)
     details = F.concat_ws(" ", F.col("p.product_type"), F.concat_ws(" ", text.human_tags(F.col("p.tags"))), F.substring(text.strip_tags(F.coalesce("p.body_html", F.lit(""))), 1, 200))
-    return p.select(F.col("p.id").cast("string").alias("external_id"), text.titled_with_type(F.col("p.title"), F.col("p.product_type")).alias("title"), F.concat(F.lit(f"{site}/products/"), F.col("p.handle")).alias("url"), F.get("p.images", F.lit(0))["src"].alias("image_url"), F.coalesce(F.array_min(prices), F.lit(0)).alias("price_minor"), F.lit("USD").alias("currency"), F.when(F.exists("p.variants", lambda v: F.coalesce(v["available"], F.lit(False))), "in_stock").otherwise("out").alias("availability"), text.collapse(details).alias("details"))
+    return p.select(
+        F.col("p.id").cast("string").alias("external_id"),
+        text.titled_with_type(F.col("p.title"), F.col("p.product_type")).alias("title"),
+        F.concat(F.lit(f"{site}/products/"), F.col("p.handle")).alias("url"),
+        F.get("p.images", F.lit(0))["src"].alias("image_url"),
+        F.coalesce(F.array_min(prices), F.lit(0)).alias("price_minor"),
+        F.lit("USD").alias("currency"),
+        F.when(F.exists("p.variants", lambda v: F.coalesce(v["available"], F.lit(False))), "in_stock").otherwise("out").alias("availability"),
+        text.collapse(details).alias("details"),
+    )
 
 
 def woocommerce(payloads: DataFrame, json_col: str = "json") -> DataFrame:
@@ -49,7 +58,16 @@ def woocommerce(payloads: DataFrame, json_col: str = "json") -> DataFrame:
     p = payloads.select(F.from_json(json_col, WOO).alias("p"))
     price = F.coalesce(*(F.col(f"p.prices.{c}").try_cast("double") for c in ("price", "sale_price", "regular_price")))
     scale = F.pow(F.lit(10.0), 2 - F.coalesce("p.prices.currency_minor_unit", F.lit(2)))
-    return p.select(F.col("p.id").cast("string").alias("external_id"), text.strip_tags(F.col("p.name")).alias("title"), F.col("p.permalink").alias("url"), F.floor(price * scale + 0.5).cast("long").alias("price_minor"), F.coalesce("p.prices.currency_code", F.lit("USD")).alias("currency"), F.when(F.col("p.is_in_stock"), "in_stock").otherwise("out").alias("availability"), F.col("p.average_rating").try_cast("double").alias("rating"), F.col("p.review_count").alias("reviews"))
+    return p.select(
+        F.col("p.id").cast("string").alias("external_id"),
+        text.strip_tags(F.col("p.name")).alias("title"),
+        F.col("p.permalink").alias("url"),
+        F.floor(price * scale + 0.5).cast("long").alias("price_minor"),
+        F.coalesce("p.prices.currency_code", F.lit("USD")).alias("currency"),
+        F.when(F.col("p.is_in_stock"), "in_stock").otherwise("out").alias("availability"),
+        F.col("p.average_rating").try_cast("double").alias("rating"),
+        F.col("p.review_count").alias("reviews"),
+    )
 
 
 def etsy(payloads: DataFrame, json_col: str = "json") -> DataFrame:
@@ -57,13 +75,28 @@ def etsy(payloads: DataFrame, json_col: str = "json") -> DataFrame:
     p = payloads.select(F.explode(F.from_json(json_col, ETSY)["results"]).alias("p"))
     price = F.floor(F.col("p.price.amount") * 100.0 / F.greatest("p.price.divisor", F.lit(1)) + 0.5).cast("long")
     image = F.get("p.images", F.lit(0))
-    return p.select(F.col("p.listing_id").cast("string").alias("external_id"), F.col("p.title").alias("title"), F.col("p.url").alias("url"), F.coalesce(image["url_570xN"], image["url_fullxfull"]).alias("image_url"), price.alias("price_minor"), F.col("p.price.currency_code").alias("currency"))
+    return p.select(
+        F.col("p.listing_id").cast("string").alias("external_id"),
+        F.col("p.title").alias("title"),
+        F.col("p.url").alias("url"),
+        F.coalesce(image["url_570xN"], image["url_fullxfull"]).alias("image_url"),
+        price.alias("price_minor"),
+        F.col("p.price.currency_code").alias("currency"),
+    )
 
 
 def bestbuy(payloads: DataFrame, json_col: str = "json") -> DataFrame:
     """Listings of retailer payloads: sale price, else regular price."""
     p = payloads.select(F.explode(F.from_json(json_col, BESTBUY)["products"]).alias("p"))
-    return p.select(F.col("p.sku").cast("string").alias("external_id"), F.col("p.name").alias("title"), F.col("p.url").alias("url"), cents(F.coalesce("p.salePrice", "p.regularPrice")).alias("price_minor"), F.when(F.col("p.onlineAvailability"), "in_stock").otherwise("out").alias("availability"), F.col("p.customerReviewAverage").alias("rating"), F.col("p.customerReviewCount").alias("reviews"))
+    return p.select(
+        F.col("p.sku").cast("string").alias("external_id"),
+        F.col("p.name").alias("title"),
+        F.col("p.url").alias("url"),
+        cents(F.coalesce("p.salePrice", "p.regularPrice")).alias("price_minor"),
+        F.when(F.col("p.onlineAvailability"), "in_stock").otherwise("out").alias("availability"),
+        F.col("p.customerReviewAverage").alias("rating"),
+        F.col("p.customerReviewCount").alias("reviews"),
+    )
 
 
 def reddit(payloads: DataFrame, json_col: str = "json") -> DataFrame:
@@ -81,7 +114,13 @@ def rss(payloads: DataFrame, xml_col: str = "xml") -> DataFrame:
     part = lambda tag: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("item", rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1), r"(?s)^<!\[CDATA\[|\]\]>$", "")), F.lit(""))
     title, body = part("title"), F.coalesce(part("description"), F.lit(""))
     image = F.coalesce(F.nullif(F.regexp_extract("item", r"<media:thumbnail[^>]+url=\"([^\"]+)\"", 1), F.lit("")), F.nullif(F.regexp_extract(body, r"<img[^>]+src=\"([^\"]+)\"", 1), F.lit("")))
-    return p.select(F.coalesce(part("guid"), part("link"), F.col("pos").cast("string")).alias("external_id"), text.strip_tags(title).alias("title"), part("link").alias("url"), F.coalesce(F.nullif(text.dollar_price(title), F.lit(0)), text.dollar_price(text.strip_tags(body))).alias("price_minor"), image.alias("image_url"))
+    return p.select(
+        F.coalesce(part("guid"), part("link"), F.col("pos").cast("string")).alias("external_id"),
+        text.strip_tags(title).alias("title"),
+        part("link").alias("url"),
+        F.coalesce(F.nullif(text.dollar_price(title), F.lit(0)), text.dollar_price(text.strip_tags(body))).alias("price_minor"),
+        image.alias("image_url"),
+    )
 
 
 def _first(block: Column, patterns) -> Column:
@@ -113,7 +152,16 @@ def market_cards(pages: DataFrame, html_col: str = "html") -> DataFrame:
     cards = _cut(pages.where(market_state(F.col(html_col)) == "ok"), html_col, 'data-asin="B0[A-Z0-9]{8}"[^>]*data-component-type="s-search-result"')
     b = F.col("block")
     none = lambda pattern: F.nullif(F.regexp_extract(b, pattern, 1), F.lit(""))
-    found = cards.select("page_id", "pos", none('data-asin="([^"]+)"').alias("external_id"), _first(b, lx.CARD_TITLES).alias("title"), _dollars(b, r'<span class="a-offscreen">\$([\d,]+(?:\.\d+)?)</span>').alias("price_minor"), none(r'<img[^>]+class="s-image"[^>]+src="([^"]+)"').alias("image_url"), none(r"([\d.]+) out of 5 stars").try_cast("double").alias("rating"), F.replace(none(r'aria-label="([\d,]+) ratings?"'), F.lit(",")).try_cast("long").alias("reviews"))
+    found = cards.select(
+        "page_id",
+        "pos",
+        none('data-asin="([^"]+)"').alias("external_id"),
+        _first(b, lx.CARD_TITLES).alias("title"),
+        _dollars(b, r'<span class="a-offscreen">\$([\d,]+(?:\.\d+)?)</span>').alias("price_minor"),
+        none(r'<img[^>]+class="s-image"[^>]+src="([^"]+)"').alias("image_url"),
+        none(r"([\d.]+) out of 5 stars").try_cast("double").alias("rating"),
+        F.replace(none(r'aria-label="([\d,]+) ratings?"'), F.lit(",")).try_cast("long").alias("reviews"),
+    )
     return found.where("title is not null").withColumn("r", F.row_number().over(_by_page())).where(F.col("r") <= MOST_CARDS).drop("r", "pos")
 
 
@@ -130,7 +178,15 @@ def auction_cards(pages: DataFrame, html_col: str = "html") -> DataFrame:
     image = F.when(F.contains(shown, F.lit(lx.AUCTION_PLACEHOLDER)) & later.isNotNull(), later).otherwise(shown)
     state = _first(b, (r"<div class=s-card__subtitle[^>]*>\s*<span[^>]*>([^<]+)</span>",))
     first = cards.groupBy("page_id", number.alias("external_id")).agg(F.min_by(F.struct("pos", "block"), "pos").alias("c")).select("page_id", "external_id", "c.*")
-    found = first.where(link == F.col("external_id")).select("page_id", "pos", "external_id", _first(b, lx.AUCTION_TITLES).alias("title"), _dollars(b, r'<span class="su-styled-text[^"]*s-card__price[^"]*">\s*\$([\d,]+(?:\.\d+)?)').alias("price_minor"), F.regexp_replace(image, '^"|"$', "").alias("image_url"), F.when(F.contains(F.lower(state), F.lit("new")), "in_stock").alias("availability"))
+    found = first.where(link == F.col("external_id")).select(
+        "page_id",
+        "pos",
+        "external_id",
+        _first(b, lx.AUCTION_TITLES).alias("title"),
+        _dollars(b, r'<span class="su-styled-text[^"]*s-card__price[^"]*">\s*\$([\d,]+(?:\.\d+)?)').alias("price_minor"),
+        F.regexp_replace(image, '^"|"$', "").alias("image_url"),
+        F.when(F.contains(F.lower(state), F.lit("new")), "in_stock").alias("availability"),
+    )
     return found.where("title is not null").withColumn("r", F.row_number().over(_by_page())).where(F.col("r") <= MOST_CARDS).drop("r", "pos")
 
 
@@ -140,7 +196,14 @@ def html_cards(pages: DataFrame, html_col: str = "html") -> DataFrame:
     p = pages.select("page_id", F.posexplode(cards).alias("pos", "card"))
     number = F.regexp_extract("card", r"data-id=\"(\w+)\"", 1)
     link = F.regexp_extract("card", r"<a[^>]+href=\"([^\"]+)\"", 1)
-    good = p.select("page_id", "pos", number.alias("external_id"), text.strip_tags(F.regexp_extract("card", r"(?s)<h3[^>]*>(.*?)</h3>", 1)).alias("title"), link.alias("url"), text.dollar_price(F.col("card")).alias("price_minor")).where(F.contains("url", "external_id") & (F.col("title") != ""))
+    good = p.select(
+        "page_id",
+        "pos",
+        number.alias("external_id"),
+        text.strip_tags(F.regexp_extract("card", r"(?s)<h3[^>]*>(.*?)</h3>", 1)).alias("title"),
+        link.alias("url"),
+        text.dollar_price(F.col("card")).alias("price_minor"),
+    ).where(F.contains("url", "external_id") & (F.col("title") != ""))
     return good.withColumn("r", F.row_number().over(_by_page())).where(F.col("r") <= MOST_CARDS).drop("r", "pos")
 
 
@@ -206,7 +269,9 @@ def _select(node, selector: str) -> list:
             return []
         tag, marks, attr, value = m.groups()
         classes, ids = re.findall(r"\.([\w-]+)", marks), re.findall(r"#([\w-]+)", marks)
-        ok = lambda n: (not tag or n[0] == tag) and all(c in n[1].get("class", "").split() for c in classes) and all(n[1].get("id") == i for i in ids) and (not attr or attr in n[1] and (value is None or n[1][attr] == value))  # noqa: B023, E731
+        ok = lambda n: (not tag or n[0] == tag) and all(c in n[1].get("class", "").split() for c in classes) and all(n[1].get("id") == i for i in ids) and (
+            not attr or attr in n[1] and (value is None or n[1][attr] == value)
+        )  # noqa: B023, E731
         seen: set[int] = set()
         found = [n for f in found for n in _nodes(f) if n is not f and ok(n) and not (id(n) in seen or seen.add(id(n)))]
     return found
@@ -299,7 +364,18 @@ def jsonld_listings(pages: DataFrame, html_col: str = "html", id_col: str = "pag
         for b in batches:
             rows = [(i, r) for i, h, u in zip(*(b.column(k).to_pylist() for k in range(3))) for r in jsonld_products(h, u or "")]
             col = lambda n, t: pa.array([r[n] for _, r in rows], t)  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), col("external_id", pa.string()), col("title", pa.string()), col("url", pa.string()), col("price_minor", pa.int64()), col("currency", pa.string()), col("availability", pa.string())], names=["page_id", "external_id", "title", "url", "price_minor", "currency", "availability"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([i for i, _ in rows], pa.int64()),
+                    col("external_id", pa.string()),
+                    col("title", pa.string()),
+                    col("url", pa.string()),
+                    col("price_minor", pa.int64()),
+                    col("currency", pa.string()),
+                    col("availability", pa.string()),
+                ],
+                names=["page_id", "external_id", "title", "url", "price_minor", "currency", "availability"],
+            )
 
     return pages.select(F.col(id_col).cast("long"), html_col, url_col).mapInArrow(run, "page_id long, external_id string, title string, url string, price_minor long, currency string, availability string")
 
@@ -321,7 +397,17 @@ def sanitized(listings: DataFrame) -> DataFrame:
     most = (1 << 31) - 1
     have = set(listings.columns)
     opt = lambda c, t: F.col(c) if c in have else F.lit(None).cast(t)
-    out = listings.select(F.coalesce(cut("external_id", 500), cut("url", 2000)).alias("external_id"), cut("title", 500).alias("title"), cut("url", 2000).alias("url"), opt("price_minor", "long").alias("price_minor"), F.when(F.upper(F.trim(opt("currency", "string"))).rlike("^[A-Z]{3}$"), F.upper(F.trim(opt("currency", "string")))).otherwise("USD").alias("currency"), cut(opt("details", "string"), 2000).alias("details"), opt("rating", "double").alias("rating"), opt("reviews", "long").alias("reviews"), opt("availability", "string").alias("availability"))
+    out = listings.select(
+        F.coalesce(cut("external_id", 500), cut("url", 2000)).alias("external_id"),
+        cut("title", 500).alias("title"),
+        cut("url", 2000).alias("url"),
+        opt("price_minor", "long").alias("price_minor"),
+        F.when(F.upper(F.trim(opt("currency", "string"))).rlike("^[A-Z]{3}$"), F.upper(F.trim(opt("currency", "string")))).otherwise("USD").alias("currency"),
+        cut(opt("details", "string"), 2000).alias("details"),
+        opt("rating", "double").alias("rating"),
+        opt("reviews", "long").alias("reviews"),
+        opt("availability", "string").alias("availability"),
+    )
     kept = out.where(F.col("title").isNotNull() & F.col("url").isNotNull() & text.safe_url(F.col("url")) & F.col("price_minor").between(0, most))
     return kept.withColumn("rating", within("rating", 0, 5)).withColumn("reviews", within("reviews", 0, most))
 
@@ -330,7 +416,13 @@ def valid_config(config_json: Column) -> Column:
     """Whether an extractor's configuration has its selectors, at most 500 characters each, a search URL with a place for the query on the base URL's site, and a currency."""
     c = F.from_json(config_json, CONFIG)
     short = lambda n: F.length(F.coalesce(c[n], F.lit(""))).between(1, 500)
-    return F.coalesce(short("card") & short("title") & short("link") & F.contains(c["searchUrl"], F.lit("{query}")) & text.same_site(text.host(F.replace(c["searchUrl"], F.lit("{query}"), F.lit("q"))), text.host(c["baseUrl"])) & c["currency"].rlike("^[A-Z]{3}$"), F.lit(False))
+    return F.coalesce(
+        short("card") & short("title") & short("link") & F.contains(c["searchUrl"], F.lit("{query}")) & text.same_site(
+            text.host(F.replace(c["searchUrl"], F.lit("{query}"), F.lit("q"))),
+            text.host(c["baseUrl"]),
+        ) & c["currency"].rlike("^[A-Z]{3}$"),
+        F.lit(False),
+    )
 
 
 def read_within(spark: SparkSession, path: str, most_bytes: int) -> DataFrame:

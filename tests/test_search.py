@@ -26,7 +26,17 @@ def test_normalize_title(spark, raw, clean):
     assert one(spark, text.normalize_title(F.col("t")), t=raw).strip(" -+") == clean
 
 
-@pytest.mark.parametrize("raw, low, high", [("tv between $500 and $200", 20000, 50000), ("shoes under $1,000", None, 100000), ("laptop at least 300 dollars", 30000, None), ("phone pro max 256gb", None, None), ("chair max $50", None, 5000), ("desk over 100 below 250.50", 10000, 25050)])
+@pytest.mark.parametrize(
+    "raw, low, high",
+    [
+        ("tv between $500 and $200", 20000, 50000),
+        ("shoes under $1,000", None, 100000),
+        ("laptop at least 300 dollars", 30000, None),
+        ("phone pro max 256gb", None, None),
+        ("chair max $50", None, 5000),
+        ("desk over 100 below 250.50", 10000, 25050),
+    ],
+)
 def test_price_bounds(spark, raw, low, high):
     assert one(spark, text.price_bound(F.col("q"), "min"), q=raw) == low and one(spark, text.price_bound(F.col("q"), "max"), q=raw) == high
 
@@ -36,7 +46,21 @@ def test_storefront_price(spark, raw, want):
     assert one(spark, text.storefront_price(F.col("p")), p=raw) == want
 
 
-@pytest.mark.parametrize("url, safe", [("https://shop.example.com/a", True), ("http://192.168.1.4/x", False), ("https://user:pw@a.example.com", False), ("ftp://a.example.com", False), ("http://localhost/x", False), ("http://printer.local", False), ("http://10.0.0.1", False), ("http://8.8.8.8/", True), ("nonsense", False), ("http://172.20.0.1/", False)])
+@pytest.mark.parametrize(
+    "url, safe",
+    [
+        ("https://shop.example.com/a", True),
+        ("http://192.168.1.4/x", False),
+        ("https://user:pw@a.example.com", False),
+        ("ftp://a.example.com", False),
+        ("http://localhost/x", False),
+        ("http://printer.local", False),
+        ("http://10.0.0.1", False),
+        ("http://8.8.8.8/", True),
+        ("nonsense", False),
+        ("http://172.20.0.1/", False),
+    ],
+)
 def test_safe_url(spark, url, safe):
     assert one(spark, text.safe_url(F.col("u")), u=url) is safe
 
@@ -97,7 +121,9 @@ def test_specs(spark):
     assert (s[1].product_type, s[1].brand, s[1].max_price, s[1].must_not) == ("headphones", "Sony", 20000, ["wired"])
     assert s[2].kind == "mission" and s[3].kind == "list" and s[3].product_type is None
     assert "vegan leather" in s[4].must and "leather" not in s[4].must and s[5].compatible == ["iPhone"]
-    v = spec.parse_queries(spark.createDataFrame([(1, "wireless headphones")], "query_id int, query string")).select(spec.query_variants(F.col("refined"), F.col("must"), F.col("brand"), F.col("model"), F.col("product_type")).alias("v")).first().v
+    v = spec.parse_queries(spark.createDataFrame([(1, "wireless headphones")], "query_id int, query string")).select(
+        spec.query_variants(F.col("refined"), F.col("must"), F.col("brand"), F.col("model"), F.col("product_type")).alias("v")
+    ).first().v
     assert v[0] == "wireless headphones" and len(v) == len(set(v)) <= 4
     i = spark.createDataFrame(rows, "query_id int, query string").select("query_id", spec.intent(F.col("query"))["intent"].alias("i")).collect()
     assert {r.query_id: r.i for r in i} == {1: "product", 2: "mission", 3: "mission", 4: "product", 5: "product"}
@@ -118,7 +144,20 @@ def test_fusion(spark):
 def test_mmr_keeps_caps_and_permutes():
     r = np.random.default_rng(0)
     n = 40
-    pdf = pd.DataFrame({"query_id": 1, "id": range(n), "base": r.random(n), "embedding": list(r.standard_normal((n, 4))), "aspects": [[f"a{i % 3}"] for i in range(n)], "source": [f"s{i % 4}" for i in range(n)], "model": [f"m{i % 20}" for i in range(n)], "key": [f"{i:03}" for i in range(n)], "words": [[f"w{i % 9}"] for i in range(n)], "lam": 0.7})
+    pdf = pd.DataFrame(
+        {
+            "query_id": 1,
+            "id": range(n),
+            "base": r.random(n),
+            "embedding": list(r.standard_normal((n, 4))),
+            "aspects": [[f"a{i % 3}"] for i in range(n)],
+            "source": [f"s{i % 4}" for i in range(n)],
+            "model": [f"m{i % 20}" for i in range(n)],
+            "key": [f"{i:03}" for i in range(n)],
+            "words": [[f"w{i % 9}"] for i in range(n)],
+            "lam": 0.7,
+        }
+    )
     out = ranking.mmr_order(pdf, 12, 3, 1)
     assert len(out) == 12 == out["id"].nunique() and list(out["position"]) == list(range(1, 13))
     free = out[~out["relaxed"]]
@@ -160,7 +199,18 @@ def brute_mmr(rows, lam, results, per_source, per_model):
 
 def test_diversified_order_against_brute_force(spark):
     r = np.random.default_rng(4)
-    rows = [{"query_id": q, "id": 100 * q + i, "key": f"k{i:03}", "base": float(r.integers(40, 100)) / 100, "words": [f"w{w}" for w in set(r.integers(0, 8, 3))], "aspects": [f"a{a}" for a in set(r.integers(0, 5, r.integers(0, 3)))], "embedding": None if i % 7 == 0 else r.standard_normal(5).tolist(), "source": f"s{r.integers(3)}", "model": None if i % 3 == 0 else f"m{r.integers(9)}", "lam": 0.6 + q / 10} for q in (1, 2) for i in range(30 + 10 * q)]
+    rows = [{
+        "query_id": q,
+        "id": 100 * q + i,
+        "key": f"k{i:03}",
+        "base": float(r.integers(40, 100)) / 100,
+        "words": [f"w{w}" for w in set(r.integers(0, 8, 3))],
+        "aspects": [f"a{a}" for a in set(r.integers(0, 5, r.integers(0, 3)))],
+        "embedding": None if i % 7 == 0 else r.standard_normal(5).tolist(),
+        "source": f"s{r.integers(3)}",
+        "model": None if i % 3 == 0 else f"m{r.integers(9)}",
+        "lam": 0.6 + q / 10,
+    } for q in (1, 2) for i in range(30 + 10 * q)]
     df = spark.createDataFrame(rows, "query_id long, id long, key string, base double, words array<string>, aspects array<string>, embedding array<double>, source string, model string, lam double")
     want = {q: brute_mmr([x for x in rows if x["query_id"] == q], 0.6 + q / 10, 9, 3, 1) for q in (1, 2)}
     for pool in (500, 45, 10):  # all in tasks; one query of each kind; all by distributed places
@@ -190,8 +240,20 @@ def test_entities(spark):
     assert got == {(i, j, abs(i - j)) for i in range(9) for j in range(9) if abs(i - j) <= 6}
     unit = entity.centroids(spark.createDataFrame([("x", [3.0, 0.0]), ("x", [0.0, 4.0])], "k string, v array<double>"), "k", "v").first().centroid
     assert unit == pytest.approx([0.6, 0.8])
-    listings = spark.createDataFrame([(1, 1, "B0AAAAAAAA", None, [1.0, 0.0], "thing", 100), (2, 2, None, 15, [1.0, 0.0], "other", 100), (3, 3, None, None, [1.0, 0.1], "alpha beta gamma widget", 120), (4, 3, None, None, [1.0, 0.2], "alpha beta gamma widget", 120), (5, 4, None, None, [1.0, 0.0], "alpha beta gamma widget", 5000)], "listing_id long, source long, asin string, hash long, embedding array<double>, title string, price_minor long")
-    products = spark.createDataFrame([(10, "B0AAAAAAAA", None, [0.0, 1.0], "thing", 100.0, [9]), (20, None, 7 | 8 | 16, [0.0, 1.0], "x", 100.0, [9]), (30, None, None, [1.0, 0.0], "alpha beta gamma widget", 100.0, [9])], "product_id long, asin string, hash long, centroid array<double>, title string, median double, sources array<long>")
+    listings = spark.createDataFrame(
+        [
+            (1, 1, "B0AAAAAAAA", None, [1.0, 0.0], "thing", 100),
+            (2, 2, None, 15, [1.0, 0.0], "other", 100),
+            (3, 3, None, None, [1.0, 0.1], "alpha beta gamma widget", 120),
+            (4, 3, None, None, [1.0, 0.2], "alpha beta gamma widget", 120),
+            (5, 4, None, None, [1.0, 0.0], "alpha beta gamma widget", 5000),
+        ],
+        "listing_id long, source long, asin string, hash long, embedding array<double>, title string, price_minor long",
+    )
+    products = spark.createDataFrame(
+        [(10, "B0AAAAAAAA", None, [0.0, 1.0], "thing", 100.0, [9]), (20, None, 7 | 8 | 16, [0.0, 1.0], "x", 100.0, [9]), (30, None, None, [1.0, 0.0], "alpha beta gamma widget", 100.0, [9])],
+        "product_id long, asin string, hash long, centroid array<double>, title string, median double, sources array<long>",
+    )
     out = {r.listing_id: (r.product_id, r.reason) for r in entity.cascade(listings, products).collect()}
     assert out == {1: (10, "number"), 2: (20, "image"), 3: (30, "centroid"), 4: (None, "new"), 5: (None, "new")} or out[4] == (30, "centroid") and out[3] == (None, "new")
 
@@ -207,7 +269,10 @@ def test_bundles_stay_in_the_budget(spark):
 
 
 def test_evaluation(spark):
-    results = spark.createDataFrame([("a", 1, 3, True, 0, "e1", "s1"), ("a", 2, 0, False, 1, "e1", "s2"), ("a", 3, 2, True, 0, "e2", "s2"), ("a", 4, 1, True, 0, "e3", "s3"), ("a", 5, 0, False, 0, "e4", "s1")], "case_id string, position int, grade long, relevant boolean, leaked int, entity string, source string")
+    results = spark.createDataFrame(
+        [("a", 1, 3, True, 0, "e1", "s1"), ("a", 2, 0, False, 1, "e1", "s2"), ("a", 3, 2, True, 0, "e2", "s2"), ("a", 4, 1, True, 0, "e3", "s3"), ("a", 5, 0, False, 0, "e4", "s1")],
+        "case_id string, position int, grade long, relevant boolean, leaked int, entity string, source string",
+    )
     r = evaluation.precision_and_leakage(results).first()
     assert (r.precision, r.leakage, round(r.duplicates, 9), r.entities, r.sources) == (0.6, 0.2, 0.2, 4, 3)
     assert evaluation.ndcg(results, results.select("case_id", "grade")).first().ndcg < 1
@@ -222,7 +287,10 @@ def test_evaluation(spark):
 
 
 def test_reliability(spark):
-    log = spark.createDataFrame([("s", i, ok, v) for i, (ok, v) in enumerate([(False, 100), (False, 200), (False, 100), (True, 50)])], "source string, at int, ok boolean, latency long").withColumn("ts", F.timestamp_seconds(F.col("at") * 10))
+    log = spark.createDataFrame(
+        [("s", i, ok, v) for i, (ok, v) in enumerate([(False, 100), (False, 200), (False, 100), (True, 50)])],
+        "source string, at int, ok boolean, latency long",
+    ).withColumn("ts", F.timestamp_seconds(F.col("at") * 10))
     runs = relational.failure_streaks(log, "source", "ts", "at", F.col("ok")).orderBy("at").collect()
     assert [r.run for r in runs] == [1, 2, 3, 0] and [r.open_until is not None for r in runs] == [False, False, True, False]
     assert relational.ewma(log, "source", ["at"], "latency").first().ewma == 103
@@ -261,7 +329,10 @@ def test_upsert_stream(spark, tmp_path):
 
 
 def test_search_plan(spark):
-    listings = spark.createDataFrame([(1, "Sony WH-1000XM5 headphones", None, 30000, "a"), (2, "Bose headphones", None, 20000, "b"), (3, "Cotton shirt with headphones print", None, 1000, "a"), (4, "Office chair", None, 9000, "b")], "id long, title string, details string, price_minor long, source string").selectExpr("*", "true has_image", "'in_stock' availability", "20 reviews", "4.5D rating", "false cached", "cast(null as array<double>) embedding")
+    listings = spark.createDataFrame(
+        [(1, "Sony WH-1000XM5 headphones", None, 30000, "a"), (2, "Bose headphones", None, 20000, "b"), (3, "Cotton shirt with headphones print", None, 1000, "a"), (4, "Office chair", None, 9000, "b")],
+        "id long, title string, details string, price_minor long, source string",
+    ).selectExpr("*", "true has_image", "'in_stock' availability", "20 reviews", "4.5D rating", "false cached", "cast(null as array<double>) embedding")
     found = search.search(listings, spark.createDataFrame([(1, "headphones"), (2, "chair under $50")], "query_id long, query string").selectExpr("*", "cast(null as array<double>) query_embedding")).collect()
     assert {(r.query_id, r.id) for r in found} == {(1, 1), (1, 2)} and sorted(r.position for r in found) == [1, 2]
     asked = spark.createDataFrame([(1, "headphones")], "query_id long, query string").selectExpr("*", "cast(null as array<double>) query_embedding")
@@ -284,7 +355,10 @@ def test_tools(spark):
     assert [api.routed(m)[0] for m in ("which stores do you know?", "find this cheaper", "furnish my office", "red shoes")] == ["list_sources", "find_cheaper", "run_shopping_mission", "search_products"]
     assert api.canaries(["Nike Store", "A1"])[:2] == ["nike", "shoes"] and api.bounded_millis("5000", 100, 0, 9000) == 5000 and api.bounded_millis("x", 100, 0, 9000) == 100
     assert api.keyed_query_hash("A  b", b"k") == api.keyed_query_hash("a b", b"k") != api.keyed_query_hash("a b", b"j")
-    listings = spark.createDataFrame([(1, "Oak standing desk", None, 30000, "a"), (2, "Pine standing desk", None, 20000, "b"), (3, "Office chair", None, 9000, "a"), (4, "Mesh office chair", None, 15000, "b")], "id long, title string, details string, price_minor long, source string").selectExpr("*", "true has_image", "'in_stock' availability", "20 reviews", "4.5D rating", "false cached", "cast(null as array<double>) embedding")
+    listings = spark.createDataFrame(
+        [(1, "Oak standing desk", None, 30000, "a"), (2, "Pine standing desk", None, 20000, "b"), (3, "Office chair", None, 9000, "a"), (4, "Mesh office chair", None, 15000, "b")],
+        "id long, title string, details string, price_minor long, source string",
+    ).selectExpr("*", "true has_image", "'in_stock' availability", "20 reviews", "4.5D rating", "false cached", "cast(null as array<double>) embedding")
     assert [r.id for r in api.find_cheaper(listings, "Oak standing desk | Amazon", 30000, "a").collect()] == [2]
     found = api.run_shopping_mission(listings, ["standing desk", "office chair"], 40000).collect()
     assert found and all(r.total <= 40000 and len(r.ids) == 2 for r in found)
