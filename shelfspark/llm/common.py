@@ -94,12 +94,23 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
             if out and out[names[0]] is not None and len(out[names[0]]):
                 target = target or arrow_schema(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=target.field(n).type) for n in names], schema=target)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
 #: Arrow types of the column types that the operators' outputs use.
-ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
+ARROW = {
+    "long": pa.int64(),
+    "int": pa.int32(),
+    "double": pa.float64(),
+    "string": pa.string(),
+    "binary": pa.binary(),
+    "boolean": pa.bool_(),
+    "array<long>": pa.list_(pa.int64()),
+    "array<string>": pa.list_(pa.string()),
+    "array<double>": pa.list_(pa.float64()),
+}
 
 
 def arrow_schema(schema: str) -> pa.Schema:

@@ -183,17 +183,19 @@ SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE, FREQUENT = 4, 1 << 20
 #: Centres that a document is compared with in the first pass.
 CENTRES = 3
-#: Words whose hash a task remembers.
-REMEMBERED = 1 << 19
+#: Words, up to so many bytes long, whose hash a worker remembers: some ten megabytes.
+REMEMBERED, SHORT = 1 << 16, 32
 
 
 class WordHashes(dict):
     """Hash of each word, remembered for a bounded number of them."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -241,8 +243,17 @@ def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int32))], names=["shingle", "n"])
 
     counted = docs.where(F.pmod(F.xxhash64("i", F.lit(29)), F.lit(SAMPLE)) == 0).select("t").mapInArrow(run, "shingle long, n int")
-    top = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
-    values, counts = (top.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n"))
+    several = materialize(counted.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1").withColumn("level", F.floor(4 * F.log2("n"))), "several")
+    # whole levels of frequency, the highest first, while they fit: no sort, and what comes to the driver is bounded
+    least, total = None, 0
+    for level, size in sorted(((r.level, r["count"]) for r in several.groupBy("level").count().collect()), reverse=True):
+        total += size
+        if total > FREQUENT:
+            break
+        least = level
+    top = several.where(F.lit(False) if least is None else F.col("level") >= least).select("shingle", "n").toArrow()
+    release(several)
+    values, counts = top.column("shingle").to_numpy(), np.minimum(top.column("n").to_numpy(), (1 << 31) - 1).astype(np.int32)
     order = np.argsort(values)
     return values[order], counts[order]
 
@@ -283,11 +294,15 @@ def prefixes(docs: DataFrame, n: int, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, marks, sizes, found, places)], names=["doc_id", "mark", "size", "shingle", "place"])
 
     rows = materialize(docs.select("i", "t").mapInArrow(run, "doc_id long, mark long, size int, shingle long, place int"), "prefixes")
-    at = rows.groupBy("shingle").agg(F.min(F.struct("doc_id", "mark", "size", "place")).alias("head"), F.max("doc_id").alias("last"), F.min("size").alias("smallest"))
+    # most shingles are in one document: what the others have in common is worked out without these
+    several = rows.groupBy("shingle").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("shingle")
+    shared = materialize(rows.join(several, "shingle", "left_semi"), "shared")
+    release(rows)
+    at = shared.groupBy("shingle").agg(F.min(F.struct("doc_id", "mark", "size", "place")).alias("head"), F.min("size").alias("smallest"))
     size, other = F.col("size"), F.greatest(F.ceil(F.col("size") * similarity - 1e-9), F.col("smallest"))
-    met = rows.join(at.where("head.doc_id != last").drop("last"), "shingle").where(1 + size - F.col("place") >= least_shared(size, other, similarity))
+    met = shared.join(at, "shingle").where(1 + size - F.col("place") >= least_shared(size, other, similarity))
     out = materialize(met.drop("smallest"), "rarest")
-    release(rows)
+    release(shared)
     return out
 
 

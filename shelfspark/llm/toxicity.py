@@ -30,13 +30,15 @@ MAX_LABELLED, MAX_WEIGHTS = 200_000, 65_536
 PRIOR, REPEATS, LEAST_Z, LEAST_ODDS, WEIGHT_RANGE = 0.02, 3, 3.0, 1.0, (-1.0, 8.0)
 #: Tokens within which one token gains REPEATS times at most.
 NEARBY = 100
+#: Tokens whose weight a worker remembers.
+REMEMBERED = 1 << 17
 #: What every token costs; the score of one without a weight.
 NEUTRAL = -0.25
 #: Segments count while their expected number by chance is under this.
 SIGNIFICANT = 0.05
 #: Bins of the histogram for each unit of ln(1 + evidence).
 BINS = 8
-FLUSH = 200_000
+FLUSH = 100_000
 
 _token = re.compile(r"[^\W_]+")
 
@@ -151,7 +153,7 @@ class Scorer:
     def scores(self, tokens: list[str]) -> list[float]:
         """A token that gains does so REPEATS times within NEARBY tokens; more uses are neutral there, and not further on."""
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > REMEMBERED:
             known.clear()
         out, gains = [], {}
         for at, t in enumerate(tokens):
@@ -241,4 +243,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, held: in
     score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * x)))
     best = F.array_position("gains", F.array_max("gains")).cast("int")
     place = lambda c: F.when(F.col("passages") > 0, F.try_element_at(c, best))
-    return scored.select("doc_id", (fold == held).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), F.col("passages").cast("int").alias("passages"), place(F.col("starts")).alias("first_token"), place(F.col("ends")).alias("last_token"), "evidence")
+    return scored.select(
+        "doc_id",
+        (fold == held).alias("held_out"),
+        score.alias("score"),
+        (score >= threshold).cast("int").alias("predicted"),
+        F.col("passages").cast("int").alias("passages"),
+        place(F.col("starts")).alias("first_token"),
+        place(F.col("ends")).alias("last_token"),
+        "evidence",
+    )
