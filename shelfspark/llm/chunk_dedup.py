@@ -107,6 +107,12 @@ def verified_recipes(docs: DataFrame, store: DataFrame, clashing: DataFrame, dig
     return placed.groupBy("text_sha256").agg(F.array_sort(F.collect_list("place")).alias("places")).select("text_sha256", F.encode(F.to_json("places"), "UTF-8").alias("exact"))
 
 
+def few_keys(keys: DataFrame, column: str) -> DataFrame:
+    """A materialized table of recipes, marked for broadcast if its rows and bytes are few; a hot text then meets no shuffle."""
+    size = keys.agg(F.sum(F.length(column))).first()[0] or 0
+    return small_side(keys) if size <= KEY_BYTES else keys
+
+
 def exact_duplicates(docs: DataFrame, digest_size: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -117,8 +123,8 @@ def exact_duplicates(docs: DataFrame, digest_size: int = 16, id_col: str = "doc_
     """
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     made = materialize(recipes(source, digest_size), "recipes")
-    shared = made.groupBy("recipe").agg(F.count("*").alias("n")).where("n > 1")
-    twins = materialize(made.join(shared, "recipe", "left_semi").select(F.col("doc_id").alias("i")), "twins")
+    shared = materialize(made.groupBy("recipe").agg(F.count("*").alias("n")).where("n > 1").select("recipe"), "shared-recipes")
+    twins = materialize(made.join(few_keys(shared, "recipe"), "recipe", "left_semi").select(F.col("doc_id").alias("i")), "twins")
     again = source.join(twins, source["i"].eqNullSafe(twins["i"]), "left_semi")
     store = materialize(chunk_store(again, digest_size), "chunk-store")
     clashing = store.groupBy("id").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low != high").select("id")
@@ -130,7 +136,6 @@ def exact_duplicates(docs: DataFrame, digest_size: int = 16, id_col: str = "doc_
     # what all rows of a text have in common is worked out from partial aggregates; only keys of several rows are joined
     best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus")))
     groups = materialize(keyed.groupBy("key").agg(F.count("*").alias("rows"), best.alias("best")).where("rows > 1"), "groups")
-    narrow = groups.agg(F.sum(F.length("key"))).first()[0] or 0
-    joined = keyed.join(small_side(groups) if narrow <= KEY_BYTES else groups, "key", "left")
+    joined = keyed.join(few_keys(groups, "key"), "key", "left")
     out = joined.select("doc_id", F.when(F.col("rows").isNull(), F.col("doc_id")).otherwise(-F.col("best.minus")).alias("keep_id"), F.coalesce("rows", F.lit(1).cast("long")).alias("group_size"), "text_sha256")
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
