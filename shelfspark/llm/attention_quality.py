@@ -113,7 +113,17 @@ class Network:
     def __init__(self, features: int = FEATURES, seed: int = SEED):
         r = np.random.default_rng(seed)
         draw = lambda a, b: (r.standard_normal((a, b)) / np.sqrt(a)).astype(np.float32)
-        self.w = {"mean": np.zeros(features, np.float32), "scale": np.ones(features, np.float32), "W": draw(features, HIDDEN), "b": np.zeros(HIDDEN, np.float32), "V": draw(HIDDEN, GATE), "U": draw(HIDDEN, GATE), "a": draw(GATE, 1)[:, 0], "c": draw(HIDDEN, 1)[:, 0], "d": np.zeros(1, np.float32)}
+        self.w = {
+            "mean": np.zeros(features, np.float32),
+            "scale": np.ones(features, np.float32),
+            "W": draw(features, HIDDEN),
+            "b": np.zeros(HIDDEN, np.float32),
+            "V": draw(HIDDEN, GATE),
+            "U": draw(HIDDEN, GATE),
+            "a": draw(GATE, 1)[:, 0],
+            "c": draw(HIDDEN, 1)[:, 0],
+            "d": np.zeros(1, np.float32),
+        }
 
     def forward(self, x: np.ndarray, starts: np.ndarray):
         w = self.w

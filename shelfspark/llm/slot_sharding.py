@@ -42,7 +42,14 @@ def records(docs: DataFrame, n_slots: int = SLOTS, id_col: str = "doc_id", text_
     Size: UTF-8 bytes of the text (null: none) plus one. With `whole`, the document's columns too, as a struct.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    made = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(n_slots)).cast("int").alias("virtual_slot"), F.monotonically_increasing_id().alias("row"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")] * whole))
+    made = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.pmod(F.xxhash64(text), F.lit(n_slots)).cast("int").alias("virtual_slot"),
+        F.monotonically_increasing_id().alias("row"),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")] * whole),
+    )
     return materialize(made, "slot-records")
 
 

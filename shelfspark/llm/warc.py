@@ -52,7 +52,14 @@ def clean(value: str | None) -> str:
 def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC record, uncompressed: a response, or a revisit of the page refers_to without the payload."""
     http = head("HTTP/1.1 200 OK", [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", len(payload))])
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{RECORD_URI}{'' if page_id is None else page_id}>"), ("WARC-Date", DATE), ("WARC-Target-URI", clean(url)), ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"), ("Content-Type", "application/http; msgtype=response")]
+    fields = [
+        ("WARC-Type", "response" if refers_to is None else "revisit"),
+        ("WARC-Record-ID", f"<{RECORD_URI}{'' if page_id is None else page_id}>"),
+        ("WARC-Date", DATE),
+        ("WARC-Target-URI", clean(url)),
+        ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"),
+        ("Content-Type", "application/http; msgtype=response"),
+    ]
     block = http
     if refers_to is None:
         block += payload
@@ -210,7 +217,15 @@ def parsed(data: bytes) -> dict:
     refers = fields.get("warc-refers-to")
     number = lambda uri: uri.strip("<>").removeprefix(RECORD_URI)
     page = lambda uri: int(number(uri)) if number(uri) else None
-    return {"page_id": page(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload_bytes": stated, "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": page(refers) if refers else None, "payload": None if revisit else payload}
+    return {
+        "page_id": page(fields["warc-record-id"]),
+        "url": fields.get("warc-target-uri"),
+        "payload_bytes": stated,
+        "payload_digest": digest,
+        "record_type": fields["warc-type"],
+        "refers_to": page(refers) if refers else None,
+        "payload": None if revisit else payload,
+    }
 
 
 def read(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = False) -> DataFrame:

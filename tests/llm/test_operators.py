@@ -558,7 +558,16 @@ def brute_found(text):
 def test_pseudonyms_against_a_plain_scanner(spark):
     r = random.Random(31)
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    make = [lambda: "4" + d(15), lambda: ".".join(str(r.randrange(300)) for _ in range(4)), lambda: f"{r.randrange(1880, 2120)}-{r.randrange(14):02d}-{r.randrange(33):02d}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"+{r.choice('14')}{d(10)}", lambda: f"w{d(3)}", lambda: "word", lambda: d(r.randrange(1, 7))]
+    make = [
+        lambda: "4" + d(15),
+        lambda: ".".join(str(r.randrange(300)) for _ in range(4)),
+        lambda: f"{r.randrange(1880, 2120)}-{r.randrange(14):02d}-{r.randrange(33):02d}",
+        lambda: f"{d(3)}-{d(2)}-{d(4)}",
+        lambda: f"+{r.choice('14')}{d(10)}",
+        lambda: f"w{d(3)}",
+        lambda: "word",
+        lambda: d(r.randrange(1, 7)),
+    ]
     rows = [(i, " ; ".join(r.choice(make)() for _ in range(r.randrange(40)))) for i in range(400)]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = {x.doc_id: x for x in feistel_pii.pseudonymised(docs, b"k" * 16).collect()}
@@ -592,7 +601,17 @@ def test_language(spark, edges, none):
     stems = {"aa": "banana lemon rosa", "bb": "zwxqv krtsch pfnz", "cc": "ìlo eù uàe"}
     make = lambda k, n: " ".join(r.choice(stems[k].split()) + r.choice(stems[k].split()) for _ in range(n))
     rows = [(i, make(k, r.randrange(5, 80)), k) for i, k in enumerate(r.choice(["aa", "bb", "cc"]) for _ in range(300))]
-    rows += [(900, make("aa", 60) + " " + make("bb", 40), None), (901, None, "aa"), (902, "", "aa"), (903, "12 34", "bb"), (904, "q", None), (905, "😀😀😀 🎉🎉", None), (906, "∑ 12 — !!!", None), (907, "😀 banana lemon rosabanana 😀", None), (908, "\U0001d4d0\U0001d4d1\U0001d4d2\U00020000", None)]
+    rows += [
+        (900, make("aa", 60) + " " + make("bb", 40), None),
+        (901, None, "aa"),
+        (902, "", "aa"),
+        (903, "12 34", "bb"),
+        (904, "q", None),
+        (905, "😀😀😀 🎉🎉", None),
+        (906, "∑ 12 — !!!", None),
+        (907, "😀 banana lemon rosabanana 😀", None),
+        (908, "\U0001d4d0\U0001d4d1\U0001d4d2\U00020000", None),
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {x.doc_id: x for x in language_mixture.predict(docs).collect()}
     assert sum(got[i].lang_pred == k for i, _, k in rows[:300]) >= 298

@@ -47,7 +47,19 @@ def test_null_and_repeated_ids(spark):
 def test_edges_of_every_stage(spark):
     """Null ids and texts, one id with two texts, repeated rows, a very long text, clashing columns: defined for each stage."""
     long = "word " * 40_000 + "end"
-    rows = [(None, "nobody one"), (None, "nobody two"), (None, None), (3, "alpha beta gamma"), (3, "delta epsilon"), (4, long), (4, long), (5, None), (6, ""), (7, "one two three four five six seven eight"), (8, "One two three four five six seven eight")]
+    rows = [
+        (None, "nobody one"),
+        (None, "nobody two"),
+        (None, None),
+        (3, "alpha beta gamma"),
+        (3, "delta epsilon"),
+        (4, long),
+        (4, long),
+        (5, None),
+        (6, ""),
+        (7, "one two three four five six seven eight"),
+        (8, "One two three four five six seven eight"),
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     clashing = ("i", "t", "fp", "node", "component", "text_sha256", "place_of_row", "keep_id", "kept", "predicted", "score", "item_id", "n", "a", "b", "lang")
     for c in clashing:
