@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import ship
 
 #: Rows and bytes of one Arrow batch: bounds the memory of a Python worker whatever the length of the texts.
-BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: Rows of a table of keys up to which it is broadcast.
 BROADCAST_ROWS = 1 << 20
 
