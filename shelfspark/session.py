@@ -39,6 +39,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of texts over as many partitions as the cluster has cores, if its files give fewer; a large table is left as it is.
+
+    A file of one row group is one task however many splits it has, and work on texts costs far more than moving them once.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once for each application."""
     app = spark.sparkContext.applicationId
