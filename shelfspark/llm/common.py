@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import ship
+from ..session import ship, spread
 
 #: Rows and bytes of one Arrow batch: bounds the memory of a Python worker whatever the length of the texts.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
@@ -27,7 +27,8 @@ def configure(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def shared_dir(spark: SparkSession) -> str:
