@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import attention_quality, chunk_dedup, decontamination, feistel_pii, golay_simhash, language_mixture, sentencepiece_codec, slot_sharding, toxicity, warc
+from . import attention_quality, chunk_dedup, decontamination, feistel_pii, golay_simhash, language_mixture, sentencepiece_codec, slot_sharding, toxicity, warc, word_bpe_codec
 from .common import table
 
 #: The vocabulary file of the public tokenizer; a parameter of the operators.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 
 
 #: Key of the pseudonyms in the query; a deployment passes its own.
@@ -74,8 +75,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    return word_bpe_codec.encode_digests(table(spark, sf_dir, "documents"), WORD_MODEL)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality, op4_sentencepiece, op5_decontamination, op6_exact_dedup, op7_warc, op8_sharding, op9_pii, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality, op4_sentencepiece, op5_decontamination, op6_exact_dedup, op7_warc, op8_sharding, op9_pii, op10_simhash_near_dedup, op11_word_bpe)}
 
 
 def oracle_sql():
