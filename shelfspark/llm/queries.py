@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import attention_quality, chunk_dedup, decontamination, feistel_pii, golay_simhash, language_mixture, sentencepiece_codec, slot_sharding, toxicity, warc, word_bpe_codec
+from . import attention_quality, block_max_search, chunk_dedup, decontamination, feistel_pii, golay_simhash, language_mixture, sentencepiece_codec, slot_sharding, toxicity, warc, word_bpe_codec
 from .common import table
 
 #: The vocabulary file of the public tokenizer; a parameter of the operators.
@@ -80,9 +80,29 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe_codec.encode_digests(table(spark, sf_dir, "documents"), WORD_MODEL)
 
 
+def op13_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return block_max_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP13_SQL = r"""
+WITH terms AS (SELECT doc_id, d.rowid AS place, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT *, row_number() OVER () AS rowid FROM documents) d),
+tf AS (SELECT doc_id, place, term, count(*) AS tf FROM terms GROUP BY ALL),
+lengths AS (SELECT place, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY place),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS total FROM lengths),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY term, n_docs),
+items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scores AS (SELECT item_id, doc_id, place, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total)))) AS BIGINT) AS score
+  FROM items JOIN weights USING (term) JOIN tf USING (term) JOIN lengths USING (place), whole GROUP BY item_id, doc_id, place),
+ranks AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranks WHERE rank <= 10
+"""
+
+
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality, op4_sentencepiece, op5_decontamination, op6_exact_dedup, op7_warc, op8_sharding, op9_pii, op10_simhash_near_dedup, op11_word_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality, op4_sentencepiece, op5_decontamination, op6_exact_dedup, op7_warc, op8_sharding, op9_pii, op10_simhash_near_dedup, op11_word_bpe, op13_block_max_search)}
 
 
 def oracle_sql():
-    return {"op6_exact_dedup": OP6_SQL, "op7_warc": OP7_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op13_block_max_search": OP13_SQL}
