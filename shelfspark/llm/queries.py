@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import attention_quality, block_max_search, chunk_dedup, decontamination, feistel_pii, golay_simhash, language_mixture, sentencepiece_codec, slot_sharding, toxicity, warc, word_bpe_codec
+from . import attention_quality, block_max_search, chunk_dedup, decontamination, feistel_pii, golay_simhash, language_mixture, sentencepiece_codec, slot_sharding, spelling_variants, toxicity, warc, word_bpe_codec
 from .common import table
 
 #: The vocabulary file of the public tokenizer; a parameter of the operators.
@@ -80,6 +80,34 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe_codec.encode_digests(table(spark, sf_dir, "documents"), WORD_MODEL)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its near words' number, form and root."""
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
+#: crc32 in SQL: two steps a byte over the table of the reversed polynomial's sixteen nibbles (fixed values).
+OP12_SQL = """
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+low AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS i, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (SELECT run, times, list_transform(range(octet_length(encode(i || ':' || run))), lambda k: CAST('0x' || substr(hex(encode(i || ':' || run)), CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM low),
+crc AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295, b), lambda c, x:
+    xor(xor(xor(c, x) >> 4, t[CAST(xor(c, x) & 15 AS INT) + 1]) >> 4, t[CAST(xor(xor(c, x) >> 4, t[CAST(xor(c, x) & 15 AS INT) + 1]) & 15 AS INT) + 1])), 4294967295) AS h
+  FROM bytes, (SELECT [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::BIGINT[] AS t)),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM crc),
+words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+holes AS (SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words)),
+near AS (SELECT DISTINCT a.word, b.word AS other, b.n AS other_n, a.n FROM holes a JOIN holes b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n, a.n FROM holes a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n, b.n FROM holes a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word),
+forms AS (SELECT near.word, min(other) AS form, top AS form_n FROM near JOIN best USING (word) WHERE other_n = top AND top >= 10 * n GROUP BY ALL),
+steps AS (SELECT word, form AS root FROM forms UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON f.word = s.root),
+ends AS (SELECT word, root FROM steps WHERE root NOT IN (SELECT word FROM forms))
+SELECT words.word, form, coalesce(root, words.word) AS root, n, coalesce(n_near, 0) AS n_near, form_n
+FROM words LEFT JOIN best USING (word) LEFT JOIN forms USING (word) LEFT JOIN ends USING (word)
+"""
+
+
 def op13_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each benchmark item."""
     return block_max_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
@@ -101,8 +129,8 @@ SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranks WHERE rank <
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality, op4_sentencepiece, op5_decontamination, op6_exact_dedup, op7_warc, op8_sharding, op9_pii, op10_simhash_near_dedup, op11_word_bpe, op13_block_max_search)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality, op4_sentencepiece, op5_decontamination, op6_exact_dedup, op7_warc, op8_sharding, op9_pii, op10_simhash_near_dedup, op11_word_bpe, op12_spelling_variants, op13_block_max_search)}
 
 
 def oracle_sql():
-    return {"op6_exact_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op13_block_max_search": OP13_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op12_spelling_variants": OP12_SQL, "op13_block_max_search": OP13_SQL}
