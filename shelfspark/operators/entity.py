@@ -1,4 +1,4 @@
-"""Entity resolution: blocked candidate joins for hashes and centroids, and the cascade that decides."""
+"""Entity resolution: blocked candidate joins for hashes, centroids and titles; products and their offers."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from ..functions import scoring, text
 
 #: Bit ranges of seven bands: two hashes within six bits agree on at least one.
 BANDS = ((0, 9), (9, 9), (18, 9), (27, 9), (36, 9), (45, 9), (54, 10))
-SURE, POSSIBLE, SILENT = 0.86, 0.78, 0.82
 #: Centroids that are broadcast together; more take several passes over the vectors.
 CENTRES_AT_ONCE = 10_000
 #: Overlap of the words of two titles without a model token in common.
@@ -90,42 +89,6 @@ def title_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     return by_token.unionByName(by_word).distinct()
 
 
-def cascade(listings: DataFrame, products: DataFrame) -> DataFrame:
-    """(listing_id, product_id, reason, score): where each listing belongs.
-
-    listings: listing_id, source, asin, hash, embedding, title, price_minor; products: product_id, asin, hash, centroid,
-    title, median, sources (array). In order: the same product number; an image hash within six bits at a fitting
-    price; the most similar centroid among products that share an identity word, at a fitting price and over the
-    threshold; else a new product (product_id null). A product that has an offer of the listing's source is no
-    candidate, and of several listings of a source only the best claims a product.
-    """
-    p = products.select("product_id", F.col("asin").alias("p_asin"), F.col("hash").alias("p_hash"), "centroid", F.col("title").alias("p_title"), "median", "sources")
-    fits = ~F.array_contains("sources", F.col("source"))
-    by_number = listings.where("asin is not null").join(p.where("p_asin is not null"), F.col("asin") == F.col("p_asin")).where(fits).select("listing_id", "source", "product_id", F.lit(1).alias("step"), F.lit(1.0).alias("score"))
-    near = hamming_pairs(listings.select(F.col("listing_id").alias("id"), "hash").where("hash is not null"), products.select(F.col("product_id").alias("id"), "hash").where("hash is not null"))
-    by_hash = near.select(
-        F.col("left_id").alias("listing_id"),
-        F.col("right_id").alias("product_id"),
-        (1 - F.col("distance") / 64).alias("score"),
-    ).join(listings, "listing_id").join(p.select("product_id", "median", "sources"), "product_id").where(fits & scoring.price_fit(F.col("price_minor"), F.col("median"))).select("listing_id", "source", "product_id", F.lit(2).alias("step"), "score")
-    blocked = title_candidates(listings.select(F.col("listing_id").alias("id"), "title"), products.select(F.col("product_id").alias("id"), "title"))
-    full = blocked.withColumnsRenamed({"left_id": "listing_id", "right_id": "product_id"}).join(listings, "listing_id").join(p, "product_id")
-    same = text.identity_compatible(text.identity_tokens(F.col("title")), text.identity_words(F.col("title")), text.identity_tokens(F.col("p_title")), text.identity_words(F.col("p_title")))
-    by_centroid = full.where(fits & same & scoring.price_fit(F.col("price_minor"), F.col("median"))).select(
-        "listing_id",
-        "source",
-        "product_id",
-        F.lit(3).alias("step"),
-        scoring.dot(F.col("embedding"), F.col("centroid")).alias("score"),
-    ).where(F.col("score") >= SILENT)
-    found = by_number.unionByName(by_hash).unionByName(by_centroid)
-    order = [F.asc("step"), F.desc("score"), F.asc("product_id")]
-    mine = found.withColumn("r", F.row_number().over(Window.partitionBy("listing_id").orderBy(*order))).where("r = 1").drop("r")
-    claimed = mine.withColumn("r", F.row_number().over(Window.partitionBy("product_id", "source").orderBy(F.asc("step"), F.desc("score"), F.asc("listing_id")))).where("r = 1")
-    reason = F.when(F.col("step") == 1, "number").when(F.col("step") == 2, "image").when(F.col("step") == 3, "centroid").otherwise("new")
-    return listings.select("listing_id").join(claimed.select("listing_id", "product_id", "step", "score"), "listing_id", "left").select("listing_id", "product_id", reason.alias("reason"), "score")
-
-
 def product_aggregates(df: DataFrame, product: str, source: str) -> DataFrame:
     return df.groupBy(product).agg(F.count("*").alias("listing_count"), F.countDistinct(source).alias("source_count"))
 
@@ -198,9 +161,3 @@ def late_merges(listings: DataFrame) -> DataFrame:
     fits = (F.col("price") <= 0) | (F.col("other") <= 0) | (F.col("price") / F.col("other")).between(0.25, 4.0)
     mutual = (F.col("other_members") == 1) & (F.col("left_id") < F.col("right_id"))
     return found.where(fits & ~mutual).select(F.col("left_id").alias("listing_id"), "product_id")
-
-
-def title_pair_key(a, b):
-    """The same key for a pair of titles in either order."""
-    x, y = text.normalize_search(a), text.normalize_search(b)
-    return F.concat_ws("\u0000", F.least(x, y), F.greatest(x, y))

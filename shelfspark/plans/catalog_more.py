@@ -331,33 +331,6 @@ def recall_filter(spark, sf_dir):
     return d.select("doc_id", spec.relevance_filter(n % 100 / 100.0, F.lit(1), n % 2 == 0, F.when(n % 3 == 0, "high").otherwise("strict")).alias("kept"))
 
 
-@query()
-def entity_cascade(spark, sf_dir):
-    """Every sixth vector as a listing, matched to products made of the others."""
-    v = table(spark, sf_dir, "embeddings")
-    name = F.concat(F.lit("alpha widget wh-"), (F.col("label") * 7 + 1000).cast("string"), F.lit("xm gadget"))
-    known = v.where("vec_id % 6 != 0")
-    products_ = entity.centroids(known, "label", "embedding").join(known.groupBy("label").agg(F.min("vec_id").alias("first")), "label").select(
-        F.col("label").cast("long").alias("product_id"),
-        F.when(F.col("label") == 0, "B000000000").alias("asin"),
-        F.lit(None).cast("long").alias("hash"),
-        "centroid",
-        name.alias("title"),
-        F.lit(1000.0).alias("median"),
-        F.array(F.lit(99).cast("long")).alias("sources"),
-    )
-    listings = v.where("vec_id % 6 = 0").select(
-        F.col("vec_id").alias("listing_id"),
-        (F.col("vec_id") % 40).alias("source"),
-        F.when(F.col("vec_id") % 50 == 0, "B000000000").alias("asin"),
-        F.lit(None).cast("long").alias("hash"),
-        "embedding",
-        name.alias("title"),
-        F.lit(1200).cast("long").alias("price_minor"),
-    )
-    return entity.cascade(listings, products_).select("listing_id", "product_id", "reason", F.round("score", 6).alias("score"))
-
-
 # Streams, each with the SQL of its batch twin
 
 
