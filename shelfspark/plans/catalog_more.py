@@ -214,20 +214,54 @@ def listing_types(spark, sf_dir):
     return products(spark, sf_dir).select("id", text.product_type(t).alias("product_type"), text.brand(t).alias("brand"), text.condition(t, listing=True).alias("condition"))
 
 
-@query("SELECT p_partkey AS id, 'product' AS kind, NULL::BIGINT AS min_price, CAST(p_size AS BIGINT) * 100 AS max_price, 'leather' AS not_wanted, CASE WHEN p_partkey % 2 = 0 THEN 'used' ELSE 'any' END AS condition FROM part")
+# Queries with what is expected of them: text, kind, product type, targets, optional keywords, exclusions, intent, confidence.
+SPEC_CASES = (
+    ("ps5 xbox", "list", None, "PlayStation 5 console|Xbox Series X console", "ps5 xbox", "", "mission", 0.95),
+    ("desk and kettle", "list", None, "desk|kettle", "desk kettle", "", "mission", 0.95),
+    ("keyboard, mouse and monitor", "list", None, "keyboard|mouse|monitor", "keyboard mouse monitor", "", "mission", 0.95),
+    ("xbox series x console", "product", "game console", "xbox series x console", "", "", "product", 0.7),
+    ("gaming setup", "product", None, "gaming setup", "setup", "", "mission", 0.9),
+    ("home office setup", "product", None, "home office setup", "home setup", "", "mission", 0.9),
+    ("starter pack for camping", "product", None, "starter pack for camping", "starter pack camping", "", "mission", 0.9),
+    ("furnish a home office", "mission", None, "furnish a home office", "furnish home", "", "mission", 0.9),
+    ("quiet office chair not mesh", "product", "chair", "quiet office chair", "", "mesh", "product", 0.7),
+    ("leather chelsea boots not suede", "product", "boots", "leather chelsea boots", "", "suede", "product", 0.7),
+    ("sturdy wireless headphones", "product", "headphones", "sturdy wireless headphones", "sturdy", "", "product", 0.7),
+)
+SPEC_CASES_SQL = ", ".join("(" + ", ".join(["NULL" if x is None else repr(x) for x in (i, *c)]) + ")" for i, c in enumerate(SPEC_CASES))
+SPEC_COLUMNS = "k, q, kind, product_type, targets, should, not_wanted, intent, confidence"
+
+
+def case_of(key) -> object:
+    """The text of the case with this number."""
+    return F.element_at(text.lit_array([c[0] for c in SPEC_CASES]), (key % len(SPEC_CASES) + 1).cast("int"))
+
+
+@query(f"""
+WITH c({SPEC_COLUMNS}) AS (VALUES {SPEC_CASES_SQL})
+SELECT p_partkey AS id, kind, product_type, targets,
+  should, not_wanted, CAST(p_size AS BIGINT) * 100 AS max_price, CASE WHEN p_partkey % 2 = 0 THEN 'used' ELSE 'any' END AS condition
+FROM part JOIN c ON k = p_partkey % {len(SPEC_CASES)}
+""")
 def query_specs(spark, sf_dir):
-    """Queries written from parts and parsed."""
+    """Queries of several kinds with a condition and a price, parsed."""
     k = F.col("p_partkey")
-    q = F.concat(F.when(k % 2 == 0, "used ").otherwise(""), F.element_at(text.lit_array(PRODUCTS), (k % len(PRODUCTS) + 1).cast("int")), F.lit(" under $"), F.col("p_size").cast("string"), F.lit(" not leather"))
+    q = F.concat(F.when(k % 2 == 0, "used ").otherwise(""), case_of(k), F.lit(" under $"), F.col("p_size").cast("string"))
     found = spec.parse_queries(table(spark, sf_dir, "part").select(k.alias("id"), q.alias("query")))
-    return found.select("id", "kind", "min_price", "max_price", F.concat_ws(",", "must_not").alias("not_wanted"), "condition")
+    return found.select("id", "kind", "product_type", F.concat_ws("|", "targets").alias("targets"), F.concat_ws(" ", "should").alias("should"), F.concat_ws(",", "must_not").alias("not_wanted"), "max_price", "condition")
 
 
-@query("SELECT item_id, 'product' AS intent, 0.7 AS confidence FROM benchmark")
+@query(f"""
+WITH c({SPEC_COLUMNS}) AS (VALUES {SPEC_CASES_SQL})
+SELECT p_partkey AS id, intent, CAST(confidence AS DOUBLE) AS confidence FROM part JOIN c ON k = p_partkey % {len(SPEC_CASES)}
+UNION ALL SELECT -1 - item_id, 'product', 0.7 FROM benchmark
+""")
 def query_intents(spark, sf_dir):
-    """intent of every item's text as a query."""
-    i = spec.intent(F.col("text"))
-    return table(spark, sf_dir, "benchmark").select("item_id", i["intent"].alias("intent"), i["confidence"].alias("confidence"))
+    """intent of queries of several kinds, and of every item's text as a query."""
+    made = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.initcap(case_of(F.col("p_partkey"))), F.lit(" under $"), F.col("p_size").cast("string")).alias("query"))
+    i = spec.intent(F.col("query"))
+    rows = made.unionByName(table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("id"), F.col("text").alias("query")))
+    return rows.select("id", i["intent"].alias("intent"), i["confidence"].alias("confidence"))
 
 
 def product_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
