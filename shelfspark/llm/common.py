@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship, spread
 
@@ -84,6 +84,11 @@ def small_side(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= limit else keys
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever is in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """mapInArrow over columns as Python lists. make() runs once for each task and returns the function for a batch."""
     names = [f.strip().split(" ")[0] for f in schema.split(",")]

@@ -22,7 +22,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_rows, materialize, small_side
+from .common import columns, map_rows, materialize, small_side
 
 RADIUS, BLOCKS, BLOCK_BITS = 7, 4, 16
 SHINGLE, SIMILARITY = 5, 0.8
@@ -270,4 +270,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY,
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The documents, all columns, that hold no benchmark item. Rows without a doc_id stay; rows of one doc_id stay or go together."""
     found = materialize(leaks(docs, benchmark, threshold).where("doc_id is not null").select("doc_id").distinct(), "leaking")
-    return docs.join(small_side(found), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small_side(found), "doc_id", "left_anti").select(columns(docs))

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import components, map_rows, materialize, release, small_side
+from .common import columns, components, map_rows, materialize, release, small_side
 
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -367,4 +367,4 @@ def deduplicated(docs: DataFrame, size: int = 3, n: int = SHINGLE, similarity: f
     edges = own.where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     grouped = components(edges.unionByName(similar_links(docs, n, similarity)), "near-components")
     gone = materialize(grouped.where("node != component").select(F.col("node").alias("doc_id")), "near-copies")
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small_side(gone), "doc_id", "left_anti").select(columns(docs))

@@ -61,7 +61,7 @@ def test_edges_of_every_stage(spark):
         (8, "One two three four five six seven eight"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    clashing = ("i", "t", "fp", "node", "component", "text_sha256", "place_of_row", "keep_id", "kept", "predicted", "score", "item_id", "n", "a", "b", "lang")
+    clashing = ("i", "t", "fp", "node", "component", "text_sha256", "place_of_row", "keep_id", "kept", "predicted", "score", "item_id", "n", "a", "b", "lang", "dotted.name", "a`tick")
     for c in clashing:
         docs = docs.withColumn(c, F.lit("x"))
     left = {}
@@ -82,7 +82,7 @@ def test_oracles(spark):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         c.execute(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
     for name, sql in queries.oracle_sql().items():
         got, want = queries.queries()[name](spark, SMALL), c.execute(sql).fetchall()
@@ -99,4 +99,4 @@ def test_clear(spark):
 
 
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)]
