@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shelfspark.llm import chunk_dedup, decontamination, golay_simhash, sentencepiece_codec, toxicity
-from shelfspark.llm.common import configure, materialize, small_side, table
+from shelfspark.llm.common import columns, configure, materialize, small_side, table
 from shelfspark.llm.queries import PIECE_MODEL
 
 
@@ -28,7 +28,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     configure(spark)
     scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
     rejected = materialize(scored.where("predicted = 1 and doc_id is not null").select("doc_id").distinct(), "toxic")
-    return docs.join(small_side(rejected), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small_side(rejected), "doc_id", "left_anti").select(columns(docs))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     configure(spark)
     found = materialize(chunk_dedup.exact_duplicates(docs), "exact-decisions")
-    text, row = F.coalesce("text", F.lit("")), docs.columns
-    named = [c.lower() for c in row]
+    text, row = F.coalesce("text", F.lit("")), columns(docs)
+    named = [c.lower() for c in docs.columns]
     digest, place = (next(n for n in (f"{'_' * k}{base}" for k in range(len(row) + 1)) if n.lower() not in named) for base in ("text_sha256", "place_of_row"))
     marked = docs.withColumn(digest, F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]", ""), 256))
     dropped = materialize(found.where("not kept and doc_id is not null").select("doc_id", F.col("text_sha256").alias(digest)).distinct(), "exact-dropped")
