@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scoring, text
+from . import vector_index
 
 #: Bit ranges of seven bands: two hashes within six bits agree on at least one.
 BANDS = ((0, 9), (9, 9), (18, 9), (27, 9), (36, 9), (45, 9), (54, 10))
@@ -51,16 +53,21 @@ def nearest_centroid(df: DataFrame, centres: DataFrame, key: str, vector: str, i
     """(id, key, score): the most similar centroid, the smallest key among equals.
 
     The centroids are a stated set against all vectors: they go in blocks of CENTRES_AT_ONCE, each of which leaves one row
-    for each vector.
+    for each vector, worked out as matrix products in the tasks.
     """
-    vectors, passes = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v")), max(1, -(-centres.count() // CENTRES_AT_ONCE))
-    best = F.max_by(F.struct(key, "score"), F.struct(F.round("score", 9).alias("s"), (-F.col(key)).alias("k"))).alias("best")
-    out = None
+    spark, passes = df.sparkSession, max(1, -(-centres.count() // CENTRES_AT_ONCE))
+    vectors = vector_index.clean(df, id_col, vector)
+    kind, out = dict(centres.dtypes)[key], None
     for k in range(passes):
-        part = centres if passes == 1 else centres.where(F.pmod(F.xxhash64(key), F.lit(passes)) == k)
-        scored = vectors.crossJoin(F.broadcast(part)).select("id", F.col(key), scoring.dot(F.col("v"), F.col("centroid")).alias("score"))
-        found = scored.groupBy("id").agg(best).select("id", f"best.{key}", "best.score")
+        part = centres.where(F.pmod(F.xxhash64(key), F.lit(passes)) == k).orderBy(key).select(key, "centroid").collect()
+        if not part:
+            continue
+        names = spark.createDataFrame([(i, r[key]) for i, r in enumerate(part)], f"cell int, `{key}` {kind}")
+        found = vector_index.nearest(vectors, np.array([r["centroid"] for r in part], float), 9).join(F.broadcast(names), "cell").select("id", key, "score")
         out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], f"id long, `{key}` {kind}, score double")
+    best = F.max_by(F.struct(key, "score"), F.struct("score", (-F.col(key)).alias("k"))).alias("best")
     return out if passes == 1 else out.groupBy("id").agg(best).select("id", f"best.{key}", "best.score")
 
 

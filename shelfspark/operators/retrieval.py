@@ -96,20 +96,6 @@ def ranked_in_buckets(rows: DataFrame, key: str, bucket: Column, *order: Column)
     return cut.withColumn("_place", place).join(starts, [key, "_bucket"]).withColumn("rank", F.col("_before") + F.col("_place")).drop("_bucket", "_place", "_before")
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score): cosine of every vector with each of a stated set of query vectors (query_id, query)."""
-    # each vector is brought to unit length once; a pair costs one dot product
-    one_length = lambda c: F.when(scoring.norm(c) > 0, scoring.unit(c.cast("array<double>")))
-    rows = vectors.select(F.col(id_col).alias("id"), one_length(F.col(vector_col)).alias("v")).where("v is not null")
-
-    def one(part: DataFrame) -> DataFrame:
-        asked = part.select("query_id", one_length(F.col("query")).alias("q")).where("q is not null")
-        pairs = rows.crossJoin(F.broadcast(asked)).where(F.size("v") == F.size("q"))
-        return pairs.select("query_id", "id", F.least(F.greatest(scoring.dot(F.col("v"), F.col("q")), F.lit(0.0)), F.lit(1.0)).alias("score"))
-
-    return in_blocks(queries, one)
-
-
 def reciprocal_rank_fusion(channels: DataFrame, weights: dict[str, float], k: int = 60) -> DataFrame:
     """(query_id, id, rrf) over rows (query_id, id, channel, rank).
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import lexicon as lx, scoring, text
-from ..operators import bundles, entity, evaluation, gates, ranking, relational as rel, retrieval
+from ..operators import bundles, entity, evaluation, gates, ranking, relational as rel, retrieval, vector_index
 from ..tables import OFFERS_SQL, minor, offers, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -625,8 +625,26 @@ def cosine_topk(spark, sf_dir):
     """Vector channel of every vector whose id is divisible by 100."""
     v = table(spark, sf_dir, "embeddings")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    found = retrieval.vector_scores(v, q).withColumn("score", F.round("score", 6))
-    return retrieval.ranked(found, floor=0.15, limit=20).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+    found, _ = vector_index.search(vector_index.build(v), q, 20, floor=0.15)
+    return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
+m AS (SELECT u.vec_id, list_transform(list_zip(b.v, u.v), lambda z: z[1] + 0.25 * z[2]) AS v FROM u JOIN u b ON b.vec_id = u.label),
+s AS (SELECT q.vec_id AS query_id, m.vec_id AS id, round(list_dot_product(q.v, m.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(m.v, m.v)), 6) AS score FROM m q, m WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0.5)
+SELECT query_id, id, score, rank FROM r WHERE rank <= 15
+""")
+def vector_cells_topk(spark, sf_dir):
+    """Exact top-k from the cells that can matter; the vectors lie around ten directions."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", scoring.unit(F.col("embedding").cast("array<double>")).alias("v"))
+    around = v.select(F.col("vec_id").cast("int").alias("label"), F.col("v").alias("b"))
+    made = v.join(around, "label").select("vec_id", F.zip_with("b", "v", lambda x, y: x + 0.25 * y).alias("embedding"))
+    q = made.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found, _ = vector_index.search(vector_index.build(made, cells=24), q, 15, floor=0.5)
+    return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""WITH e AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings), s AS (SELECT label, i, sum(CAST(x AS DOUBLE)) AS s FROM e GROUP BY ALL), c AS (SELECT label, list(s ORDER BY i) AS v, sqrt(sum(s * s)) AS n FROM s GROUP BY label),
