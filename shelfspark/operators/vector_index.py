@@ -29,10 +29,14 @@ PARTS, BUCKETS = 16, 64
 SLACK = 1e-9
 
 
-def unit_rows(column: pa.Array) -> np.ndarray:
-    """Vectors of one length as a matrix of unit rows."""
+def rows_of(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    rows = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def unit_rows(column: pa.Array) -> np.ndarray:
+    rows = rows_of(column)
     size = np.linalg.norm(rows, axis=1)
     return rows / np.where(size > 0, size, 1)[:, None]
 
@@ -48,12 +52,12 @@ def clean(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def nearest(df: DataFrame, centres: np.ndarray, digits: int | None = None) -> DataFrame:
-    """(id, cell, score) of a table (id, v): the number of the nearest of a bounded set of centres, the first of those equal to so many digits."""
+    """(id, cell, score) of a table (id, v): the number and dot product of the nearest of a bounded set of unit centres, the first of those equal to so many digits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                score = unit_rows(batch["v"]) @ centres.T
+                score = rows_of(batch["v"]) @ centres.T
                 best = (score if digits is None else np.round(score, digits)).argmax(1)
                 yield pa.RecordBatch.from_arrays([batch["id"], pa.array(best.astype(np.int32)), pa.array(score[np.arange(len(best)), best])], names=["id", "cell", "score"])
 
