@@ -84,6 +84,17 @@ def small_side(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= limit else keys
 
 
+_held: list[tuple[object, object]] = []
+
+
+def held(key: object, make: Callable[[], object]):
+    """make(), kept in this worker process until another key is asked for: a worker holds one operator's tables at a time."""
+    if not _held or _held[0][0] != key:
+        _held.clear()
+        _held.append((key, make()))
+    return _held[0][1]
+
+
 def columns(df: DataFrame) -> list[Column]:
     """All columns, whatever is in their names."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

@@ -22,7 +22,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import columns, map_rows, materialize, small_side
+from .common import columns, held, map_rows, materialize, small_side
 
 RADIUS, BLOCKS, BLOCK_BITS = 7, 4, 16
 SHINGLE, SIMILARITY = 5, 0.8
@@ -220,10 +220,6 @@ class Index:
         return [(text, self.items[item][0], first, -score) for (text, item), (score, first) in sorted(best.items())]
 
 
-#: The index of the pass that a worker is at.
-_built: dict[str, Index] = {}
-
-
 def repeated_shingles(benchmark: DataFrame) -> tuple[int, dict[tuple[str, ...], int]]:
     """(items with words, in how many items each shingle is that more than one holds)."""
 
@@ -254,10 +250,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY,
 
         def make(items=items, token=uuid.uuid4().hex):
             def work(b):
-                if token not in _built:
-                    _built.clear()
-                    _built[token] = Index(items.value, threshold, whole.value)
-                found = _built[token].search(b["t"])
+                found = held(token, lambda: Index(items.value, threshold, whole.value)).search(b["t"])
                 return {"doc_id": [b["i"][r[0]] for r in found], "item_id": [r[1] for r in found], "first_word": [r[2] for r in found], "similarity": [round(r[3], 9) for r in found]}
 
             return work

@@ -23,11 +23,11 @@ import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_rows
+from .common import held, map_rows
 
 MARK = "▁"
 #: Bounds of the caches in one worker: segments, their characters, token pairs.
-MAX_SEGMENTS, MAX_SEGMENT_CHARS, MAX_PAIRS = 400_000, 48, 500_000
+MAX_SEGMENTS, MAX_SEGMENT_CHARS, MAX_PAIRS = 100_000, 48, 200_000
 UNKNOWN_SURFACE = " ⁇ "
 
 
@@ -209,14 +209,9 @@ class Codec:
         return b"".join(out)
 
 
-_loaded: dict[str, Codec] = {}
-
-
 def codec(model_file: str) -> Codec:
     """One codec for each worker process and model."""
-    if model_file not in _loaded:
-        _loaded[model_file] = Codec(model_file)
-    return _loaded[model_file]
+    return held(model_file, lambda: Codec(model_file))
 
 
 def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

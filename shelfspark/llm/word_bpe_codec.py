@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from .common import map_rows
+from .common import held, map_rows
 
 #: Characters of a stretch; words and their characters that a worker's cache holds.
 STRETCH, MAX_WORDS, MAX_WORD_CHARS = 1 << 17, 300_000, 48
@@ -318,14 +318,9 @@ class Codec:
         return " ".join(self.name[i] for i in ids)
 
 
-_loaded: dict[str, Codec] = {}
-
-
 def codec(file: str) -> Codec:
     """One codec for each worker process and file."""
-    if file not in _loaded:
-        _loaded[file] = Codec(file)
-    return _loaded[file]
+    return held(file, lambda: Codec(file))
 
 
 def encode_documents(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
