@@ -1,4 +1,4 @@
-"""Retrieval over many queries at once: BM25, lexical and vector channels, ranks."""
+"""Retrieval over many queries at once: terms of queries, corpus statistics, ranks, fusion and gates."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scoring, text
-from ..session import written
 
 K1, B, PHRASE_BONUS = 1.2, 0.75, 0.75
 #: Queries that are broadcast together; a larger set takes several passes over the data.
@@ -34,36 +33,6 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return terms.select("query_id", "term", F.explode(forms).alias("form"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score) of all documents with a query term, score over 0.
-
-    The corpus is all of docs. Documents are tokenised once for a block of queries: what is written and read again is
-    each one's length, the tokens that match a query and the queries whose phrase it holds. Queries are a stated set.
-    """
-    return in_blocks(queries, lambda part: bm25_block(docs, part, id_col, text_col, k1, b))
-
-
-def bm25_block(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k1: float, b: float) -> DataFrame:
-    """bm25 of a block of queries, which are at most BLOCK rows on the driver."""
-    forms = query_terms(queries)
-    wanted = [r.form for r in forms.select("form").distinct().collect()]
-    phrases = [(r.query_id, r.phrase) for r in queries.select("query_id", text.normalize_search(F.col("query")).alias("phrase")).where("phrase != ''").distinct().collect()]
-    tokens = docs.select(F.col(id_col).alias("id"), text.lexical_tokens(F.col(text_col)).alias("tokens"), text.normalize_search(F.col(text_col)).alias("plain"))
-    kind = dict(queries.dtypes)["query_id"]
-    holds = F.array_compact(F.array(*(F.when(F.contains("plain", F.lit(p)), F.lit(q).cast(kind)) for q, p in phrases))) if phrases else F.expr(f"cast(array() as array<{kind}>)")
-    lean = written(tokens.select("id", F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(wanted)).alias("hits"), holds.alias("phrases")), "bm25")
-    stats = lean.agg(F.count("*").alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("mean_length"))
-    counted = lean.select("id", "length", F.explode("hits").alias("form")).groupBy("id", "form").agg(F.count("*").alias("times"), F.first("length").alias("length"))
-    tf = counted.join(F.broadcast(forms), "form").groupBy("query_id", "id", "term").agg(F.sum("times").alias("tf"), F.first("length").alias("length"))
-    df = tf.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    n, mean = F.col("n"), F.col("mean_length")
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    base = tf.join(F.broadcast(df), ["query_id", "term"]).crossJoin(F.broadcast(stats)).groupBy("query_id", "id").agg(F.sum(part).alias("base"))
-    whole = lean.select("id", F.explode("phrases").alias("query_id")).withColumn("bonus", F.lit(PHRASE_BONUS))
-    return base.join(whole, ["query_id", "id"], "left").select("query_id", "id", (F.col("base") + F.coalesce("bonus", F.lit(0.0))).alias("score")).where("score > 0")
-
-
 def corpus_statistics(docs: DataFrame, text_col: str) -> DataFrame:
     """(term, df, tf): documents with each token, and its uses in all of them.
 

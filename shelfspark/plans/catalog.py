@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import lexicon as lx, scoring, text
-from ..operators import bundles, entity, evaluation, gates, ranking, relational as rel, retrieval, vector_index
+from ..operators import bundles, entity, evaluation, gates, posting_index, ranking, relational as rel, retrieval, vector_index
 from ..tables import OFFERS_SQL, minor, offers, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,44 +49,69 @@ def cents_sql(x: str) -> str:
 # Retrieval
 
 
-def item_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated query set: every benchmark item whose id is divisible by 100."""
-    return table(spark, sf_dir, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+def item_queries(spark: SparkSession, sf_dir: str, place: int = 0) -> DataFrame:
+    """The stated query set: every benchmark item whose id is divisible by 100, or leaves another rest."""
+    return table(spark, sf_dir, "benchmark").where(F.col("item_id") % 100 == place).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-BM25_SQL = f"""
-d AS (SELECT doc_id AS id, {tokens_sql('text')} AS tokens, {norm_sql('text')} AS plain FROM documents),
-q AS (SELECT item_id AS query_id, {norm_sql('text')} AS phrase, list_distinct({tokens_sql('text')}) AS terms FROM benchmark WHERE item_id % 100 = 0),
+def bm25_sql(place: int) -> str:
+    return f"""
+WITH d AS (SELECT doc_id AS id, {tokens_sql('text')} AS tokens, {norm_sql('text')} AS plain FROM documents),
+q AS (SELECT item_id AS query_id, {norm_sql('text')} AS phrase, list_distinct({tokens_sql('text')}) AS terms FROM benchmark WHERE item_id % 100 = {place}),
 t AS (SELECT query_id, unnest(terms) AS term FROM q),
 f AS (SELECT DISTINCT query_id, term, unnest(CASE WHEN term LIKE '%s' THEN [term, term || 's', term[:-2]] ELSE [term, term || 's'] END) AS form FROM t),
 s AS (SELECT count(*) AS n, greatest(avg(len(tokens)), 1.0) AS mean FROM d),
 e AS (SELECT id, len(tokens) AS length, unnest(tokens) AS form FROM d),
 tf AS (SELECT query_id, id, term, count(*) AS tf, any_value(length) AS length FROM e JOIN f USING (form) GROUP BY ALL),
 df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL),
-b AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS base FROM tf JOIN df USING (query_id, term), s GROUP BY ALL),
-scored AS (SELECT query_id, id, base + CASE WHEN contains(plain, phrase) THEN 0.75 ELSE 0 END AS score FROM b JOIN d USING (id) JOIN q USING (query_id))
+b AS (
+  SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS base
+  FROM tf JOIN df USING (query_id, term), s GROUP BY ALL),
+scored AS (SELECT query_id, id, base + CASE WHEN contains(plain, phrase) THEN 0.75 ELSE 0 END AS score FROM b JOIN d USING (id) JOIN q USING (query_id)),
+r AS (SELECT query_id, id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM scored)
 """
 
 
-@query(f"""WITH {BM25_SQL}, r AS (SELECT query_id, id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM scored)
-SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 10""")
+@query(bm25_sql(0) + "SELECT query_id, doc_id, round(round(score, 6), 4) AS score, rank FROM r WHERE rank <= 10")
 def bm25_top(spark, sf_dir):
-    """The ten best documents of each query by BM25."""
-    found = retrieval.bm25(table(spark, sf_dir, "documents"), item_queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
-    return retrieval.ranked(found, limit=10).select("query_id", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+    """The ten best documents of each query by BM25, from the posting index."""
+    index = posting_index.build(table(spark, sf_dir, "documents"))
+    found = posting_index.search(index, item_queries(spark, sf_dir))
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 100 = 0),
-x AS (SELECT query_id, doc_id, {norm_sql('query')} AS qn, {norm_sql('text')} AS tn, list_distinct({tokens_sql('query')}) AS qt, list_distinct({tokens_sql('text')}) AS tt FROM documents, q)
-SELECT query_id, doc_id, round(CASE WHEN qn = '' OR tn = '' OR len(qt) = 0 THEN 0 ELSE least(1.0,
-  0.65 * len(list_filter(qt, lambda t: list_contains(tt, t) OR (t LIKE '%s' AND list_contains(tt, t[:-2])) OR list_contains(tt, t || 's'))) / len(qt)
-  + CASE WHEN contains(tn, qn) THEN 0.2 ELSE 0 END + CASE WHEN length(replace(qn, ' ', '')) >= 4 AND contains(replace(tn, ' ', ''), replace(qn, ' ', '')) THEN 0.15 ELSE 0 END) END, 6) AS score FROM x""")
+@query(f"""
+SELECT query_id, doc_id, round(round(score, 6), 4) AS score, rank FROM ({bm25_sql(0)} SELECT * FROM r WHERE rank <= 3) a
+UNION ALL SELECT query_id, doc_id, round(round(score, 6), 4), rank FROM ({bm25_sql(1)} SELECT * FROM r WHERE rank <= 3) b
+""")
+def bm25_two_sets(spark, sf_dir):
+    """Two sets of queries answered from one index; the second reads no documents."""
+    index = posting_index.build(table(spark, sf_dir, "documents"))
+    first, second = (posting_index.search(index, item_queries(spark, sf_dir, place), 3) for place in (0, 1))
+    return first.unionByName(second).select("query_id", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""
+WITH q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 100 = 0),
+x AS (
+  SELECT query_id, doc_id, {norm_sql('query')} AS qn, {norm_sql('text')} AS tn, list_distinct({tokens_sql('query')}) AS qt, list_distinct({tokens_sql('text')}) AS tt
+  FROM documents, q),
+m AS (SELECT *, list_filter(qt, lambda t: list_contains(tt, t) OR (t LIKE '%s' AND list_contains(tt, t[:-2])) OR list_contains(tt, t || 's')) AS met FROM x)
+SELECT query_id, doc_id, round(least(1.0, 0.65 * len(met) / len(qt) + CASE WHEN contains(tn, qn) THEN 0.2 ELSE 0 END
+  + CASE WHEN length(replace(qn, ' ', '')) >= 4 AND contains(replace(tn, ' ', ''), replace(qn, ' ', '')) THEN 0.15 ELSE 0 END), 6) AS score
+FROM m WHERE len(met) > 0
+""")
 def lexical_score(spark, sf_dir):
-    """Lexical evidence of every document for each query."""
+    """Lexical evidence of the documents that share a token with a query; they meet by token."""
     docs, q = table(spark, sf_dir, "documents"), item_queries(spark, sf_dir)
-    plain, forms = text.normalize_search(F.col("text")), scoring.token_forms(text.lexical_tokens(F.col("text")))
-    ready = docs.select("doc_id", plain.alias("plain"), forms.alias("forms"))
-    one = lambda part: ready.crossJoin(F.broadcast(part)).select("query_id", "doc_id", F.round(scoring.lexical_match(F.col("query"), F.col("plain"), F.col("forms")), 6).alias("score"))
+    plain = docs.select("doc_id", text.normalize_search(F.col("text")).alias("plain"), text.lexical_tokens(F.col("text")).alias("tokens"))
+
+    def one(part: DataFrame) -> DataFrame:
+        forms = F.broadcast(retrieval.query_terms(part).select("query_id", F.col("form").alias("token")).distinct())
+        met = plain.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token")).join(forms, "token").select("query_id", "doc_id").distinct().join(plain, "doc_id")
+        score = scoring.lexical_match(F.col("query"), F.col("plain"), scoring.token_forms(F.col("tokens")))
+        return met.join(F.broadcast(part), "query_id").select("query_id", "doc_id", F.round(score, 6).alias("score"))
+
     return retrieval.in_blocks(q, one)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.functions import scoring, text
-from shelfspark.operators import bundles, entity, evaluation, ranking, relational, retrieval
+from shelfspark.operators import bundles, entity, evaluation, posting_index, ranking, relational, retrieval
 from shelfspark.plans import search, spec
 from shelfspark.sources import payloads
 from shelfspark.streaming import flows
@@ -131,7 +131,7 @@ def test_specs(spark):
 
 def test_bm25_ranks(spark):
     docs = spark.createDataFrame([(1, "red gps watch"), (2, "watch watch watch and a very long story about other things that nobody needs"), (3, "chairs")], "doc_id long, text string")
-    found = retrieval.ranked(retrieval.bm25(docs, spark.createDataFrame([(7, "gps watch")], "query_id long, query string"))).collect()
+    found = posting_index.search(posting_index.build(docs), spark.createDataFrame([(7, "gps watch")], "query_id long, query string")).collect()
     assert [(r.id, r["rank"]) for r in found] == [(1, 1), (2, 2)]
 
 
