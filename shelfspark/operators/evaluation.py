@@ -103,3 +103,44 @@ def relevance_label(title, rules: list[dict], explicit=None) -> object:
         if phrases or terms:
             met.append(F.when(reduce(and_, parts), F.lit(rule["label"])))
     return F.coalesce(*([] if explicit is None else [explicit]), *met, F.lit("irrelevant"))
+
+
+#: A benchmark file as far as its rules look at it; nested parts stay text, so that their kind can be told.
+BENCHMARK = "version string, cases string, _broken string"
+CASE = "id string, query string, slices string, expectedIntent string, relevanceRules string, idealRelevance string, mission struct<requiredSlots: string>"
+INTENTS = ("product", "mission")
+
+
+def benchmark_violations(files: DataFrame, file: str = "file", body: str = "body") -> DataFrame:
+    """(file, path, rule): every rule that a benchmark file breaks, with the place. Files that are no JSON object are kept as `object`.
+
+    Rules: a whole version and a list of cases; each case with id, query and a list of slices; no id twice in a file; a known
+    intent; a list of relevance rules and ideal relevance; required slots for a mission.
+    """
+    top = files.select(F.col(file).alias("file"), F.trim(body).alias("body"), F.from_json(body, BENCHMARK, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("b"))
+    whole = F.col("body").startswith("{") & F.col("b").isNotNull() & F.col("b._broken").isNull()
+    a_list = lambda c: F.coalesce(c.startswith("["), F.lit(False))
+    filled = lambda c: F.coalesce(~c.isin("", "0", "false"), F.lit(False))
+    found = lambda path, rule: F.struct(path.alias("path"), F.lit(rule).alias("rule"))
+    broken = lambda *pairs: F.array_compact(F.array(*(F.when(~F.coalesce(good, F.lit(False)), found(path, rule)) for good, path, rule in pairs)))
+    top = top.withColumn("whole", F.coalesce(whole, F.lit(False)))
+    header = F.when(~F.col("whole"), F.array(found(F.lit("$"), "object"))).otherwise(broken((F.col("b.version").rlike(r"^-?\d+(\.0+)?$"), F.lit("$.version"), "version"), (a_list(F.col("b.cases")), F.lit("$.cases"), "cases")))
+    heads = top.select("file", F.explode(header).alias("v")).select("file", "v.*")
+    cases = top.where(F.col("whole") & a_list(F.col("b.cases"))).select("file", F.posexplode(F.from_json("b.cases", f"array<struct<{', '.join(x.strip().replace(' ', ': ', 1) for x in CASE.split(', '))}>>")).alias("k", "c"))
+    # the first case with an id, by place, keeps it; a grouped minimum, no file's cases meet in one task
+    firsts = cases.where(filled(F.col("c.id"))).groupBy("file", F.col("c.id").alias("id")).agg(F.min("k").alias("first"))
+    cases = cases.withColumn("id", F.col("c.id")).join(firsts, ["file", "id"], "left")
+    at = lambda name: F.concat(F.lit("$.cases["), F.col("k").cast("string"), F.lit(f"]{name}"))
+    mission = F.coalesce(F.col("c.expectedIntent") == "mission", F.lit(False))
+    slots = F.col("c.mission.requiredSlots")
+    rules = broken(
+        (filled(F.col("c.id")), at(".id"), "id"),
+        (filled(F.col("c.query")), at(".query"), "query"),
+        (a_list(F.col("c.slices")), at(".slices"), "slices"),
+        (F.col("first").isNull() | (F.col("first") == F.col("k")), at(".id"), "duplicate id"),
+        (F.col("c.expectedIntent").isin(*INTENTS), at(".expectedIntent"), "intent"),
+        (a_list(F.col("c.relevanceRules")), at(".relevanceRules"), "relevance rules"),
+        (filled(F.col("c.idealRelevance")), at(".idealRelevance"), "ideal relevance"),
+        (~mission | (a_list(slots) & ~slots.rlike(r"^\[\s*\]$")), at(".mission.requiredSlots"), "required slots"),
+    )
+    return heads.unionByName(cases.select("file", F.explode(rules).alias("v")).select("file", "v.*"))

@@ -1,0 +1,114 @@
+"""Registered queries: image hashes, checks of benchmark files, SQL functions, the payload data source."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import sql_functions
+from ..operators import evaluation, images
+from ..session import shared_folder
+from ..sources import payload_source
+from ..tables import table
+from .catalog import query
+
+
+@query("""
+WITH p AS (
+  SELECT vec_id, 10 + vec_id % 4 AS w, 9 + vec_id % 3 AS h,
+    list_transform(range((10 + vec_id % 4) * (9 + vec_id % 3)), lambda j: ((CAST(floor(1000 * CAST(embedding[j * 7 % 64 + 1] AS DOUBLE)) AS BIGINT) + 13 * j) % 256 + 256) % 256) AS px
+  FROM embeddings),
+s AS (
+  SELECT vec_id, list_transform(range(72), lambda q: list_sum(list_transform(range(w * h), lambda j: px[j + 1]
+      * greatest(0, least((j % w + 1) * 9, (q % 9 + 1) * w) - greatest(j % w * 9, q % 9 * w))
+      * greatest(0, least((j // w + 1) * 8, (q // 9 + 1) * h) - greatest(j // w * 8, q // 9 * h))))) AS v
+  FROM p),
+b AS (SELECT vec_id, list_transform(range(64), lambda k: CAST(v[k // 8 * 9 + k % 8 + 1] < v[k // 8 * 9 + k % 8 + 2] AS INT)) AS bits FROM s)
+SELECT vec_id, array_to_string(list_transform(range(16), lambda g: substr('0123456789abcdef', 1 + 8 * bits[4 * g + 1] + 4 * bits[4 * g + 2] + 2 * bits[4 * g + 3] + bits[4 * g + 4], 1)), '') AS hash,
+  list_sum(bits) BETWEEN 4 AND 60 AS useful
+FROM b
+""")
+def image_dhash(spark, sf_dir):
+    """Difference hash of a grey image of several sizes for every vector."""
+    w, h = (10 + F.col("vec_id") % 4).cast("int"), (9 + F.col("vec_id") % 3).cast("int")
+    value = lambda j: F.pmod(F.floor(1000 * F.element_at("embedding", (j * 7 % 64 + 1).cast("int")).cast("double")) + 13 * j, F.lit(256))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", w.alias("w"), h.alias("h"), F.transform(F.sequence(F.lit(0), w * h - 1), value).alias("px"))
+    hashed = rows.select("vec_id", images.difference_hash(F.col("px"), F.col("w"), F.col("h")).alias("h"))
+    return hashed.select("vec_id", images.hex_hash(F.col("h")).alias("hash"), F.bit_count("h").between(4, 60).alias("useful"))
+
+
+#: What is wrong in a file of each kind: (path, rule).
+FAULTS = (
+    (),
+    (("$", "object"),),
+    (("$.version", "version"), ("$.cases", "cases")),
+    (("$.cases[1].id", "duplicate id"),),
+    (("$.cases[1].expectedIntent", "intent"), ("$.cases[1].slices", "slices")),
+    (("$.cases[1].mission.requiredSlots", "required slots"),),
+    (("$.cases[1].id", "id"), ("$.cases[1].query", "query"), ("$.cases[1].relevanceRules", "relevance rules"), ("$.cases[1].idealRelevance", "ideal relevance")),
+)
+
+
+@query(f"""
+WITH f(k, path, rule) AS (VALUES {", ".join(f"({k}, '{p}', '{r}')" for k, some in enumerate(FAULTS) for p, r in some)})
+SELECT item_id AS file, path, rule FROM benchmark JOIN f ON k = item_id % {len(FAULTS)}
+""")
+def benchmark_rules(spark, sf_dir):
+    """V5: files made of every benchmark item, one kind of fault after another, read back and checked."""
+    good = '{"id": "a", "query": %s, "slices": [], "expectedIntent": "product", "relevanceRules": [], "idealRelevance": {"x": 1}}'
+    second = (
+        '{"id": "b", "query": "q", "slices": ["s"], "expectedIntent": "mission", "relevanceRules": [], "idealRelevance": {"x": 1}, "mission": {"requiredSlots": ["s"]}}',
+        None,
+        None,
+        '{"id": "a", "query": "q", "slices": [], "expectedIntent": "product", "relevanceRules": [], "idealRelevance": {"x": 1}}',
+        '{"id": "b", "query": "q", "slices": "s", "expectedIntent": "buy", "relevanceRules": [], "idealRelevance": {"x": 1}}',
+        '{"id": "b", "query": "q", "slices": [], "expectedIntent": "mission", "relevanceRules": [], "idealRelevance": {"x": 1}, "mission": {"requiredSlots": []}}',
+        '{"id": "", "slices": [], "expectedIntent": "product", "relevanceRules": {}}',
+    )
+    k = F.col("item_id") % len(FAULTS)
+    text = F.to_json(F.struct(F.col("text").alias("t")))
+    quoted = F.expr("substring(j, 6, length(j) - 6)")
+    body = F.when(k == 1, F.concat(F.lit('{"version": 1, "cases": ['), quoted)).when(k == 2, F.concat(F.lit('{"version": "x", "cases": {"q": '), quoted, F.lit("}}")))
+    for i, other in enumerate(second):
+        if other:
+            head, tail = good.split("%s")
+            body = body.when(k == i, F.concat(F.lit('{"version": 2, "cases": [' + head), quoted, F.lit(tail + ", " + other + "]}")))
+    path = f"{shared_folder(spark)}/benchmarks-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "benchmark").withColumn("j", text).select("item_id", F.to_json(F.struct(body.alias("body"))).alias("value")).write.partitionBy("item_id").text(path)
+    files = spark.read.schema("value string, item_id long").text(path).select(F.col("item_id").alias("file"), F.get_json_object("value", "$.body").alias("body"))
+    return evaluation.benchmark_violations(files)
+
+
+@query("""
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="(/[^"]*)">[^<]*</a></li>', 1)) AS href, unnest(regexp_extract_all(html, '<li><a href="/[^"]*">([^<]*)</a></li>', 1)) AS title,
+    generate_subscripts(regexp_extract_all(html, '<li><a href="(/[^"]*)">[^<]*</a></li>', 1), 1) AS place FROM pages)
+SELECT page_id, place - 1 AS place, title, trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', ' ', 'g')) AS plain, 'example.net' AS host
+FROM l WHERE place <= 12 AND trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', ' ', 'g')) <> ''
+""")
+def sql_cards(spark, sf_dir):
+    """Cards of every page by SQL alone: the table function and scalar functions."""
+    sql_functions.register(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("captured_pages")
+    return spark.sql("""
+        SELECT page_id, c.place, c.title, normalized_text(c.title) AS plain, url_host(c.url) AS host
+        FROM captured_pages, LATERAL selector_cards(html, '{"baseUrl": "http://www.example.net", "card": "nav li", "title": "a", "link": "a"}') c
+        WHERE text_key(c.title) <> ''
+    """)
+
+
+@query("""
+SELECT 's' || (p_partkey % 6) AS source, CASE WHEN p_partkey % 10 <> 7 THEN 'P' || p_partkey END AS external_id, CASE WHEN p_partkey % 10 <> 7 THEN p_name END AS title,
+  CASE WHEN p_partkey % 10 NOT IN (3, 7) THEN CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) END AS price_minor, p_partkey % 10 = 7 AS broken
+FROM part WHERE p_partkey % 6 IN (1, 4)
+""")
+def payload_files(spark, sf_dir):
+    """G1: payload files of six sources, written and read by the data source; two sources by a filter that is pushed down."""
+    payload_source.register(spark)
+    path = f"{shared_folder(spark)}/payloads-{uuid.uuid4().hex}"
+    k = F.col("p_partkey") % 10
+    price = F.when(k == 3, None).otherwise(F.concat(F.lit("$"), F.format_number("p_retailprice", 2)))
+    body = F.when(k == 7, F.concat(F.lit("not a payload "), "p_name")).otherwise(F.to_json(F.struct(F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("title"), price.alias("price"))))
+    table(spark, sf_dir, "part").select(F.concat(F.lit("s"), F.col("p_partkey") % 6).alias("source"), body.alias("value")).write.partitionBy("source").text(path)
+    found = spark.read.format("payloads").option("path", path).load().where(F.col("source").isin("s1", "s4"))
+    return found.select("source", "external_id", "title", "price_minor", F.col("broken").isNotNull().alias("broken"))

@@ -10,7 +10,7 @@ from ..functions import lexicon as lx, scoring, text
 from ..operators import entity, gates, ranking, relational as rel
 from ..session import shared_folder
 from ..sources import payloads
-from ..streaming import flows
+from ..streaming import flows, snapshots
 from ..tables import minor, offers, table
 from . import search, spec
 from .catalog import EVENT_PRICE_SQL, cents_sql, norm_sql, query, quoted, tokens_sql
@@ -381,11 +381,43 @@ def stream_price_changes(spark, sf_dir):
     return flows.drained(flows.price_changes(flows.events(spark, sf_dir)), scratch(spark, "changes"))
 
 
-@query("""WITH m AS (SELECT *, sum(CAST(event_type <> 'error' AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events),
-r AS (SELECT event_id, user_id, CAST(sum(CAST(event_type = 'error' AS INT)) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS BIGINT) AS run FROM m) SELECT event_id, user_id, run, run >= 3 AS open FROM r""")
+@query("""
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id, ts, event_type <> 'error' AS ok, value, row_number() OVER w AS k, lag(ts) OVER w AS before, lead(ts) OVER w AS after
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, sum(CAST(ok OR before IS NULL OR epoch_ms(ts) - epoch_ms(before) > 86400000 AS INT)) OVER (PARTITION BY user_id ORDER BY k) AS island FROM e),
+r AS (SELECT *, CAST(sum(CAST(NOT ok AS INT)) OVER (PARTITION BY user_id, island ORDER BY k) AS BIGINT) AS run FROM i),
+m AS (
+  SELECT user_id, k, CAST(floor(value + 0.5) AS BIGINT) AS mean FROM r WHERE k = 1
+  UNION ALL
+  SELECT r.user_id, r.k, CASE WHEN epoch_ms(r.ts) - epoch_ms(r.before) > 86400000 THEN CAST(floor(r.value + 0.5) AS BIGINT) ELSE CAST(floor(0.8 * m.mean + 0.2 * r.value + 0.5) AS BIGINT) END
+  FROM m JOIN r ON r.user_id = m.user_id AND r.k = m.k + 1),
+s AS (SELECT *, lag(run) OVER (PARTITION BY user_id ORDER BY k) AS run_before FROM r JOIN m USING (user_id, k)),
+o AS (SELECT *, coalesce(run_before, 0) >= 2 AND epoch_ms(ts) - epoch_ms(before) < 14400000 AS was_open FROM s)
+SELECT user_id, date_trunc('milliseconds', ts) AS at, CASE WHEN run < 2 THEN 'closed' WHEN was_open THEN 'extended' ELSE 'opened' END AS kind, run, mean FROM o WHERE run >= 2 OR ok AND was_open
+UNION ALL
+SELECT user_id, date_trunc('milliseconds', ts) + INTERVAL 240 MINUTE, 'expired', run, mean FROM o, (SELECT max(ts) AS last FROM events)
+WHERE run >= 2 AND (epoch_ms(after) - epoch_ms(ts) >= 14400000 OR after IS NULL AND ts + INTERVAL 250 MINUTE <= last)
+""")
 def stream_breakers(spark, sf_dir):
-    """Circuit breakers with keyed state."""
-    return flows.drained(flows.breakers(flows.events(spark, sf_dir)), scratch(spark, "breakers")).select("event_id", "user_id", "run", "open")
+    """Circuit breakers with keyed state and timers: openings, closings by a success and by time, mean latency."""
+    with flows.stateful(spark):
+        found = flows.drained(flows.breaker_log(flows.events(spark, sf_dir), opens_at=2, minutes=240, idle_hours=24), scratch(spark, "breakers"))
+    return found.select("user_id", F.col("at").cast("timestamp_ntz").alias("at"), "kind", "run", "mean")
+
+
+@query("""
+WITH v AS (SELECT user_id, event_type, arg_max(struct_pack(event_id, value), struct_pack(ts, event_id)) AS last, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT user_id, event_type, last.event_id AS event_id, last.value AS value FROM v
+""")
+def stream_snapshot(spark, sf_dir):
+    """K1, T5: the last event of each user and type, kept by batches that come out of order and twice, in one bucketed snapshot."""
+    path = scratch(spark, "snapshot")
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", "value")
+    batches = [e.where(F.col("event_id") % 3 == k) for k in (2, 0, 1)]
+    for number, rows in [(0, batches[0]), (1, batches[1]), (1, batches[1]), (2, batches[2]), (2, batches[2])]:
+        snapshots.merge(rows, path, number, ["user_id", "event_type"], ["ts", "event_id"])
+    return snapshots.latest(spark, path).select("user_id", "event_type", "event_id", "value")
 
 
 # Gates around the search

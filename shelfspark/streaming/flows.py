@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import ship
 
+#: Files of a micro-batch.
+FILES_AT_ONCE = 64
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a file stream, its timestamps in UTC."""
     ship(spark)
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", FILES_AT_ONCE).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def hourly_min(stream: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -43,35 +48,97 @@ def price_changes(stream: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, price long", "price long", "append", GroupStateTimeout.NoTimeout)
 
 
-def breakers(stream: DataFrame, opens_at: int = 3, minutes: int = 5, keep: float = 0.8) -> DataFrame:
-    """(event_id, user_id, run, open, ewma) for each attempt: consecutive failures, whether the breaker is open after it, mean latency."""
+BREAKER_EVENTS = "user_id long, at timestamp, kind string, run long, mean long"
 
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, mean = state.get if state.exists else (0, None)
-        rows, out = pd.concat(list(pdfs)).sort_values(["ts", "event_id"]), []
-        for event_id, ok, value in zip(rows["event_id"], rows["ok"], rows["value"]):
-            run = 0 if ok else run + 1
-            mean = int(value + 0.5) if mean is None else int(keep * mean + (1 - keep) * value + 0.5)
-            out.append((event_id, key[0], run, run >= opens_at, mean))
-        state.update((run, mean))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "run", "open", "ewma"])
 
-    rows = stream.select("event_id", "user_id", "ts", (F.col("event_type") != "error").alias("ok"), "value")
-    return rows.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, run long, open boolean, ewma long", "run long, mean long", "append", GroupStateTimeout.NoTimeout)
+class Breaker(StatefulProcessor):
+    """A source's circuit breaker as keyed state with timers.
 
+    State: consecutive failures, mean latency, time of the last attempt and until when the breaker is open (milliseconds; 0: closed).
+    A timer closes it when the watermark has passed that time; another drops the state of a source that has been silent for long.
+    """
 
-def part(batch: DataFrame, path: str, number: int) -> None:
-    """Writes a micro-batch as its own part of a table; a batch that runs again replaces its part."""
-    batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    def __init__(self, opens_at: int, open_ms: int, idle_ms: int, keep: float):
+        self.opens_at, self.open_ms, self.idle_ms, self.keep = opens_at, open_ms, idle_ms, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("breaker", "run long, mean long, last long, until long")
+
+    def log(self, key, rows: list[tuple[int, str, int, int]]) -> pd.DataFrame:
+        at = pd.to_datetime([r[0] for r in rows], unit="ms", utc=True)
+        return pd.DataFrame({"user_id": [key[0]] * len(rows), "at": at, "kind": [r[1] for r in rows], "run": [r[2] for r in rows], "mean": [r[3] for r in rows]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        run, mean, last, until = self.state.get() if self.state.exists() else (0, None, None, 0)
+        # what a batch has of a source is put in time order; only four numbers of each attempt are kept
+        parts = [b[["at", "event_id", "ok", "value"]].to_numpy(float) for b in rows]
+        attempts = np.concatenate(parts)
+        attempts = attempts[np.lexsort((attempts[:, 1], attempts[:, 0]))]
+        out = []
+        for at, _, ok, value in attempts.tolist():
+            at = int(at)
+            if until and at >= until:
+                out.append((until, "expired", run, mean))
+                until = 0
+            if last is not None and at - last > self.idle_ms:
+                run, mean = 0, None
+            mean = int(value + 0.5) if mean is None else int(self.keep * mean + (1 - self.keep) * value + 0.5)
+            run, last = 0 if ok else run + 1, at
+            if ok and until:
+                out.append((at, "closed", run, mean))
+                until = 0
+            elif run >= self.opens_at:
+                out.append((at, "extended" if until else "opened", run, mean))
+                until = at + self.open_ms
+        self.state.update((run, mean, last, until))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if until:
+            self.handle.registerTimer(until)
+        self.handle.registerTimer(last + self.idle_ms)
+        if out:
+            yield self.log(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        run, mean, last, until = self.state.get() if self.state.exists() else (0, None, 0, 0)
+        if until and now >= until:
+            self.state.update((run, mean, last, 0))
+            yield self.log(key, [(until, "expired", run, mean)])
+        if now >= last + self.idle_ms:
+            self.state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def breaker_log(stream: DataFrame, opens_at: int = 3, minutes: int = 5, idle_hours: int = 6, keep: float = 0.8, late: str = "10 minutes") -> DataFrame:
+    """(user_id, at, kind, run, mean): when breakers open, stay open for longer, are closed by a success, or expire.
+
+    stream: events with ts, user_id, event_type and value (the latency). State lies in RocksDB (stateful()).
+    """
+    at = F.unix_millis("ts")
+    rows = stream.withWatermark("ts", late).select("user_id", "ts", at.alias("at"), "event_id", (F.col("event_type") != "error").alias("ok"), "value")
+    processor = Breaker(opens_at, minutes * 60_000, idle_hours * 3_600_000, keep)
+    return rows.groupBy("user_id").transformWithStateInPandas(processor, BREAKER_EVENTS, "append", "EventTime")
 
 
-def upsert_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str], at: str):
-    """Writes each micro-batch's last version of a key as a part of a table; latest() merges the parts."""
+@contextmanager
+def stateful(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which operators with timers need; the setting is put back after."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-    def write(batch: DataFrame, number: int) -> None:
-        part(batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), at).alias("row")).select("row.*"), path, number)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def part(batch: DataFrame, path: str, number: int) -> None:
+    """Writes a micro-batch as its own part of a table; a batch that runs again replaces its part."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
 
 def latest(spark: SparkSession, path: str, keys: list[str], *order: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from tests_data import SMALL, TABLES
 
-from shelfspark.plans import catalog, catalog_more, catalog_resolution, catalog_upkeep  # noqa: F401
+from shelfspark.plans import catalog, catalog_engine, catalog_more, catalog_resolution, catalog_upkeep  # noqa: F401
 
 
 @pytest.fixture(scope="module")
