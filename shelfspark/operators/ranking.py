@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -13,8 +14,8 @@ from ..functions import scoring, text
 from ..session import written
 from . import retrieval
 
-#: Rows of one query that one task diversifies; a query with more is diversified by a distributed choice for each place.
-POOL = 500
+#: Rows of one query, the best by base score, that one task diversifies first, and at most; how much more it takes each time.
+POOL, MOST, MORE = 500, 32_000, 4
 #: Identities of a product, the strongest first.
 NUMBERS = ("canonical", "gtin", "upc", "ean", "asin")
 SIGNALS = ("semantic", "lexical", "relevance", "quality")
@@ -95,9 +96,15 @@ def similarities(vectors: np.ndarray, known: np.ndarray, words: list[set], aspec
     return np.where(same, 1.0, np.clip(out, 0, 1))
 
 
-def mmr_order(pdf: pd.DataFrame, results: int, per_source: int, per_model: int) -> pd.DataFrame:
-    """Greedy maximal marginal relevance with aspect coverage and exposure caps, for one query's rows."""
+def mmr_order(pdf: pd.DataFrame, results: int, per_source: int, per_model: int, shown: int | None = None) -> pd.DataFrame:
+    """Greedy maximal marginal relevance with aspect coverage and exposure caps, for one query's rows.
+
+    With shown, the rows after the first `shown` by base score stand for those that aren't here: a pick is safe if it is within the
+    caps and no row of their best base score could be worth more, however new it were.
+    """
     pdf = pdf.sort_values(["base", "key"], ascending=[False, True]).reset_index(drop=True)
+    beyond = float(pdf["base"].iloc[shown]) if shown is not None and len(pdf) > shown else None
+    pdf = pdf if beyond is None else pdf.iloc[:shown]
     n, lam = len(pdf), float(pdf["lam"].iloc[0])
     lists = [np.asarray(v, float) if v is not None else np.empty(0) for v in pdf["embedding"]]
     width = max((len(v) for v in lists), default=0)
@@ -130,6 +137,10 @@ def mmr_order(pdf: pd.DataFrame, results: int, per_source: int, per_model: int)
     out = pdf.iloc[[p[0] for p in picks]][["query_id", "key", "id", "base"]].copy()
     out["final"], out["relaxed"] = [float(p[1]) for p in picks], [bool(p[2]) for p in picks]
     out["position"] = np.arange(1, len(out) + 1)
+    if shown is not None:
+        most = None if beyond is None else min(1.0, lam * beyond + 1 - lam)
+        enough = beyond is None or len(picks) >= results
+        out["safe"] = [enough and (most is None or not relaxed and final >= most) for _, final, relaxed in picks]
     return out
 
 
@@ -167,13 +178,40 @@ def by_places(rows: DataFrame, results: int, per_source: int, per_model: int) ->
     return spark.createDataFrame(picks, schema).select(*PICKED)
 
 
+def _one_argument(order):
+    """A function of a group's rows alone, as Spark tells by the number of parameters."""
+    return lambda pdf: order(pdf)
+
+
+def by_bound(rows: DataFrame, results: int, per_source: int, per_model: int, pool: int, schema: str) -> DataFrame:
+    """mmr_order for queries with many rows: over the best by base score, as many as the picks' worth shows to be enough.
+
+    What isn't looked at could be worth lam * base + 1 - lam at most. Queries with a pick below that, or out of the caps, are
+    worked out again over MORE times the rows; those that would need over MOST go place after place over all their rows.
+    """
+    place, out, size = Window.partitionBy("query_id").orderBy(F.desc("base"), "key"), None, pool
+    while True:
+        near = rows.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= size + 1).drop("_r")
+        order = partial(mmr_order, results=results, per_source=per_source, per_model=per_model, shown=size)
+        found = written(near.groupBy("query_id").applyInPandas(_one_argument(order), f"{schema}, safe boolean"), "picks")
+        unsafe = found.where("not safe").select("query_id").distinct()
+        left = [r.query_id for r in unsafe.collect()]  # some of a block's queries
+        good = found.drop("safe") if not left else found.join(F.broadcast(unsafe), "query_id", "left_anti").drop("safe")
+        out = good if out is None else out.unionByName(good)
+        if not left:
+            return out
+        rows, size = rows.where(F.col("query_id").isin(left)), size * MORE
+        if size > MOST:
+            return out.unionByName(by_places(rows, results, per_source, per_model))
+
+
 def diversify(df: DataFrame, lam: float | None = None, results: int = 24, per_source: int | None = None, per_model: int = 1, pool: int = POOL) -> DataFrame:
     """(query_id, key, id, base, final, relaxed, position) over rows (query_id, key, id, base, words, aspects, embedding, source, model).
 
     Each pick maximises relevance, novelty against the picks before it and aspects not yet covered; sources and models
     have caps that give way only when nothing else is left. lam is the share of relevance, or else the column `lam`. All
-    rows compete: those of a query with up to `pool` rows in one task, those of larger ones by a distributed maximum for
-    each place. Missing vectors, words and aspects are allowed.
+    rows compete: those of a query with up to `pool` rows in one task, of larger ones those that a bound doesn't rule out.
+    Missing vectors, words and aspects are allowed.
     """
     cap = per_source if per_source is not None else max(2, math.ceil(results * 0.4))
     lam_column = F.col("lam") if lam is None else F.lit(lam)
@@ -184,7 +222,7 @@ def diversify(df: DataFrame, lam: float | None = None, results: int = 24, per_so
     schema = f"query_id {kinds['query_id']}, key string, id {kinds['id']}, base double, final double, relaxed boolean, position long"
     near = rows if not large else rows.where(~F.col("query_id").isin(large))
     out = near.groupBy("query_id").applyInPandas(lambda pdf: mmr_order(pdf, results, cap, per_model), schema)
-    return out if not large else out.unionByName(by_places(rows.where(F.col("query_id").isin(large)), results, cap, per_model))
+    return out if not large else out.unionByName(by_bound(rows.where(F.col("query_id").isin(large)), results, cap, per_model, pool, schema))
 
 
 def ranked(rows: DataFrame, results: int, per_source: int | None = None, per_model: int = 1, pool: int = POOL) -> DataFrame:

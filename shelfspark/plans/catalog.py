@@ -699,7 +699,31 @@ def image_hash(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.bit_count(h).cast("long").alias("bits"), scoring.useful_hash(h).alias("useful"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+r AS (
+  SELECT label, id, 1.0::DOUBLE - (id * 37 % 101) / 150.0 AS base, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v,
+    id % 7 AS aspect, id % 11 AS w, id % 3 AS x, id % 5 AS source, id % 50 AS model FROM e),
+go AS (
+  SELECT label, 0 AS position, [] :: STRUCT(id BIGINT, v DOUBLE[], aspect BIGINT, w BIGINT, x BIGINT, source BIGINT, model BIGINT)[] AS picks,
+    NULL::BIGINT AS id, NULL::DOUBLE AS base, NULL::DOUBLE AS final, NULL::BOOLEAN AS relaxed FROM r GROUP BY label
+  UNION ALL
+  SELECT label, position + 1, list_append(picks, {'id': b.id, 'v': b.v, 'aspect': b.aspect, 'w': b.w, 'x': b.x, 'source': b.source, 'model': b.model}), b.id, b.base, b.final, b.relaxed
+  FROM (
+    SELECT label, position, any_value(picks) AS picks, min_by(s, (s.relaxed, -s.final, -s.base, s.id)) AS b
+    FROM (
+      SELECT g.label, g.position, g.picks, {'id': r.id, 'v': r.v, 'aspect': r.aspect, 'w': r.w, 'x': r.x, 'source': r.source, 'model': r.model, 'base': r.base,
+        'relaxed': len(list_filter(g.picks, lambda p: p.source = r.source)) >= 10 OR len(list_filter(g.picks, lambda p: p.model = r.model)) >= 1,
+        'final': least(1.0, greatest(0.0, 0.7 * r.base + 0.3 * (
+          0.6 * (1 - coalesce(list_max(list_transform(g.picks, lambda p: CASE WHEN p.model = r.model THEN 1.0::DOUBLE ELSE
+            0.65 * least(1.0, greatest(0.0, list_dot_product(p.v, r.v)))
+            + 0.25 * CASE WHEN p.w = r.w AND p.x = r.x THEN 1.0 WHEN p.w = r.w OR p.x = r.x THEN 1.0 / 3 ELSE 0 END
+            + 0.1 * CASE WHEN p.aspect = r.aspect THEN 1.0 ELSE 0 END END)), 0.0))
+          + 0.4 / (1 + len(list_filter(g.picks, lambda p: p.aspect = r.aspect))))))} AS s
+      FROM go g JOIN r USING (label) WHERE g.position < 24 AND NOT list_contains(list_transform(g.picks, lambda p: p.id), r.id))
+    GROUP BY label, position))
+SELECT label AS query_id, id, base, round(final, 9) AS final, relaxed, CAST(position AS BIGINT) AS position FROM go WHERE position > 0
+""")
 def mmr_diversify(spark, sf_dir):
     """Diversified order of each label's vectors."""
     v = table(spark, sf_dir, "embeddings")
@@ -715,7 +739,7 @@ def mmr_diversify(spark, sf_dir):
         tag("s", 5).alias("source"),
         tag("m", 50).alias("model"),
     )
-    return ranking.diversify(rows, 0.7).select("query_id", "id", "base", "final", "relaxed", "position")
+    return ranking.diversify(rows, 0.7).select("query_id", "id", "base", F.round("final", 9).alias("final"), "relaxed", "position")
 
 
 ENTITY_SQL = f"""c AS (SELECT p_brand AS query_id, p_partkey AS id, 's' || CAST(p_partkey % 7 AS VARCHAR) AS source, CASE WHEN p_partkey % 3 = 0 THEN 'gtin:' || replace({norm_sql('p_type')}, ' ', '') || CAST(p_size AS VARCHAR) WHEN p_partkey % 3 = 1 THEN 'model:' || {norm_sql('p_brand')} || ':' || {norm_sql('p_type')} ELSE 'canonical:' || replace({norm_sql('p_name')}, ' ', '') END AS key,

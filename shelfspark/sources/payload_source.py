@@ -2,8 +2,8 @@
 
 A folder holds `source=<name>` folders of files with one JSON payload a line. Every file is a partition of its own, read by an
 executor through Arrow's file systems; a filter on `source` is pushed down, so files of other sources aren't opened. A line that
-is no payload stays as a row with its text in `broken`. As a stream, each batch has the files that came since the last one, in
-the order of their names, so names have to grow.
+is no payload stays as a row with its text in `broken`. As a stream, each batch has the files that came since the last one, by
+the time they were written and then by name; files have to be put there whole.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ SCHEMA = "source string, external_id string, title string, url string, price_min
 class PayloadFile(InputPartition):
     path: str
     source: str
+    written: int
+
+    def place(self) -> list:
+        return [self.written, self.path]
 
 
 def listed(folder: str) -> list[PayloadFile]:
@@ -32,8 +36,8 @@ def listed(folder: str) -> list[PayloadFile]:
         parts = info.path.split("/")
         source = next((p.partition("=")[2] for p in reversed(parts[:-1]) if p.startswith("source=")), None)
         if info.type == fs.FileType.File and source is not None and not parts[-1].startswith(("_", ".")):
-            out.append(PayloadFile(info.path, source))
-    return sorted(out, key=lambda f: f.path)
+            out.append(PayloadFile(info.path, source, info.mtime_ns or 0))
+    return sorted(out, key=PayloadFile.place)
 
 
 def parsed(line: str, source: str) -> tuple:
@@ -80,20 +84,19 @@ class PayloadReader(DataSourceReader):
 
 
 class PayloadStreamReader(DataSourceStreamReader):
-    """Offsets are the name of the last file read."""
+    """Offsets are the time and name of the last file read."""
 
     def __init__(self, folder: str):
         self.folder = folder
 
     def initialOffset(self) -> dict:
-        return {"after": ""}
+        return {"after": [0, ""]}
 
     def latestOffset(self) -> dict:
-        files = listed(self.folder)
-        return {"after": max((f.path for f in files), default="")}
+        return {"after": max((f.place() for f in listed(self.folder)), default=[0, ""])}
 
     def partitions(self, start: dict, end: dict) -> Sequence[PayloadFile]:
-        return [f for f in listed(self.folder) if start["after"] < f.path <= end["after"]]
+        return [f for f in listed(self.folder) if start["after"] < f.place() <= end["after"]]
 
     def read(self, partition: PayloadFile) -> Iterator[tuple]:
         if partition is not None:

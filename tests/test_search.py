@@ -197,7 +197,7 @@ def brute_mmr(rows, lam, results, per_source, per_model):
     return [p["id"] for p in picks]
 
 
-def test_diversified_order_against_brute_force(spark):
+def test_diversified_order_against_brute_force(spark, monkeypatch):
     r = np.random.default_rng(4)
     rows = [{
         "query_id": q,
@@ -213,7 +213,8 @@ def test_diversified_order_against_brute_force(spark):
     } for q in (1, 2) for i in range(30 + 10 * q)]
     df = spark.createDataFrame(rows, "query_id long, id long, key string, base double, words array<string>, aspects array<string>, embedding array<double>, source string, model string, lam double")
     want = {q: brute_mmr([x for x in rows if x["query_id"] == q], 0.6 + q / 10, 9, 3, 1) for q in (1, 2)}
-    for pool in (500, 45, 10):  # all in tasks; one query of each kind; all by distributed places
+    for pool, most in ((500, 500), (45, 500), (10, 500), (10, 20)):  # in one task; one query of each kind; by the bound; by places where the bound doesn't help
+        monkeypatch.setattr(ranking, "MOST", most)
         got = ranking.diversify(df, None, 9, 3, 1, pool).orderBy("position").collect()
         assert {q: [x.id for x in got if x.query_id == q] for q in (1, 2)} == want
     gated = ranking.gated(df, F.lit(0.8), 0.5)
