@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import sql_functions
-from ..operators import evaluation, images
+from ..operators import evaluation, images, lookup
 from ..session import shared_folder
 from ..sources import payload_source
-from ..tables import table
+from ..tables import OFFERS_SQL, minor, offers, table
 from .catalog import query
 
 
@@ -112,3 +112,49 @@ def payload_files(spark, sf_dir):
     table(spark, sf_dir, "part").select(F.concat(F.lit("s"), F.col("p_partkey") % 6).alias("source"), body.alias("value")).write.partitionBy("source").text(path)
     found = spark.read.format("payloads").option("path", path).load().where(F.col("source").isin("s1", "s4"))
     return found.select("source", "external_id", "title", "price_minor", F.col("broken").isNotNull().alias("broken"))
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey AS page_id, p_name, 'shop' || (p_partkey % 5) || '.example' AS host, CASE WHEN p_partkey % 9 > 0 THEN CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) END AS price, CASE WHEN p_partkey % 4 = 0 THEN 'EUR' ELSE 'USD' END AS currency FROM part),
+o AS (
+  SELECT product_id AS page_id, external_id AS id, l_orderkey, price_minor, CASE WHEN source_id % 3 = 0 THEN 'EUR' WHEN source_id % 7 = 0 THEN 'CHF' ELSE 'USD' END AS currency, 'store ' || (source_id % 6) AS store,
+    CASE WHEN source_id % 2 = 0 THEN 'www.' ELSE 'm.' END || 'shop' || (source_id % 5) || '.example' AS host, (l_orderkey * 37 + l_linenumber * 13 + product_id % 3 * 40) % 80 / 100.0 - 0.05 * (product_id % 3) AS score, l_returnflag
+  FROM {OFFERS_SQL}),
+k AS (
+  SELECT o.*, p.p_name || ' ' || l_returnflag AS title, floor(score / 0.05) AS band FROM o JOIN p USING (page_id)
+  WHERE score >= 0.35 AND price_minor > 0 AND regexp_replace(o.host, '^www[.]', '') <> p.host AND NOT regexp_replace(o.host, '^www[.]', '') LIKE '%.' || p.host),
+s AS (SELECT page_id, count(DISTINCT store) AS stores FROM k GROUP BY 1),
+u AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY page_id, store, lower(title[:40]) ORDER BY band DESC, price_minor, id) = 1),
+a AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY band DESC, price_minor, id) AS rank FROM u QUALIFY rank <= 8),
+f AS (SELECT a.*, p.currency AS own, max(a.currency = p.currency) OVER (PARTITION BY page_id) AS same FROM a JOIN p USING (page_id)),
+c AS (SELECT * FROM f WHERE score >= 0.5 AND (NOT same OR currency = own) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY price_minor, rank) = 1),
+n AS (SELECT page_id, count(*) AS alternatives FROM a GROUP BY 1),
+r AS (
+  SELECT p.page_id, coalesce(alternatives, 0) AS alternatives, coalesce(stores, 0) AS stores, c.id AS cheapest_id, c.price_minor AS cheapest_minor, c.store, c.currency AS of,
+    CASE WHEN c.currency = p.currency AND c.price_minor < p.price THEN p.price - c.price_minor END AS savings_minor, p.currency
+  FROM p LEFT JOIN n USING (page_id) LEFT JOIN s USING (page_id) LEFT JOIN c USING (page_id)),
+w AS (SELECT *, coalesce(savings_minor, cheapest_minor) AS shown, CASE WHEN savings_minor > 0 THEN currency ELSE of END AS code FROM r)
+SELECT page_id, alternatives, stores, cheapest_id, cheapest_minor, store, savings_minor,
+  CASE WHEN cheapest_id IS NULL THEN CASE WHEN stores = 0 THEN 'No other stores found this' ELSE 'Compared across stores — no clear cheaper option' END
+  ELSE CASE WHEN savings_minor > 0 THEN 'Save ' ELSE 'From ' END || CASE code WHEN 'USD' THEN '$' || format('{{:,}}', shown // 100) WHEN 'EUR' THEN '€' || format('{{:,}}', shown // 100) ELSE CAST(shown // 100 AS VARCHAR) END
+    || '.' || lpad(CAST(shown % 100 AS VARCHAR), 2, '0') || CASE WHEN code = 'CHF' THEN ' CHF' ELSE '' END || ' at ' || store END AS headline
+FROM w
+""")
+def page_lookup(spark, sf_dir):
+    """Cheaper offers for the page of every part: cut-offs, host rule, currencies, and the four headlines."""
+    k, s = F.col("p_partkey"), F.col("source_id")
+    pages = table(spark, sf_dir, "part").select(
+        k.alias("page_id"), "p_name", F.concat(F.lit("shop"), k % 5, F.lit(".example")).alias("host"), F.when(k % 9 > 0, minor("p_retailprice")).alias("price_minor"), F.when(k % 4 == 0, "EUR").otherwise("USD").alias("currency")
+    )
+    score = ((F.col("l_orderkey") * 37 + F.col("l_linenumber") * 13 + F.col("product_id") % 3 * 40) % 80 / 100.0) - 0.05 * (F.col("product_id") % 3)
+    rows = offers(spark, sf_dir).join(pages.select(F.col("page_id").alias("product_id"), "p_name"), "product_id").select(
+        F.col("product_id").alias("page_id"),
+        F.col("external_id").alias("id"),
+        F.concat_ws(" ", "p_name", "l_returnflag").alias("title"),
+        "price_minor",
+        F.when(s % 3 == 0, "EUR").when(s % 7 == 0, "CHF").otherwise("USD").alias("currency"),
+        F.concat(F.lit("store "), s % 6).alias("store"),
+        F.concat(F.lit("https://"), F.when(s % 2 == 0, "www.").otherwise("m."), F.lit("shop"), s % 5, F.lit(".example/p")).alias("url"),
+        score.alias("score"),
+    )
+    return lookup.lookup(pages.drop("p_name"), rows)
