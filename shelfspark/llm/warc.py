@@ -136,10 +136,10 @@ def write(pages: DataFrame, folder: str, smallest: int = 0, file_bytes: int = FI
 
 
 class Range:
-    """Bytes of a file from a place on, read as they are needed."""
+    """Bytes of a file from a place on, read as they are needed, in one buffer that grows at its end."""
 
     def __init__(self, file, start: int):
-        self.file, self.start, self.data, self.ended = file, start, b"", False
+        self.file, self.start, self.data, self.ended = file, start, bytearray(), False
         file.seek(start)
 
     def need(self, at: int, n: int) -> bool:
@@ -164,7 +164,8 @@ class Range:
         return -1
 
     def drop(self, at: int) -> None:
-        self.data, self.start = self.data[at - self.start :], at
+        del self.data[: at - self.start]
+        self.start = at
 
     def read(self, at: int) -> tuple[bytes, int] | None:
         """The content and the end of the WARC member at a place, or None if there is none."""
