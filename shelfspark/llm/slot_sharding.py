@@ -16,7 +16,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import materialize
+from .common import materialize, shared_path
 
 SLOTS, SPLIT_SHARE, PART_ROWS = 4096, 4, 1_000_000
 MAP_SCHEMA = "version int, slot int, part int, parts int, shard int, bytes long, rows long, offset long"
@@ -113,7 +113,7 @@ def write_map(spark: SparkSession, parts: list[Part], path: str) -> None:
 
 def read_map(spark: SparkSession, path: str, version: int | None = None) -> list[Part]:
     """A version of the map, the last if none is named."""
-    table = spark.read.parquet(path)
+    table = spark.read.schema(MAP_SCHEMA).parquet(path)
     if version is None:
         version = table.agg(F.max("version")).first()[0]
     names = [f.split()[0] for f in MAP_SCHEMA.split(", ")]
@@ -140,15 +140,20 @@ def assigned(rows: DataFrame, parts: list[Part]) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot), one row per document.
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, next_shard), one row per document.
 
-    The law is `bytes`: shards' sizes are nearly equal. grown_shard is null: growing edits the map (grown()), and which
-    slots move depends on their sizes. Null and empty texts are equal and have size one; repeated rows are rows of their
+    The law is `bytes`: shards' sizes are nearly equal. The map is stored in the shared folder and read from there: version 1
+    places the rows, version 2 is its edit for one more shard, which next_shard has. grown_shard is null: which slots move
+    depends on their sizes. Null and empty texts are equal and have size one; repeated rows are rows of their
     own; an empty table gives no rows; a shard may be empty if there are fewer slots in use than shards.
     """
-    rows = records(docs, n_slots, id_col, text_col)
-    out = assigned(rows, build_map(rows, n_shards, n_slots))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    spark, rows = docs.sparkSession, records(docs, n_slots, id_col, text_col)
+    path = shared_path(spark, "slot-map")
+    write_map(spark, build_map(rows, n_shards, n_slots), path)
+    write_map(spark, grown(read_map(spark, path, 1)), path)
+    later = map_frame(spark, read_map(spark, path)).select(F.col("slot").alias("virtual_slot"), "part", F.col("shard").alias("next_shard"))
+    out = assigned(rows, read_map(spark, path, 1)).join(F.broadcast(later), ["virtual_slot", "part"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard")
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
