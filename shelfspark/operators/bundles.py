@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Candidates of a slot that enter combinations: bounds them to PER_SLOT ** slots for each mission.
 PER_SLOT = 8
@@ -54,3 +54,14 @@ def enforce_bounds(plan: DataFrame) -> DataFrame:
     """Slots with their effective maximum: a budget over alternatives bounds each, over a bundle only its total."""
     alternatives = F.col("composition") == "alternatives"
     return plan.withColumn("slot_max", F.when(alternatives, F.least("query_max", "budget_max")).otherwise(F.col("query_max"))).withColumn("total_max", F.when(~alternatives, F.col("budget_max")))
+
+
+def slot_candidates(found: DataFrame, slots: DataFrame, order: list[Column], most: int = 8) -> DataFrame:
+    """The first `most` offers of each slot: found (mission_id, slot, price_minor, currency, ...) with known prices, in dollars where the slot has a bound.
+
+    slots: mission_id, slot, min_price, max_price (minor units, null without a bound). An offer without a currency is in dollars.
+    """
+    bound = F.col("min_price").isNotNull() | F.col("max_price").isNotNull()
+    kept = found.join(slots.select("mission_id", "slot", bound.alias("_bound")), ["mission_id", "slot"]).where((F.col("price_minor") > 0) & (~F.col("_bound") | F.coalesce(F.col("currency") == "USD", F.lit(False)))).drop("_bound")
+    place = F.row_number().over(Window.partitionBy("mission_id", "slot").orderBy(*order))
+    return kept.withColumn("rank", place).where(F.col("rank") <= most).withColumn("currency", F.coalesce("currency", F.lit("USD")))

@@ -131,3 +131,32 @@ def details_with_ocr(details: Column, ocr: Column) -> Column:
     """The parts that aren't empty, a line each; null if none is left."""
     parts = F.array_compact(F.array(F.nullif(F.trim(details), F.lit("")), F.nullif(F.trim(ocr), F.lit(""))))
     return F.nullif(F.array_join(parts, "\n"), F.lit(""))
+
+
+def requested_sources(requests: DataFrame, sources: DataFrame, key: str, asked: str = "asked") -> DataFrame:
+    """(request_id, key): the sources of each request (request_id, asked): those of its comma list that are known, all of them without a list (null)."""
+    known = sources.select(F.col(key).cast("string").alias("_name"), key)
+    named = requests.where(F.col(asked).isNotNull()).select("request_id", F.explode(F.array_distinct(F.split(asked, ","))).alias("_name")).join(known, "_name")
+    every = requests.where(F.col(asked).isNull()).select("request_id").join(sources.select(key))
+    return named.select("request_id", key).unionByName(every)
+
+
+#: Characters of a preview's title, store and price text; rows of a search's and of a mission's preview.
+TITLE_CUT, STORE_CUT, PRICE_CUT, SEARCH_ROWS, MISSION_ROWS = 300, 100, 40, 6, 5
+NO_PRICE = "Price unavailable"
+
+
+def previews(results: DataFrame, key: str, order: list[Column], mission: Column) -> DataFrame:
+    """results (key, title, store, url, price, price_minor, currency, image_url) as previews: key, rank, title, store, url, price, image_url.
+
+    Rows without a title, a store or a safe address go; the price is the row's own text, else its amount, else NO_PRICE; an
+    unsafe image is left out; the first SEARCH_ROWS of a key stay, MISSION_ROWS where `mission` holds.
+    """
+    from . import lookup
+
+    cut = lambda c, n: F.nullif(F.substring(F.trim(c), 1, n), F.lit(""))
+    shown = results.withColumns({"title": cut("title", TITLE_CUT), "store": cut("store", STORE_CUT)}).where(F.col("title").isNotNull() & F.col("store").isNotNull() & text.safe_url(F.col("url")))
+    made = F.when(F.col("price_minor").isNotNull() & F.col("currency").isNotNull(), lookup.amount(F.col("price_minor"), F.col("currency")))
+    shown = shown.withColumns({"price": F.coalesce(cut("price", PRICE_CUT), made, F.lit(NO_PRICE)), "image_url": F.when(text.safe_url(F.col("image_url")), F.col("image_url"))})
+    ranked = shown.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return ranked.where(F.col("rank") <= F.when(mission, MISSION_ROWS).otherwise(SEARCH_ROWS)).select(key, "rank", "title", "store", "url", "price", "image_url")

@@ -245,3 +245,10 @@ def safe_spec(spec: DataFrame) -> DataFrame:
         given("max_price").alias("has_max_price"),
         F.col("spec_confidence").alias("confidence"),
     )
+
+
+def gathered(rows: DataFrame, topic: str, source: str, order: Sequence[Column], per_source: int = 10, overall: int = 24) -> DataFrame:
+    """The first rows of each topic: at most per_source of a source, then overall, in the same order. Failed rows (ok false) don't count."""
+    kept = rows.where(F.coalesce("ok", F.lit(True))) if "ok" in rows.columns else rows
+    near = kept.withColumn("_p", F.row_number().over(Window.partitionBy(topic, source).orderBy(*order))).where(F.col("_p") <= per_source).drop("_p")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy(topic).orderBy(*order))).where(F.col("rank") <= overall)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import sql_functions
-from ..operators import evaluation, images, lookup
+from ..operators import bundles, evaluation, gates, images, lookup, relational
 from ..session import shared_folder
 from ..sources import payload_source
 from ..tables import OFFERS_SQL, minor, offers, table
@@ -158,3 +158,72 @@ def page_lookup(spark, sf_dir):
         score.alias("score"),
     )
     return lookup.lookup(pages.drop("p_name"), rows)
+
+
+@query("""
+WITH r AS (SELECT p_partkey AS request_id, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE (p_partkey % 25) || ',x,' || (p_partkey % 7 + 100) || ',' || (p_partkey % 3) END AS asked FROM part),
+n AS (SELECT DISTINCT request_id, unnest(string_split(asked, ',')) AS name FROM r WHERE asked IS NOT NULL)
+SELECT request_id, n_nationkey FROM n JOIN nation ON CAST(n_nationkey AS VARCHAR) = name
+UNION ALL SELECT request_id, n_nationkey FROM r, nation WHERE asked IS NULL
+""")
+def request_sources(spark, sf_dir):
+    """Known sources of every request's list, all without one."""
+    k = F.col("p_partkey")
+    asked = F.when(k % 4 != 0, F.concat_ws(",", k % 25, F.lit("x"), k % 7 + 100, k % 3))
+    return gates.requested_sources(table(spark, sf_dir, "part").select(k.alias("request_id"), asked.alias("asked")), table(spark, sf_dir, "nation"), "n_nationkey")
+
+
+@query("""
+WITH t AS (SELECT conv_id % 9 AS topic, conv_id, turn, length(text) % 5 > 0 AS ok FROM conversations),
+p AS (SELECT * FROM t WHERE ok QUALIFY row_number() OVER (PARTITION BY topic, conv_id ORDER BY turn, conv_id) <= 10)
+SELECT topic, conv_id, turn, row_number() OVER (PARTITION BY topic ORDER BY turn, conv_id) AS rank FROM p QUALIFY rank <= 24
+""")
+def discussion_topics(spark, sf_dir):
+    """Snippets of each topic, ten of a discussion and 24 altogether; what failed doesn't count."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 9).alias("topic"), "conv_id", "turn", (F.length("text") % 5 > 0).alias("ok"))
+    found = relational.gathered(rows, "topic", "conv_id", [F.asc("turn"), F.asc("conv_id")])
+    return found.select("topic", "conv_id", "turn", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""
+WITH f AS (SELECT product_id AS mission_id, l_linenumber % 3 AS slot, external_id AS id, CASE WHEN source_id % 5 = 0 THEN 0 ELSE price_minor END AS price_minor, CASE source_id % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN NULL ELSE 'USD' END AS currency FROM {OFFERS_SQL})
+SELECT mission_id, slot, id, price_minor, coalesce(currency, 'USD') AS currency, row_number() OVER (PARTITION BY mission_id, slot ORDER BY price_minor, id) AS rank
+FROM f WHERE price_minor > 0 AND (mission_id % 2 = 0 AND slot <> 1 OR currency = 'USD') QUALIFY rank <= 8
+""")
+def slot_candidates(spark, sf_dir):
+    """Offers of each mission's slots, eight at most; in dollars where the slot has a bound."""
+    o = offers(spark, sf_dir)
+    s = F.col("source_id")
+    found = o.select(F.col("product_id").alias("mission_id"), (F.col("l_linenumber") % 3).alias("slot"), F.col("external_id").alias("id"), F.when(s % 5 == 0, 0).otherwise(F.col("price_minor")).alias("price_minor"), F.when(s % 4 == 0, "EUR").when(s % 4 != 1, "USD").alias("currency"))
+    slots = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mission_id"), F.explode(F.array(*map(F.lit, range(3)))).alias("slot"))
+    slots = slots.withColumns({"min_price": F.when(F.col("mission_id") % 2 == 1, 100), "max_price": F.when(F.col("slot") == 1, 5000)})
+    chosen = bundles.slot_candidates(found, slots, [F.asc("price_minor"), F.asc("id")])
+    return chosen.select("mission_id", "slot", "id", "price_minor", "currency", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+WITH r AS (
+  SELECT p_brand, p_partkey, p_brand LIKE '%1' AS mission, CASE WHEN p_partkey % 13 = 0 THEN '  ' ELSE p_name END AS title, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE p_type END AS store,
+    CASE p_partkey % 6 WHEN 0 THEN 'javascript:x' WHEN 1 THEN 'http://10.0.0.1/p' WHEN 2 THEN 'https://u:p@shop.example/p' ELSE 'https://shop.example/p' || p_partkey END AS url,
+    CASE p_partkey % 3 WHEN 0 THEN 'from $5' WHEN 1 THEN NULL ELSE '' END AS price, CASE WHEN p_partkey % 4 > 0 THEN p_size * 12345 END AS price_minor, CASE p_partkey % 5 WHEN 0 THEN 'EUR' WHEN 1 THEN NULL WHEN 2 THEN 'CHF' ELSE 'USD' END AS currency,
+    CASE WHEN p_partkey % 7 = 0 THEN 'http://localhost/i' ELSE 'https://img.example/' || p_partkey END AS image_url
+  FROM part),
+s AS (
+  SELECT p_brand, p_partkey, mission, title, store, url, CASE WHEN image_url LIKE 'https%' THEN image_url END AS image_url,
+    CASE WHEN price <> '' THEN price WHEN price_minor IS NOT NULL AND currency IS NOT NULL THEN
+      CASE currency WHEN 'USD' THEN '$' WHEN 'EUR' THEN '€' ELSE '' END || CASE WHEN currency = 'CHF' THEN CAST(price_minor // 100 AS VARCHAR) ELSE format('{:,}', price_minor // 100) END || '.' || lpad(CAST(price_minor % 100 AS VARCHAR), 2, '0')
+      || CASE WHEN currency = 'CHF' THEN ' CHF' ELSE '' END ELSE 'Price unavailable' END AS price
+  FROM r WHERE trim(title) <> '' AND store IS NOT NULL AND url LIKE 'https://shop.%')
+SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rank, title, store, url, price, image_url FROM s QUALIFY rank <= CASE WHEN mission THEN 5 ELSE 6 END
+""")
+def result_previews(spark, sf_dir):
+    """Previews of results: safe addresses only, price texts, six of a search and five of a mission."""
+    k = F.col("p_partkey")
+    url = F.when(k % 6 == 0, "javascript:x").when(k % 6 == 1, "http://10.0.0.1/p").when(k % 6 == 2, "https://u:p@shop.example/p").otherwise(F.concat(F.lit("https://shop.example/p"), k))
+    rows = table(spark, sf_dir, "part").select(
+        "p_brand", "p_partkey", F.when(k % 13 == 0, "  ").otherwise(F.col("p_name")).alias("title"), F.when(k % 17 != 0, F.col("p_type")).alias("store"), url.alias("url"),
+        F.when(k % 3 == 0, "from $5").when(k % 3 == 2, "").alias("price"), F.when(k % 4 > 0, F.col("p_size") * 12345).alias("price_minor"),
+        F.when(k % 5 == 0, "EUR").when(k % 5 == 2, "CHF").when(k % 5 > 2, "USD").alias("currency"), F.when(k % 7 == 0, "http://localhost/i").otherwise(F.concat(F.lit("https://img.example/"), k)).alias("image_url"),
+    )
+    found = gates.previews(rows, "p_brand", [F.asc("p_partkey")], F.col("p_brand").endswith("1"))
+    return found.withColumn("rank", F.col("rank").cast("long"))

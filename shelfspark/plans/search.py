@@ -65,7 +65,7 @@ def bm25_within(df: DataFrame, query: Column, k1: float = retrieval.K1, b: float
 def search(listings: DataFrame, queries: DataFrame, rerank: Callable[[DataFrame], DataFrame] | None = None, results: int = RESULTS, sources: int = 0, native: DataFrame | None = None, cached: DataFrame | None = None) -> DataFrame:
     """(query_id, key, id, position, base, final, relaxed): diversified results of every query, one offer of each entity.
 
-    rerank, if given, takes the judged pool (the 48 best of a query by lexical score, eight of a source at most) and gives
+    rerank, if given, takes the judged pool (the 48 best of a query by relevance, semantic and lexical score together, eight of a source at most) and gives
     (query_id, id, relevance): the hook for a cross-encoder. Without it the lexical score stands in, as the deterministic
     default. native has the sources' own order (query_id, id, source, rank), without query_id if it is the same for all; cached has listings like `listings` that count
     where no live one has their id. Queries go in blocks, so that what is broadcast is bounded.
@@ -75,8 +75,10 @@ def search(listings: DataFrame, queries: DataFrame, rerank: Callable[[DataFrame]
 
 
 def judged_pool(rows: DataFrame) -> DataFrame:
-    """The best rows of each query by lexical score: eight of a source at most, 48 altogether."""
-    order = [F.desc("lexical"), F.asc("id")]
+    """The best rows of each query by the sum of relevance, semantic and lexical score: eight of a source at most, 48 altogether."""
+    signals = [c for c in ("relevance", "semantic", "lexical") if c in rows.columns]
+    worth = sum((F.coalesce(c, F.lit(0.0)) for c in signals), F.lit(0.0))
+    order = [worth.desc(), F.asc("id")]
     near = rows.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "source").orderBy(*order))).where(F.col("r") <= PER_SOURCE)
     return near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("r") <= JUDGED).drop("r")
 
