@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import sql_functions
 from ..operators import bundles, evaluation, gates, images, lookup, relational
 from ..session import shared_folder
-from ..sources import payload_source
+from ..sources import payload_source, payloads
 from ..tables import OFFERS_SQL, minor, offers, table
 from .catalog import query
 
@@ -227,3 +227,33 @@ def result_previews(spark, sf_dir):
     )
     found = gates.previews(rows, "p_brand", [F.asc("p_partkey")], F.col("p_brand").endswith("1"))
     return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+#: Hosts and pages of products: N is a name, P a price, W a name that isn't the product's.
+PAGE_FORMS = (
+    ("www.amazon.com/dp/N1", '<h1 id="title">W</h1><span id="productTitle" class="a b"> N </span><span class="a-price x"><span class="a-offscreen">$P</span></span>'),
+    ("amazon.de/gp/x", '<span id="productTitle">  </span><h1 id="title">N</h1><b id="priceblock_dealprice">P</b><meta property="og:type" content="Product.item"><meta content="eur" property="og:price:currency">'),
+    ("www.ebay.com/itm/1", '<h1 class="x-item-title__mainTitle"><span>N</span></h1><div class="x-price-primary"><span>US $P</span></div>'),
+    ("ebay.co.uk/sch", '<h1 itemprop="name">N</h1><meta itemprop="price" content="P"><meta property="product:price:currency" content=" gbp ">'),
+    ("www.etsy.com/listing/9", '<h1>W</h1><h1 data-buy-box-listing-title="x">N</h1><div data-buy-box-region="p"><p class="wt-text-title-03 c">$P</p></div>'),
+    ("bestbuy.com/x", '<div class="sku-title"><h1>N</h1></div><div data-testid="customer-price"><span>$P</span></div><div itemtype="https://schema.org/Product"></div>'),
+    ("target.com/p/a", '<!-- <h1>W</h1> --><h1>N</h1><span data-test="product-price">$P</span>'),
+    ("shop.example/c/12345678", '<script>"<h1>W</h1>"</script><h1>W</h1><meta property="og:title" content="N"><meta property="product:price:amount" content="P">'),
+    ("shop.example/c", "<title>W</title><h1>N</h1>"),
+)
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey AS page_id, p_partkey % {len(PAGE_FORMS)} AS k, p_name, CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) AS price FROM part)
+SELECT page_id, p_name AS title, CASE WHEN k < 8 AND price > 0 THEN price END AS price_minor, CASE k WHEN 1 THEN 'EUR' WHEN 3 THEN 'GBP' ELSE 'USD' END AS currency,
+  ['amazon.com', 'amazon.de', 'ebay.com', 'ebay.co.uk', 'etsy.com', 'bestbuy.com', 'target.com', 'shop.example', 'shop.example'][k + 1] AS host, k NOT IN (3, 8) AS looks_like_product
+FROM p
+""")
+def host_pages(spark, sf_dir):
+    """Title, price and currency of product pages by the places of their hosts, with metadata behind them."""
+    k = (F.col("p_partkey") % len(PAGE_FORMS) + 1).cast("int")
+    form = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in PAGE_FORMS)), k)
+    html = F.replace(F.replace(F.replace(form(1), F.lit("P<"), F.concat(F.format_number("p_retailprice", 2), F.lit("<"))), F.lit('"P"'), F.concat(F.lit('"'), F.format_number("p_retailprice", 2), F.lit('"'))), F.lit("N<"), F.concat("p_name", F.lit("<")))
+    html = F.replace(F.replace(html, F.lit('"N"'), F.concat(F.lit('"'), "p_name", F.lit('"'))), F.lit(" N "), F.concat(F.lit(" "), "p_name", F.lit(" ")))
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://"), form(0)).alias("url"), html.alias("html"))
+    return payloads.product_page(pages).drop("clean")

@@ -116,7 +116,7 @@ def rss_scan(spark, sf_dir):
 def product_pages(spark, sf_dir):
     """Title and price of every page."""
     found = payloads.product_page(table(spark, sf_dir, "pages"))
-    return found.select("page_id", F.col("title").isNotNull().alias("has_title"), F.col("price_minor").cast("int").alias("price_minor"))
+    return found.select("page_id", F.col("title").isNotNull().alias("has_title"), F.coalesce("price_minor", F.lit(0)).cast("int").alias("price_minor"))
 
 
 @query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="(/[^"]*)">[^<]*</a></li>', 1)) AS href FROM pages) SELECT page_id, least(count(*), 12) AS cards FROM l GROUP BY page_id""")

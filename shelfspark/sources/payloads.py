@@ -380,14 +380,59 @@ def jsonld_listings(pages: DataFrame, html_col: str = "html", id_col: str = "pag
     return pages.select(F.col(id_col).cast("long"), html_col, url_col).mapInArrow(run, "page_id long, external_id string, title string, url string, price_minor long, currency string, availability string")
 
 
+def _opening(step: str) -> tuple[str, str]:
+    """(tag, pattern of an opening tag) of one step of a place: tag, .class, #id, [attribute] or [attribute="value"]."""
+    tag, marks, attribute, value = re.fullmatch(r"([a-z0-9]*)((?:[.#][\w-]+)*)(?:\[([\w-]+)(?:=\"([^\"]*)\")?\])?", step).groups()
+    needs = [rf'\bclass="(?:[^"]*\s)?{re.escape(m[1:])}(?:\s[^"]*)?"' if m[0] == "." else rf'\bid="{re.escape(m[1:])}"' for m in re.findall(r"[.#][\w-]+", marks)]
+    if attribute:
+        needs.append(rf'\b{attribute}="{re.escape(value)}"' if value is not None else rf"\b{attribute}\b")
+    ahead = "".join(f"(?=[^>]*{n})" for n in needs)
+    return tag, rf"<(?:{tag or '[a-z][a-z0-9]*'})\b{ahead}[^>]*>"
+
+
+def place(html: Column, selector: str) -> Column:
+    """The text at the first element that a place names, or with @attribute the first such value; null if there is none or it is empty."""
+    selector, _, attribute = selector.partition("@")
+    *before, last = selector.split(" ")
+    start = "".join(_opening(step)[1] + ".*?" for step in before)
+    tag, pattern = _opening(last)
+    if attribute:
+        found = F.regexp_extract(F.regexp_extract(html, f"(?is){start}({pattern})", 1), rf'(?i)\b{attribute}="([^"]*)"', 1)
+    else:
+        inner = pattern.replace(f"<(?:{tag or '[a-z][a-z0-9]*'})", f"<({tag or '[a-z][a-z0-9]*'})", 1)
+        found = text.strip_tags(F.regexp_extract(html, rf"(?is){start}{inner}(.*?)</\1>", 2))
+    return F.nullif(F.trim(found), F.lit(""))
+
+
+def page_meta(html: Column, names) -> Column:
+    """The first filled metadata value of the names, whichever way its attributes stand."""
+    one = lambda n: (rf'(?is)<meta\b(?=[^>]*\bproperty="{n}")[^>]*\bcontent="([^"]*)"',)
+    return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(html, p, 1)), F.lit("")) for n in names for p in one(n)))
+
+
 def product_page(pages: DataFrame) -> DataFrame:
-    """(page_id, title, price_minor, looks_like_product) of product pages (S20): heading, else og:title, else the title element."""
-    h = F.col("html")
-    first = lambda *patterns: F.coalesce(*(F.nullif(text.strip_tags(F.regexp_extract(h, p, 1)), F.lit("")) for p in patterns))
-    title = first(r"(?is)<h1[^>]*>(.*?)</h1>", r"(?i)<meta[^>]+property=\"og:title\"[^>]+content=\"([^\"]*)\"", r"(?is)<title[^>]*>(.*?)</title>")
-    price = F.regexp_extract(h, r"(?i)<meta[^>]+property=\"(?:og|product):price:amount\"[^>]+content=\"([^\"]*)\"", 1)
+    """(page_id, title, clean, price_minor, currency, host, looks_like_product) of product pages.
+
+    Title and price come from the places of the page's host, else from the page's metadata; other hosts have the metadata first,
+    then the heading and the title element. A price that isn't above 0 is null. Comments and scripts aren't read.
+    """
+    h, host = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<!--.*?-->|<script\b.*?</script>", " "), F.coalesce(text.host(F.col("url")), F.lit(""))
+    rows = pages.select("page_id", "url", h.alias("h"), host.alias("host"))
+    h, meta = F.col("h"), {k: page_meta(F.col("h"), names) for k, names in lx.PAGE_META.items()}
+    title, price = None, None
+    for parts, titles, prices in lx.PAGE_PLACES:
+        here = F.lit(False)
+        for part in parts:
+            here = here | F.contains("host", F.lit(part))
+        own = lambda places, last: F.coalesce(*(place(h, p) for p in places), last)
+        title = F.when(here, own(titles, meta["title"])) if title is None else title.when(here, own(titles, meta["title"]))
+        price = F.when(here, own(prices, meta["price"])) if price is None else price.when(here, own(prices, meta["price"]))
+    title = F.coalesce(title.otherwise(F.coalesce(meta["title"], place(h, "h1"))), place(h, "title"))
+    minor = text.storefront_price(F.coalesce(price.otherwise(meta["price"]), F.lit("")))
     path = F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit(""))
-    return pages.select("page_id", text.clean_title(title).alias("title"), text.storefront_price(price).alias("price_minor"), path.rlike(r"(?i)/(?:dp|gp/product|itm|ip|p|products?|listing)/").alias("looks_like_product"))
+    product = path.rlike(lx.PRODUCT_PATH) | F.coalesce(F.contains(F.lower(meta["type"]), F.lit("product")), F.lit(False)) | h.rlike(r'(?i)\bitemtype="[^"]*product')
+    found = rows.select("page_id", F.substring(title, 1, lx.PAGE_TITLE_CUT).alias("title"), F.when(minor > 0, minor).alias("price_minor"), F.upper(F.coalesce(meta["currency"], F.lit("USD"))).alias("currency"), "host", product.alias("looks_like_product"))
+    return found.withColumn("clean", text.clean_title(F.col("title")))
 
 
 def sanitized(listings: DataFrame) -> DataFrame:
