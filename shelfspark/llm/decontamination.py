@@ -26,8 +26,9 @@ from .common import columns, held, map_rows, materialize, small_side
 
 RADIUS, BLOCKS, BLOCK_BITS = 7, 4, 16
 SHINGLE, SIMILARITY = 5, 0.8
-#: Items in one pass over the documents; a larger benchmark takes several passes, so what is broadcast is bounded.
-ITEMS_AT_ONCE = 50_000
+#: Items and their characters in one pass over the documents; a larger benchmark takes several passes, so that what is broadcast
+#: and a worker's index (some 16 kB an item of 40 words) are bounded.
+ITEMS_AT_ONCE, CHARACTERS_AT_ONCE = 10_000, 3_000_000
 #: Window starts that are worked on together.
 STRETCH = 1 << 15
 
@@ -220,35 +221,48 @@ class Index:
         return [(text, self.items[item][0], first, -score) for (text, item), (score, first) in sorted(best.items())]
 
 
-def repeated_shingles(benchmark: DataFrame) -> tuple[int, dict[tuple[str, ...], int]]:
-    """(items with words, in how many items each shingle is that more than one holds)."""
+def shingles_of(benchmark: DataFrame) -> DataFrame:
+    """(shingle): every item's different shingles."""
 
     def work(b):
         return {"shingle": [" ".join(s) for t in b["text"] for s in shingles(words_of(t))]}
 
-    found = map_rows(benchmark.select("text"), lambda: work, "shingle string").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    return map_rows(benchmark.select("text"), lambda: work, "shingle string")
+
+
+def repeated_shingles(benchmark: DataFrame) -> tuple[int, DataFrame]:
+    """(items with words, in how many items each shingle is that more than one holds), the latter as a table in the shared folder."""
     total = map_rows(benchmark.select("text"), lambda: lambda b: {"n": [sum(1 for t in b["text"] if words_of(t))]}, "n long").agg(F.sum("n")).first()[0]
-    return total or 0, {tuple(r.shingle.split(" ")): r.n for r in found.collect()}
+    return total or 0, materialize(shingles_of(benchmark).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shingle-counts")
+
+
+def counts_for(part: DataFrame, items: int, repeated: DataFrame) -> tuple[int, dict[tuple[str, ...], int]]:
+    """What an index over a part of the benchmark needs of the whole: no more shingles than the part has."""
+    found = shingles_of(part).distinct().join(repeated, "shingle").collect()
+    return items, {tuple(r.shingle.split(" ")): r.n for r in found}
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """(doc_id, item_id, first_word, similarity): every item that a document holds, at its most similar place.
 
-    The shingles that several items hold are broadcast with their counts if the benchmark takes several passes.
+    A benchmark of more items or characters than a pass holds takes several passes; each broadcasts its own items and the counts
+    of their shingles in the whole benchmark.
     An item of fewer than five words has one shingle, all its words; items without words are in no document. Null and
     empty texts hold nothing. Repeated rows of either table count as rows of their own; extra columns are ignored.
     """
     spark = docs.sparkSession
-    passes = max(1, -(-benchmark.count() // items_at_once))
+    n, size = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    passes = max(1, -(-n // items_at_once), -(-size // CHARACTERS_AT_ONCE))
     # weights are those of the whole benchmark, however many passes it takes
-    whole = spark.sparkContext.broadcast(None if passes == 1 else repeated_shingles(benchmark))
+    total, repeated = (0, None) if passes == 1 else repeated_shingles(benchmark)
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     out = None
     for k in range(passes):
         part = benchmark if passes == 1 else benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
         items = spark.sparkContext.broadcast([(r.item_id, words_of(r.text)) for r in part.select("item_id", "text").collect()])
+        whole = spark.sparkContext.broadcast(None if repeated is None else counts_for(part, total, repeated))
 
-        def make(items=items, token=uuid.uuid4().hex):
+        def make(items=items, whole=whole, token=uuid.uuid4().hex):
             def work(b):
                 found = held(token, lambda: Index(items.value, threshold, whole.value)).search(b["t"])
                 return {"doc_id": [b["i"][r[0]] for r in found], "item_id": [r[1] for r in found], "first_word": [r[2] for r in found], "similarity": [round(r[3], 9) for r in found]}
