@@ -161,11 +161,11 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id, links): documents linked through fingerprints that differ in at most two bits.
+    """(doc_id, fp, component_id): documents linked through fingerprints that differ in at most two bits.
 
     component_id is the smallest doc_id that can be reached, a document's own included. Null, empty and blank texts have
     fingerprint zero and are linked like any other; equal texts share a fingerprint; extra columns are ignored; an empty
-    table gives no rows.
+    table gives no rows. A worker takes some twenty bytes for each byte of its longest text.
     """
     prints = materialize(fingerprints(docs, size, id_col, text_col), "fingerprints")
     own = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fp")

@@ -18,26 +18,32 @@ PSEUDONYM_KEY = b"query-key-16byte"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned outside the held fold; toxicity.score_documents defines the edge cases."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held=1, threshold=0.7)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held fold; language_mixture.predict defines the edge cases."""
     return language_mixture.predict(table(spark, sf_dir, "documents"), folds=4, held=2)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned outside the held fold; attention_quality.score_documents defines the edge cases."""
     return attention_quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held=0, threshold=0.3)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests; sentencepiece_codec defines the edge cases."""
     return sentencepiece_codec.encode_digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds; decontamination.leaks defines the edge cases."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of equal texts; chunk_dedup.exact_duplicates defines the edge cases."""
     return chunk_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -49,6 +55,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS te
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back; warc.round_trip defines the edge cases."""
     return warc.round_trip(spark, table(spark, sf_dir, "pages"), smallest=0)
 
 
@@ -63,14 +70,17 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, payload_digest, C
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of every document by a stored map; slot_sharding.shard_documents defines the edge cases."""
     return slot_sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its values replaced by pseudonyms; feistel_pii.pseudonymised defines the edge cases."""
     return feistel_pii.pseudonymised(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; golay_simhash.near_duplicates defines the edge cases."""
     found = golay_simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

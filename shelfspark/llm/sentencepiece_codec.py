@@ -4,8 +4,8 @@ An encoding is a chain of vocabulary tokens. Merging symbol pairs by priority is
 text exactly if every token merges to itself and every adjacent pair, merged again from its characters, gives back that
 pair. The encoder walks the text with the longest match at each place (Aho-Corasick), takes the next shorter prefix where
 a neighbour isn't compatible, and steps back otherwise; a bitfield of failed positions makes it linear. No vocabulary
-entry has a word mark after another character, nor joins letters with digits or signs (both are checked when the model
-is read), so a text falls into independent segments there; segments are cached in the worker up to a bound.
+entry has a word mark after another character (checked when the model is read), so a text falls into independent segments
+there, and into smaller ones if none joins letters with digits or signs either; segments are cached in the worker up to a bound.
 
 Edge cases: null counts as empty; an empty text has only the begin and end ids; a character outside the vocabulary is
 its UTF-8 bytes; extra columns are ignored; very long segments aren't cached; repeated rows repeat.
