@@ -12,13 +12,12 @@ are keyed by term and slice; no query's documents meet in one task before they a
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import lexicon as lx, text
-from ..session import shared_folder, written
+from ..session import shared_path, written
 from .retrieval import B, K1, PHRASE_BONUS, in_blocks, query_terms
 
 #: Documents of a slice, folders of blocks, and steps of length (a power of two has so many) that slices are made by.
@@ -67,7 +66,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Po
     posting = F.array_sort(F.collect_list(F.struct("id", "tf", "length")))
     blocks = counted.groupBy("term", "slice").agg(F.count("*").alias("n"), F.max(impact(F.col("tf"), F.col("length"), mean)).alias("impact"), posting.alias("p"))
     made = blocks.select("term", "slice", "n", "impact", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"), bucket(F.col("term")).alias("bucket"))
-    path = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+    path = shared_path(spark, "postings")
     made.repartition("bucket", F.pmod(F.xxhash64("slice"), F.lit(8))).sortWithinPartitions("bucket", "term", "slice").write.partitionBy("bucket").parquet(path)
     return PostingIndex(spark.read.schema(made.schema).parquet(path), texts, documents, mean)
 

@@ -12,7 +12,6 @@ all of them and is still right.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import shared_folder, written
+from ..session import shared_path, written
 
 #: Cells at most, vectors a cell should have, rounds of centring; bounds of what is broadcast (cells x dimensions).
 CELLS, PER_CELL, ROUNDS = 4096, 1000, 2
@@ -118,7 +117,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 best = score.argmax(1)
                 yield pa.RecordBatch.from_arrays([batch["id"], matrix(v), pa.array(best.astype(np.int32)), pa.array(score[np.arange(len(best)), best])], names=["id", "v", "cell", "near"])
 
-    path = f"{shared_folder(spark)}/vector-cells-{uuid.uuid4().hex}"
+    path = shared_path(spark, "vector-cells")
     table = rows.mapInArrow(placed, "id long, v array<double>, cell int, near double")
     table.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(PARTS))).write.partitionBy("cell").parquet(path)
     stored = spark.read.schema("id long, v array<double>, near double, cell int").parquet(path)

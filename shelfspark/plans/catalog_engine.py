@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import sql_functions
 from ..operators import bundles, evaluation, gates, images, lookup, relational
-from ..session import shared_folder
+from ..session import shared_path
 from ..sources import payload_source, payloads
 from ..tables import OFFERS_SQL, minor, offers, table
 from .catalog import query
@@ -74,7 +72,7 @@ def benchmark_rules(spark, sf_dir):
         if other:
             head, tail = good.split("%s")
             body = body.when(k == i, F.concat(F.lit('{"version": 2, "cases": [' + head), quoted, F.lit(tail + ", " + other + "]}")))
-    path = f"{shared_folder(spark)}/benchmarks-{uuid.uuid4().hex}"
+    path = shared_path(spark, "benchmarks")
     table(spark, sf_dir, "benchmark").withColumn("j", text).select("item_id", F.to_json(F.struct(body.alias("body"))).alias("value")).write.partitionBy("item_id").text(path)
     files = spark.read.schema("value string, item_id long").text(path).select(F.col("item_id").alias("file"), F.get_json_object("value", "$.body").alias("body"))
     return evaluation.benchmark_violations(files)
@@ -105,7 +103,7 @@ FROM part WHERE p_partkey % 6 IN (1, 4)
 def payload_files(spark, sf_dir):
     """G1: payload files of six sources, written and read by the data source; two sources by a filter that is pushed down."""
     payload_source.register(spark)
-    path = f"{shared_folder(spark)}/payloads-{uuid.uuid4().hex}"
+    path = shared_path(spark, "payloads")
     k = F.col("p_partkey") % 10
     price = F.when(k == 3, None).otherwise(F.concat(F.lit("$"), F.format_number("p_retailprice", 2)))
     body = F.when(k == 7, F.concat(F.lit("not a payload "), "p_name")).otherwise(F.to_json(F.struct(F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("title"), price.alias("price"))))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import lexicon as lx, scoring, text
 from ..operators import entity, gates, ranking, relational as rel
-from ..session import shared_folder
+from ..session import shared_path
 from ..sources import payloads
 from ..streaming import flows, snapshots
 from ..tables import minor, offers, table
@@ -18,7 +16,7 @@ from .catalog import EVENT_PRICE_SQL, cents_sql, norm_sql, query, quoted, tokens
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder for a stream's table and state, in the folder that driver and executors share."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return shared_path(spark, label)
 
 
 # Payloads written from the tables and read as sources

@@ -1,11 +1,13 @@
 """Image hashes, benchmark files, SQL functions and the payload source on small cases."""
 
 import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from shelfspark import session
 from shelfspark.functions import sql_functions
 from shelfspark.operators import evaluation, images
 from shelfspark.sources import payload_source
@@ -73,6 +75,14 @@ def test_sql_functions(spark):
         spark.sql("SELECT c.* FROM some_pages, LATERAL selector_cards(html, html) c").collect()
 
 
+def test_clear_removes_what_was_written(spark):
+    kept = session.written(spark.range(3), "kept")
+    folder = os.path.dirname(kept.inputFiles()[0].removeprefix("file://"))
+    assert os.path.exists(folder)
+    session.clear(spark)
+    assert not os.path.exists(folder)
+
+
 def test_payload_source(spark, tmp_path):
     payload_source.register(spark)
     for source, lines in {"a": ['{"id": 1, "title": " T ", "price": "$1,234.50"}', "broken", ""], "b": ['{"title": "U"}'], "c": []}.items():
