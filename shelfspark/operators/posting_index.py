@@ -20,8 +20,9 @@ from ..functions import lexicon as lx, text
 from ..session import shared_path, written
 from .retrieval import B, K1, PHRASE_BONUS, in_blocks, query_terms
 
-#: Documents of a slice, folders of blocks, and steps of length (a power of two has so many) that slices are made by.
-SLICE, BUCKETS, STEPS = 256, 64, 2
+#: Documents of a slice, folders of blocks at least and at most, documents a folder should have, and steps of length (a power of
+#: two has so many) that slices are made by.
+SLICE, LEAST_BUCKETS, MOST_BUCKETS, PER_BUCKET, STEPS = 256, 4, 256, 20_000, 2
 #: Slices of a query that are read first, and parts in which they are found.
 FIRST, PARTS = 8, 64
 #: What rounding may take from a bound.
@@ -36,10 +37,11 @@ class PostingIndex:
     texts: DataFrame
     documents: int
     mean_length: float
+    buckets: int
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def tokens_of(plain: Column) -> Column:
@@ -60,20 +62,21 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Po
     levels = texts.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).collect()  # a row for each step of length
     documents, total = sum(r["n"] for r in levels), sum(r["tokens"] for r in levels)
     mean = max(1.0, total / documents) if documents else 1.0
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, documents // PER_BUCKET))
     parts = F.create_map(*(F.lit(x) for r in levels for x in (r["level"], -(-r["n"] // SLICE)))) if levels else F.create_map(F.lit(0), F.lit(1))
     sliced = texts.select("id", "length", (level.cast("long") * (1 << 40) + F.pmod(F.xxhash64("id"), F.element_at(parts, level))).alias("slice"), F.explode(tokens_of(F.col("plain"))).alias("term"))
     counted = sliced.groupBy("term", "slice", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     posting = F.array_sort(F.collect_list(F.struct("id", "tf", "length")))
     blocks = counted.groupBy("term", "slice").agg(F.count("*").alias("n"), F.max(impact(F.col("tf"), F.col("length"), mean)).alias("impact"), posting.alias("p"))
-    made = blocks.select("term", "slice", "n", "impact", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"), bucket(F.col("term")).alias("bucket"))
+    made = blocks.select("term", "slice", "n", "impact", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"), bucket(F.col("term"), buckets).alias("bucket"))
     path = shared_path(spark, "postings")
     made.repartition("bucket", F.pmod(F.xxhash64("slice"), F.lit(8))).sortWithinPartitions("bucket", "term", "slice").write.partitionBy("bucket").parquet(path)
-    return PostingIndex(spark.read.schema(made.schema).parquet(path), texts, documents, mean)
+    return PostingIndex(spark.read.schema(made.schema).parquet(path), texts, documents, mean, buckets)
 
 
 def wanted(index: PostingIndex, queries: DataFrame) -> DataFrame:
     """(query_id, term, form, bucket) of a block of queries, small enough to be broadcast."""
-    return query_terms(queries).withColumn("bucket", bucket(F.col("form")))
+    return query_terms(queries).withColumn("bucket", bucket(F.col("form"), index.buckets))
 
 
 def bounds(index: PostingIndex, forms: DataFrame) -> tuple[DataFrame, DataFrame]:
