@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scoring, text
+from ..session import written
 from . import vector_index
 
 #: Bit ranges of seven bands: two hashes within six bits agree on at least one.
@@ -111,6 +112,21 @@ def keepers(df: DataFrame, product: str, source: str, *order: str) -> DataFrame:
     return df.join(first, [product, source]).withColumn("keep", F.struct(*order) == F.col("_first")).drop("_first")
 
 
+def title_verdicts(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """(left, right, same, fits) of every different pair of titles in two columns: equal when clean, and identity-compatible.
+
+    What is read from a title is worked out once for each different title, and the verdict once for each different pair.
+    """
+    pairs = written(rows.select(left, right).where(F.col(left).isNotNull() & F.col(right).isNotNull()).distinct(), "title-pairs")
+    titles = pairs.select(F.col(left).alias("t")).unionByName(pairs.select(F.col(right).alias("t"))).distinct()
+    t = F.col("t")
+    read = written(titles.select("t", text.normalize_title(t).alias("clean"), text.identity_tokens(t).alias("ids"), text.identity_words(t).alias("words")), "titles")
+    of = lambda name: read.select(F.col("t").alias(name), F.struct("clean", "ids", "words").alias(f"_{name}"))
+    a, b = F.col(f"_{left}"), F.col(f"_{right}")
+    fits = F.coalesce(text.identity_compatible(a["ids"], a["words"], b["ids"], b["words"]), F.lit(False))
+    return written(pairs.join(of(left), left).join(of(right), right).select(left, right, (a["clean"] == b["clean"]).alias("same"), fits.alias("fits")), "title-verdicts")
+
+
 def detached(listings: DataFrame, products: DataFrame) -> DataFrame:
     """listings with keep: whether an offer may stay with its product.
 
@@ -118,13 +134,15 @@ def detached(listings: DataFrame, products: DataFrame) -> DataFrame:
     sure: the first whose clean title is the product's, else the first that is compatible with it, else the first. Of the
     others those stay that are compatible with that offer, from another source, and the first of their source.
     """
-    clean = lambda c: text.normalize_title(F.col(c))
-    fits = lambda a, b: text.identity_compatible(text.identity_tokens(F.col(a)), text.identity_words(F.col(a)), text.identity_tokens(F.col(b)), text.identity_words(F.col(b)))
-    known = listings.where("product_id is not null").join(products.select("product_id", F.col("title").alias("own")), "product_id")
+    known = written(listings.where("product_id is not null").join(products.select("product_id", F.col("title").alias("own")), "product_id"), "offers")
+    of_product = title_verdicts(known, "own", "title")
     order = [F.col("captured"), F.col("listing_id")]
-    chosen = F.min_by(F.struct("listing_id", "source", "title"), F.struct(F.when(clean("title") == clean("own"), 0).when(F.coalesce(fits("own", "title"), F.lit(False)), 1).otherwise(2).alias("rank"), *order))
-    keeper = known.groupBy("product_id").agg(chosen.alias("k")).select("product_id", F.col("k.listing_id").alias("keeper"), F.col("k.source").alias("keeper_source"), F.col("k.title").alias("keeper_title"))
-    rest = known.join(keeper, "product_id").where((F.col("listing_id") != F.col("keeper")) & (F.col("source") != F.col("keeper_source")) & F.coalesce(fits("keeper_title", "title"), F.lit(False)))
+    rank = F.when(F.col("same"), 0).when(F.col("fits"), 1).otherwise(2).alias("rank")
+    chosen = F.min_by(F.struct("listing_id", "source", "title"), F.struct(rank, *order))
+    keeper = known.join(of_product, ["own", "title"], "left").groupBy("product_id").agg(chosen.alias("k"))
+    keeper = written(keeper.select("product_id", F.col("k.listing_id").alias("keeper"), F.col("k.source").alias("keeper_source"), F.col("k.title").alias("keeper_title")), "keepers")
+    rest = known.join(keeper, "product_id").where((F.col("listing_id") != F.col("keeper")) & (F.col("source") != F.col("keeper_source")))
+    rest = rest.join(title_verdicts(rest, "keeper_title", "title").where("fits"), ["keeper_title", "title"])
     firsts = rest.groupBy("product_id", "source").agg(F.min_by("listing_id", F.struct(*order)).alias("listing_id")).select("listing_id")
     kept = firsts.unionByName(keeper.select(F.col("keeper").alias("listing_id"))).withColumn("keep", F.lit(True))
     return listings.join(kept, "listing_id", "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
