@@ -15,13 +15,32 @@ WEIGHTS = {"lexical:literal": 2.2, "lexical:expanded": 0.75, "semantic": 1.0}
 NATIVE_WEIGHT, SEMANTIC_FLOOR, JUDGED, PER_SOURCE, RESULTS, BLOCK, FLOOR = 1.35, 0.15, 48, 8, 30, 500, 0.2
 
 
+def members(queries: DataFrame) -> DataFrame:
+    """(query_id, class_id) of queries (query_id, query, query_embedding): those alike in text and vector have one answer, that of the smallest of them."""
+    alike = ["query", "query_embedding"]
+    first = queries.groupBy(*alike).agg(F.min("query_id").alias("class_id"))
+    same = F.col("q.query").eqNullSafe(F.col("c.query")) & F.col("q.query_embedding").eqNullSafe(F.col("c.query_embedding"))
+    return queries.alias("q").join(first.alias("c"), same).select("q.query_id", "c.class_id")
+
+
 def eligible_candidates(listings: DataFrame, queries: DataFrame) -> DataFrame:
     """Listings that a query term or product type brings in, classified and filtered by role.
 
     listings: id, title, details, price_minor, source, has_image, availability, reviews, rating, cached, embedding;
     queries: a stated set (query_id, query, query_embedding), broadcast. Candidates meet by token, never as a product of
-    both sides.
+    both sides. Only the vector tells queries of one text apart, so a text's candidates are classified once.
     """
+    asked = written(queries.groupBy("query").agg(F.min("query_id").alias("text_id"), F.collect_list(F.struct("query_id", "query_embedding")).alias("asked")), "query-texts")
+    rows = decided(listings, asked.select(F.col("text_id").alias("query_id"), "query"))
+    # an untyped query may still take what its vector speaks for
+    rows = rows.where("eligible or product_type is null").withColumnRenamed("query_id", "text_id")
+    rows = rows.join(F.broadcast(asked.select("text_id", F.explode("asked").alias("q")).select("text_id", "q.*")), "text_id").drop("text_id")
+    rows = rows.withColumn("semantic", scoring.cosine(F.col("embedding"), F.col("query_embedding")))
+    return spec.exact_only(spec.escape_hatch(rows).where("eligible"))
+
+
+def decided(listings: DataFrame, queries: DataFrame) -> DataFrame:
+    """Candidates of queries (query_id, query) with role, lexical score and quality, those that aren't eligible too."""
     specs = spec.parse_queries(queries).withColumn("variants", spec.query_variants(F.col("refined"), F.col("must"), F.col("brand"), F.col("model"), F.col("product_type")))
     forms = retrieval.query_terms(specs.select("query_id", F.concat_ws(" ", "variants").alias("query"))).select("query_id", F.col("form").alias("token")).distinct()
     body = F.concat_ws(" ", "title", "details")
@@ -31,10 +50,8 @@ def eligible_candidates(listings: DataFrame, queries: DataFrame) -> DataFrame:
     met = tokens.join(F.broadcast(forms), "token").select("query_id", "id").distinct()
     rows = met.join(listings, "id").join(F.broadcast(specs), "query_id")
     rows = spec.classified(rows)
-    rows = rows.withColumn("lexical", F.array_max(F.transform("variants", lambda v: scoring.lexical_match(v, F.col("plain"), F.col("forms"))))).withColumn("semantic", scoring.cosine(F.col("embedding"), F.col("query_embedding")))
-    rows = spec.escape_hatch(rows).where("eligible")
-    rows = rows.withColumn("quality", scoring.listing_quality(F.col("price_minor"), F.col("has_image"), F.col("availability"), F.col("reviews"), F.col("rating"), F.col("cached")))
-    return spec.exact_only(rows)
+    rows = rows.withColumn("lexical", F.array_max(F.transform("variants", lambda v: scoring.lexical_match(v, F.col("plain"), F.col("forms")))))
+    return rows.withColumn("quality", scoring.listing_quality(F.col("price_minor"), F.col("has_image"), F.col("availability"), F.col("reviews"), F.col("rating"), F.col("cached")))
 
 
 def channels(candidates: DataFrame, native: DataFrame | None = None) -> DataFrame:
@@ -68,9 +85,15 @@ def search(listings: DataFrame, queries: DataFrame, rerank: Callable[[DataFrame]
     rerank, if given, takes the judged pool (the 48 best of a query by relevance, semantic and lexical score together, eight of a source at most) and gives
     (query_id, id, relevance): the hook for a cross-encoder. Without it the lexical score stands in, as the deterministic
     default. native has the sources' own order (query_id, id, source, rank), without query_id if it is the same for all; cached has listings like `listings` that count
-    where no live one has their id. Queries go in blocks, so that what is broadcast is bounded.
+    where no live one has their id. Queries go in blocks, so that what is broadcast is bounded. Queries alike in text and vector
+    are answered once, unless rerank or native may tell them apart.
     """
     every = listings if cached is None else relational.live_and_cached(listings.drop("cached"), cached.drop("cached"), "id").withColumn("cached", F.col("origin") == "cache").drop("origin")
+    if rerank is None and (native is None or "query_id" not in native.columns):
+        of = written(members(queries), "members")
+        one = queries.join(of.where("query_id = class_id").select("query_id"), "query_id", "left_semi")
+        found = retrieval.in_blocks(one, lambda part: ranking.ranked(search_block(every, part, None, sources, native), results, PER_SOURCE), BLOCK)
+        return found.withColumnRenamed("query_id", "class_id").join(of, "class_id").select("query_id", *(c for c in found.columns if c != "query_id"))
     return retrieval.in_blocks(queries, lambda part: ranking.ranked(search_block(every, part, rerank, sources, native), results, PER_SOURCE), BLOCK)
 
 
