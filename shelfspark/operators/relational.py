@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -82,31 +82,37 @@ def failure_streaks(df: DataFrame, key: str, at: str, tie: str, ok: Column, open
     return marked.withColumn("run", run).withColumn("open_until", F.when(F.col("run") >= opens_at, F.col(at) + F.expr(f"INTERVAL {minutes} MINUTES"))).drop("island")
 
 
-def ewma(df: DataFrame, key: str, order: Sequence[str], value: str, keep: float = 0.8) -> DataFrame:
+def ewma(df: DataFrame, key: str, order: Sequence[str], value: str, keep: float = 0.8, new: float = 0.2) -> DataFrame:
     """(key, ewma, attempts): exponentially weighted mean of each key's values in order, rounded to a whole number at each step.
 
-    The rounding makes the steps depend on each other, so a key's rows are read one after the other from a sorted
+    A row without a finite value leaves the mean as it is and counts as an attempt; rows alike in the order go by value. The rounding makes the steps depend on each other, so a key's rows are read one after the other from a sorted
     partition; only the running mean is held, whatever the length of a key's history.
     """
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, mean, n = None, 0, 0
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, mean, n = None, None, 0
+        row = lambda done: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=[key, "ewma", "attempts"])
+        types = None
         for batch in batches:
-            out = []
-            for k, v in zip(batch[key], batch["v"]):
-                if n and k == now:
-                    mean, n = math.floor(keep * mean + (1 - keep) * v + 0.5), n + 1
-                    continue
-                if n:
+            types, out = [batch.schema.field(0).type, pa.int64(), pa.int64()], []
+            for k, v in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                if n and k != now:
                     out.append((now, mean, n))
-                now, mean, n = k, math.floor(v + 0.5), 1
-            yield pd.DataFrame(out, columns=[key, "ewma", "attempts"])
+                    mean, n = None, 0
+                if v is not None:
+                    mean = math.floor((v if mean is None else keep * mean + new * v) + 0.5)
+                now, n = k, n + 1
+            if out:
+                yield row(out)
         if n:
-            yield pd.DataFrame([(now, mean, n)], columns=[key, "ewma", "attempts"])
-
-    rows = df.where(F.col(value).isNotNull()).select(key, *order, F.col(value).cast("double").alias("v"))
-    sorted_rows = rows.repartition(key).sortWithinPartitions(key, *order)
-    return sorted_rows.select(key, "v").mapInPandas(fold, f"{key} {dict(df.dtypes)[key]}, ewma long, attempts long")
+            yield row([(now, mean, n)])
+
+    v = F.col(value).cast("double")
+    finite = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    rows = df.select(key, *order, finite.alias("v"))
+    places = [F.asc_nulls_last(c) for c in (*order, "v")]
+    sorted_rows = rows.repartition(key).sortWithinPartitions(key, *places)
+    return sorted_rows.select(key, "v").mapInArrow(fold, f"`{key}` {dict(df.dtypes)[key]}, ewma long, attempts long")
 
 
 def wishlist_changes(saved: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """Steps that have to stay whole and right on large and odd tables."""
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.operators import entity
+from shelfspark.plans import catalog, catalog_more  # noqa: F401
 
 
 def test_titles_are_judged_once_for_each_pair(spark):
@@ -29,3 +33,32 @@ def test_part_is_dealt_out_by_its_rows(spark, tmp_path):
     spark.range(n).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     part = tables.table(spark, str(tmp_path), "part")
     assert part.rdd.getNumPartitions() == 5 and part.count() == n
+
+
+def odd_events(path):
+    """Events with equal times, times within one millisecond, missing values and types, and means that lie on a half."""
+    import duckdb
+
+    halves = [(a, x) for a in range(1, 400) for x in range(1, 4000, 7) if math.floor(0.8 * a + 0.2 * (x / 2) + 0.5) != math.floor(0.8 * a + (1 - 0.8) * (x / 2) + 0.5)]
+    assert halves
+    rows = []
+    for user, (a, x) in enumerate(halves[:40]):
+        rows += [(user, 0, "error", float(a)), (user, 60_000_000, "error", x / 2)]
+    # order within a millisecond against that of the ids; equal times; no value, no type
+    rows += [(100, 500, "error", 10.0), (100, 100, "click", 900.0), (100, 100, "error", 30.0), (100, 900, "error", 70.0)]
+    rows += [(101, 0, "error", None), (101, 1_000_000, "error", float("nan")), (101, 2_000_000, None, 40.0), (101, 3_000_000, "error", 60.0), (101, 4_000_000, "error", None)]
+    rows += [(102, 0, "error", -5.6), (102, 1_000, "error", -7.3)]
+    c = duckdb.connect()
+    c.execute("create table t (event_id bigint, us bigint, user_id bigint, event_type varchar, value double)")
+    c.executemany("insert into t values (?, ?, ?, ?, ?)", [(7 if user == 100 and us == 100 else i, us, user, kind, v) for i, (user, us, kind, v) in enumerate(rows)])
+    c.execute(f"copy (select event_id, timestamp '2024-01-01' + to_microseconds(us) as ts, user_id, event_type, value, '' as props from t) to '{path}/events.parquet' (format parquet)")
+    c.execute(f"create view events as select * from read_parquet('{path}/events.parquet')")
+    return c
+
+
+@pytest.mark.parametrize("name", ["ewma_latency", "stream_breakers"])
+def test_means_of_odd_events(spark, tmp_path, name):
+    c = odd_events(tmp_path)
+    got = {tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    want = {tuple(r) for r in c.execute(catalog.ORACLE[name]).fetchall()}
+    assert got == want
