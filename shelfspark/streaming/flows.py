@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -58,8 +59,8 @@ class Breaker(StatefulProcessor):
     A timer closes it when the watermark has passed that time; another drops the state of a source that has been silent for long.
     """
 
-    def __init__(self, opens_at: int, open_ms: int, idle_ms: int, keep: float):
-        self.opens_at, self.open_ms, self.idle_ms, self.keep = opens_at, open_ms, idle_ms, keep
+    def __init__(self, opens_at: int, open_ms: int, idle_ms: int, keep: float, new: float):
+        self.opens_at, self.open_ms, self.idle_ms, self.keep, self.new = opens_at, open_ms, idle_ms, keep, new
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -67,23 +68,23 @@ class Breaker(StatefulProcessor):
 
     def log(self, key, rows: list[tuple[int, str, int, int]]) -> pd.DataFrame:
         at = pd.to_datetime([r[0] for r in rows], unit="ms", utc=True)
-        return pd.DataFrame({"user_id": [key[0]] * len(rows), "at": at, "kind": [r[1] for r in rows], "run": [r[2] for r in rows], "mean": [r[3] for r in rows]})
+        return pd.DataFrame({"user_id": [key[0]] * len(rows), "at": at, "kind": [r[1] for r in rows], "run": [r[2] for r in rows], "mean": pd.array([r[3] for r in rows], dtype="Int64")})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         run, mean, last, until = self.state.get() if self.state.exists() else (0, None, None, 0)
-        # what a batch has of a source is put in time order; only four numbers of each attempt are kept
-        parts = [b[["at", "event_id", "ok", "value"]].to_numpy(float) for b in rows]
-        attempts = np.concatenate(parts)
-        attempts = attempts[np.lexsort((attempts[:, 1], attempts[:, 0]))]
+        # what a batch has of a source is put in the order of its full times, not of their milliseconds; only four numbers of each attempt are kept
+        parts = [[b[c].to_numpy(kind) for c, kind in (("us", np.int64), ("event_id", np.int64), ("ok", bool), ("value", float))] for b in rows]
+        us, event, good, values = (np.concatenate(p) for p in zip(*parts))
+        place = np.lexsort((values, good, event, us))
         out = []
-        for at, _, ok, value in attempts.tolist():
-            at = int(at)
+        for at, ok, value in zip((us[place] // 1000).tolist(), good[place].tolist(), values[place].tolist()):
             if until and at >= until:
                 out.append((until, "expired", run, mean))
                 until = 0
             if last is not None and at - last > self.idle_ms:
                 run, mean = 0, None
-            mean = int(value + 0.5) if mean is None else int(self.keep * mean + (1 - self.keep) * value + 0.5)
+            if math.isfinite(value):
+                mean = math.floor(value + 0.5) if mean is None else math.floor(self.keep * mean + self.new * value + 0.5)
             run, last = 0 if ok else run + 1, at
             if ok and until:
                 out.append((at, "closed", run, mean))
@@ -113,14 +114,15 @@ class Breaker(StatefulProcessor):
         pass
 
 
-def breaker_log(stream: DataFrame, opens_at: int = 3, minutes: int = 5, idle_hours: int = 6, keep: float = 0.8, late: str = "10 minutes") -> DataFrame:
+def breaker_log(stream: DataFrame, opens_at: int = 3, minutes: int = 5, idle_hours: int = 6, keep: float = 0.8, new: float = 0.2, late: str = "10 minutes") -> DataFrame:
     """(user_id, at, kind, run, mean): when breakers open, stay open for longer, are closed by a success, or expire.
 
-    stream: events with ts, user_id, event_type and value (the latency). State lies in RocksDB (stateful()).
+    stream: events with ts, user_id, event_type and value (the latency). An attempt fails if its type is error; one without a time
+    doesn't count, one without a finite latency leaves the mean. Attempts of one time go by event_id, failures first, then by latency. State lies in RocksDB (stateful()).
     """
-    at = F.unix_millis("ts")
-    rows = stream.withWatermark("ts", late).select("user_id", "ts", at.alias("at"), "event_id", (F.col("event_type") != "error").alias("ok"), "value")
-    processor = Breaker(opens_at, minutes * 60_000, idle_hours * 3_600_000, keep)
+    ok = F.coalesce(F.col("event_type") != "error", F.lit(True))
+    rows = stream.where("ts is not null").withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("us"), F.coalesce("event_id", F.lit((1 << 63) - 1)).alias("event_id"), ok.alias("ok"), F.coalesce("value", F.lit(float("nan"))).alias("value"))
+    processor = Breaker(opens_at, minutes * 60_000, idle_hours * 3_600_000, keep, new)
     return rows.groupBy("user_id").transformWithStateInPandas(processor, BREAKER_EVENTS, "append", "EventTime")
 
 
