@@ -62,3 +62,24 @@ def test_means_of_odd_events(spark, tmp_path, name):
     got = {tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
     want = {tuple(r) for r in c.execute(catalog.ORACLE[name]).fetchall()}
     assert got == want
+
+
+def test_lexical_evidence_has_every_pair(spark):
+    from shelfspark.functions import scoring
+    from shelfspark.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "Red shoes, red laces"), (2, "A thing"), (3, None), (4, ""), (5, "redshoe")], "doc_id long, text string")
+    asked = spark.createDataFrame([(10, "red shoe"), (20, "the"), (30, None)], "query_id long, query string")
+    got = {(r["query_id"], r["doc_id"]): round(r["score"], 9) for r in retrieval.lexical_evidence(docs, asked).collect()}
+    rows = docs.crossJoin(asked).select("query_id", "doc_id", scoring.lexical_score(F.coalesce("query", F.lit("")), F.coalesce("text", F.lit(""))).alias("s"))
+    assert got == {(r["query_id"], r["doc_id"]): 0.0 if r["query_id"] == 20 else round(r["s"], 9) for r in rows.collect()} and len(got) == 15
+
+
+def test_repeated_cards_drop_out_before_any_shuffle(spark):
+    from shelfspark.sources import payloads
+
+    card = lambda n: f'<li class="s-card" data-listingid={n}><a href=https://www.shop.com/itm/{n}?q=1>x</a></li>'
+    pages = spark.createDataFrame([(1, card(5) + card(6) + card(5)), (2, card(6)), (3, None)], "page_id long, html string")
+    cut = payloads._cut(pages, "html", r'<li class="s-card[^"]*"[^>]*\bdata-listingid="?[0-9]+', r'data-listingid="?([0-9]+)')
+    assert {(r["page_id"], r["pos"], r["external_id"]) for r in cut.collect()} == {(1, 0, "5"), (1, 1, "6"), (2, 0, "6")}
+    assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
