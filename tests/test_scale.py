@@ -83,3 +83,14 @@ def test_repeated_cards_drop_out_before_any_shuffle(spark):
     cut = payloads._cut(pages, "html", r'<li class="s-card[^"]*"[^>]*\bdata-listingid="?[0-9]+', r'data-listingid="?([0-9]+)')
     assert {(r["page_id"], r["pos"], r["external_id"]) for r in cut.collect()} == {(1, 0, "5"), (1, 1, "6"), (2, 0, "6")}
     assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+
+
+def test_index_moves_texts_and_packed_blocks_only(spark):
+    from shelfspark.operators import posting_index
+
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id") % 7, F.lit(" other word"), F.col("id") % 7).alias("text"))
+    index = posting_index.build(docs)
+    assert index.blocks.agg(F.sum(F.size("ids"))).collect()[0][0] == 600
+    assert {tuple(r) for r in index.blocks.where("term = 'word3'").select(F.explode(F.arrays_zip("ids", "tfs"))).select("col.ids", "col.tfs").collect()} == {(i, 2) for i in range(3, 300, 7)}
+    plan = posting_index.packed(index.texts.withColumn("slice", F.col("id") % 3), index.mean_length, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(slice" in plan
