@@ -45,6 +45,9 @@ TERMS_AT_ONCE, BUCKETS = 250_000, 64
 #: Everything but letters, digits and what lies above ASCII separates terms; A-Z are lower-cased.
 TERM_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 NO_ID = (1 << 63) - 1
+#: A segment is a row group of its own: Parquet else looks at the size of a group and of its pages after a hundred rows, so
+#: that writer and reader hold all segments of a task at once.
+ONE_BY_ONE = {"parquet.block.row.count.limit": "1", "parquet.enable.dictionary": "false"}
 
 FIELDS = [("documents", pa.int64()), ("terms_total", pa.int64())] + [(n, pa.binary()) for n in ("ids", "lengths", "terms", "df", "list_at", "first", "last", "count", "top", "least", "gap_at", "gap_width", "tf_at", "tf_width", "gaps", "tfs")]
 INDEX = pa.schema(FIELDS)
@@ -137,7 +140,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if columns[0]:
             yield row()
 
-    return materialize(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").cast("binary").alias("t")).mapInArrow(run, INDEX_DDL), "segments")
+    return materialize(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").cast("binary").alias("t")).mapInArrow(run, INDEX_DDL), "segments", **ONE_BY_ONE)
 
 
 class Segment:

@@ -58,11 +58,11 @@ def clear(spark: SparkSession) -> None:
         delete(spark, _written.pop())
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors, computes once."""
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write df as Parquet, with the writer's options, to the shared folder and read it back: cuts lineage, survives lost executors, computes once."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

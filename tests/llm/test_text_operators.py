@@ -249,6 +249,17 @@ def test_blocks_stay_packed(spark):
     assert again[0] == again[1] == scores[0] and 0 < part.read < lists / 2
 
 
+def test_segments_are_row_groups(spark, monkeypatch):
+    """However many segments a task makes, writer and reader hold one of them at a time."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(block_max_search, "SEGMENT_BYTES", 2000)
+    common.configure(spark)
+    index = block_max_search.build_index(spark.createDataFrame([(i, f"word{i} " * 50) for i in range(300)], SCHEMA).coalesce(1))
+    parts = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    assert index.count() > 10 and max(m.row_group(i).num_rows for m in parts for i in range(m.num_row_groups)) == 1
+
+
 def test_search_edges(spark, edges, none):
     items = spark.createDataFrame([(1, "one two nobody"), (None, "word")], "item_id long, text string").withColumn("a.b", F.lit(1))
     got = block_max_search.ranked(edges, items)
