@@ -23,6 +23,23 @@ def members(queries: DataFrame) -> DataFrame:
     return queries.alias("q").join(first.alias("c"), same).select("q.query_id", "c.class_id")
 
 
+def with_type(queries: DataFrame) -> DataFrame:
+    """queries with the product type that their text names; each text is parsed once."""
+    types = spec.parse_queries(queries.select("query").distinct()).select("query", "product_type")
+    return queries.alias("q").join(types.alias("t"), F.col("q.query").eqNullSafe(F.col("t.query"))).select("q.*", "t.product_type")
+
+
+def role_classes(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries that have the same decisions: (query_id, class_id) of every query, and those that stand for a class.
+
+    A vector speaks only for listings of a text that names no product type, so the vectors of the others are left out.
+    """
+    told = with_type(queries).withColumn("query_embedding", F.when(F.col("product_type").isNull(), F.col("query_embedding"))).drop("product_type")
+    told = written(told, "told")
+    of = written(members(told), "members")
+    return of, told.join(of.where("query_id = class_id").select("query_id"), "query_id", "left_semi")
+
+
 def eligible_candidates(listings: DataFrame, queries: DataFrame) -> DataFrame:
     """Listings that a query term or product type brings in, classified and filtered by role.
 
@@ -31,24 +48,37 @@ def eligible_candidates(listings: DataFrame, queries: DataFrame) -> DataFrame:
     both sides. Only the vector tells queries of one text apart, so a text's candidates are classified once.
     """
     asked = written(queries.groupBy("query").agg(F.min("query_id").alias("text_id"), F.collect_list(F.struct("query_id", "query_embedding")).alias("asked")), "query-texts")
-    rows = decided(listings, asked.select(F.col("text_id").alias("query_id"), "query"))
+    specs = parsed(asked.select(F.col("text_id").alias("query_id"), "query"))
     # an untyped query may still take what its vector speaks for
-    rows = rows.where("eligible or product_type is null").withColumnRenamed("query_id", "text_id")
+    rows = decided(listings, specs).where("eligible or product_type is null").withColumnRenamed("query_id", "text_id")
     rows = rows.join(F.broadcast(asked.select("text_id", F.explode("asked").alias("q")).select("text_id", "q.*")), "text_id").drop("text_id")
     rows = rows.withColumn("semantic", scoring.cosine(F.col("embedding"), F.col("query_embedding")))
-    return spec.exact_only(spec.escape_hatch(rows).where("eligible"))
+    return exact(spec.escape_hatch(rows).where("eligible"), specs)
 
 
-def decided(listings: DataFrame, queries: DataFrame) -> DataFrame:
-    """Candidates of queries (query_id, query) with role, lexical score and quality, those that aren't eligible too."""
-    specs = spec.parse_queries(queries).withColumn("variants", spec.query_variants(F.col("refined"), F.col("must"), F.col("brand"), F.col("model"), F.col("product_type")))
+def parsed(queries: DataFrame) -> DataFrame:
+    """The specs of queries (query_id, query), with the variants that are looked for."""
+    variants = spec.query_variants(F.col("refined"), F.col("must"), F.col("brand"), F.col("model"), F.col("product_type"))
+    return written(spec.parse_queries(queries).withColumn("variants", variants), "query-specs")
+
+
+def exact(rows: DataFrame, specs: DataFrame) -> DataFrame:
+    """spec.exact_only over rows of these specs; without a model or brand in any of them nothing is moved or written."""
+    return rows if specs.where("model is not null or brand is not null").isEmpty() else spec.exact_only(written(rows, "eligible"))
+
+
+def decided(listings: DataFrame, specs: DataFrame) -> DataFrame:
+    """Candidates of parsed() queries with role, lexical score and quality, those that aren't eligible too.
+
+    A listing meets a query at the first of its tokens that the query looks for: each pair is made once, where the listing lies.
+    """
     forms = retrieval.query_terms(specs.select("query_id", F.concat_ws(" ", "variants").alias("query"))).select("query_id", F.col("form").alias("token")).distinct()
+    forms = forms.join(forms.groupBy("query_id").agg(F.collect_list("token").alias("sought")), "query_id")
     body = F.concat_ws(" ", "title", "details")
-    listings = listings.withColumns({"plain": text.normalize_search(body), "tokens": text.lexical_tokens(body)})
-    listings = listings.withColumn("forms", scoring.token_forms(F.col("tokens")))
-    tokens = listings.select("id", F.explode(F.array_distinct("tokens")).alias("token"))
-    met = tokens.join(F.broadcast(forms), "token").select("query_id", "id").distinct()
-    rows = met.join(listings, "id").join(F.broadcast(specs), "query_id")
+    listings = listings.withColumns({"plain": text.normalize_search(body), "tokens": text.lexical_tokens(body)}).withColumn("each", F.array_distinct("tokens"))
+    met = listings.select("*", F.posexplode("each").alias("at", "token")).join(F.broadcast(forms), "token")
+    met = met.where(~F.arrays_overlap(F.slice("each", F.lit(1), F.col("at")), "sought")).drop("each", "at", "token", "sought")
+    rows = met.withColumn("forms", scoring.token_forms(F.col("tokens"))).join(F.broadcast(specs), "query_id")
     rows = spec.classified(rows)
     rows = rows.withColumn("lexical", F.array_max(F.transform("variants", lambda v: scoring.lexical_match(v, F.col("plain"), F.col("forms")))))
     return rows.withColumn("quality", scoring.listing_quality(F.col("price_minor"), F.col("has_image"), F.col("availability"), F.col("reviews"), F.col("rating"), F.col("cached")))

@@ -26,6 +26,34 @@ def test_queries_alike_have_one_answer(spark):
     assert {(r["query_id"], r["class_id"]) for r in search.members(asked).collect()} == {(5, 3), (3, 3), (7, 7), (9, 9), (8, 6), (6, 6)}
 
 
+def test_vectors_of_typed_queries_make_no_classes(spark):
+    """Vectors tell the decisions of queries apart only where no product type is named; pairs and membership hold what each query alone gives."""
+    from shelfspark.plans import search
+
+    rows = [(5, "office chair", [1.0, 0.0]), (3, "office chair", [0.0, 1.0]), (7, "office chair", None), (9, "gizmo", [1.0, 0.0]), (8, "gizmo", [0.0, 1.0]), (6, "gizmo", [0.0, 1.0]), (4, None, [1.0, 0.0]), (2, "sony chair", [1.0, 1.0]), (1, "sony chair", [0.0, 1.0])]
+    asked = spark.createDataFrame(rows, "query_id long, query string, query_embedding array<double>")
+    titles = ["Office chair", "Sony office chair", "Chair gizmo cover", "Big gizmo", "gizmo large office tool", "Desk"]
+    listings = spark.createDataFrame([(i, t, None, 500 + i, [float(i % 2), 1.0]) for i, t in enumerate(titles * 3)], "id long, title string, details string, price_minor long, embedding array<double>")
+    listings = listings.selectExpr("*", "id % 2 source", "true has_image", "'in_stock' availability", "20 reviews", "4.5D rating", "false cached")
+    of, one = search.role_classes(asked)
+    classes = {(r["query_id"], r["class_id"]) for r in of.collect()}
+    assert classes == {(5, 3), (3, 3), (7, 3), (9, 9), (8, 6), (6, 6), (4, 4), (2, 1), (1, 1)}
+    columns = ("query_id", "id", "role", "confidence", "lexical", "quality")
+    pairs = {tuple(r) for r in search.eligible_candidates(listings, one).select(*columns).collect()}
+    got = {(q, *p[1:]) for q, c in classes for p in pairs if p[0] == c}
+    alone = {tuple(r) for q in (5, 3, 7, 9, 8, 6, 2, 1) for r in search.eligible_candidates(listings, asked.where(F.col("query_id") == q)).select(*columns).collect()}
+    assert got == alone and {p[0] for p in got} >= {5, 3, 7, 2, 1}
+
+
+def test_only_exact_listings_of_models_and_brands(spark):
+    from shelfspark.plans import spec
+
+    rows = [(1, "m", None, "exact"), (1, "m", None, "substitute"), (2, None, "b", "exact"), (2, None, "b", "substitute"), (3, None, None, "exact"), (3, None, None, "substitute"), (4, "m", "b", "substitute")]
+    rows += [(5, None, "b", "exact")] * 10 + [(5, None, "b", "substitute")]
+    kept = spec.exact_only(spark.createDataFrame(rows, "query_id long, model string, brand string, role string"))
+    assert sorted((r["query_id"], r["role"]) for r in kept.collect()) == sorted([(1, "exact"), (2, "exact"), (2, "substitute"), (3, "exact"), (3, "substitute"), (4, "substitute")] + [(5, "exact")] * 10)
+
+
 def test_part_is_dealt_out_by_its_rows(spark, tmp_path):
     from shelfspark import session, tables
 
