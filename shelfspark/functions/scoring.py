@@ -28,10 +28,15 @@ def cosine(a: Column, b: Column) -> Column:
     zero = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     pairs = F.zip_with(a, b, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
     sums = F.aggregate(pairs, zero, lambda s, z: F.struct((s["p"] + z["x"] * z["y"]).alias("p"), (s["x"] + z["x"] * z["x"]).alias("x"), (s["y"] + z["y"] * z["y"]).alias("y")))
-    ratio = text.let(sums, lambda s: F.when((s["x"] > 0) & (s["y"] > 0), F.least(F.greatest(s["p"] / F.sqrt(s["x"] * s["y"]), F.lit(0.0)), F.lit(1.0))))
+    ratio = text.let(sums, lambda s: cosine_of(s["p"], s["x"], s["y"]))
     return F.when(a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)) & (F.size(a) > 0), ratio)
 
 
+def cosine_of(product: Column, square: Column, other: Column) -> Column:
+    """cosine() of two vectors of one length from their dot product and the dot product of each with itself."""
+    return F.when((square > 0) & (other > 0), F.least(F.greatest(product / F.sqrt(square * other), F.lit(0.0)), F.lit(1.0)))
+
+
 def entity_similarity(model: Column, vector: Column, words: Column, aspects: Column, other_model: Column, other_vector: Column, other_words: Column, other_aspects: Column) -> Column:
     """Similarity of two entities: 1 for one model, else 0.65 cosine + 0.25 title + 0.1 aspect overlap, or 0.75 and 0.25 of the overlaps without vectors."""
     from . import text

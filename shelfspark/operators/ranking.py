@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scoring, text
-from ..session import written
+from ..session import dealt, written
 from . import retrieval
 
 #: Rows of one query, the best by base score, that one task diversifies first, and at most; how much more it takes each time.
@@ -71,6 +71,47 @@ def entities(candidates: DataFrame, channels: DataFrame, weights: dict[str, floa
     return out.select("query_id", "key", *(F.col(f"best.{c}").alias(c) for c in kept), "base", "offers", "sources", "embedding")
 
 
+def entities_by_vector(offers: DataFrame, ranks: DataFrame, asked: DataFrame, weights: dict[str, float], channel: str, floor: float) -> DataFrame:
+    """entities() of queries that share a text's offers and differ by their vectors: (text_id, query_id, key, id, vector_id, base).
+
+    offers and ranks are those of entities() with text_id for query_id, without `semantic` and the vectors' channel;
+    asked: text_id, query_id, query_embedding (null: no vector), broadcast. An offer without a vector is worth the same for every query, and
+    so is an entity of such offers alone: both are worked out once for each text. A query meets the offers with a vector only.
+    channel ranks those whose cosine is over the floor. vector_id is the offer whose vector an entity has.
+    """
+    has = F.coalesce(F.size("embedding") > 0, F.lit(False))
+    part = lambda rank: F.coalesce(F.lit(max(0.0, float(weights[channel]))) / (retrieval.RANK_OFFSET + rank), F.lit(0.0))
+    base = lambda s: base_score(scoring.clamp(s / F.col("total")))
+    order = F.struct((-F.col("own")).alias("minus"), "id")
+    others = retrieval.other_channels(ranks, weights).withColumnRenamed("query_id", "text_id")
+    sums = retrieval.rank_sums(ranks, weights).withColumnRenamed("query_id", "text_id")
+    rows = offers.join(sums, ["text_id", "id"], "left").join(F.broadcast(others), "text_id", "left").withColumn("total", retrieval.rank_total(weights, F.col("others")))
+    rows = written(rows.select("text_id", "id", "key", "embedding", "lexical", "relevance", "quality", F.coalesce("s", F.lit(0.0)).alias("s"), "total"), "fused")
+
+    # for each text and key: the best offers without and with a vector before any cosine, and what all offers have together
+    signals = [s for s in SIGNALS if s != "semantic"]
+    alone = rows.withColumn("semantic", F.lit(None).cast("double")).withColumn("own", base(F.col("s")))
+    keyed = alone.groupBy("text_id", "key").agg(F.min(F.when(~has, order)).alias("alone"), F.min(F.when(has, order)).alias("held"), F.first("total").alias("total"), *(F.max(s).alias(s) for s in signals))
+    best = ranks.where("rank > 0").withColumnRenamed("query_id", "text_id").join(rows.select("text_id", "id", "key"), ["text_id", "id"])
+    best = best.groupBy(F.col("text_id").alias("query_id"), F.col("key").alias("id"), "channel").agg(F.min("rank").alias("rank"))
+    keyed = keyed.join(retrieval.rank_sums(best, weights).select(F.col("query_id").alias("text_id"), F.col("id").alias("key"), "s"), ["text_id", "key"], "left")
+    keyed = written(keyed.withColumn("s", F.coalesce("s", F.lit(0.0))), "keyed")
+
+    # for each query: its vector beside those of the text's offers; what each has by itself is summed once
+    own = lambda c: scoring.dot(F.col(c), F.col(c))
+    pointed = asked.where("query_embedding is not null").withColumn("other", own("query_embedding"))
+    near = dealt(rows.where(has)).withColumn("square", own("embedding")).join(F.broadcast(pointed), "text_id")
+    cosine = scoring.cosine_of(scoring.dot(F.col("embedding"), F.col("query_embedding")), F.col("square"), F.col("other"))
+    near = near.withColumn("semantic", F.when(F.size("embedding") == F.size("query_embedding"), cosine)).drop("embedding", "query_embedding", "square", "other")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("semantic"), F.asc("id")))
+    near = near.withColumn("rank", F.when(F.col("semantic") > floor, place))
+    near = near.withColumn("own", base(F.col("s") + part(F.col("rank"))))
+    near = near.groupBy("query_id", "key").agg(F.min(order).alias("near"), F.max("semantic").alias("semantic"), F.min("rank").alias("rank"))
+    every = keyed.join(F.broadcast(asked.select("text_id", "query_id", F.col("query_embedding").isNull().alias("plain"))), "text_id").join(near, ["query_id", "key"], "left")
+    every = every.withColumn("near", F.coalesce("near", F.when(F.col("plain"), F.col("held")))).withColumn("base", base(F.col("s") + part(F.col("rank"))))
+    return every.select("text_id", "query_id", "key", F.least("alone", "near")["id"].alias("id"), F.col("near.id").alias("vector_id"), "base")
+
+
 def gated(rows: DataFrame, gate: Column, least: float) -> DataFrame:
     """rows of at least the base score `least`, with eligible: whether they are within the share `gate` of their query's best.
 
